@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tapewise.operators import metrics
 from tapewise.operators.features import fold_of, train_rows
+from tapewise.operators.nested_fits import fit_nested
 from tapewise.operators.panel import numbered
 
 KEY = ["ticker", "date"]
@@ -61,7 +62,7 @@ def train_logistic(train: DataFrame, features: list[str], c: float = 1.0, max_it
         _assembler(features, "_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True),
         LogisticRegression(featuresCol="_z", labelCol="label", rawPredictionCol="_raw", probabilityCol="_prob",
                            predictionCol="_pred", regParam=(n - 1) / n / (c * n), elasticNetParam=0.0,
-                           standardization=False, maxIter=max_iter, tol=1e-8),
+                           standardization=False, maxIter=max_iter, tol=1e-6),
     ]
     return Classifier("logistic", features, Pipeline(stages=stages).fit(train), n)
 
@@ -71,9 +72,10 @@ def train_gbt(train: DataFrame, features: list[str], trees: int = 300, depth: in
     """Boosted trees; column sampling is per node and the leaf penalties of other libraries do not exist."""
     stages = [
         _assembler(features, "_x"),
-        GBTClassifier(featuresCol="_x", labelCol="label", rawPredictionCol="_raw", probabilityCol="_prob",
+        GBTClassifier(featuresCol="_x", labelCol="label",
                       predictionCol="_pred", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=rows,
-                      featureSubsetStrategy=columns, minInstancesPerNode=5, seed=seed, leafCol="_leaves"),
+                      featureSubsetStrategy=columns, minInstancesPerNode=5, seed=seed, leafCol="_leaves")
+        .setRawPredictionCol("_raw").setProbabilityCol("_prob"),
     ]
     return Classifier("gbt", features, Pipeline(stages=stages).fit(train), train.count())
 
@@ -121,30 +123,33 @@ def walkforward_backtest(rows: DataFrame, features: list[str], kind: str = "logi
                          **options) -> DataFrame:
     """Out-of-sample predictions: for every block of ``step`` days a model fitted on all earlier days.
 
-    ``embargo`` leaves that many days before the block out of training (the labels look ahead). Fits are
-    independent, so a few run at a time on the cached panel. Returns the predictions table.
+    ``embargo`` leaves that many days before the block out of training (the labels look ahead). All
+    logistic fits share their passes over the cached panel. Returns the predictions table.
     """
     panel = date_positions(rows).persist()
     days = panel.agg(F.max("days")).first()[0] or 0
-    start = int(days * initial)
-
-    def one(window_start: tuple[int, int]) -> DataFrame:
-        window, at = window_start
-        past = panel.filter(F.col("day") < at - embargo)
-        block = panel.filter((F.col("day") >= at) & (F.col("day") < at + step))
-        model = fit(kind, past, features, **options)
-        return model.score(block).select(
-            *KEY, F.lit(window).alias("window"), F.lit(model.train_size).cast("long").alias("train_size"),
-            "prob", F.col("label").alias("actual"), "pred")
-
-    starts = [at for at in range(start, days, step) if at >= min_train]
-    with ThreadPoolExecutor(parallel) as pool:
-        blocks = list(pool.map(one, enumerate(starts)))
-    if not blocks:
+    starts = [at for at in range(int(days * initial), days, step) if at >= min_train]
+    if not starts:
         raise ValueError("not enough history for one window")
-    while len(blocks) > 1:  # pairwise, so the plan stays shallow
-        blocks = [a.unionByName(b) for a, b in zip(blocks[::2], blocks[1::2])] + blocks[len(blocks) // 2 * 2:]
-    return blocks[0]
+    window = F.floor((F.col("day") - starts[0]) / F.lit(step)).cast("int")
+    blocks = panel.filter(F.col("day") >= starts[0]).withColumn("window", window)
+    if kind == "logistic":
+        models = fit_nested(panel, features, [at - embargo for at in starts], **options)
+        scored = blocks.join(models.table(panel).withColumnRenamed("model", "window"), "window")
+        scored = scored.withColumn("prob", 1 / (1 + F.exp(-models.margin())))
+    else:
+        def one(at: int) -> DataFrame:
+            model = fit(kind, panel.filter(F.col("day") < at - embargo), features, **options)
+            block = blocks.filter((F.col("day") >= at) & (F.col("day") < at + step))
+            return model.score(block).withColumn("train_size", F.lit(model.train_size).cast("long"))
+
+        with ThreadPoolExecutor(parallel) as pool:  # independent fits, a few at a time on the cached panel
+            parts = list(pool.map(one, starts))
+        while len(parts) > 1:  # pairwise, so the plan stays shallow
+            parts = [x.unionByName(y) for x, y in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2:]
+        scored = parts[0]
+    return scored.select(*KEY, "window", "train_size", "prob", F.col("label").alias("actual"),
+                         (F.col("prob") > 0.5).cast("int").alias("pred"))
 
 
 def platt_scale(model: Classifier, train: DataFrame, share: float = 0.2) -> Classifier:

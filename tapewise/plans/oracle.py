@@ -130,7 +130,7 @@ _CTES: dict[str, tuple[list[str], str]] = {
     "regimes": (["num"], """
         SELECT ticker, date, CASE WHEN pos < 200 THEN 'unknown' WHEN close > m THEN 'bull' ELSE 'bear' END AS regime
         FROM (SELECT *, avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS 199 PRECEDING) AS m FROM num) q"""),
-    "asof": (["scores", "regimes"], """
+    "with_regime": (["scores", "regimes"], """
         SELECT s.ticker, s.date, s.prob, s.actual, s.pred, g.regime
         FROM scores s ASOF LEFT JOIN regimes g ON s.ticker = g.ticker AND s.date >= g.date"""),
     "windows": (["placed"], """
@@ -168,12 +168,12 @@ def equity_ctes(thresholds: list[float], cost: float, source: str, dependencies:
                          ROWS UNBOUNDED PRECEDING) AS running_max FROM cum) q"""),
         "risk": (["equity"], f"""
             SELECT ticker, threshold, {r('cs - 1', 4)} AS total_return,
-                   {r('CASE WHEN cs >= 0 THEN pow(cs, 252e0 / days) - 1 END', 4)} AS annual_return,
+                   {r('CASE WHEN cs - 1 >= -1 THEN pow(1 + (cs - 1), 252e0 / days) - 1 END', 4)} AS annual_return,
                    {r('CASE WHEN sd > 0 THEN mu / sd * sqrt(252e0) ELSE 0e0 END', 3)} AS sharpe_ratio,
                    {r('dd', 4)} AS max_drawdown, {r('coalesce(' + div('wins', 'days_invested') + ', 0e0)', 4)} AS win_rate,
                    {r('CASE WHEN loss < 0 THEN coalesce(gain, 0e0) / abs(loss) ELSE 999e0 END', 3)} AS profit_factor,
                    n_trades, days_invested, {r('cb - 1', 4)} AS bh_total_return,
-                   {r('CASE WHEN cb >= 0 THEN pow(cb, 252e0 / days) - 1 END', 4)} AS bh_annual_return
+                   {r('CASE WHEN cb - 1 >= -1 THEN pow(1 + (cb - 1), 252e0 / days) - 1 END', 4)} AS bh_annual_return
             FROM (SELECT ticker, threshold, arg_max(cum_strategy, date) AS cs, arg_max(cum_buyhold, date) AS cb,
                          count(*) AS days, avg(sret) AS mu, stddev_pop(sret) AS sd, min(drawdown) AS dd,
                          CAST(sum(CASE WHEN position = 1 AND sret > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins,
