@@ -48,6 +48,18 @@ def forward_label(df: DataFrame, horizon: int = 10, threshold: float = 0.0) -> D
     return labelled.filter(F.col("_future").isNotNull()).drop("_future")
 
 
+def forward_labels(df: DataFrame, horizons: list[int], threshold: float = 0.0) -> DataFrame:
+    """One label column per horizon (``label_h``, null in the tail) from one pass over the panel."""
+    h = with_halo(df, ahead=max(horizons))
+    h = h.add({f"_f{n}": F.lead("close", n).over(h.w) for n in horizons})
+    labels = {}
+    for n in horizons:
+        future = F.col(f"_f{n}")
+        rise = F.try_divide(future - F.col("close"), F.col("close"))
+        labels[f"label_{n}"] = F.when(future.isNotNull(), F.when(rise > threshold, 1).otherwise(0))
+    return h.add(labels).done("pos", "n_rows", *[f"_f{n}" for n in horizons])
+
+
 def dataset(feature_rows: DataFrame, horizon: int = 10, threshold: float = 0.0,
             columns: list[str] | None = None) -> DataFrame:
     """Feature columns, close and label of every usable row."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewise.operators.panel import BLOCK_ROWS, Halo, block_rows, decay_rows, span_alpha, with_halo
+from tapewise.operators.panel import Halo, block_rows, decay_rows, span_alpha, with_halo
 
 EPSILON = 1e-10  # keeps the gain/loss ratio finite when there was no loss
 
@@ -23,7 +23,7 @@ def daily_return(df: DataFrame) -> DataFrame:
 
 
 def sma(df: DataFrame, window: int, column: str = "close", name: str | None = None) -> DataFrame:
-    h = with_halo(df, back=window - 1, block=max(BLOCK_ROWS, window))
+    h = with_halo(df, back=window - 1)
     return h.add({name or f"sma_{window}": h.rolling_mean(column, window)}).done()
 
 
@@ -35,8 +35,7 @@ def ema(df: DataFrame, window: int, column: str = "close", name: str | None = No
 
 
 def moving_averages(df: DataFrame) -> DataFrame:
-    h = _halo([span_alpha(20)], rows=50)
-    h = h(df)
+    h = _halo([span_alpha(20)], rows=50)(df)
     return h.add({
         "sma_20": h.rolling_mean("close", 20),
         "sma_50": h.rolling_mean("close", 50),

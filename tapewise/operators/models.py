@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +25,16 @@ KEY = ["ticker", "date"]
 ALL = "all"  # single group of a pooled evaluation
 
 
+@contextmanager
+def cached(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a table in memory and on disk while several passes run over it."""
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 @dataclass
 class Classifier:
     """A fitted pipeline with the names of its features and the size of its training set."""
@@ -59,7 +71,8 @@ def train_logistic(train: DataFrame, features: list[str], c: float = 1.0, max_it
     """
     n = train.count()
     stages = [
-        _assembler(features, "_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True),
+        _assembler(features, "_x"),
+        StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True),
         LogisticRegression(featuresCol="_z", labelCol="label", rawPredictionCol="_raw", probabilityCol="_prob",
                            predictionCol="_pred", regParam=(n - 1) / n / (c * n), elasticNetParam=0.0,
                            standardization=False, maxIter=max_iter, tol=1e-6),
@@ -106,13 +119,13 @@ def evaluate(scored: DataFrame) -> DataFrame:
 def cross_validate(train: DataFrame, features: list[str], kind: str = "gbt", k: int = 3, **options) -> DataFrame:
     """Accuracy and AUC per expanding fold; the mean and population deviation ride along."""
     placed = date_positions(train.drop("day", "days")).withColumn("fold", fold_of(F.col("day"), F.col("days"), k))
-    placed = placed.persist()
     out = None
-    for fold in range(1, k + 1):
-        past = placed.filter(F.coalesce(F.col("fold"), F.lit(0)) < fold)
-        scored = fit(kind, past, features, **options).score(placed.filter(F.col("fold") == fold))
-        row = evaluate(scored).withColumn("fold", F.lit(fold))
-        out = row if out is None else out.unionByName(row)
+    with cached(placed):
+        for fold in range(1, k + 1):
+            past = placed.filter(F.coalesce(F.col("fold"), F.lit(0)) < fold)
+            scored = fit(kind, past, features, **options).score(placed.filter(F.col("fold") == fold))
+            row = evaluate(scored).withColumn("fold", F.lit(fold))
+            out = row if out is None else out.unionByName(row)
     stats = out.agg(F.avg("roc_auc").alias("auc_mean"), F.stddev_pop("roc_auc").alias("auc_std"),
                     F.avg("accuracy").alias("acc_mean"), F.stddev_pop("accuracy").alias("acc_std"))
     return out.select("fold", "n", "accuracy", "roc_auc").crossJoin(stats)  # one row of statistics
@@ -126,28 +139,29 @@ def walkforward_backtest(rows: DataFrame, features: list[str], kind: str = "logi
     ``embargo`` leaves that many days before the block out of training (the labels look ahead). All
     logistic fits share their passes over the cached panel. Returns the predictions table.
     """
-    panel = date_positions(rows).persist()
-    days = panel.agg(F.max("days")).first()[0] or 0
-    starts = [at for at in range(int(days * initial), days, step) if at >= min_train]
-    if not starts:
-        raise ValueError("not enough history for one window")
-    window = F.floor((F.col("day") - starts[0]) / F.lit(step)).cast("int")
-    blocks = panel.filter(F.col("day") >= starts[0]).withColumn("window", window)
-    if kind == "logistic":
-        models = fit_nested(panel, features, [at - embargo for at in starts], **options)
-        scored = blocks.join(models.table(panel).withColumnRenamed("model", "window"), "window")
-        scored = scored.withColumn("prob", 1 / (1 + F.exp(-models.margin())))
-    else:
-        def one(at: int) -> DataFrame:
-            model = fit(kind, panel.filter(F.col("day") < at - embargo), features, **options)
-            block = blocks.filter((F.col("day") >= at) & (F.col("day") < at + step))
-            return model.score(block).withColumn("train_size", F.lit(model.train_size).cast("long"))
-
-        with ThreadPoolExecutor(parallel) as pool:  # independent fits, a few at a time on the cached panel
-            parts = list(pool.map(one, starts))
-        while len(parts) > 1:  # pairwise, so the plan stays shallow
-            parts = [x.unionByName(y) for x, y in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2:]
-        scored = parts[0]
+    panel = date_positions(rows)
+    with cached(panel):
+        days = panel.agg(F.max("days")).first()[0] or 0
+        starts = [at for at in range(int(days * initial), days, step) if at >= min_train]
+        if not starts:
+            raise ValueError("not enough history for one window")
+        window = F.floor((F.col("day") - starts[0]) / F.lit(step)).cast("int")
+        blocks = panel.filter(F.col("day") >= starts[0]).withColumn("window", window)
+        if kind == "logistic":
+            models = fit_nested(panel, features, [at - embargo for at in starts], **options)
+            scored = blocks.join(models.table(panel).withColumnRenamed("model", "window"), "window")
+            scored = scored.withColumn("prob", 1 / (1 + F.exp(-models.margin())))
+        else:
+            def one(at: int) -> DataFrame:
+                model = fit(kind, panel.filter(F.col("day") < at - embargo), features, **options)
+                block = blocks.filter((F.col("day") >= at) & (F.col("day") < at + step))
+                return model.score(block).withColumn("train_size", F.lit(model.train_size).cast("long"))
+
+            with ThreadPoolExecutor(parallel) as pool:  # independent fits, a few at a time on the cached panel
+                parts = list(pool.map(one, starts))
+            while len(parts) > 1:  # pairwise, so the plan stays shallow
+                parts = [x.unionByName(y) for x, y in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2:]
+            scored = parts[0]
     return scored.select(*KEY, "window", "train_size", "prob", F.col("label").alias("actual"),
                          (F.col("prob") > 0.5).cast("int").alias("pred"))
 
@@ -161,14 +175,15 @@ def platt_scale(model: Classifier, train: DataFrame, share: float = 0.2) -> Clas
     first = F.col("_last") - F.floor((F.col("_last") + 1) * F.lit(share)).cast("long")
     last = train.agg(F.max("day").alias("_last"))
     recent = train.crossJoin(last).filter(F.col("day") > first).drop("_last")  # one row: the last day
-    scored = model.score(recent).select("prob", "label").persist()
+    scored = model.score(recent).select("prob", "label")
     n = scored.count()
     stages = [
         VectorAssembler(inputCols=["prob"], outputCol="_x"),
         LogisticRegression(featuresCol="_x", labelCol="label", rawPredictionCol="_raw", probabilityCol="_prob",
                            predictionCol="_pred", regParam=1.0 / n, standardization=False, maxIter=1000, tol=1e-8),
     ]
-    return Classifier("platt", ["prob"], Pipeline(stages=stages).fit(scored), n)
+    with cached(scored):
+        return Classifier("platt", ["prob"], Pipeline(stages=stages).fit(scored), n)
 
 
 def calibrated(model: Classifier, platt: Classifier, rows: DataFrame) -> DataFrame:
@@ -179,12 +194,23 @@ def calibrated(model: Classifier, platt: Classifier, rows: DataFrame) -> DataFra
     return again.select(*rest, F.col("prob").alias("raw_prob"), vector_to_array("_prob")[1].alias("prob"))
 
 
-def horizon_sweep(build, horizons: list[int], features: list[str]) -> DataFrame:
-    """Accuracy and AUC of the logistic model per horizon; ``build(h)`` returns the dataset of a horizon."""
+def horizon_sweep(labelled: DataFrame, horizons: list[int], features: list[str],
+                  test_size: float = 0.2) -> DataFrame:
+    """Accuracy and AUC of the logistic model per horizon, from rows with one ``label_h`` per horizon."""
     out = None
     for h in horizons:
-        train, test = split(build(h))
-        row = evaluate(train_logistic(train.persist(), features).score(test)).withColumn("horizon", F.lit(h))
+        rows = labelled.withColumn("label", F.col(f"label_{h}")).filter("label is not null")
+        panel = date_positions(rows.select(*KEY, *features, "label"))
+        with cached(panel):
+            days = panel.agg(F.max("days")).first()[0]
+            cut = int(days * (1 - test_size))
+            model = fit_nested(panel, features, [cut])
+        # One model, so its weights are a constant column: no join.
+        test = panel.filter(F.col("day") >= cut).withColumn(
+            "w", F.array(*[F.lit(x) for x in model.raw_weights()[0].tolist()]))
+        scored = test.withColumn("prob", 1 / (1 + F.exp(-model.margin()))).withColumn(
+            "pred", (F.col("prob") > 0.5).cast("int"))
+        row = evaluate(scored.select("label", "prob", "pred")).withColumn("horizon", F.lit(h))
         out = row if out is None else out.unionByName(row)
     return out.select("horizon", "accuracy", "roc_auc", "up_rate", F.col("n").alias("test_samples"))
 

@@ -28,11 +28,14 @@ class NestedLogistic:
     weights: np.ndarray  # one row per model, intercept last
     train_size: list[int]
 
-    def table(self, like: DataFrame) -> DataFrame:
-        """(model, train_size, w): weights on raw features with the intercept last; one row per model."""
+    def raw_weights(self) -> np.ndarray:
+        """Weights on raw features, intercept last; one row per model."""
         scaled = self.weights[:, :-1] / self.deviation
-        raw = np.hstack([scaled, (self.weights[:, -1] - (scaled * self.mean).sum(1))[:, None]])
-        rows = [(m, int(n), [float(x) for x in w]) for m, (n, w) in enumerate(zip(self.train_size, raw))]
+        return np.hstack([scaled, (self.weights[:, -1] - (scaled * self.mean).sum(1))[:, None]])
+
+    def table(self, like: DataFrame) -> DataFrame:
+        """(model, train_size, w) with one row per model."""
+        rows = [(m, int(n), w.tolist()) for m, (n, w) in enumerate(zip(self.train_size, self.raw_weights()))]
         return like.sparkSession.createDataFrame(rows, "model int, train_size long, w array<double>")
 
     def margin(self, w: str = "w") -> Column:
@@ -50,14 +53,11 @@ def _total(rows: DataFrame, models: int, width: int, add: Callable[[pd.DataFrame
                 add(batch, block)
         yield pd.DataFrame({"model": np.arange(models, dtype="int32"), "part": list(block)})
 
-    def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"model": parts["model"].iloc[:1], "part": [np.stack(parts["part"].to_numpy()).sum(0)]})
-
     partial = rows.mapInPandas(task, "model int, part array<double>")  # one row per task and model
-    summed = partial.groupBy("model").applyInPandas(merge, "model int, part array<double>").collect()
+    cells = partial.select("model", F.posexplode("part").alias("cell", "v"))
     out = np.zeros((models, width))
-    for row in summed:
-        out[row["model"]] = row["part"]
+    for row in cells.groupBy("model", "cell").agg(F.sum("v").alias("v")).collect():  # models x width numbers
+        out[row["model"], row["cell"]] = row["v"]
     return out
 
 

@@ -159,10 +159,11 @@ def block_rows(alphas: list[float], back: int) -> int:
     return block
 
 
-def with_halo(df: DataFrame, back: int = 0, ahead: int = 0, block: int = BLOCK_ROWS) -> Halo:
+def with_halo(df: DataFrame, back: int = 0, ahead: int = 0, block: int | None = None) -> Halo:
     """Cut every ticker into blocks of about ``block`` rows, each seeing ``back`` earlier and ``ahead``
     later rows. Adds ``pos`` and ``n_rows``. One row is copied at most twice, and only near an edge.
     """
+    block = block or max(BLOCK_ROWS, back, ahead)
     if max(back, ahead, UNIT_ROWS) > block:
         raise ValueError("a block must be at least as long as its halo and one unit")
     summaries, carries = _starts()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewise.functions.fixed_values import HORIZONS
@@ -14,8 +15,14 @@ TREES = 20  # trees per registered query; the operator's default is 300
 
 
 def _split(t: Tables):
-    train, test = models.split(t.dataset())
-    return train.persist(), test
+    """Training rows (read many times by a fit, so written once) and test rows, cut by date."""
+    placed = t.placed("dataset")
+    return placed.filter("day < cut"), placed.filter("day >= cut")
+
+
+def _fit(kind: str, train: DataFrame, columns: list[str] = FEATURES) -> models.Classifier:
+    with models.cached(train):
+        return models.fit(kind, train, columns, **({"trees": TREES} if kind == "gbt" else {}))
 
 
 def _scorecard(kind: str, scored):
@@ -25,13 +32,13 @@ def _scorecard(kind: str, scored):
 @query("train_logistic")
 def _(t: Tables):
     train, test = _split(t)
-    return _scorecard("logistic", models.train_logistic(train, FEATURES).score(test))
+    return _scorecard("logistic", _fit("logistic", train).score(test))
 
 
 @query("train_gbt")
 def _(t: Tables):
     train, test = _split(t)
-    return _scorecard("gbt", models.train_gbt(train, FEATURES, trees=TREES).score(test))
+    return _scorecard("gbt", _fit("gbt", train).score(test))
 
 
 @query("cross_validate")
@@ -54,13 +61,13 @@ def _(t: Tables):
 def _(t: Tables):
     train, _test = _split(t)
     latest = feat.derived_features(stats.latest_row(t.features()))
-    return attribution.score_latest(models.train_gbt(train, FEATURES, trees=TREES), latest)
+    return attribution.score_latest(_fit("gbt", train), latest)
 
 
 @query("platt_scale")
 def _(t: Tables):
     train, test = _split(t)
-    model = models.train_gbt(train, FEATURES, trees=TREES)
+    model = _fit("gbt", train)
     out = models.calibrated(model, models.platt_scale(model, train), test)
     return out.select("ticker", "date", "raw_prob", "prob", "label")
 
@@ -68,7 +75,7 @@ def _(t: Tables):
 @query("coef_ranking")
 def _(t: Tables):
     train, _test = _split(t)
-    return models.coef_ranking(models.train_logistic(train, FEATURES), train)
+    return models.coef_ranking(_fit("logistic", train), train)
 
 
 @query("model_comparison")
@@ -76,14 +83,14 @@ def _(t: Tables):
     train, test = _split(t)
     up = test.agg(F.avg("label").alias("accuracy")).select(F.lit("always up").alias("model"), "accuracy", F.lit(0.5).alias("roc_auc"))
     out = up
-    for kind, options in (("logistic", {}), ("gbt", {"trees": TREES})):
-        row = _scorecard(kind, models.fit(kind, train, FEATURES, **options).score(test))
+    for kind in ("logistic", "gbt"):
+        row = _scorecard(kind, _fit(kind, train).score(test))
         out = out.unionByName(row.select("model", "accuracy", "roc_auc"))
     return out
 
 
 def _sweep(t: Tables):
-    return models.horizon_sweep(lambda h: feat.dataset(t.features(), horizon=h), HORIZONS, FEATURES)
+    return models.horizon_sweep(t.labelled(), HORIZONS, FEATURES)
 
 
 @query("horizon_sweep")
@@ -98,11 +105,11 @@ def _(t: Tables):
 
 @query("sentiment_ablation")
 def _(t: Tables):
-    train, test = models.split(t.dataset_sentiment())
-    train = train.persist()
+    placed = t.placed("dataset_sentiment")
+    train, test = placed.filter("day < cut"), placed.filter("day >= cut")
 
     def score(name: str, columns: list[str]):
-        row = models.evaluate(models.train_gbt(train, columns, trees=TREES).score(test))
+        row = models.evaluate(_fit("gbt", train, columns).score(test))
         return row.select(F.col("accuracy").alias(f"accuracy_{name}"), F.col("roc_auc").alias(f"auc_{name}"))
 
     both = score("base", FEATURES).crossJoin(score("full", FEATURES_WITH_SENTIMENT))  # one row each
@@ -111,9 +118,9 @@ def _(t: Tables):
         "verdict", F.when(delta > 0.01, "MEANINGFUL").when(delta > 0, "MARGINAL").otherwise("NO IMPROVEMENT"))
 
 
-def _contributions(t: Tables, kind: str, **options):
+def _contributions(t: Tables, kind: str):
     train, test = _split(t)
-    out = attribution.attribute(models.fit(kind, train, FEATURES, **options), test)
+    out = attribution.attribute(_fit(kind, train), test)
     return out.select("ticker", "date", "prob", "margin", "base_value", "contributions")
 
 
@@ -124,6 +131,6 @@ def _(t: Tables):
 
 @query("tree_attribution")
 def _(t: Tables):
-    return _contributions(t, "gbt", trees=TREES)
+    return _contributions(t, "gbt")
 
 

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewise.operators import explain, features as feat, indicators as ind, sentiment as sent
+from tapewise.operators import explain, features as feat, indicators as ind, models, sentiment as sent
+from tapewise.functions.fixed_values import HORIZONS
 from tapewise.functions.scalar import confidence_bucket
 from tapewise.operators.signals import company_name
-from tapewise.schemas import EXTRA_INDICATOR_COLUMNS, FEATURES_WITH_SENTIMENT, INDICATOR_COLUMNS, NEWS_PAYLOAD
+from tapewise.schemas import EXTRA_INDICATOR_COLUMNS, FEATURES, FEATURES_WITH_SENTIMENT, INDICATOR_COLUMNS, NEWS_PAYLOAD
 from tapewise.sources import fixtures, staging
 
 SCORE_PARTS = ["rsi_normalized", "bb_pct", "price_vs_sma20", "price_vs_sma50", "bb_width", "volume_ratio"]
@@ -51,6 +52,19 @@ class Tables:
     def dataset(self) -> DataFrame:
         return self._stage("dataset", lambda: feat.dataset(self.features()))
 
+    def labelled(self) -> DataFrame:
+        """Complete feature rows with a label per horizon."""
+        return self._stage("labelled", lambda: feat.drop_incomplete(
+            feat.derived_features(feat.forward_labels(self.features(), HORIZONS)), FEATURES))
+
+    def placed(self, name: str) -> DataFrame:
+        """A dataset with the rank of each date and the first test day (``cut``) of the 80/20 split."""
+        def build() -> DataFrame:
+            rows = models.date_positions(getattr(self, name)())
+            return rows.withColumn("cut", feat.train_rows(F.col("days")))
+
+        return self._stage(f"{name}_placed", build)
+
     def scores(self) -> DataFrame:
         """Deterministic stand-in for model output."""
         prob = 1 - F.col("rsi") / 100
