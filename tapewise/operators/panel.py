@@ -151,7 +151,7 @@ def span_alpha(span: int) -> float:
 
 def block_rows(alphas: list[float], back: int) -> int:
     """Longest block (at most ``BLOCK_ROWS`` unless the halo is longer) that all ``alphas`` allow."""
-    block = max(BLOCK_ROWS, back)
+    block = max(BLOCK_ROWS, back + UNIT_ROWS)
     for alpha in alphas:
         if alpha < 1.0:
             room = int(2 * _RANGE / -math.log10(1.0 - alpha)) - back - 2 * UNIT_ROWS
@@ -163,9 +163,11 @@ def with_halo(df: DataFrame, back: int = 0, ahead: int = 0, block: int | None =
     """Cut every ticker into blocks of about ``block`` rows, each seeing ``back`` earlier and ``ahead``
     later rows. Adds ``pos`` and ``n_rows``. One row is copied at most twice, and only near an edge.
     """
-    block = block or max(BLOCK_ROWS, back, ahead)
-    if max(back, ahead, UNIT_ROWS) > block:
-        raise ValueError("a block must be at least as long as its halo and one unit")
+    block = block or max(BLOCK_ROWS, max(back, ahead) + UNIT_ROWS)
+    # A unit belongs to the block it starts in and may reach UNIT_ROWS into the next one. With this length
+    # no row is needed more than one block away from its own.
+    if max(back, ahead) + UNIT_ROWS > block:
+        raise ValueError("a block must be longer than its halo by one unit")
     summaries, carries = _starts()
     rows = with_carry(df, summaries, carries, ["_start", "_cnt", "n_rows"])
     start, count, total = F.col("_start"), F.col("_cnt"), F.col("n_rows")

@@ -107,10 +107,10 @@ def test_crossovers(bars, panel_pd, small_blocks):
 def test_numbering_and_blocks(bars, panel_pd):
     want = by_ticker(panel_pd, lambda g: g[["ticker", "date"]].assign(pos=np.arange(len(g)), n_rows=len(g)))
     same(collected(panel.numbered(bars)), want, ["pos", "n_rows"])
-    cut = panel.with_halo(bars, back=60, ahead=10, block=100)
+    cut = panel.with_halo(bars, back=60, ahead=10, block=160)
     sizes = cut.df.groupBy("ticker", "_block").agg(F.count("*").alias("n"), F.max(F.col("_home").cast("int")).alias("h")).toPandas()
-    assert sizes["n"].max() <= 100 + 60 + 10 + 4 * panel.UNIT_ROWS  # no task ever sees a whole long ticker
-    assert len(sizes[sizes["ticker"] == "HOT"]) >= 29
+    assert sizes["n"].max() <= 160 + 60 + 10 + 4 * panel.UNIT_ROWS  # no task ever sees a whole long ticker
+    assert len(sizes[sizes["ticker"] == "HOT"]) >= 18
     same(collected(cut.done()), want, ["pos", "n_rows"])
 
 
