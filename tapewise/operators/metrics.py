@@ -6,33 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewise.operators.panel import in_unit, units_before, with_carry, with_halo
+from tapewise.sources.staging import written
 
-_GRID = 4096  # score ranges of the distributed AUC
+_GRID = 1 << 16  # score ranges of the distributed AUC
 
 
-def roc_auc(df: DataFrame, keys: list[str], prob: str = "prob", actual: str = "actual") -> DataFrame:
-    """Rank AUC with ties; 0.5 where only one class is present.
+def _hit() -> Column:
+    return (F.col("pred") == F.col("actual")).cast("int")
+
+
+def _ranked(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Counts per distinct score with ``_wins``: positives times negatives below, ties by half.
 
-    Scores are counted per distinct value, then ranked by range: negatives of lower ranges come from a
-    table of at most 4096 rows per group, the rest from a window inside one range.
+    Negatives of lower score ranges come from a table of at most ``_GRID`` rows per group, those inside
+    the range from a window over its distinct scores, so a group is never in one task.
     """
-    counts = df.groupBy(*keys, F.col(prob).alias("_score")).agg(
-        F.sum((F.col(actual) == 1).cast("long")).alias("_pos"),
-        F.sum((F.col(actual) == 0).cast("long")).alias("_neg"))
+    counts = df.groupBy(*keys, F.col("prob").alias("_score")).agg(
+        F.sum((F.col("actual") == 1).cast("long")).alias("_pos"),
+        F.sum((F.col("actual") == 0).cast("long")).alias("_neg"), *[c.alias(n) for n, c in sums.items()])
     order = Window.partitionBy(*keys).orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = with_carry(counts, [F.sum("_neg").alias("_n")],
-                        [{"_below": F.coalesce(F.sum("_n").over(order), F.lit(0))}], ["_below"],
-                        unit=F.floor(F.col("_score") * _GRID).cast("long"), keys=tuple(keys))
+    rows = with_carry(counts, [F.sum("_neg").alias("_n")],
+                      [{"_below": F.coalesce(F.sum("_n").over(order), F.lit(0))}], ["_below"],
+                      unit=F.floor(F.col("_score") * _GRID).cast("long"), keys=tuple(keys))
     inside = F.sum("_neg").over(in_unit("_score", keys=tuple(keys)).rowsBetween(Window.unboundedPreceding, 0))
     lower = F.col("_below") + inside - F.col("_neg")
-    wins = ranked.withColumn("_wins", F.col("_pos") * (lower + F.col("_neg") / 2.0))
-    out = wins.groupBy(*keys).agg(F.sum("_wins").alias("_w"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_q"))
-    pairs = F.col("_p").cast("double") * F.col("_q").cast("double")
-    return out.select(*keys, F.coalesce(F.try_divide("_w", pairs), F.lit(0.5)).alias("roc_auc"))
+    return rows.withColumn("_wins", F.col("_pos") * (lower + F.col("_neg") / 2.0))
 
 
-def _hit() -> Column:
-    return (F.col("pred") == F.col("actual")).cast("int")
+def _auc() -> Column:
+    pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
+    return F.coalesce(F.try_divide(F.sum("_wins"), pairs), F.lit(0.5)).alias("roc_auc")
+
+
+def roc_auc(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rank AUC with ties; 0.5 where only one class is present."""
+    return _ranked(df, keys, {}).groupBy(*keys).agg(_auc())
 
 
 def accuracy(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,10 +48,11 @@ def accuracy(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def scorecard(df: DataFrame, keys: list[str]) -> DataFrame:
-    """n, accuracy, AUC and UP rate per group."""
-    base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(_hit()).alias("accuracy"),
-                                 F.avg("actual").alias("up_rate"))
-    return base.join(roc_auc(df, keys), keys)
+    """n, accuracy, UP rate and AUC per group from one set of per-score counts."""
+    n = F.sum(F.col("_pos") + F.col("_neg"))
+    return _ranked(df, keys, {"_hits": F.sum(_hit())}).groupBy(*keys).agg(
+        n.alias("n"), F.try_divide(F.sum("_hits"), n).alias("accuracy"),
+        F.try_divide(F.sum("_pos"), n).alias("up_rate"), _auc())
 
 
 def confusion_matrix(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,6 +123,7 @@ def regime_asof(predictions: DataFrame, regimes: DataFrame) -> DataFrame:
 
 def regime_performance(predictions: DataFrame, regimes: DataFrame, min_rows: int = 10) -> DataFrame:
     rows = regime_asof(predictions, regimes).filter(F.col("regime").isin("bull", "bear"))
+    rows = written(rows.select("ticker", "regime", "prob", "actual", "pred"), "regime-predictions")
     return scorecard(rows, ["ticker", "regime"]).filter(F.col("n") >= min_rows).withColumnRenamed("n", "days")
 
 
@@ -128,12 +138,11 @@ def regime_verdict(performance: DataFrame) -> DataFrame:
 
 
 def window_results(predictions: DataFrame) -> DataFrame:
-    """One row per (ticker, window) of walk-forward predictions."""
+    """One row per (ticker, window) of walk-forward predictions. A window has a bounded number of rows."""
     keys = ["ticker", "window"]
-    base = predictions.groupBy(*keys).agg(
-        F.min("train_size").alias("train_size"), F.min("date").alias("test_start"), F.max("date").alias("test_end"),
-        F.count(F.lit(1)).alias("test_size"), F.avg(_hit()).alias("accuracy"), F.avg("actual").alias("up_rate"))
-    joined = base.join(roc_auc(predictions, keys), keys)
+    spans = predictions.groupBy(*keys).agg(
+        F.min("train_size").alias("train_size"), F.min("date").alias("test_start"), F.max("date").alias("test_end"))
+    joined = spans.join(scorecard(predictions, keys).withColumnRenamed("n", "test_size"), keys)
     return joined.withColumns({c: F.round(c, 4) for c in ("accuracy", "roc_auc", "up_rate")})
 
 

@@ -126,9 +126,12 @@ def cross_validate(train: DataFrame, features: list[str], kind: str = "gbt", k:
             scored = fit(kind, past, features, **options).score(placed.filter(F.col("fold") == fold))
             row = evaluate(scored).withColumn("fold", F.lit(fold))
             out = row if out is None else out.unionByName(row)
-    stats = out.agg(F.avg("roc_auc").alias("auc_mean"), F.stddev_pop("roc_auc").alias("auc_std"),
-                    F.avg("accuracy").alias("acc_mean"), F.stddev_pop("accuracy").alias("acc_std"))
-    return out.select("fold", "n", "accuracy", "roc_auc").crossJoin(stats)  # one row of statistics
+        folds = out.select("fold", "n", "accuracy", "roc_auc").collect()  # k rows
+    auc, acc = ([r[c] for r in folds] for c in ("roc_auc", "accuracy"))
+    summary = [float(x) for x in (np.mean(auc), np.std(auc), np.mean(acc), np.std(acc))]
+    return train.sparkSession.createDataFrame(
+        [(*r, *summary) for r in folds],
+        "fold int, n long, accuracy double, roc_auc double, auc_mean double, auc_std double, acc_mean double, acc_std double")
 
 
 def walkforward_backtest(rows: DataFrame, features: list[str], kind: str = "logistic", initial: float = 0.5,
@@ -172,9 +175,8 @@ def platt_scale(model: Classifier, train: DataFrame, share: float = 0.2) -> Clas
     With a model fitted on ``train`` the slice is part of its training data, as in the original method;
     pass a model fitted on the earlier days only to hold it out.
     """
-    first = F.col("_last") - F.floor((F.col("_last") + 1) * F.lit(share)).cast("long")
-    last = train.agg(F.max("day").alias("_last"))
-    recent = train.crossJoin(last).filter(F.col("day") > first).drop("_last")  # one row: the last day
+    last = train.agg(F.max("day")).first()[0]
+    recent = train.filter(F.col("day") > last - int((last + 1) * share))
     scored = model.score(recent).select("prob", "label")
     n = scored.count()
     stages = [
@@ -215,6 +217,14 @@ def horizon_sweep(labelled: DataFrame, horizons: list[int], features: list[str],
     return out.select("horizon", "accuracy", "roc_auc", "up_rate", F.col("n").alias("test_samples"))
 
 
+def sentiment_verdict(both: DataFrame) -> DataFrame:
+    """Gain of the feature set with sentiment over the base set, in words."""
+    delta = F.col("auc_full") - F.col("auc_base")
+    return both.withColumns({
+        "auc_delta": delta, "accuracy_delta": F.col("accuracy_full") - F.col("accuracy_base"),
+        "verdict": F.when(delta > 0.01, "MEANINGFUL").when(delta > 0, "MARGINAL").otherwise("NO IMPROVEMENT")})
+
+
 def best_horizon(sweep: DataFrame) -> DataFrame:
     best = F.max_by(F.struct("horizon", "roc_auc"), F.struct("roc_auc", -F.col("horizon")))
     return sweep.agg(best.alias("_b")).select("_b.*")

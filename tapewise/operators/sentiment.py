@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tapewise.functions.scalar import mean4, sentiment_label, ten_thousandths
 from tapewise.operators.panel import in_unit, units_before, with_carry, with_halo
 from tapewise.operators.stats import latest_row
+from tapewise.sources.staging import written
 
 KEY = ["ticker", "date"]
 
@@ -58,7 +59,7 @@ def ffill_bfill(df: DataFrame, column: str = "sentiment", backfill: bool = True)
 def sentiment_windows(calendar: DataFrame, daily: DataFrame, windows: tuple[int, ...] = (1, 3, 7),
                       backfill: bool = True) -> DataFrame:
     """Rolling means over the last 1/3/7 trading days (at least one) and their momentum."""
-    aligned = ffill_bfill(calendar_align(calendar, daily), backfill=backfill)
+    aligned = written(ffill_bfill(calendar_align(calendar, daily), backfill=backfill), "sentiment-aligned")
     h = with_halo(aligned, back=max(windows))
     h = h.add({"_s": ten_thousandths(F.col("sentiment"))})
     h = h.add({f"sentiment_{n}d": mean4(F.sum("_s").over(h.last(n)), F.count("_s").over(h.last(n)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewise.operators.panel import in_unit, unit_of, with_carry, with_halo
+from tapewise.sources.staging import written
 
 KEY = ["ticker", "date"]
 
@@ -40,7 +41,7 @@ def strategy_equity(returns: DataFrame, thresholds: list[float] = [0.55], cost:
     values multiply a product inside the quarter with the product of all earlier quarters, so a long
     history is never in one task.
     """
-    rows = returns.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    rows = written(returns, "returns").withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
     on = (F.col("prob") > F.col("threshold")).cast("double")
     before = F.coalesce((F.col("prev_prob") > F.col("threshold")).cast("double"), on)
     rows = rows.withColumns({"position": on, "change": F.abs(on - before)})

@@ -108,14 +108,13 @@ def _(t: Tables):
     placed = t.placed("dataset_sentiment")
     train, test = placed.filter("day < cut"), placed.filter("day >= cut")
 
-    def score(name: str, columns: list[str]):
-        row = models.evaluate(_fit("gbt", train, columns).score(test))
-        return row.select(F.col("accuracy").alias(f"accuracy_{name}"), F.col("roc_auc").alias(f"auc_{name}"))
-
-    both = score("base", FEATURES).crossJoin(score("full", FEATURES_WITH_SENTIMENT))  # one row each
-    delta = F.col("auc_full") - F.col("auc_base")
-    return both.withColumns({"auc_delta": delta, "accuracy_delta": F.col("accuracy_full") - F.col("accuracy_base")}).withColumn(
-        "verdict", F.when(delta > 0.01, "MEANINGFUL").when(delta > 0, "MARGINAL").otherwise("NO IMPROVEMENT"))
+    def score(columns: list[str]) -> tuple[float, float]:
+        row = models.evaluate(_fit("gbt", train, columns).score(test)).first()
+        return row["accuracy"], row["roc_auc"]
+
+    rows = [(*score(FEATURES), *score(FEATURES_WITH_SENTIMENT))]
+    both = t.spark.createDataFrame(rows, "accuracy_base double, auc_base double, accuracy_full double, auc_full double")
+    return models.sentiment_verdict(both)
 
 
 def _contributions(t: Tables, kind: str):

@@ -63,7 +63,9 @@ def _(t: Tables):
     return ingest.ingest_bars(ingest.reload_csv(t.spark, _saved_csv(t)).withColumnRenamed("file_ticker", "ticker"))
 
 
-@query("write_bars")
+@query("write_bars", sql("""
+    SELECT replace(ticker, '.', '_') AS file_ticker, count(*) AS rows, CAST(min(date) AS TIMESTAMP) AS first,
+           CAST(max(date) AS TIMESTAMP) AS last FROM bars GROUP BY ticker""", "bars"))
 def _(t: Tables):
     saved = ingest.reload_csv(t.spark, _saved_csv(t))
     return saved.groupBy("file_ticker").agg(F.count(F.lit(1)).alias("rows"), F.min("Date").alias("first"),
@@ -138,10 +140,9 @@ def _(t: Tables):
     WHERE k <= 50""", "news"))
 def _(t: Tables):
     news = t.news()
-    latest = news.agg(F.max("date").alias("as_of"))  # one row: "today" of the feed
-    rows = news.crossJoin(latest)
+    today = F.lit(news.agg(F.max("date")).first()[0])  # "today" of the feed, a literal the scan can use
     order = [F.col("headline"), F.col("description").asc_nulls_first(), F.col("source"), F.col("sentiment_score")]
-    return ingest.news_window(rows, F.col("as_of"), days_back=60, max_articles=50, order=order).drop("as_of")
+    return ingest.news_window(news, today, days_back=60, max_articles=50, order=order)
 
 
 @query("ticker_query_map", sql("""
@@ -158,37 +159,58 @@ def _(t: Tables):
     return ingest.topics(t.knowledge())
 
 
-@query("daily_refresh")
+_ASKED = "(SELECT ticker FROM tickers UNION ALL SELECT 'missing ' || ticker FROM metadata)"
+
+
+@query("daily_refresh", sql(f"""
+    SELECT t.ticker, count(r.ticker) AS price_rows, CAST(greatest(count(r.ticker) - 49, 0) AS BIGINT) AS indicator_rows,
+           count(r.ticker) > 0 AS success
+    FROM {_ASKED} t LEFT JOIN (SELECT ticker FROM (SELECT *, max(date) OVER (PARTITION BY ticker) AS last FROM bars) q
+                               WHERE date > last - INTERVAL 24 MONTH) r ON r.ticker = t.ticker
+    GROUP BY t.ticker""", "bars", "tickers", "metadata"))
 def _(t: Tables):
     from tapewise.streaming.incremental import daily_refresh
     asked = t.tickers().unionByName(t.metadata().select(F.concat(F.lit("missing "), "ticker").alias("ticker")))
     return daily_refresh(t.spark, t.bars(), asked, years=2)
 
 
-@query("sentiment_refresh")
+@query("sentiment_refresh", sql(f"""
+    SELECT t.ticker, n.min_score, n.max_score, s.sentiment_3d, s.sentiment_momentum, s.sentiment_3d IS NOT NULL AS success
+    FROM {_ASKED} t
+    LEFT JOIN (SELECT ticker, min(sentiment_score) AS min_score, max(sentiment_score) AS max_score FROM news GROUP BY ticker) n
+           ON n.ticker = t.ticker
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM sentiment) s
+           ON s.ticker = t.ticker AND s.k = 1 AND n.ticker IS NOT NULL""", "news", "sentiment", "tickers", "metadata"))
 def _(t: Tables):
     from tapewise.streaming.incremental import sentiment_refresh
     asked = t.tickers().unionByName(t.metadata().select(F.concat(F.lit("missing "), "ticker").alias("ticker")))
     return sentiment_refresh(t.spark, t.news(), t.bars(), asked)
 
 
-@query("incremental_update")
+_STORED = f"SELECT ticker, date, {', '.join(f'{rx(r(c, 6), 4 if c in PRICE_SCALE else 5)} AS {c}' for c in INDICATOR_COLUMNS)} FROM ind"
+
+
+@query("incremental_update", sql(f"{_STORED} WHERE pos >= 49", "ind"))
 def _(t: Tables):
     from tapewise.streaming.incremental import Refresher
     feed = staging.new_path(t.spark, "feed")
     t.bars().withColumn("year", F.year("date")).repartition("year").drop("year").write.parquet(feed)
     work = Refresher(t.spark, staging.new_path(t.spark, "incremental"))
-    work.run(feed, staging.new_path(t.spark, "incremental-checkpoint"))
-    return work.indicators.read()
+    work.run(feed, staging.new_path(t.spark, "incremental-checkpoint"), files_per_batch=3)
+    return _shown(work.indicators.read())
+
+
+def _shown(stored):
+    return stored.withColumns({c: F.round(c, 4 if c in PRICE_SCALE else 5) for c in INDICATOR_COLUMNS})
 
 
-@query("refresh_ticker")
+@query("refresh_ticker", sql(f"{_STORED} WHERE pos >= 49 AND ticker IN (SELECT ticker FROM metadata)", "ind", "metadata"))
 def _(t: Tables):
     from tapewise.streaming.incremental import Refresher
     work = Refresher(t.spark, staging.new_path(t.spark, "refresh"))
     work.bars.upsert(t.bars())
     work.refresh_tickers(t.metadata())
-    return work.indicators.read()
+    return _shown(work.indicators.read())
 
 
 # ---- projections and filters ---------------------------------------------------------------------------

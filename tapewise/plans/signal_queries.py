@@ -375,7 +375,7 @@ _WINDOW_SCORES = {
 
 
 @query("walkforward_summary", sql("""
-    SELECT ticker, count(*) AS windows, round(avg(a), 6) AS mean_auc, round(stddev_samp(a), 6) AS std_auc,
+    SELECT ticker, count(*) AS windows, round(avg(a), 9) AS mean_auc, round(stddev_samp(a), 9) AS std_auc,
            min(a) AS min_auc, max(a) AS max_auc, CAST(sum(CASE WHEN a > 0.55e0 THEN 1 ELSE 0 END) AS BIGINT) AS good_windows
     FROM (SELECT ticker, """ + rx("roc_auc", 4) + """ AS a FROM wauc) q GROUP BY ticker""", "wauc", extra=_WINDOW_SCORES))
 def _(t: Tables):
@@ -383,7 +383,8 @@ def _(t: Tables):
     prob = 1 - F.col("rsi") / 100
     scored = rows.select("ticker", "date", "window", "train_size", prob.alias("prob"), F.col("label").alias("actual"),
                          (prob > 0.5).cast("int").alias("pred"))
-    return rounded(metrics.walkforward_summary(metrics.window_results(scored)), 6, "mean_auc", "std_auc")
+    # Nine places: a mean of 32 four-place values is an exact tie at the sixth.
+    return rounded(metrics.walkforward_summary(metrics.window_results(scored)), 9, "mean_auc", "std_auc")
 
 
 # ---- strategy and risk ---------------------------------------------------------------------------------

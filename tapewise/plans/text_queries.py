@@ -10,6 +10,7 @@ from tapewise.operators import explain, retrieval, text_score
 from tapewise.plans.oracle import rx, sql
 from tapewise.plans.registry import query, rounded
 from tapewise.plans.tables import SCORE_PARTS, Tables
+from tapewise.sources import staging
 
 # ---- predictions with contributions, in SQL ------------------------------------------------------------
 
@@ -110,7 +111,20 @@ def _(t: Tables):
     return rows.select("ticker", "date", S.explanation_key(F.col("ticker"), F.col("date"), F.col("prob_up"), names).alias("key"))
 
 
-@query("explanation_prompt")
+_PROMPT = f"""'Explain a model''s forecast to a new investor: friendly, honest, under 150 words, no advice to buy or sell, every '
+    || 'technical term explained.' || chr(10) || chr(10) || 'Forecast for ' || company_name || ' (' || ticker || ') as of '
+    || strftime(date, '%B %d, %Y') || ':' || chr(10) || '- chance of a rise within 10 trading days: ' || {_pct('prob_up')}
+    || '%' || chr(10) || '- chance of a fall: ' || {_pct('(1 - prob_up)')} || '%' || chr(10) || '- confidence: '
+    || upper({_CONF.format(p='prob_up')}) || chr(10) || chr(10) || 'Strongest signals first:' || chr(10) || lines || chr(10) || chr(10)
+    || 'Start with the overall picture, explain two or three signals, name conflicting ones and close with the reminder that this is a probability.'"""
+
+
+@query("explanation_prompt", sql(f"""
+    SELECT ticker, date, {_PROMPT} AS prompt FROM (
+        SELECT ticker, date, any_value(company_name) AS company_name, any_value(prob_up) AS prob_up,
+               string_agg('- ' || label || ': ' || CASE WHEN magnitude > 0.3e0 THEN 'strongly' WHEN magnitude > 0.15e0
+                   THEN 'moderately' ELSE 'mildly' END || ' ' || direction || ' (measures ' || description || ')', chr(10) ORDER BY k) AS lines
+        FROM ranked JOIN labels_of USING (feature) WHERE k <= 5 GROUP BY ticker, date) q""", "ranked", "labels_of", extra=_PRED))
 def _(t: Tables):
     return explain.explanation_prompts(t.predictions())
 
@@ -229,7 +243,8 @@ def _(t: Tables):
 def _(t: Tables):
     chunks, model = _embedder(t)
     questions = retrieval.question_filter(t.questions())
-    hits = retrieval.retrieve_topk(text_score.embed(model, questions), text_score.embed(model, chunks), 3)
+    vectors = staging.written(text_score.embed(model, chunks).select("chunk_id", "vector"), "chunk-vectors")
+    hits = retrieval.retrieve_topk(text_score.embed(model, questions), vectors, 3)
     contexts = retrieval.build_context(questions, retrieval.hits_with_text(hits, chunks))
     return retrieval.qa_prompts(questions.withColumnRenamed("text", "question"), contexts)
 

@@ -92,8 +92,8 @@ def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
 
 
 def topics(documents: DataFrame) -> DataFrame:
-    """Document count and ids per topic. Ids of one topic are gathered in parts of bounded size."""
+    """Document count and ids per topic. Ids of one topic are gathered in parts of about 1000."""
     part = F.floor(F.col("id") / 1000) if dict(documents.dtypes)["id"] in ("bigint", "int") \
-        else F.pmod(F.xxhash64("id"), F.lit(1024))
+        else F.pmod(F.xxhash64("id"), F.lit(documents.count() // 1000 + 1))
     return documents.groupBy("topic", part.cast("long").alias("part")).agg(
         F.count(F.lit(1)).alias("documents"), F.array_sort(F.collect_list("id")).alias("ids"))

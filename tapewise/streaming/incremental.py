@@ -58,18 +58,23 @@ class Refresher:
         indicator_rows(touched).write.parquet(path)
         self.indicators.upsert(self.spark.read.parquet(path))
 
-    def run(self, feed: str, checkpoint: str) -> None:
+    def run(self, feed: str, checkpoint: str, files_per_batch: int | None = None) -> None:
         """Apply the files of ``feed`` not seen before, then stop. The checkpoint makes re-runs free."""
-        stream = self.spark.readStream.schema(PRICES).parquet(feed)
-        query = (stream.writeStream.foreachBatch(lambda batch, _: self._apply_whole(batch))
+        reader = self.spark.readStream.schema(PRICES)
+        if files_per_batch is not None:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        stream = reader.parquet(feed).select("*", F.struct(
+            F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("path")).alias("_arrival"))
+        query = (stream.writeStream.foreachBatch(lambda batch, _: self.apply(newest(batch)))
                  .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         query.awaitTermination()
 
-    def _apply_whole(self, batch: DataFrame) -> None:
-        """A micro-batch may hold a key twice (files of different age): the later volume wins."""
-        rest = [c for c in PRICES.names if c not in ("ticker", "date")]
-        one = batch.groupBy("ticker", "date").agg(F.max_by(F.struct(*rest), "volume").alias("_r"))
-        self.apply(one.select("ticker", "date", "_r.*"))
+
+def newest(batch: DataFrame) -> DataFrame:
+    """One row per key: the one of the file that arrived last. Only one row per key and task is shuffled."""
+    rest = [c for c in PRICES.names if c not in ("ticker", "date")]
+    one = batch.groupBy("ticker", "date").agg(F.max_by(F.struct(*rest), "_arrival").alias("_r"))
+    return one.select("ticker", "date", "_r.*")
 
 
 def daily_refresh(spark: SparkSession, bars: DataFrame, requested: DataFrame, years: int = 2,
