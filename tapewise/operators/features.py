@@ -71,7 +71,7 @@ def dataset(feature_rows: DataFrame, horizon: int = 10, threshold: float = 0.0,
 def min_history(df: DataFrame, rows: int = 100) -> DataFrame:
     """Keep tickers with at least ``rows`` rows."""
     counted = with_carry(df, [F.count(F.lit(1)).alias("_cnt")],
-                         [{"_total": F.sum("_cnt").over(units_all())}], ["_total"])
+                         [{"_total": F.sum("_cnt").over(units_all())}], ["_total"], windowed=False)
     return counted.filter(F.col("_total") >= rows).drop("_total", "_unit")
 
 

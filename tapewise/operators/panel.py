@@ -54,18 +54,24 @@ def with_carry(
     keep: list[str],
     unit: Column | None = None,
     keys: tuple[str, ...] = ("ticker",),
+    windowed: bool = True,
 ) -> DataFrame:
     """Add ``_unit`` and the ``keep`` columns of the unit table to every row.
 
     ``summaries`` are aggregates per unit; each dict of ``carries`` is one step of window columns over
-    the unit table (later steps may use earlier ones). Rows end up grouped by (keys, unit).
+    the unit table (later steps may use earlier ones).
+
+    ``windowed`` says that windows per unit follow, and spreads the rows by (keys, unit) for them. Without
+    it an input that happens to be spread by ticker alone (after a join on ticker) would satisfy such a
+    window as it is, with a whole ticker in one task. The exchange is the one the window needs anyway.
     """
     unit = unit_of() if unit is None else unit
     rows = df.withColumn("_unit", unit)
     table = rows.groupBy(*keys, "_unit").agg(*summaries)
     for step in carries:
         table = table.withColumns(step)
-    return rows.join(table.select(*keys, "_unit", *keep), [*keys, "_unit"])
+    out = rows.join(table.select(*keys, "_unit", *keep), [*keys, "_unit"])
+    return out.repartition(*keys, "_unit") if windowed else out
 
 
 def _starts() -> tuple[list[Column], list[dict[str, Column]]]:
@@ -169,7 +175,7 @@ def with_halo(df: DataFrame, back: int = 0, ahead: int = 0, block: int | None =
     if max(back, ahead) + UNIT_ROWS > block:
         raise ValueError("a block must be longer than its halo by one unit")
     summaries, carries = _starts()
-    rows = with_carry(df, summaries, carries, ["_start", "_cnt", "n_rows"])
+    rows = with_carry(df, summaries, carries, ["_start", "_cnt", "n_rows"], windowed=False)
     start, count, total = F.col("_start"), F.col("_cnt"), F.col("n_rows")
     home = F.floor(start / F.lit(block)).cast("long")
     seen_by = [F.struct(home.alias("_block"), F.lit(True).alias("_home"))]
@@ -183,6 +189,7 @@ def with_halo(df: DataFrame, back: int = 0, ahead: int = 0, block: int | None =
     copies = rows.withColumn("_to", F.explode(F.array_compact(F.array(*seen_by)))) if len(seen_by) > 1 \
         else rows.withColumn("_to", seen_by[0])
     copies = copies.select(*df.columns, "n_rows", "_start", "_to._block", "_to._home")
+    copies = copies.repartition("ticker", "_block")  # see with_carry: never by ticker alone
     # The first unit of the block holds its smallest start; same order as all later windows: one sort.
     w = Window.partitionBy("ticker", "_block").orderBy("date")
     first = F.first("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))

@@ -132,7 +132,8 @@ def class_balance(feature_rows: DataFrame, horizon: int = 5, thresholds: list[fl
 def normalised_base100(df: DataFrame) -> DataFrame:
     """close / first close * 100."""
     first = F.first("_first").over(Window.partitionBy("ticker").orderBy("_unit"))
-    rows = with_carry(df, [F.min_by("close", "date").alias("_first")], [{"_base": first}], ["_base"])
+    rows = with_carry(df, [F.min_by("close", "date").alias("_first")], [{"_base": first}], ["_base"],
+                      windowed=False)
     return rows.withColumn("normalised", F.try_divide("close", "_base") * 100).drop("_base", "_unit")
 
 

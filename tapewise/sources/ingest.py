@@ -55,7 +55,8 @@ def coverage(requested: DataFrame, loaded: DataFrame) -> DataFrame:
 
 def trailing_period(bars: DataFrame, years: int = 1) -> DataFrame:
     """Bars of the last ``years`` years of each ticker."""
-    rows = with_carry(bars, [F.max("date").alias("_d")], [{"_last": F.max("_d").over(units_all())}], ["_last"])
+    rows = with_carry(bars, [F.max("date").alias("_d")], [{"_last": F.max("_d").over(units_all())}], ["_last"],
+                      windowed=False)
     return rows.filter(F.col("date") > F.add_months("_last", -12 * years)).drop("_last", "_unit")
 
 

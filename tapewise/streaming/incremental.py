@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewise.operators.indicators import indicators_all
-from tapewise.operators.panel import decay_rows, span_alpha, with_carry
+from tapewise.operators.panel import decay_rows, span_alpha, unit_of
 from tapewise.operators.sentiment import daily_sentiment, score_range, sentiment_windows
 from tapewise.operators.stats import latest_row
 from tapewise.schemas import INDICATORS, PRICES, SENTIMENT
@@ -21,14 +21,16 @@ HISTORY = max(decay_rows(1.0 / 14), decay_rows(span_alpha(26)) + decay_rows(span
 def recent_history(bars: DataFrame, changed: DataFrame, back: int = HISTORY) -> DataFrame:
     """Bars that matter for rows from ``changed.since`` on: those rows and at least ``back`` before them.
 
-    Whole quarters are kept or left out by row counts per quarter; untouched tickers drop out.
+    Whole quarters are kept or left out by row counts per quarter; untouched tickers drop out. Only the
+    table of quarters is joined per ticker, the bars by (ticker, quarter). ``since`` stays on the rows.
     """
-    cut = bars.join(changed, "ticker")
-    after = Window.partitionBy("ticker").orderBy("_unit").rowsBetween(1, Window.unboundedFollowing)
-    old = (F.col("date") < F.col("since")).cast("long")
-    kept = with_carry(cut, [F.sum(old).alias("_old")],
-                      [{"_newer": F.coalesce(F.sum("_old").over(after), F.lit(0))}], ["_newer"])
-    return kept.filter(F.col("_newer") < back).drop("_newer", "_unit")
+    rows = bars.withColumn("_unit", unit_of())
+    units = rows.groupBy("ticker", "_unit").agg(F.count(F.lit(1)).alias("_cnt"), F.max("date").alias("_end"))
+    later = Window.partitionBy("ticker").orderBy("_unit").rowsBetween(1, Window.unboundedFollowing)
+    old = F.when(F.col("_end") < F.col("since"), F.col("_cnt")).otherwise(0)
+    units = units.join(changed, "ticker").withColumn("_newer", F.coalesce(F.sum(old).over(later), F.lit(0)))
+    kept = units.filter((F.col("_end") >= F.col("since")) | (F.col("_newer") < back))
+    return rows.join(kept.select("ticker", "_unit", "since"), ["ticker", "_unit"]).drop("_unit")
 
 
 class Refresher:
@@ -51,8 +53,8 @@ class Refresher:
         self._recompute(tickers.select("ticker").distinct().withColumn("since", F.lit("0001-01-01").cast("date")))
 
     def _recompute(self, changed: DataFrame) -> None:
-        fresh = indicators_all(recent_history(self.bars.read(), changed).drop("since"))
-        touched = fresh.join(changed, "ticker").filter(F.col("date") >= F.col("since"))
+        fresh = indicators_all(recent_history(self.bars.read(), changed))
+        touched = fresh.filter(F.col("date") >= F.col("since"))
         # Written first: the merge looks at the batch twice, and it must not change under it.
         path = staging.new_path(self.spark, "touched")
         indicator_rows(touched).write.parquet(path)

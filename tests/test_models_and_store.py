@@ -178,7 +178,7 @@ def test_recent_history_keeps_enough_rows(spark):
     changed = spark.createDataFrame([("A", since)], "ticker string, since date")
     got = collected(recent_history(bars, changed))
     older = (got["date"] < since).sum()
-    assert set(got["ticker"]) == {"A"} and HISTORY <= older < HISTORY + 100
+    assert set(got["ticker"]) == {"A"} and HISTORY <= older < HISTORY + 200
 
 
 def test_incremental_equals_batch(spark, tmp_path):

@@ -128,3 +128,22 @@ def test_future_bars_do_not_change_the_past(spark, bars, panel_pd):
     before, after = (collected(ind.indicators_all(spark.createDataFrame(x), complete_only=False)) for x in (cut, changed))
     same(before[:1000], after[:1000], COLUMNS, rtol=1e-12)
     assert not np.allclose(before["sma_20"][1100:], after["sma_20"][1100:])
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_no_exchange_by_ticker_alone_feeds_row_windows(bars):
+    spread = bars.repartition("ticker")  # as left behind by a join on ticker
+    assert any("hashpartitioning(ticker" in e and "_block" in e for e in exchanges(panel.with_halo(spread, back=5).done()))
+    assert any("hashpartitioning(ticker" in e and "_unit" in e for e in exchanges(panel.numbered(spread)))
+
+
+def test_indicators_use_one_exchange_and_one_sort_for_all_windows(bars):
+    plan = ind.indicators_all(bars)._jdf.queryExecution().executedPlan().toString()
+    blocks = [line for line in plan.splitlines() if "_block" in line]
+    assert sum("Exchange hashpartitioning" in line for line in blocks) == 1
+    assert sum("Sort [" in line for line in blocks) == 1
+    assert sum("Window [" in line for line in blocks) <= 4
