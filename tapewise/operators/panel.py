@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 UNIT_ROWS = 92  # most days in a quarter: bound of a unit and slack of a block edge
 BLOCK_ROWS = 4096
+LONG_WINDOW = 100  # rolling means of at least this many rows use running sums
 _LOST = 17.0  # decimal digits after which a geometric tail no longer changes a double
 _RANGE = 280.0  # decimal exponent a block may span in each direction
 
@@ -114,9 +115,18 @@ class Halo:
         return self.df.filter("_home").drop("_home", "_block", *drop)
 
     def rolling_mean(self, column: str, n: int) -> Column:
-        """Mean of the last ``n`` rows; null until ``n`` values are there."""
-        frame = self.last(n)
-        return F.when(F.count(column).over(frame) == n, F.avg(column).over(frame))
+        """Mean of the last ``n`` rows; null until ``n`` values are there.
+
+        A sliding frame adds up all its rows again at every row. Long windows therefore take the difference
+        of two running sums instead; the block bounds their length, so only the last few bits can differ.
+        """
+        if n < LONG_WINDOW:
+            frame = self.last(n)
+            return F.when(F.count(column).over(frame) == n, F.avg(column).over(frame))
+        now, before = (self.w.rowsBetween(Window.unboundedPreceding, end) for end in (0, -n))
+        count = F.count(column).over(now) - F.count(column).over(before)
+        total = F.sum(column).over(now) - F.coalesce(F.sum(column).over(before), F.lit(0))
+        return F.when(count == n, total / n)
 
     def rolling_std(self, column: str, n: int) -> Column:
         frame = self.last(n)

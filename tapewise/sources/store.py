@@ -1,6 +1,6 @@
 """Keyed parquet tables with insert-or-update.
 
-Tables are partitioned by calendar year. A daily batch touches one partition whatever the number of
+Tables are partitioned by calendar month. A daily batch touches one partition whatever the number of
 tickers; rows are range-clustered by (ticker, date) inside, so a ticker filter prunes row groups.
 """
 
@@ -50,12 +50,16 @@ def fetch_log(loads: DataFrame) -> DataFrame:
     return loads.groupBy("ticker").agg(F.max("loaded_at").alias("last_fetched"))
 
 
+def _month(day: Column) -> Column:
+    return F.year(day) * 100 + F.month(day)
+
+
 class PanelStore:
     """One keyed table on disk."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.columns = spark, path, schema.names
-        self.schema = T.StructType([*schema.fields, T.StructField("year", T.IntegerType())])
+        self.schema = T.StructType([*schema.fields, T.StructField("month", T.IntegerType())])
 
     def exists(self) -> bool:
         context = self.spark.sparkContext
@@ -63,30 +67,32 @@ class PanelStore:
         return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)
 
     def scan(self) -> DataFrame:
-        """All columns with the partition column ``year``."""
+        """All columns with the partition column ``month`` (yyyymm)."""
         if not self.exists():
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def read(self, start: str | None = None, end: str | None = None) -> DataFrame:
-        """Rows between two inclusive dates; whole years outside are not opened."""
+        """Rows between two inclusive dates; months outside are not opened."""
         rows = self.scan()
-        for bound, op in ((start, "__ge__"), (end, "__le__")):
-            if bound is not None:
-                day = F.lit(bound).cast("date")
-                rows = rows.filter(getattr(F.col("date"), op)(day) & getattr(F.col("year"), op)(F.year(day)))
+        if start is not None:
+            day = F.lit(start).cast("date")
+            rows = rows.filter((F.col("date") >= day) & (F.col("month") >= _month(day)))
+        if end is not None:
+            day = F.lit(end).cast("date")
+            rows = rows.filter((F.col("date") <= day) & (F.col("month") <= _month(day)))
         return rows.select(*self.columns)
 
     def upsert(self, batch: DataFrame) -> None:
-        """Merge a batch with unique keys. Only the years it touches are read and replaced.
+        """Merge a batch with unique keys. Only the months it touches are read and replaced.
 
         The batch must not be derived from this table: replacing the files would change it.
         """
-        rows = batch.select(*self.columns).withColumn("year", F.year("date"))
-        years = [r["year"] for r in rows.select("year").distinct().collect()]  # bounded by the calendar
-        if not years:
+        rows = batch.select(*self.columns).withColumn("month", _month(F.col("date")))
+        months = [r["month"] for r in rows.select("month").distinct().collect()]  # bounded by the calendar
+        if not months:
             return
-        merged = upsert(self.scan().filter(F.col("year").isin(years)), rows) if self.exists() else rows
-        clustered = merged.repartitionByRange("year", *KEY).sortWithinPartitions("year", *KEY)
-        clustered.write.partitionBy("year").option("partitionOverwriteMode", "dynamic") \
+        merged = upsert(self.scan().filter(F.col("month").isin(months)), rows) if self.exists() else rows
+        clustered = merged.repartitionByRange("month", *KEY).sortWithinPartitions("month", *KEY)
+        clustered.write.partitionBy("month").option("partitionOverwriteMode", "dynamic") \
             .mode("overwrite").parquet(self.path)

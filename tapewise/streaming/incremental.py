@@ -44,9 +44,13 @@ class Refresher:
 
     def apply(self, batch: DataFrame) -> None:
         """Upsert a batch of bars and the indicators it changes. Safe to repeat."""
-        self.bars.upsert(batch)
-        self.prices.upsert(price_rows(batch))
-        self._recompute(batch.groupBy("ticker").agg(F.min("date").alias("since")))
+        batch = batch.persist()  # read once per table below
+        try:
+            self.bars.upsert(batch)
+            self.prices.upsert(price_rows(batch))
+            self._recompute(batch.groupBy("ticker").agg(F.min("date").alias("since")))
+        finally:
+            batch.unpersist()
 
     def refresh_tickers(self, tickers: DataFrame) -> None:
         """Recompute the whole history of the requested tickers only."""

@@ -124,12 +124,12 @@ def test_store_upsert_twice_is_once(spark, tmp_path):
     once = collected(table.read())
     table.upsert(batch)
     pd.testing.assert_frame_equal(once, collected(table.read()))
-    assert len(once) == 1800  # other years and tickers are untouched
+    assert len(once) == 1800  # other months and tickers are untouched
     assert (once[once["close"] == 1.0]["ticker"] == "A").all() and (once["close"] == 1.0).sum() == batch.count()
     start = collected(table.read(start="1993-01-01"))
     assert len(start) == (pd.to_datetime(once["date"]) >= "1993-01-01").sum()
     plan = table.read(start="1993-01-01")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(year" in plan
+    assert "PartitionFilters: [isnotnull(month" in plan
 
 
 def test_stored_rows_are_rounded_and_hold_no_nan(spark):
