@@ -1,4 +1,7 @@
-"""Names, phrases and thresholds that results must show exactly."""
+"""Names, phrases and thresholds that results must show exactly.
+
+Ladders are lists of (bound, text): the first text whose bound lies strictly below the value, else the last.
+"""
 
 # Default watch list.
 WATCHLIST = ["RELIANCE.NS", "TCS.NS", "INFY.NS", "HDFCBANK.NS", "WIPRO.NS"]
@@ -67,3 +70,56 @@ FEATURE_DESCRIPTIONS = {
 STRATEGY_THRESHOLDS = [0.50, 0.52, 0.55, 0.58, 0.60, 0.65]
 LABEL_THRESHOLDS = [0.0, 0.01, 0.02]
 HORIZONS = [1, 3, 5, 10]
+
+# Labels of sentiment scores, prediction confidence and contribution size.
+SENTIMENT_LABELS = [
+    (0.3, "STRONGLY POSITIVE"), (0.1, "MILDLY POSITIVE"), (-0.1, "NEUTRAL"), (-0.3, "MILDLY NEGATIVE"),
+    (None, "STRONGLY NEGATIVE"),
+]
+CONFIDENCE_LABELS = [(0.2, "high"), (0.1, "medium"), (None, "low")]
+STRENGTH_LABELS = [(0.3, "strongly"), (0.15, "moderately"), (None, "mildly")]
+
+# Zones of the indicator texts.
+RSI_ZONES = [
+    (70, "OVERBOUGHT. Stock has risen sharply recently. Potential reversal risk."),
+    (60, "Approaching overbought. Bullish momentum but getting stretched."),
+    (40, "NEUTRAL zone. No strong signal either way."),
+    (30, "Approaching oversold. Mild bearish pressure."),
+    (None, "OVERSOLD. Stock has fallen sharply. Potential bounce candidate."),
+]
+BAND_ZONES = [
+    (1.0, "ABOVE upper band — strongly overbought on volatility basis"),
+    (0.8, "Near UPPER band — price elevated, watch for pullback"),
+    (0.2, "MIDDLE of bands — no extreme volatility signal"),
+    (0.0, "Near LOWER band — price depressed, watch for bounce"),
+    (None, "BELOW lower band — strongly oversold on volatility basis"),
+]
+VOLUME_ZONES = [
+    (3.0, "EXTREMELY high. Major institutional activity likely."),
+    (2.0, "Very high volume. Strong conviction in today's move."),
+    (1.2, "Above average. Moderate conviction."),
+    (0.8, "Normal volume. No unusual activity."),
+    (None, "Below average. Low conviction — weak signal day."),
+]
+VOLATILITY_ZONES = [(3.0, "HIGH"), (1.5, "MODERATE"), (None, "LOW")]
+
+# Two-way phrases of the indicator texts: (when true, otherwise).
+MACD_SIDES = ("BULLISH crossover (MACD above Signal)", "BEARISH crossover (MACD below Signal)")
+MACD_MOMENTUM = ("ACCELERATING (histogram growing)", "DECELERATING (histogram shrinking/negative)")
+BAND_SQUEEZE = ("SQUEEZE (bands very tight — big move brewing)", "Normal band width")
+AVERAGE_CROSS = ("GOLDEN CROSS setup (SMA20 > SMA50 — bullish)", "DEATH CROSS setup (SMA20 < SMA50 — bearish)")
+
+# Formats of the indicator texts and of the fallback explanation.
+RSI_FORMAT = "RSI = %.1f — %s"
+MACD_FORMAT = "MACD = %.3f, Signal = %.3f — %s. Momentum: %s"
+BAND_FORMAT = "BB%%B = %.2f — %s. Band width = %.3f — %s."
+AVERAGE_FORMAT = "Price ₹%.2f is %s SMA20 (₹%.2f) and %s SMA50 (₹%.2f). %s."
+VOLUME_FORMAT = "Volume ratio = %.2fx — %s"
+ATR_FORMAT = "ATR = ₹%.2f (%.2f%% of price) — %s volatility. Expect ~₹%.0f daily price swing on average."
+TOOLTIP_FORMAT = "%s is currently %.2f."
+EXPLANATION_FORMAT = (
+    "%s shows a %s%% probability of a price %s over the next 10 trading days. "
+    "The strongest signal comes from the %s, which is currently %s. "
+    "Model confidence is %s. Remember: this is a probability estimate, not a guarantee."
+)
+NO_FEATURE_LABEL, NO_FEATURE_DIRECTION = "technical indicators", "neutral"

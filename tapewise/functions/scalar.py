@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tapewise.functions.fixed_values import FEATURE_DESCRIPTIONS, FEATURE_LABELS
+from tapewise.functions import fixed_values as V
 
 
-def _ladder(x: Column, steps: list[tuple[float, object]], otherwise: object) -> Column:
-    """First label whose bound is strictly below ``x``."""
-    out = F.lit(None)
-    for i, (bound, label) in enumerate(steps):
-        out = F.when(x > bound, label) if i == 0 else out.when(x > bound, label)
-    return out.otherwise(otherwise)
+def _ladder(x: Column, steps: list[tuple[float | None, str]]) -> Column:
+    """First text whose bound is strictly below ``x``, else (also for null) the last one."""
+    (first, text), *more, (_, rest) = steps
+    out = F.when(x > first, text)
+    for bound, label in more:
+        out = out.when(x > bound, label)
+    return out.otherwise(rest)
+
+
+def _either(condition: Column, phrases: tuple[str, str]) -> Column:
+    return F.when(condition, phrases[0]).otherwise(phrases[1])
 
 
 def ten_thousandths(x: Column) -> Column:
@@ -27,75 +32,42 @@ def mean4(total: Column, n: Column) -> Column:
 
 
 def sentiment_label(score: Column) -> Column:
-    return _ladder(score, [(0.3, "STRONGLY POSITIVE"), (0.1, "MILDLY POSITIVE"), (-0.1, "NEUTRAL"),
-                           (-0.3, "MILDLY NEGATIVE")], "STRONGLY NEGATIVE")
+    return _ladder(score, V.SENTIMENT_LABELS)
 
 
 def confidence_bucket(prob: Column) -> Column:
-    return _ladder(F.abs(prob - 0.5), [(0.2, "high"), (0.1, "medium")], "low")
+    return _ladder(F.abs(prob - 0.5), V.CONFIDENCE_LABELS)
 
 
 def signal_strength(magnitude: Column) -> Column:
-    return _ladder(magnitude, [(0.3, "strongly"), (0.15, "moderately")], "mildly")
-
-
-def _put(template: str, *cols: Column) -> Column:
-    return F.format_string(template, *cols)
+    return _ladder(magnitude, V.STRENGTH_LABELS)
 
 
 def rsi_text(rsi: Column) -> Column:
-    zone = _ladder(rsi, [
-        (70, "OVERBOUGHT. Stock has risen sharply recently. Potential reversal risk."),
-        (60, "Approaching overbought. Bullish momentum but getting stretched."),
-        (40, "NEUTRAL zone. No strong signal either way."),
-        (30, "Approaching oversold. Mild bearish pressure."),
-    ], "OVERSOLD. Stock has fallen sharply. Potential bounce candidate.")
-    return _put("RSI = %.1f — %s", rsi, zone)
+    return F.format_string(V.RSI_FORMAT, rsi, _ladder(rsi, V.RSI_ZONES))
 
 
 def macd_text(macd: Column, signal: Column, hist: Column) -> Column:
-    side = F.when(macd > signal, "BULLISH crossover (MACD above Signal)") \
-        .otherwise("BEARISH crossover (MACD below Signal)")
-    momentum = F.when(hist > 0, "ACCELERATING (histogram growing)") \
-        .otherwise("DECELERATING (histogram shrinking/negative)")
-    return _put("MACD = %.3f, Signal = %.3f — %s. Momentum: %s", macd, signal, side, momentum)
+    return F.format_string(V.MACD_FORMAT, macd, signal, _either(macd > signal, V.MACD_SIDES),
+                           _either(hist > 0, V.MACD_MOMENTUM))
 
 
 def bb_text(pct: Column, width: Column) -> Column:
-    zone = _ladder(pct, [
-        (1.0, "ABOVE upper band — strongly overbought on volatility basis"),
-        (0.8, "Near UPPER band — price elevated, watch for pullback"),
-        (0.2, "MIDDLE of bands — no extreme volatility signal"),
-        (0.0, "Near LOWER band — price depressed, watch for bounce"),
-    ], "BELOW lower band — strongly oversold on volatility basis")
-    squeeze = F.when(width < 0.05, "SQUEEZE (bands very tight — big move brewing)").otherwise("Normal band width")
-    return _put("BB%%B = %.2f — %s. Band width = %.3f — %s.", pct, zone, width, squeeze)
+    return F.format_string(V.BAND_FORMAT, pct, _ladder(pct, V.BAND_ZONES), width, _either(width < 0.05, V.BAND_SQUEEZE))
 
 
 def ma_text(close: Column, sma20: Column, sma50: Column) -> Column:
-    def side(average: Column) -> Column:
-        return F.when(close > average, "above").otherwise("below")
-
-    cross = F.when(sma20 > sma50, "GOLDEN CROSS setup (SMA20 > SMA50 — bullish)") \
-        .otherwise("DEATH CROSS setup (SMA20 < SMA50 — bearish)")
-    return _put("Price ₹%.2f is %s SMA20 (₹%.2f) and %s SMA50 (₹%.2f). %s.",
-                close, side(sma20), sma20, side(sma50), sma50, cross)
+    side = ("above", "below")
+    return F.format_string(V.AVERAGE_FORMAT, close, _either(close > sma20, side), sma20, _either(close > sma50, side),
+                           sma50, _either(sma20 > sma50, V.AVERAGE_CROSS))
 
 
 def volume_text(ratio: Column) -> Column:
-    zone = _ladder(ratio, [
-        (3.0, "EXTREMELY high. Major institutional activity likely."),
-        (2.0, "Very high volume. Strong conviction in today's move."),
-        (1.2, "Above average. Moderate conviction."),
-        (0.8, "Normal volume. No unusual activity."),
-    ], "Below average. Low conviction — weak signal day.")
-    return _put("Volume ratio = %.2fx — %s", ratio, zone)
+    return F.format_string(V.VOLUME_FORMAT, ratio, _ladder(ratio, V.VOLUME_ZONES))
 
 
 def atr_text(atr: Column, atr_pct: Column) -> Column:
-    level = _ladder(atr_pct, [(3.0, "HIGH"), (1.5, "MODERATE")], "LOW")
-    return _put("ATR = ₹%.2f (%.2f%% of price) — %s volatility. Expect ~₹%.0f daily price swing on average.",
-                atr, atr_pct, level, atr)
+    return F.format_string(V.ATR_FORMAT, atr, atr_pct, _ladder(atr_pct, V.VOLATILITY_ZONES), atr)
 
 
 def bullish_votes(rsi: Column, macd: Column, signal: Column, close: Column, sma50: Column, pct: Column,
@@ -112,7 +84,7 @@ def bias(votes: Column, names: tuple[str, str, str]) -> Column:
 
 
 def indicator_tooltip(name: Column, value: Column) -> Column:
-    return _put("%s is currently %.2f.", name, value)
+    return F.format_string(V.TOOLTIP_FORMAT, name, value)
 
 
 def word_count(text: Column) -> Column:
@@ -127,18 +99,18 @@ def headline_text(headline: Column, description: Column, limit: int = 1000) -> C
     return F.substring(whole, 1, limit)
 
 
-def _lookup(key: Column, values: dict[str, str]) -> Column:
+def lookup(key: Column, values: dict[str, str]) -> Column:
     """A lookup of fixed size as an expression; the key itself when unknown."""
     pairs = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
     return F.coalesce(F.try_element_at(pairs, key), key)
 
 
 def feature_label(feature: Column) -> Column:
-    return _lookup(feature, FEATURE_LABELS)
+    return lookup(feature, V.FEATURE_LABELS)
 
 
 def feature_description(feature: Column) -> Column:
-    return _lookup(feature, FEATURE_DESCRIPTIONS)
+    return lookup(feature, V.FEATURE_DESCRIPTIONS)
 
 
 def percent1(prob: Column) -> Column:
@@ -149,13 +121,9 @@ def percent1(prob: Column) -> Column:
 def template_explanation(company: Column, prob: Column, confidence: Column,
                          top_feature: Column, top_direction: Column) -> Column:
     return F.format_string(
-        "%s shows a %s%% probability of a price %s over the next 10 trading days. "
-        "The strongest signal comes from the %s, which is currently %s. "
-        "Model confidence is %s. Remember: this is a probability estimate, not a guarantee.",
-        company, percent1(prob), F.when(prob > 0.5, "rise").otherwise("fall"),
-        F.coalesce(feature_label(top_feature), F.lit("technical indicators")),
-        F.coalesce(top_direction, F.lit("neutral")), confidence,
-    )
+        V.EXPLANATION_FORMAT, company, percent1(prob), _either(prob > 0.5, ("rise", "fall")),
+        F.coalesce(feature_label(top_feature), F.lit(V.NO_FEATURE_LABEL)),
+        F.coalesce(top_direction, F.lit(V.NO_FEATURE_DIRECTION)), confidence)
 
 
 def explanation_key(ticker: Column, date: Column, prob: Column, features: Column) -> Column:

@@ -43,13 +43,13 @@ def ticker_search(metadata: DataFrame, text: str) -> DataFrame:
 def company_name(rows: DataFrame, metadata: DataFrame) -> DataFrame:
     """Name from metadata, else the fixed list, else the ticker."""
     joined = rows.join(metadata.select("ticker", F.col("company_name").alias("_name")), "ticker", "left")
-    return joined.withColumn("company_name", F.coalesce("_name", S._lookup(F.col("ticker"), COMPANY_NAMES))).drop("_name")
+    return joined.withColumn("company_name", F.coalesce("_name", S.lookup(F.col("ticker"), COMPANY_NAMES))).drop("_name")
 
 
 def ticker_query(rows: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """News search phrase per ticker, the ticker itself when none is known."""
     if queries is None:
-        return rows.withColumn("query", S._lookup(F.col("ticker"), NEWS_QUERIES))
+        return rows.withColumn("query", S.lookup(F.col("ticker"), NEWS_QUERIES))
     return rows.join(queries, "ticker", "left").withColumn("query", F.coalesce("query", "ticker"))
 
 

@@ -11,10 +11,12 @@ from tapewise.functions.fixed_values import LABEL_THRESHOLDS
 
 
 def latest_row(df: DataFrame) -> DataFrame:
-    """Last row per ticker, by partial aggregation: only one row per ticker and task is shuffled."""
+    """Last row per ticker, by partial aggregation: only one row per ticker and task is shuffled.
+
+    One max_by per column keeps the buffers primitive, so numbers aggregate in a hash table without a sort.
+    """
     rest = [c for c in df.columns if c not in ("ticker", "date")]
-    top = df.groupBy("ticker").agg(F.max_by(F.struct("date", *rest), "date").alias("_r"))
-    return top.select("ticker", "_r.*")
+    return df.groupBy("ticker").agg(F.max("date").alias("date"), *[F.max_by(c, "date").alias(c) for c in rest])
 
 
 def _value_range(x: Column) -> Column:
@@ -99,10 +101,10 @@ def best_worst_day(returns: DataFrame) -> DataFrame:
 
 def atr_stats(df: DataFrame) -> DataFrame:
     out = df.groupBy("ticker").agg(
-        F.max_by(F.struct("atr", "atr_pct"), "date").alias("c"), F.avg("atr").alias("avg_atr"),
+        F.max_by("atr", "date").alias("current_atr"), F.max_by("atr_pct", "date").alias("current_atr_pct"),
+        F.avg("atr").alias("avg_atr"),
         _first_of("atr", "max")[0].alias("hi"), _first_of("atr", "min")[0].alias("lo"))
-    return out.select("ticker", F.col("c.atr").alias("current_atr"), F.col("c.atr_pct").alias("current_atr_pct"),
-                      "avg_atr", F.col("hi.v").alias("max_atr"), F.col("hi.date").alias("max_date"),
+    return out.select("ticker", "current_atr", "current_atr_pct", "avg_atr", F.col("hi.v").alias("max_atr"), F.col("hi.date").alias("max_date"),
                       F.col("lo.v").alias("min_atr"), F.col("lo.date").alias("min_date"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from tapewise.functions import fixed_values as V
 from tapewise.functions import scalar as S
 from tapewise.functions.fixed_values import STRATEGY_THRESHOLDS
 from tapewise.operators import features as feat
@@ -142,36 +145,42 @@ def _fmt(x: str, d: int) -> str:
     return f"CAST(CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,18)), {d}) AS DECIMAL(38,{d})) AS VARCHAR)"
 
 
-_RSI_TEXT = f"""'RSI = ' || {_fmt('rsi', 1)} || ' — ' || CASE
-    WHEN rsi > 70 THEN 'OVERBOUGHT. Stock has risen sharply recently. Potential reversal risk.'
-    WHEN rsi > 60 THEN 'Approaching overbought. Bullish momentum but getting stretched.'
-    WHEN rsi > 40 THEN 'NEUTRAL zone. No strong signal either way.'
-    WHEN rsi > 30 THEN 'Approaching oversold. Mild bearish pressure.'
-    ELSE 'OVERSOLD. Stock has fallen sharply. Potential bounce candidate.' END"""
-_MACD_TEXT = f"""'MACD = ' || {_fmt('macd', 3)} || ', Signal = ' || {_fmt('macd_signal', 3)} || ' — ' ||
-    CASE WHEN macd > macd_signal THEN 'BULLISH crossover (MACD above Signal)' ELSE 'BEARISH crossover (MACD below Signal)' END
-    || '. Momentum: ' || CASE WHEN macd_hist > 0 THEN 'ACCELERATING (histogram growing)'
-    ELSE 'DECELERATING (histogram shrinking/negative)' END"""
-_BB_TEXT = f"""'BB%B = ' || {_fmt('bb_pct', 2)} || ' — ' || CASE
-    WHEN bb_pct > 1.0e0 THEN 'ABOVE upper band — strongly overbought on volatility basis'
-    WHEN bb_pct > 0.8e0 THEN 'Near UPPER band — price elevated, watch for pullback'
-    WHEN bb_pct > 0.2e0 THEN 'MIDDLE of bands — no extreme volatility signal'
-    WHEN bb_pct > 0.0e0 THEN 'Near LOWER band — price depressed, watch for bounce'
-    ELSE 'BELOW lower band — strongly oversold on volatility basis' END || '. Band width = ' || {_fmt('bb_width', 3)}
-    || ' — ' || CASE WHEN bb_width < 0.05e0 THEN 'SQUEEZE (bands very tight — big move brewing)' ELSE 'Normal band width' END || '.'"""
-_MA_TEXT = f"""'Price ₹' || {_fmt('close', 2)} || ' is ' || CASE WHEN close > sma_20 THEN 'above' ELSE 'below' END
-    || ' SMA20 (₹' || {_fmt('sma_20', 2)} || ') and ' || CASE WHEN close > sma_50 THEN 'above' ELSE 'below' END
-    || ' SMA50 (₹' || {_fmt('sma_50', 2)} || '). ' || CASE WHEN sma_20 > sma_50
-    THEN 'GOLDEN CROSS setup (SMA20 > SMA50 — bullish)' ELSE 'DEATH CROSS setup (SMA20 < SMA50 — bearish)' END || '.'"""
-_VOLUME_TEXT = f"""'Volume ratio = ' || {_fmt('volume_ratio', 2)} || 'x — ' || CASE
-    WHEN volume_ratio > 3.0e0 THEN 'EXTREMELY high. Major institutional activity likely.'
-    WHEN volume_ratio > 2.0e0 THEN 'Very high volume. Strong conviction in today''s move.'
-    WHEN volume_ratio > 1.2e0 THEN 'Above average. Moderate conviction.'
-    WHEN volume_ratio > 0.8e0 THEN 'Normal volume. No unusual activity.'
-    ELSE 'Below average. Low conviction — weak signal day.' END"""
-_ATR_TEXT = f"""'ATR = ₹' || {_fmt('atr', 2)} || ' (' || {_fmt('atr_pct', 2)} || '% of price) — ' || CASE
-    WHEN atr_pct > 3.0e0 THEN 'HIGH' WHEN atr_pct > 1.5e0 THEN 'MODERATE' ELSE 'LOW' END
-    || ' volatility. Expect ~₹' || {_fmt('atr', 0)} || ' daily price swing on average.'"""
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _zone(x: str, steps: list) -> str:
+    """The ladder as a CASE."""
+    *bounded, (_, rest) = steps
+    return "CASE " + " ".join(f"WHEN {x} > {float(bound)}e0 THEN {_quoted(text)}" for bound, text in bounded) \
+        + f" ELSE {_quoted(rest)} END"
+
+
+def _side(condition: str, phrases: tuple[str, str]) -> str:
+    return f"CASE WHEN {condition} THEN {_quoted(phrases[0])} ELSE {_quoted(phrases[1])} END"
+
+
+def _filled(template: str, *parts: str) -> str:
+    """A printf-like text as a concatenation; numbers are printed by ``_fmt``."""
+    pieces, rest = [], iter(parts)
+    for literal, kind in re.findall(r"([^%]*)(%%|%\.\df|%s|$)", template):
+        pieces.append(_quoted(literal + ("%" if kind == "%%" else "")))
+        if kind == "%s":
+            pieces.append(next(rest))
+        elif kind.endswith("f"):
+            pieces.append(_fmt(next(rest), int(kind[2])))
+    return " || ".join(p for p in pieces if p != "''")
+
+
+_ABOVE = ("above", "below")
+_RSI_TEXT = _filled(V.RSI_FORMAT, "rsi", _zone("rsi", V.RSI_ZONES))
+_MACD_TEXT = _filled(V.MACD_FORMAT, "macd", "macd_signal", _side("macd > macd_signal", V.MACD_SIDES),
+                     _side("macd_hist > 0", V.MACD_MOMENTUM))
+_BB_TEXT = _filled(V.BAND_FORMAT, "bb_pct", _zone("bb_pct", V.BAND_ZONES), "bb_width", _side("bb_width < 0.05e0", V.BAND_SQUEEZE))
+_MA_TEXT = _filled(V.AVERAGE_FORMAT, "close", _side("close > sma_20", _ABOVE), "sma_20", _side("close > sma_50", _ABOVE),
+                   "sma_50", _side("sma_20 > sma_50", V.AVERAGE_CROSS))
+_VOLUME_TEXT = _filled(V.VOLUME_FORMAT, "volume_ratio", _zone("volume_ratio", V.VOLUME_ZONES))
+_ATR_TEXT = _filled(V.ATR_FORMAT, "atr", "atr_pct", _zone("atr_pct", V.VOLATILITY_ZONES), "atr")
 _VOTES = """(CASE WHEN rsi >= 50 THEN 1 ELSE 0 END + CASE WHEN macd > macd_signal THEN 1 ELSE 0 END
     + CASE WHEN close > sma_50 THEN 1 ELSE 0 END + CASE WHEN bb_pct >= 0.5e0 THEN 1 ELSE 0 END)"""
 _CARD_VOTES = """(CASE WHEN rsi < 50 THEN 1 ELSE 0 END + CASE WHEN macd > macd_signal THEN 1 ELSE 0 END
