@@ -84,11 +84,12 @@ def attribute(model: Classifier, rows: DataFrame) -> DataFrame:
     return out.withColumn("contributions", structs)
 
 
-def score_latest(model: Classifier, latest: DataFrame) -> DataFrame:
+def score_latest(model: Classifier, latest: DataFrame, horizon: int = 10) -> DataFrame:
     """One analysis row per ticker: probabilities, confidence, five strongest contributions, base value."""
     out = attribute(model, latest)
     prob = F.round("prob", 4)
     return out.select(
         "ticker", "date", prob.alias("prob_up"), F.round(1 - F.col("prob"), 4).alias("prob_down"),
         confidence_bucket(F.col("prob")).alias("confidence"), top_features(F.col("contributions")).alias("top_features"),
-        F.round("base_value", 4).alias("base_rate"), F.lit(model.train_size).cast("long").alias("training_samples"))
+        F.round("base_value", 4).alias("base_rate"), F.lit(model.train_size).cast("long").alias("training_samples"),
+        F.lit(horizon).alias("horizon_days"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 UNIT_ROWS = 92  # most days in a quarter: bound of a unit and slack of a block edge
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 3200  # with the longest usual halo still below the 4096 rows a window keeps in memory
 LONG_WINDOW = 100  # rolling means of at least this many rows use running sums
 _LOST = 17.0  # decimal digits after which a geometric tail no longer changes a double
 _RANGE = 280.0  # decimal exponent a block may span in each direction

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewise.functions.fixed_values import HORIZONS
 from tapewise.operators import attribution, features as feat, models, stats
+from tapewise.operators.signals import company_name
 from tapewise.plans.registry import query, rounded
 from tapewise.plans.tables import Tables
 from tapewise.schemas import FEATURES, FEATURES_WITH_SENTIMENT
@@ -61,7 +62,7 @@ def _(t: Tables):
 def _(t: Tables):
     train, _test = _split(t)
     latest = feat.derived_features(stats.latest_row(t.features()))
-    return attribution.score_latest(_fit("gbt", train), latest)
+    return company_name(attribution.score_latest(_fit("gbt", train), latest), t.metadata())
 
 
 @query("platt_scale")

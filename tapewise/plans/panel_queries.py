@@ -49,12 +49,7 @@ def _(t: Tables):
 
 
 def _saved_csv(t: Tables) -> str:
-    key = (t.spark.sparkContext.applicationId, t.dir, "bars_csv")
-    if key not in staging._written:
-        path = staging.new_path(t.spark, "bars_csv")
-        ingest.write_bars(t.bars(), path)
-        staging._written[key] = path
-    return staging._written[key]
+    return staging.staged_path(t.spark, t.dir, "bars_csv", lambda path: ingest.write_bars(t.bars(), path))
 
 
 @query("reload_csv", sql("""

@@ -92,6 +92,10 @@ def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(KNOWLEDGE).json(path)
 
 
+def documents_by_id(documents: DataFrame, *ids: object) -> DataFrame:
+    return documents.filter(F.col("id").isin(*ids))
+
+
 def topics(documents: DataFrame) -> DataFrame:
     """Document count and ids per topic. Ids of one topic are gathered in parts of about 1000."""
     part = F.floor(F.col("id") / 1000) if dict(documents.dtypes)["id"] in ("bigint", "int") \

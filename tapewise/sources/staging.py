@@ -40,15 +40,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_path(spark: SparkSession, source: str, name: str, write: Callable[[str], None]) -> str:
+    """Where the data ``name`` derived from ``source`` lies; ``write(path)`` runs once per application."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _written:
+        path = new_path(spark, name)
+        write(path)
+        _written[key] = path
+    return _written[key]
+
+
 def staged(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name`` derived from ``source``, written once per application and then read back.
 
     Cuts lineage and recomputation: operators that need a second pass over a panel (to count its rows
     per quarter, say) read columns of a file instead of repeating the work above it.
     """
-    key = (spark.sparkContext.applicationId, source, name)
-    if key not in _written:
-        path = new_path(spark, name)
-        build().write.parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+    return spark.read.parquet(staged_path(spark, source, name, lambda path: build().write.parquet(path)))
