@@ -153,7 +153,7 @@ class Halo:
             .otherwise(F.coalesce(x, F.lit(0.0)) * alpha)
         )
         total = F.sum(u * F.pow(F.lit(q), -j)).over(self.w.rowsBetween(Window.unboundedPreceding, 0))
-        return F.when(F.col("pos") >= start, F.pow(F.lit(q), j) * total)
+        return F.when(F.col("pos") == start, x).when(F.col("pos") > start, F.pow(F.lit(q), j) * total)
 
 
 def decay_rows(alpha: float) -> int:
