@@ -316,13 +316,13 @@ def _(t: Tables):
 
 
 @query("sma", sql(f"""
-    SELECT ticker, date, {r('CASE WHEN pos >= 19 THEN avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING) END', 4)}
+    SELECT ticker, date, {rx('CASE WHEN pos >= 19 THEN avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING) END', 4)}
            AS sma_20 FROM num""", "num"))
 def _(t: Tables):
     return rd(ind.sma(t.bars(), 20), ["sma_20"]).select("ticker", "date", "sma_20")
 
 
-@query("ema", sql(f"SELECT ticker, date, {r('e20', 4)} AS ema_20 FROM tr JOIN rec USING (ticker, pos)", "tr", "rec"))
+@query("ema", sql(f"SELECT ticker, date, {rx('e20', 4)} AS ema_20 FROM tr JOIN rec USING (ticker, pos)", "tr", "rec"))
 def _(t: Tables):
     return rd(ind.ema(t.bars(), 20), ["ema_20"]).select("ticker", "date", "ema_20")
 

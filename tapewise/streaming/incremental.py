@@ -102,11 +102,12 @@ def daily_refresh(spark: SparkSession, bars: DataFrame, requested: DataFrame, ye
 def sentiment_refresh(spark: SparkSession, news: DataFrame, bars: DataFrame, requested: DataFrame,
                       root: str | None = None) -> DataFrame:
     """Scored news -> daily -> rolling -> stored sentiment; tickers without news are reported as failed."""
-    mine = news.join(requested, "ticker", "left_semi")
-    ranges = score_range(mine)
+    # Aggregated before any join on ticker: a ticker with very many articles shrinks to one row a day.
+    daily = daily_sentiment(news).join(requested, "ticker", "left_semi")
+    ranges = score_range(news).join(requested, "ticker", "left_semi")
     with_news = bars.join(ranges.select("ticker"), "ticker", "left_semi")
     path = staging.new_path(spark, "sentiment-batch")
-    sentiment_rows(sentiment_windows(with_news, daily_sentiment(mine))).write.parquet(path)
+    sentiment_rows(sentiment_windows(with_news, daily)).write.parquet(path)
     store = PanelStore(spark, f"{root or staging.new_path(spark, 'sentiment')}/sentiment", SENTIMENT)
     store.upsert(spark.read.parquet(path))
     last = latest_row(store.read()).select("ticker", "sentiment_3d", "sentiment_momentum")
