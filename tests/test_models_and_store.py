@@ -214,3 +214,8 @@ def test_shared_folder_follows_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     path = staging.new_path(spark, "t")
     assert path.startswith(named if named else "/tmp/run-") and spark.sparkContext.applicationId in path
+
+
+def test_embargo_shrinks_the_training_set(labelled):
+    plain, gap = (models.walkforward_backtest(labelled, XS, embargo=n).filter("window = 0").first()["train_size"] for n in (0, 10))
+    assert plain - gap == 20  # ten days of two tickers
