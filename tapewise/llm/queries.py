@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewise.llm import bitplanes, harmonic
+from tapewise.llm import bitplanes, dart_minhash, harmonic
 from tapewise.llm.common import table
 
 
@@ -18,7 +18,11 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bit_planes, op9_harmonic_packing)
+    f.__name__: f for f in (op1_bit_planes, op9_harmonic_packing, op10_dart_minhash)
 }
 ORACLE: dict[str, str] = {}
