@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewise.llm import bitplanes, dart_minhash, harmonic
+from tapewise.llm import bitplanes, bpe, dart_minhash, harmonic
 from tapewise.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.planes_round_trip(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,6 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bit_planes, op9_harmonic_packing, op10_dart_minhash)
+    f.__name__: f for f in (op1_bit_planes, op7_backtracking_bpe, op9_harmonic_packing, op10_dart_minhash)
 }
 ORACLE: dict[str, str] = {}

@@ -32,7 +32,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class TextIds(dict):
+class ChunkCache(dict):
+    """Ids of chunks between white space, kept in two halves of bounded size; ``_chunk`` makes those not kept."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self._chunk(chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            if len(self) >= KEPT_CHUNKS:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        raise NotImplementedError
+
+
+class TextIds(ChunkCache):
     """Ids of a text as little-endian unsigned 32-bit integers.
 
     Where the tokenizer drops white space between its words, the ids of a text are those of its chunks
@@ -44,6 +66,7 @@ class TextIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer, models
 
+        super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
@@ -58,18 +81,6 @@ class TextIds(dict):
             self.model = models.BPE(vocab=m["vocab"], merges=pairs, cache_capacity=0,
                                     end_of_word_suffix=m["end_of_word_suffix"])
             self.letters = dict(enumerate(byte_letters()))
-            self.older: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            ids = self._chunk(chunk)
-        if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= KEPT_CHUNKS:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = ids
-        return ids
 
     def _chunk(self, chunk: str) -> bytes:
         # A Latin word needs no normaliser and no splitting; punctuation behind one is a chunk of its own.
