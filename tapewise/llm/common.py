@@ -39,7 +39,7 @@ def write_whole(uri: str, attempt: str, write) -> int:
     fs, path = filesystem(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     hidden = f"{os.path.dirname(path)}/.{os.path.basename(path)}.{attempt}"
-    with fs.open_output_stream(hidden) as stream:
+    with fs.open_output_stream(hidden, compression=None) as stream:
         write(stream)
         size = stream.tell()
     fs.move(hidden, path)

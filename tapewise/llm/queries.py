@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewise.llm import bitplanes, bpe, dart_minhash, harmonic
+from tapewise.llm import bitplanes, bpe, dart_minhash, harmonic, kmeans_tree, norm_buckets, warc
 from tapewise.llm.common import table
 
 
@@ -14,10 +14,22 @@ def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.planes_round_trip(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -27,6 +39,6 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bit_planes, op7_backtracking_bpe, op9_harmonic_packing, op10_dart_minhash)
+    f.__name__: f for f in (op1_bit_planes, op3_warc_normaliser, op5_kmeans_tree, op7_backtracking_bpe, op8_norm_buckets, op9_harmonic_packing, op10_dart_minhash)
 }
 ORACLE: dict[str, str] = {}
