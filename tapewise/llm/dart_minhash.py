@@ -12,31 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewise.llm.common import attempt, whole_text
+from tapewise.llm.hashing import M1, M2, STEP, mix, nth, text_batches, word_hashes
 from tapewise.sources import staging
 
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 30, 5
-#: Characters that a task turns into shingles at a time (a longer text goes alone).
-CHARACTERS = 1_000_000
 
-_M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_BASE, _UNBASE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 #: P(a unit cell holds at most n darts), n = 0, 1, ...: one dart is expected in each.
 _AT_MOST = np.exp(-1.0) * np.cumsum(1 / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 18.0)])))
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64 bits."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def _nth(k: int) -> np.uint64:
-    return np.uint64(k * int(_STEP) % (1 << 64))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -48,39 +32,6 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-class Powers:
-    """Powers of the hash base and of its inverse modulo 2^64, as far as they were needed."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * CHARACTERS)
-            self.up, self.down = (np.cumprod(np.array([1] + [b] * size, np.uint64)) for b in (_BASE, _UNBASE))
-        return self.up, self.down
-
-
-_powers = Powers()
-
-
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and how many each text has. Words are lower-cased runs without white space."""
-    data = [t.lower().encode() for t in texts]
-    sizes = np.array([len(d) + 1 for d in data])
-    raw = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
-    gap = _SPACE[raw]
-    edge = np.diff(gap.astype(np.int8), prepend=1)
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if len(begin) and len(end) > len(begin):
-        end = end[-len(begin):]
-    up, down = _powers.get(len(raw) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:len(raw)])])
-    words = mix((total[end] - total[begin]) * down[begin])
-    per_text = np.diff(np.searchsorted(begin, np.concatenate([[0], np.cumsum(sizes)])))
-    return words, per_text
-
-
 def shingle_bags(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle hash, times it occurs), sorted by both. A text of 1 to ``words`` - 1 words is one shingle."""
     hashes, per_text = word_hashes(texts)
@@ -89,7 +40,7 @@ def shingle_bags(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.n
     left = np.repeat(np.cumsum(per_text), per_text) - np.arange(len(hashes))  # words of the text from here on
     sums = np.zeros(len(hashes), np.uint64)
     for k in range(words):
-        sums += np.where(left > k, mix(padded[k:k + len(hashes)] + _nth(k + 1)), np.uint64(0))
+        sums += np.where(left > k, mix(padded[k:k + len(hashes)] + nth(k + 1)), np.uint64(0))
     keep = (left >= words) | ((_within(per_text) == 0) & (np.repeat(per_text, per_text) < words))
     of, sums = of[keep], mix(sums[keep])
     order = np.lexsort((sums, of))
@@ -121,13 +72,13 @@ def _darts(element: np.ndarray, weight: np.ndarray, limit: np.ndarray) -> tuple[
             cells = wide * high
             k, of, tall = _within(cells), np.repeat(rows, cells), np.repeat(high, cells)
             x, y = k // tall, k % tall
-            seed = mix(element[of] + mix(((x << 32) | y).astype(np.uint64) + _nth((a << 8 | b) + 1)))
+            seed = mix(element[of] + mix(((x << 32) | y).astype(np.uint64) + nth((a << 8 | b) + 1)))
             n = np.searchsorted(_AT_MOST, _unit(seed))
             some = np.flatnonzero(n)
             n = n[some]
             pick = np.repeat(some, n)
-            dart = mix(seed[pick] + (_within(n) + 1).astype(np.uint64) * _STEP)
-            across, up = _unit(mix(dart ^ _M1)), _unit(mix(dart ^ _M2))
+            dart = mix(seed[pick] + (_within(n) + 1).astype(np.uint64) * STEP)
+            across, up = _unit(mix(dart ^ M1)), _unit(mix(dart ^ M2))
             row, rank = of[pick], 2.0 ** b - 1 + y[pick] + up
             hit = (2.0 ** a - 1 + x[pick] + across < weight[row]) & (rank < limit[row])
             found.append((row[hit], dart[hit], rank[hit]))
@@ -152,7 +103,7 @@ def signatures(of: np.ndarray, element: np.ndarray, weight: np.ndarray, sets: in
         rows = np.flatnonzero(number[of] >= 0)
         own = number[of[rows]]
         row, dart, rank = _darts(element[rows], weight[rows].astype(float), (darts / total[todo])[own])
-        slot = own[row] * size + (mix(dart + _STEP) % np.uint64(size)).astype(np.int64)
+        slot = own[row] * size + (mix(dart + STEP) % np.uint64(size)).astype(np.int64)
         best = np.full(len(todo) * size, np.inf)
         np.minimum.at(best, slot, rank)
         win = rank == best[slot]
@@ -166,7 +117,7 @@ def signatures(of: np.ndarray, element: np.ndarray, weight: np.ndarray, sets: in
 
 def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     parts = signature.reshape(len(signature), bands, rows)
-    out = np.repeat((np.arange(1, bands + 1).astype(np.uint64) * _STEP)[None, :], len(signature), axis=0)
+    out = np.repeat((np.arange(1, bands + 1).astype(np.uint64) * STEP)[None, :], len(signature), axis=0)
     for r in range(rows):
         out = mix(out + parts[:, :, r])
     return out
@@ -182,24 +133,11 @@ LEADERS = (1, 1, 16, 256, 4096)
 FIRST_BANDS = 6
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Rows with texts in column 1, about CHARACTERS at a time."""
-    for batch in batches:
-        texts, start = batch.column(1).to_pylist(), 0
-        while start < len(texts):
-            end, size = start + 1, len(texts[start])
-            while end < len(texts) and size + len(texts[end]) <= CHARACTERS:
-                size += len(texts[end])
-                end += 1
-            yield batch.slice(start, end - start), texts[start:end]
-            start = end
-
-
 def _digests(of: np.ndarray, element: np.ndarray, weight: np.ndarray, sets: int) -> list[bytes | None]:
     """16 bytes for each bag, equal for equal bags; None for one without shingles."""
     size = np.bincount(of, weight, sets).astype(np.uint64)
     halves = []
-    for salt in (_M1, _M2):
+    for salt in (M1, M2):
         total = np.zeros(sets, np.uint64)
         np.add.at(total, of, mix(mix(element ^ salt) + weight.astype(np.uint64)))
         halves.append(mix(total + size))
@@ -208,25 +146,25 @@ def _digests(of: np.ndarray, element: np.ndarray, weight: np.ndarray, sets: int)
 
 def _content(element: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """A bag as a sorted set of 32-bit values: the n-th occurrence of a shingle is a value of its own."""
-    copies = np.repeat(element, weight) + _within(weight).astype(np.uint64) * _STEP
+    copies = np.repeat(element, weight) + _within(weight).astype(np.uint64) * STEP
     return np.sort((mix(copies) >> np.uint64(32)).astype(np.uint32))
 
 
 def _sign(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     number = attempt()[0] << 33
-    for batch, texts in _batches(batches):
+    for batch, texts in text_batches(batches):
         of, element, weight = shingle_bags(texts, words)
         own = band_hashes(signatures(of, element, weight, len(texts), bands * rows), bands, rows)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(own.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + len(texts))), batch.column(0),
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + len(texts))), batch.column(0), batch.column(2),
                                           pa.array(_digests(of, element, weight, len(texts)), pa.binary()), flat],
-                                         names=["row", "doc_id", "bag", "bands"])
+                                         names=["row", "doc_id", "text_hash", "bag", "bands"])
         number += len(texts)
 
 
 def _contents(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
-    for batch, texts in _batches(batches):
+    for batch, texts in text_batches(batches):
         of, element, weight = shingle_bags(texts, words)
         digests = _digests(of, element, weight, len(texts))
         new = [k for k, d in enumerate(digests) if d is not None and d == batch.column(2)[k].as_py() and d not in seen and not seen.add(d)]
@@ -306,12 +244,37 @@ def _relabel(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     return moved.withColumn(column, F.coalesce("moved", column)).drop("moved")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id and class_id, a row per row of ``docs``: classes of texts linked by a similarity of ``similar`` or more.
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have the smallest doc_id of their class of near-duplicates.
+
+    Rows of one doc_id and text count once.
+    """
+    names = docs.columns
+    rows = _classes(docs, **options)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = rows.groupBy("node").agg(F.min_by(F.struct("doc_id", "text_hash"), order).alias("k"))
+    kept = first.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash")).distinct()
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole_text()).alias("hash"), F.struct(*(docs[c] for c in names)).alias("own"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash"))
+    return packed.join(kept, same, "left_semi").dropDuplicates(["id", "hash"]).select("own.*")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id and class_id, a row per row of ``docs``; class_id is the smallest doc_id of the class (see _classes).
+
+    A class of null ids only has a null class_id.
+    """
+    rows = _classes(docs, **options)
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(least, "node").select("doc_id", "class_id")
+
+
+def _classes(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """row, doc_id, text_hash and node, a row per row of ``docs``: classes of texts linked by a similarity of ``similar`` or more.
 
     The similarity is the weighted Jaccard similarity of bags of ``words``-word shingles (lower case, split
-    at white space; a text of fewer words is one shingle). class_id is the smallest doc_id of the class; a
-    class of null ids only has a null one. A text that is null or has no words is alone in its class.
+    at white space; a text of fewer words is one shingle). A text that is null or has no words is alone in its
+    class. Rows of one class have one ``node``.
 
     Equal bags are one node. Nodes that agree in a whole band of the signature share a bucket. In each round
     some members of each bucket lead: they are compared with the bucket's other members, exactly, and step
@@ -320,8 +283,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILA
     Members and leaders meet in parts of bounded size, whatever the size of the bucket.
     """
     plain = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    signed = staging.written(plain.mapInArrow(partial(_sign, words=words, bands=bands, rows=rows),
-                                              "row long, doc_id long, bag binary, bands array<long>"), "signed")
+    signed = staging.written(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        partial(_sign, words=words, bands=bands, rows=rows), "row long, doc_id long, text_hash long, bag binary, bands array<long>"), "signed")
     known = signed.filter("bag IS NOT NULL")
     nodes = known.groupBy("bag").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"),
                                      F.min("row").alias("comp"))
@@ -369,9 +332,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILA
             labels = roots if labels is None else staging.written(_relabel(labels, roots, "root").unionByName(roots), "labels")
         open_ = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
         members = staging.written(members.join(open_, "bucket", "left_semi"), "open")
-    classes = known.select("doc_id", "bag").join(nodes.select("bag", F.col("comp").alias("node")), "bag")
+    classes = known.select("row", "doc_id", "text_hash", "bag").join(nodes.select("bag", F.col("comp").alias("node")), "bag").drop("bag")
     if labels is not None:
         classes = _relabel(classes, labels, "node")
-    least = classes.groupBy("node").agg(F.min("doc_id").alias("class_id"))
-    alone = signed.filter("bag IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
-    return classes.join(least, "node").select("doc_id", "class_id").unionByName(alone)
+    alone = signed.filter("bag IS NULL").select("row", "doc_id", "text_hash", F.col("row").alias("node"))
+    return classes.select("row", "doc_id", "text_hash", "node").unionByName(alone)
