@@ -15,12 +15,12 @@ from tapewise.llm.hashing import mix, text_batches, word_hashes
 from tapewise.llm.labelled import held_out, labelled_sample
 
 #: Buckets of hashed features; those kept for the model; labelled documents that it is fitted on, about.
-BUCKETS, KEPT, SAMPLE = 1 << 18, 4096, 12_000
-#: A feature is kept if its share among toxic documents differs by so many standard errors.
-SIGNAL = 4.0
+BUCKETS, KEPT, SAMPLE = 1 << 22, 4096, 12_000
+#: A feature is kept if its share among toxic documents lies so many standard errors above, and is so many times, that among clean ones.
+SIGNAL, LIFT = 4.0, 12.0
 GRADES = 4
 TOXIC = 0.5
-STEPS, RATE, RIDGE = 300, 0.05, 2e-4
+STEPS, RATE, RIDGE = 400, 0.05, 5e-6
 #: Besides the word, its first bytes: words of one stem share them.
 PREFIXES = (4, 5, 7)
 
@@ -28,14 +28,14 @@ _GAPS = np.ones(256, bool)
 _GAPS[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = False
 
 
-def hashed_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, bucket) of every occurrence of a word or word beginning, and words per text."""
+def hashed_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, bucket) of every occurrence of a word or word beginning."""
     kinds = []
     for salt, prefix in enumerate((None, *PREFIXES)):
         hashes, per_text = word_hashes(texts, _GAPS, prefix)
         kinds.append((mix(hashes + np.uint64(salt)) % np.uint64(BUCKETS)).astype(np.int64))
     of = np.repeat(np.arange(len(texts)), per_text)
-    return np.tile(of, len(kinds)), np.concatenate(kinds), per_text
+    return np.tile(of, len(kinds)), np.concatenate(kinds)
 
 
 def _distinct(of: np.ndarray, bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,21 +50,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class OrdinalModel:
     """P(grade > k) = sigmoid(w . x - cut_k): one weight vector for all thresholds, cuts in ascending order."""
 
-    def __init__(self, table: np.ndarray, weights: np.ndarray, cuts: np.ndarray):
-        self.table, self.weights, self.cuts = table, weights, cuts  # table: bucket -> feature or -1
+    def __init__(self, kept: np.ndarray, weights: np.ndarray, cuts: np.ndarray):
+        self.kept, self.weights, self.cuts, self._table = kept, weights, cuts, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None}  # a worker makes its own
+
+    @property
+    def table(self) -> np.ndarray:
+        """The feature of each bucket, -1 for those not kept."""
+        if self._table is None:
+            self._table = np.full(BUCKETS, -1, np.int16)
+            self._table[self.kept] = np.arange(len(self.kept))
+        return self._table
 
     @classmethod
-    def fit(cls, table: np.ndarray, of: np.ndarray, feature: np.ndarray, value: np.ndarray, words: np.ndarray, grade: np.ndarray) -> OrdinalModel:
-        n, k = len(grade), int(table.max()) + 1
-        weights, gaps = np.zeros(k + 1), np.zeros(GRADES - 1)  # the last weight is that of the length
+    def fit(cls, kept: np.ndarray, of: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray) -> OrdinalModel:
+        n, k = len(grade), len(kept)
+        weights, gaps = np.zeros(k), np.zeros(GRADES - 1)
         above = np.array([(grade > c).mean() for c in range(GRADES - 1)]).clip(1e-4, 1 - 1e-4)
         start = np.log((1 - above) / above)
         gaps[0], gaps[1:] = start[0], np.log(np.maximum(np.diff(start), 0.05))
         moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(gaps), np.zeros_like(gaps)]
-        long, rows = np.log1p(words), np.arange(n)
+        rows = np.arange(n)
         for t in range(1, STEPS + 1):
             cuts = gaps[0] + np.concatenate([[0], np.cumsum(np.exp(gaps[1:]))])
-            s = np.bincount(of, value * weights[feature], n) + weights[k] * long
+            s = np.bincount(of, value * weights[feature], n)
             bounds = np.concatenate([np.full((n, 1), -40.0), cuts[None, :] - s[:, None], np.full((n, 1), 40.0)], axis=1)
             p, d = _sigmoid(bounds), _sigmoid(bounds) * _sigmoid(-bounds)
             likely = np.maximum(p[rows, grade + 1] - p[rows, grade], 1e-9)
@@ -72,59 +83,60 @@ class OrdinalModel:
             ds = lower - upper  # of the log-likelihood
             by_cut = np.array([upper[grade == c].sum() - lower[grade == c + 1].sum() for c in range(GRADES - 1)]) / n
             by_gap = np.concatenate([[by_cut.sum()], np.exp(gaps[1:]) * np.cumsum(by_cut[::-1])[::-1][1:]])
-            slope = np.append(np.bincount(feature, value * ds[of], k), long @ ds) / n - RIDGE * weights
+            slope = np.bincount(feature, value * ds[of], k) / n - RIDGE * weights
             for x, g, m, v in ((weights, slope, *moments[:2]), (gaps, by_gap, *moments[2:])):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g ** 2 - v)
                 x += RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-        return cls(table, weights, gaps[0] + np.concatenate([[0], np.cumsum(np.exp(gaps[1:]))]))
+            np.maximum(weights, 0, out=weights)  # features speak for toxicity only
+        return cls(kept, weights, gaps[0] + np.concatenate([[0], np.cumsum(np.exp(gaps[1:]))]))
 
-    def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, feature, log count) of the features kept, and words per text."""
-        of, bucket, words = hashed_features(texts)
+    def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, feature, log count) of the features kept."""
+        of, bucket = hashed_features(texts)
         known = self.table[bucket]
         at = np.flatnonzero(known >= 0)
-        row, feature, count = _distinct(of[at], known[at], len(self.table))
-        return row, feature, np.log2(1 + count), words
+        row, feature, count = _distinct(of[at], known[at].astype(np.int64), BUCKETS)
+        return row, feature, np.log2(1 + count)
 
     def above(self, texts: list[str]) -> np.ndarray:
         """P(grade > k) for each text and threshold."""
-        row, feature, value, words = self.features(texts)
-        s = np.bincount(row, value * self.weights[feature], len(texts)) + self.weights[-1] * np.log1p(words)
+        row, feature, value = self.features(texts)
+        s = np.bincount(row, value * self.weights[feature], len(texts))
         return _sigmoid(s[:, None] - self.cuts[None, :])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, BUCKETS), np.int64)
+    counts = np.zeros((2, BUCKETS), np.int32)
     for batch, texts in text_batches(batches):
-        of, bucket, _ = hashed_features(texts)
+        of, bucket = hashed_features(texts)
         row, bucket, _ = _distinct(of, bucket, BUCKETS)
         label = batch.column(2).to_numpy()[row]
         for c in (0, 1):
-            counts[c] += np.bincount(bucket[label == c], minlength=BUCKETS)
+            np.add.at(counts[c], bucket[label == c], 1)
     some = np.flatnonzero(counts.sum(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0][some]), pa.array(counts[1][some])], names=["bucket", "clean", "toxic"])
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0][some].astype(np.int64)), pa.array(counts[1][some].astype(np.int64))], names=["bucket", "clean", "toxic"])
 
 
-def _collected(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    model = OrdinalModel(table, np.zeros(0), np.zeros(0))
+def _collected(batches: Iterator[pa.RecordBatch], kept: np.ndarray) -> Iterator[pa.RecordBatch]:
+    model = OrdinalModel(kept, np.zeros(0), np.zeros(0))
     for batch, texts in text_batches(batches):
-        row, feature, value, words = model.features(texts)
+        row, feature, value = model.features(texts)
         start = np.searchsorted(row, np.arange(len(texts) + 1))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(words.astype(np.int64)),
+            [batch.column(0), batch.column(2),
              pa.array([feature[a:b].astype(np.int32).tobytes() for a, b in zip(start, start[1:])], pa.binary()),
-             pa.array([value[a:b].astype(np.float32).tobytes() for a, b in zip(start, start[1:])], pa.binary())], names=["doc_id", "label", "words", "feature", "value"])
+             pa.array([value[a:b].astype(np.float32).tobytes() for a, b in zip(start, start[1:])], pa.binary())], names=["doc_id", "label", "feature", "value"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel | None:
     """A model from about ``sample`` labelled documents at most, or None unless both labels occur among them.
 
-    Features are hashed words and word beginnings whose share among toxic documents stands out; at most KEPT.
+    Features are hashed words and word beginnings that are far more common in toxic documents; at most KEPT.
     Labels tell toxic from clean only. Grades are 0 for clean documents and 1 to 3 for thirds of the toxic
-    ones by how dense toxic features are in them.
+    ones by how many toxic features they have.
     """
-    rows = labelled_sample(docs, labels, "toxic", sample)
+    rows = labelled_sample(docs, labels, "toxic", sample).dropDuplicates(["text", "label"])  # a copied text counts once
     by_label = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     clean, toxic = by_label.get(0, 0), by_label.get(1, 0)
     if not clean or not toxic:
@@ -132,23 +144,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
     counts = rows.mapInArrow(_counted, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = (F.col("clean") + F.col("toxic") + 1) / (clean + toxic + 2)
     signal = (F.col("toxic") / toxic - F.col("clean") / clean) / F.sqrt(share * (1 - share) * (1 / clean + 1 / toxic))
-    kept = (counts.select("bucket", signal.alias("signal")).filter(F.abs("signal") >= SIGNAL)
-            .orderBy(F.desc(F.abs("signal")), "bucket").limit(KEPT).toArrow())
+    lifted = F.col("toxic") / toxic >= LIFT * (F.col("clean") + 0.5) / clean
+    kept = (counts.filter(lifted).select("bucket", signal.alias("signal")).filter(F.col("signal") >= SIGNAL)
+            .orderBy(F.desc("signal"), "bucket").limit(KEPT).toArrow())
     if not kept.num_rows:
         return None
-    table = np.full(BUCKETS, -1, np.int32)
-    table[kept.column("bucket").to_numpy()] = np.arange(kept.num_rows)
-    got = rows.mapInArrow(partial(_collected, table=table), "doc_id long, label int, words long, feature binary, value binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["label"], r["words"], r["feature"]))
+    buckets = kept.column("bucket").to_numpy()
+    got = rows.mapInArrow(partial(_collected, kept=buckets), "doc_id long, label int, feature binary, value binary").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["doc_id"], r["label"], r["feature"]))
     feature = [np.frombuffer(r["feature"], np.int32) for r in got]
     value = np.concatenate([np.frombuffer(r["value"], np.float32) for r in got]).astype(float)
-    of, words, label = np.repeat(np.arange(len(got)), [len(f) for f in feature]), np.array([r["words"] for r in got]), np.array([r["label"] for r in got])
+    of, label = np.repeat(np.arange(len(got)), [len(f) for f in feature]), np.array([r["label"] for r in got])
     feature = np.concatenate(feature)
-    telling = kept.column("signal").to_numpy()[feature] > 0
-    density = np.bincount(of[telling], value[telling], len(got)) / (1 + words)
-    edges = np.quantile(density[label == 1], np.linspace(0, 1, GRADES)[1:-1])
-    grade = np.where(label == 1, 1 + np.searchsorted(edges, density, "right"), 0)
-    return OrdinalModel.fit(table, of, feature, value, words, grade)
+    amount = np.bincount(of, value, len(got))
+    edges = np.quantile(amount[label == 1], np.linspace(0, 1, GRADES)[1:-1])
+    grade = np.where(label == 1, 1 + np.searchsorted(edges, amount, "right"), 0)
+    return OrdinalModel.fit(buckets, of, feature, value, grade)
 
 
 def _grade(batches: Iterator[pa.RecordBatch], model: OrdinalModel | None) -> Iterator[pa.RecordBatch]:
