@@ -41,11 +41,18 @@ class Backtracker:
         self.ids = {own(t): i for t, i in vocab.items()}
         self.pair_rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
-        for rank, (a, b) in enumerate(merges):
-            left, right, whole = self.ids[own(a)], self.ids[own(b)], self.ids[own(a + b)]
+        self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
+        made = [(self.ids[own(a)], self.ids[own(b)], self.ids[own(a + b)]) for a, b in merges]
+        for rank, (left, right, _) in enumerate(made):
             self.pair_rank.setdefault((left, right), rank)
-            self.parts.setdefault(whole, (left, right, rank))
-        reachable = {t: i for t, i in self.ids.items() if i in self.parts or len(t.removesuffix(END)) == 1}
+        known = {i for t, i in self.ids.items() if len(t.removesuffix(END)) == 1}
+        for rank, (left, right, whole) in enumerate(made):
+            # Merging the letters of a token must end in it, by way of these two parts; others never come up.
+            if whole not in known and left in known and right in known and self._crossing(left, right) == (left, right):
+                self.parts[whole] = (left, right, rank)
+                known.add(whole)
+        reachable = {t: i for t, i in self.ids.items() if i in known}
         self.automaton = ahocorasick.Automaton()
         for t, i in reachable.items():
             self.automaton.add_word(t, (len(t), i))
@@ -57,8 +64,6 @@ class Backtracker:
                 if t[:n] in reachable:
                     self.shorter[i] = reachable[t[:n]]
                     break
-        self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
 
     def _own(self, token: str) -> str:
         return token[:-len(self.suffix)] + END if self.suffix and token.endswith(self.suffix) and token != self.suffix else token
@@ -77,31 +82,33 @@ class Backtracker:
             self.spines[token, side] = spine
         return spine
 
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether the merges leave the border between two neighbouring tokens alone.
+    def _crossing(self, left: int, right: int) -> tuple[int, int] | None:
+        """The parts that the first merge across the border of two neighbouring tokens joins, if there is one.
 
         The parts at the border grow as merges come in the order of their ranks. If the parts that face each
-        other have a merge that comes before those that take either in, the border is lost; of two merges of
-        one rank the one further left comes first.
+        other have a merge that comes before those that take either in, it crosses the border; of two merges
+        of one rank the one further left comes first.
         """
+        a, b, i, j = self._spine(left, 1), self._spine(right, 0), 0, 0
+        while True:
+            (x, taken_x), (y, taken_y) = a[i], b[j]
+            rank = self.pair_rank.get((x, y), NEVER)
+            if rank < taken_x and rank <= taken_y and rank < NEVER:
+                return x, y
+            if taken_x == taken_y == NEVER:
+                return None
+            if taken_x <= taken_y:
+                i += 1
+            else:
+                j += 1
+
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether the merges leave the border between two neighbouring tokens alone."""
         known = self.pairs.get((left, right))
         if known is None:
-            a, b, i, j, known = self._spine(left, 1), self._spine(right, 0), 0, 0, True
-            while True:
-                (x, taken_x), (y, taken_y) = a[i], b[j]
-                rank = self.pair_rank.get((x, y), NEVER)
-                if rank < taken_x and rank <= taken_y and rank < NEVER:
-                    known = False
-                    break
-                if taken_x == taken_y == NEVER:
-                    break
-                if taken_x <= taken_y:
-                    i += 1
-                else:
-                    j += 1
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            self.pairs[left, right] = known
+            known = self.pairs[left, right] = self._crossing(left, right) is None
         return known
 
     def encode(self, word: str) -> list[int]:

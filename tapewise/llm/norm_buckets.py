@@ -27,9 +27,9 @@ FOCUS = 0.7
 
 
 def finite(vector: str) -> Column:
-    """Whether a vector is there and all its components are finite numbers."""
+    """Whether a vector is there, has components, and all are finite numbers."""
     good = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.col(vector).isNotNull() & good
+    return F.col(vector).isNotNull() & (F.size(vector) > 0) & good
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -155,7 +155,7 @@ def _about(vectors: DataFrame, rows: int) -> DataFrame:
 def top_products(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest inner products of integer vectors with other rows.
 
-    Queries are the rows whose vec_id is divisible by ``every``. Vectors that are null or hold null or
+    Queries are the rows whose vec_id is divisible by ``every``. Vectors that are null, empty or hold null or
     non-finite components, and rows without vec_id, take no part; vectors of another width are never
     compared; a query's own vec_id is no candidate, so repeated rows of it are none either. Fewer
     candidates than k give fewer rows; no rows give none.
