@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewise.operators.panel import Halo, block_rows, decay_rows, span_alpha, with_halo
@@ -31,16 +31,13 @@ def ema(df: DataFrame, window: int, column: str = "close", name: str | None = No
     alpha = span_alpha(window)
     back = decay_rows(alpha)
     h = with_halo(df, back=back, block=block_rows([alpha], back))
-    return h.add({name or f"ema_{window}": h.decayed(column, alpha)}).done()
+    return h.decay({name or f"ema_{window}": (column, alpha)}).done()
 
 
 def moving_averages(df: DataFrame) -> DataFrame:
     h = _halo([span_alpha(20)], rows=50)(df)
-    return h.add({
-        "sma_20": h.rolling_mean("close", 20),
-        "sma_50": h.rolling_mean("close", 50),
-        "ema_20": h.decayed("close", span_alpha(20)),
-    }).done()
+    h = h.add({"sma_20": h.rolling_mean("close", 20), "sma_50": h.rolling_mean("close", 50)})
+    return h.decay({"ema_20": ("close", span_alpha(20))}).done()
 
 
 def sma_crossover(df: DataFrame) -> DataFrame:
@@ -61,14 +58,15 @@ def _halo(alphas: list[float], rows: int = 1, chain: int = 0):
 def _gain_loss(h: Halo) -> Halo:
     change = F.col("close") - F.lag("close").over(h.w)
     h = h.add({"_change": change})
-    zero = F.lit(0.0)
-    return h.add({"_gain": F.greatest(F.col("_change"), zero), "_loss": F.greatest(-F.col("_change"), zero)})
+    zero, known = F.lit(0.0), F.col("_change").isNotNull()  # an unknown change is neither a gain nor a loss
+    return h.add({"_gain": F.when(known, F.greatest(F.col("_change"), zero)), "_loss": F.when(known, F.greatest(-F.col("_change"), zero))})
 
 
-def _rsi(window: int) -> Column:
+def _rsi(h: Halo, window: int) -> Column:
+    """Null until ``window`` changes are known; every later block has that many before it."""
     strength = F.col("_avg_gain") / (F.col("_avg_loss") + F.lit(EPSILON))
-    # Row 0 has no change, so `window` changes exist from row `window` on.
-    return F.when(F.col("pos") >= window, 100.0 - 100.0 / (1.0 + strength))
+    changes = F.count("_change").over(h.w.rowsBetween(Window.unboundedPreceding, 0))
+    return F.when((F.col("_block") > 0) | (changes >= window), 100.0 - 100.0 / (1.0 + strength))
 
 
 def rsi_signal(rsi: Column, overbought: float = 70, oversold: float = 30) -> Column:
@@ -78,26 +76,28 @@ def rsi_signal(rsi: Column, overbought: float = 70, oversold: float = 30) -> Col
 def rsi(df: DataFrame, window: int = 14, name: str = "rsi") -> DataFrame:
     alpha = 1.0 / window
     h = _gain_loss(_halo([alpha], rows=window)(df))
-    h = h.add({"_avg_gain": h.decayed("_gain", alpha, start=1), "_avg_loss": h.decayed("_loss", alpha, start=1)})
-    return h.add({name: _rsi(window)}).done("_change", "_gain", "_loss", "_avg_gain", "_avg_loss")
+    h = h.decay({"_avg_gain": ("_gain", alpha), "_avg_loss": ("_loss", alpha)})
+    return h.add({name: _rsi(h, window)}).done("_change", "_gain", "_loss", "_avg_gain", "_avg_loss")
+
+
+def _macd(h: Halo, alphas: list[float]) -> Halo:
+    h = h.decay({"_fast": ("close", alphas[0]), "_slow": ("close", alphas[1])}).add({"macd": F.col("_fast") - F.col("_slow")})
+    return h.decay({"macd_signal": ("macd", alphas[2])})
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     alphas = [span_alpha(n) for n in (fast, slow, signal)]
     h = _halo(alphas, chain=decay_rows(alphas[2]))(df)
-    h = h.add({"macd": h.decayed("close", alphas[0]) - h.decayed("close", alphas[1])})
-    h = h.add({"macd_signal": h.decayed("macd", alphas[2])})
-    return h.add({"macd_hist": F.col("macd") - F.col("macd_signal")}).done()
+    return _macd(h, alphas).add({"macd_hist": F.col("macd") - F.col("macd_signal")}).done("_fast", "_slow")
 
 
 def macd_crossover(df: DataFrame) -> DataFrame:
     """+1 when MACD crosses above its signal line, -1 below, 0 otherwise, null on the first row."""
     alphas = [span_alpha(n) for n in (12, 26, 9)]
     h = _halo(alphas, chain=decay_rows(alphas[2]) + 1)(df)
-    h = h.add({"macd": h.decayed("close", alphas[0]) - h.decayed("close", alphas[1])})
-    h = h.add({"macd_signal": h.decayed("macd", alphas[2])})
+    h = _macd(h, alphas)
     h = h.add({"_above": (F.col("macd") > F.col("macd_signal")).cast("int")})
-    return h.add({"macd_cross": F.col("_above") - F.lag("_above").over(h.w)}).done("_above")
+    return h.add({"macd_cross": F.col("_above") - F.lag("_above").over(h.w)}).done("_above", "_fast", "_slow")
 
 
 def bollinger(df: DataFrame, window: int = 20, num_std: float = 2.0) -> DataFrame:
@@ -129,8 +129,8 @@ def atr(df: DataFrame, window: int = 14) -> DataFrame:
     alpha = span_alpha(window)
     h = _halo([alpha])(df)
     h = h.add({"_tr": _true_range(h)})
-    h = h.add({"atr": F.round(h.decayed("_tr", alpha), 2)})
-    return h.add({"atr_pct": F.round(_ratio(F.col("atr"), F.col("close")) * 100, 3)}).done("_tr")
+    h = h.decay({"_atr": ("_tr", alpha)}).add({"atr": F.round("_atr", 2)})
+    return h.add({"atr_pct": F.round(_ratio(F.col("atr"), F.col("close")) * 100, 3)}).done("_tr", "_atr")
 
 
 def volume_ratio(df: DataFrame, window: int = 20) -> DataFrame:
@@ -149,18 +149,13 @@ def indicators_all(df: DataFrame, complete_only: bool = True) -> DataFrame:
         "sma_50": h.rolling_mean("close", 50),
         "_std": h.rolling_std("close", 20),
         "volume_ratio": _ratio(F.col("volume"), h.rolling_mean("volume", 20)),
-        "ema_20": h.decayed("close", spans[20]),
-        "macd": h.decayed("close", spans[12]) - h.decayed("close", spans[26]),
     }))
-    h = h.add({
-        "_avg_gain": h.decayed("_gain", wilder, start=1),
-        "_avg_loss": h.decayed("_loss", wilder, start=1),
-        "_atr": h.decayed("_tr", spans[14]),
-        "macd_signal": h.decayed("macd", spans[9]),
-        "bb_middle": F.col("sma_20"),
-    })
+    h = h.decay({"ema_20": ("close", spans[20]), "_fast": ("close", spans[12]), "_slow": ("close", spans[26]),
+                 "_avg_gain": ("_gain", wilder), "_avg_loss": ("_loss", wilder), "_atr": ("_tr", spans[14])})
+    h = h.add({"macd": F.col("_fast") - F.col("_slow"), "bb_middle": F.col("sma_20")})
+    h = h.decay({"macd_signal": ("macd", spans[9])})
     h = _bands(h, 2.0).add({
-        "rsi": _rsi(14),
+        "rsi": _rsi(h, 14),
         "macd_hist": F.col("macd") - F.col("macd_signal"),
         "atr": F.round("_atr", 2),
     })
@@ -168,6 +163,6 @@ def indicators_all(df: DataFrame, complete_only: bool = True) -> DataFrame:
         "rsi_signal": rsi_signal(F.col("rsi")),
         "atr_pct": F.round(_ratio(F.col("atr"), F.col("close")) * 100, 3),
     })
-    out = h.done("_tr", "_std", "_change", "_gain", "_loss", "_avg_gain", "_avg_loss", "_atr", "bb_middle",
+    out = h.done("_tr", "_std", "_change", "_gain", "_loss", "_avg_gain", "_avg_loss", "_atr", "_fast", "_slow", "bb_middle",
                  "pos", "n_rows")
     return out.dropna(how="any") if complete_only else out

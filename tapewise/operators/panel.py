@@ -28,6 +28,7 @@ BLOCK_ROWS = 3200  # with the longest usual halo still below the 4096 rows a win
 LONG_WINDOW = 100  # rolling means of at least this many rows use running sums
 _LOST = 17.0  # decimal digits after which a geometric tail no longer changes a double
 _RANGE = 280.0  # decimal exponent a block may span in each direction
+_ENOUGH = 12 / 17  # share of a halo's rows with known values, from which older ones weigh less than 1e-12
 
 
 def unit_of(date: str = "date") -> Column:
@@ -132,28 +133,45 @@ class Halo:
         frame = self.last(n)
         return F.when(F.count(column).over(frame) == n, F.stddev_samp(column).over(frame))
 
-    def decayed(self, column: str, alpha: float, start: int = 0) -> Column:
-        """y = x at row ``start``, then alpha*x + (1-alpha)*y of the row before.
+    def decay(self, averages: dict[str, tuple[str, float]]) -> Halo:
+        """Add exponential averages, each of a column with an alpha: y = x at the first known value, then w*y + (1-w)*x.
 
-        Inside a block this is q^j * sum(u * q^-j). Rows older than the halo weigh less than 1e-17.
-        Exponents are taken from the middle of the block so that they stay far from overflow.
+        w is (1-alpha)^d / ((1-alpha)^d + alpha), where the known value before is d rows back: 1-alpha without
+        gaps. A row without a value repeats the average, rows before the first known one have none. Inside a
+        block this is P * sum((1-w) * x / P) with P the running product of w, kept as a sum of logarithms
+        from the middle of the block so that it stays far from overflow. Values older than the halo weigh
+        less than 1e-17; a block whose halo has so many gaps that they weigh more than 1e-12 is refused.
         """
-        x = F.col(column)
-        if alpha >= 1.0:
-            return F.when(F.col("pos") >= start, x)
-        q = 1.0 - alpha
-        if self.back < decay_rows(alpha):
-            raise ValueError(f"halo of {self.back} rows is too short for alpha={alpha}")
-        if (self.block + self.back + 2 * UNIT_ROWS) / 2 * -math.log10(q) > _RANGE:
-            raise ValueError(f"block of {self.block} rows is too long for alpha={alpha}")
-        j = (F.col("pos") - F.col("_block") * self.block - (self.block - self.back) // 2).cast("double")
-        u = (
-            F.when(F.col("pos") < start, F.lit(0.0))
-            .when(F.col("pos") == start, x)
-            .otherwise(F.coalesce(x, F.lit(0.0)) * alpha)
-        )
-        total = F.sum(u * F.pow(F.lit(q), -j)).over(self.w.rowsBetween(Window.unboundedPreceding, 0))
-        return F.when(F.col("pos") == start, x).when(F.col("pos") > start, F.pow(F.lit(q), j) * total)
+        so_far, before = (self.w.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+        sources = {c: f"_at_{k}" for k, c in enumerate(dict.fromkeys(c for c, _ in averages.values()))}
+        known = {at: F.last(F.when(F.col(c).isNotNull(), F.col("pos")), ignorenulls=True).over(before) for c, at in sources.items()}
+        seen = {f"{at}_n": F.count(c).over(so_far) for c, at in sources.items()}
+        h = self.add(known | seen)
+        logs, sums, out, helpers = {}, {}, {}, [*known, *seen]
+        for name, (column, alpha) in averages.items():
+            x, at, q = F.col(column), F.col(sources[column]), 1.0 - alpha
+            if alpha >= 1.0:
+                out[name] = F.last(column, ignorenulls=True).over(so_far)
+                continue
+            if self.back < decay_rows(alpha):
+                raise ValueError(f"halo of {self.back} rows is too short for alpha={alpha}")
+            if (self.block + self.back + 2 * UNIT_ROWS) / 2 * -math.log10(q) > _RANGE:
+                raise ValueError(f"block of {self.block} rows is too long for alpha={alpha}")
+            gap = F.col("pos") - at
+            old = F.pow(F.lit(q), gap.cast("double"))
+            log = F.when(gap == 1, math.log(q)).otherwise(F.greatest(F.log(old / (old + alpha)), F.lit(-_LOST * math.log(10))))
+            logs[f"_log_{name}"] = F.when(x.isNotNull() & at.isNotNull(), log).otherwise(0.0)
+            middle = (self.block + self.back) / 2 * -math.log(q)
+            sums[f"_sum_{name}"] = F.sum(f"_log_{name}").over(so_far) + middle
+            total = F.col(f"_sum_{name}")
+            share = F.when(at.isNull() & (F.col("_block") == 0), 1.0).when(at.isNull() | (gap == 1), alpha).otherwise(alpha / (old + alpha))
+            few = (F.col("_block") > 0) & F.col("_home") & (F.col(f"{sources[column]}_n") < decay_rows(alpha) * _ENOUGH)
+            refused = F.raise_error(F.lit(f"too many gaps for an exponential average with alpha={alpha}")).cast("double")
+            out[name] = F.when(few | (total < -_RANGE * math.log(10)), refused).otherwise(
+                F.exp(total) * F.sum(share * x * F.exp(-total)).over(so_far))
+            helpers += [f"_log_{name}", f"_sum_{name}"]
+        h = h.add(logs).add(sums).add(out) if logs else h.add(out)
+        return Halo(h.df.drop(*helpers), self.back, self.block)
 
 
 def decay_rows(alpha: float) -> int:

@@ -116,9 +116,38 @@ def test_numbering_and_blocks(bars, panel_pd):
 
 def test_block_too_long_for_a_decay_is_refused(bars):
     with pytest.raises(ValueError):
-        panel.with_halo(bars, back=50, block=100_000).decayed("close", 2 / 3)
+        panel.with_halo(bars, back=50, block=100_000).decay({"e": ("close", 2 / 3)})
     with pytest.raises(ValueError):
-        panel.with_halo(bars, back=5).decayed("close", 0.1)
+        panel.with_halo(bars, back=5).decay({"e": ("close", 0.1)})
+
+
+@pytest.fixture(scope="module")
+def gaps_pd(panel_pd):
+    """Unknown prices on the first rows, inside, in a row, and at the edges of blocks of any length."""
+    out = panel_pd[panel_pd["ticker"].isin(["HOT", "MID", "T60", "T49"])].copy()
+    at = out.groupby("ticker").cumcount()
+    rng = np.random.default_rng(8)
+    close = (at < 2) & (out["ticker"] != "MID") | (at % 64 == 0) | (at % 64 == 63) & (out["ticker"] == "HOT") | at.between(700, 715) | (rng.random(len(out)) < 0.05)
+    out.loc[close, "close"] = np.nan
+    out.loc[at.isin([0, 5, 6, 7, 127, 128, 129]) | (rng.random(len(out)) < 0.05), ["high", "low"]] = np.nan
+    return out
+
+
+def test_exponential_averages_with_unknown_values(spark, gaps_pd, small_blocks):
+    rows = spark.createDataFrame(gaps_pd).replace(float("nan"), None)
+    want = by_ticker(gaps_pd, reference)
+    for df, columns in [(ind.ema(rows, 20), ["ema_20"]), (ind.rsi(rows), ["rsi"]), (ind.macd(rows), COLUMNS[3:6]), (ind.atr(rows), ["atr"]),
+                        (ind.indicators_all(rows, complete_only=False), ["ema_20", "macd", "macd_signal", "macd_hist", "rsi", "atr"])]:
+        same(collected(df), want, columns, rtol=1e-8)
+    assert collected(ind.ema(spark.createDataFrame(pd.DataFrame({"ticker": "A", "date": pd.to_datetime(["2020-01-01", "2020-01-02", "2020-01-03"]).date,
+                     "close": [1.0, None, 3.0]})).replace(float("nan"), None), 3, name="e"))["e"].round(2).tolist() == [1.0, 1.0, 2.33]
+
+
+def test_a_halo_without_known_values_is_refused(spark, panel_pd, small_blocks):
+    rows = panel_pd[panel_pd["ticker"] == "HOT"].copy()
+    rows.loc[rows.index[1000:1600], "close"] = np.nan
+    with pytest.raises(Exception, match="too many gaps"):
+        ind.ema(spark.createDataFrame(rows).replace(float("nan"), None), 9).collect()
 
 
 def test_future_bars_do_not_change_the_past(spark, bars, panel_pd):
@@ -146,4 +175,4 @@ def test_indicators_use_one_exchange_and_one_sort_for_all_windows(bars):
     blocks = [line for line in plan.splitlines() if "_block" in line]
     assert sum("Exchange hashpartitioning" in line for line in blocks) == 1
     assert sum("Sort [" in line for line in blocks) == 1
-    assert sum("Window [" in line for line in blocks) <= 4
+    assert sum("Window [" in line for line in blocks) <= 10  # stages that build on each other, over the same sorted rows
