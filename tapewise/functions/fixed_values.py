@@ -4,7 +4,6 @@ Ladders are lists of (bound, text): the first text whose bound lies strictly bel
 """
 
 # Default watch list.
-WATCHLIST = ["RELIANCE.NS", "TCS.NS", "INFY.NS", "HDFCBANK.NS", "WIPRO.NS"]
 
 # Company names used when the metadata table has no row.
 COMPANY_NAMES = {

@@ -92,11 +92,11 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
 
 
-def headline_text(headline: Column, description: Column, limit: int = 1000) -> Column:
-    """Headline and description joined for scoring; the scorer's input is at most ``limit`` characters."""
+def headline_text(headline: Column, description: Column, limit: int | None = None) -> Column:
+    """Headline and description joined for scoring; cut to ``limit`` characters for a scorer that asks for it."""
     head, tail = (F.trim(F.coalesce(c, F.lit(""))) for c in (headline, description))
     whole = F.when((tail != "") & (tail != "nan"), F.concat(head, F.lit(". "), tail)).otherwise(head)
-    return F.substring(whole, 1, limit)
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def lookup(key: Column, values: dict[str, str]) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewise.functions import scalar as S
+from tapewise.operators.panel import numbered
 from tapewise.schemas import EXPLANATIONS
+from tapewise.sources.store import last_of_each
 
 
 def contribution_array(names: list[str], values: list[Column], parts: list[Column]) -> Column:
@@ -47,10 +49,11 @@ def template_explanations(predictions: DataFrame) -> DataFrame:
         F.col("company_name"), F.col("prob_up"), F.col("confidence"), first["feature"], first["direction"]))
 
 
-def explanations_merge(predictions: DataFrame, replies: DataFrame) -> DataFrame:
-    """Generated text by ticker, the template where there is none."""
+def explanations_merge(predictions: DataFrame, replies: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Generated text by (ticker, date), the template where there is none; of several replies the last by ``order``."""
     base = template_explanations(predictions).withColumnRenamed("explanation", "_template")
-    joined = base.join(replies.select("ticker", F.col("explanation").alias("_reply")), "ticker", "left")
+    one = last_of_each(replies.select("ticker", "date", "explanation", *(order or [])), order=order)
+    joined = base.join(one.withColumnRenamed("explanation", "_reply"), ["ticker", "date"], "left")
     return joined.withColumn("explanation", F.coalesce("_reply", "_template")).drop("_reply", "_template")
 
 
@@ -78,31 +81,30 @@ def explanation_prompts(predictions: DataFrame, horizon: int = 10) -> DataFrame:
 
 
 def portfolio_prompts(predictions: DataFrame, per_prompt: int = 50) -> DataFrame:
-    """Prompts asking for a JSON array, each over about ``per_prompt`` predictions; never one global list.
+    """Prompts asking for a JSON array, each over at most ``per_prompt`` predictions of one ticker.
 
-    Predictions are spread over batches by a hash of (ticker, date), so a batch stays small.
+    Batches are numbered from 0 in date order within the ticker, by the panel's bounded row numbers.
     """
-    batches = F.greatest(F.lit(1), F.ceil(F.lit(predictions.count()) / per_prompt)).cast("int")
     entry = F.struct("ticker", "date", F.concat(
-        F.lit("Ticker: "), "ticker", F.lit("\nCompany: "), "company_name", F.lit("\nProbability up: "),
+        F.lit("Ticker: "), "ticker", F.lit("\nDate: "), F.date_format("date", "yyyy-MM-dd"), F.lit("\nCompany: "), "company_name", F.lit("\nProbability up: "),
         S.percent1(F.col("prob_up")), F.lit("%\nProbability down: "), S.percent1(1 - F.col("prob_up")),
         F.lit("%\nConfidence: "), "confidence", F.lit("\nSignals:\n"), _signal_lines(False)).alias("text"))
-    rows = predictions.select(F.pmod(F.xxhash64("ticker", "date"), batches).alias("batch"), entry.alias("e"))
-    grouped = rows.groupBy("batch").agg(F.array_sort(F.collect_list("e")).alias("es"), F.count(F.lit(1)).alias("n"))
+    rows = numbered(predictions).select("ticker", F.floor(F.col("pos") / per_prompt).alias("batch"), entry.alias("e"))
+    grouped = rows.groupBy("ticker", "batch").agg(F.array_sort(F.collect_list("e")).alias("es"), F.count(F.lit(1)).alias("n"))
     prompt = F.concat(
         F.lit('Explain each forecast below to a new investor in under 120 words, with its uncertainty and no '
-              'advice. Reply only with JSON: [{"ticker": "...", "explanation": "..."}]\n\n'),
+              'advice. Reply only with JSON: [{"ticker": "...", "date": "yyyy-mm-dd", "explanation": "..."}]\n\n'),
         F.concat_ws("\n\n", F.transform("es", lambda e: e["text"])))
-    return grouped.select("batch", "n", prompt.alias("prompt"))
+    return grouped.select("ticker", "batch", "n", prompt.alias("prompt"))
 
 
 def parse_explanations(replies: DataFrame, column: str = "reply") -> DataFrame:
-    """Rows (ticker, explanation) of a JSON reply, with or without a code fence; none when it is broken."""
+    """Rows (ticker, date, explanation) of a JSON reply, with or without a code fence; none when it is broken."""
     text = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
     text = F.regexp_replace(F.regexp_replace(text, r"^```json", ""), r"```$", "")
     rest = [c for c in replies.columns if c != column]
     parsed = replies.select(*rest, F.from_json(text, EXPLANATIONS).alias("_all"))
     # One incomplete item makes the whole reply unusable.
-    whole = F.forall("_all", lambda e: e["ticker"].isNotNull() & e["explanation"].isNotNull())
+    whole = F.forall("_all", lambda e: e["ticker"].isNotNull() & e["date"].isNotNull() & e["explanation"].isNotNull())
     items = parsed.filter(whole).select(*rest, F.explode("_all").alias("_e"))
-    return items.select(*rest, "_e.ticker", "_e.explanation")
+    return items.select(*rest, "_e.ticker", "_e.date", "_e.explanation")

@@ -94,10 +94,10 @@ _CTES: dict[str, tuple[list[str], str]] = {
         WHERE p_brand <> (SELECT min(p_brand) FROM part) GROUP BY p_brand"""),
     "tickers": ([], "SELECT DISTINCT p_brand AS ticker FROM part"),
     "news": ([], f"""
-        SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, p_name AS headline,
+        SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) - CAST(day(l_shipdate) % 2 AS INTEGER) AS date, p_name AS headline,
                CASE WHEN l_linestatus = 'F' THEN p_type END AS description, l_linestatus AS source,
                {rx('(l_discount - l_tax) * 10', 4)} AS sentiment_score, l_orderkey, l_linenumber
-        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'"""),
+        FROM lineitem JOIN part ON l_partkey = p_partkey"""),
     "units": (["news"], """
         SELECT *, CAST(round_even(sentiment_score * 10000, 0) AS BIGINT) AS u FROM news"""),
     "daily": (["units"], f"""

@@ -76,9 +76,15 @@ def _(t: Tables):
 
 
 def _batch_bars(t: Tables):
-    """A corrected delivery: bars of the last two years of each ticker at doubled volume, prices up a tenth."""
-    return ingest.trailing_period(t.bars(), 2).withColumns(
-        {c: F.col(c) * 1.1 for c in ("open", "high", "low", "close")}).withColumn("volume", F.col("volume") * 2)
+    """A corrected delivery of the last two years, prices up a tenth: every bar twice, then at doubled volume."""
+    rows = ingest.trailing_period(t.bars(), 2).withColumns({c: F.col(c) * 1.1 for c in ("open", "high", "low", "close")})
+    return _twice(rows, volume=F.col("volume") * 2)
+
+
+def _twice(rows, **last):
+    """The rows as they are and once more, numbered as arriving later, with other values."""
+    first = rows.withColumn("arrival", F.lit(1))
+    return first.unionByName(rows.withColumn("arrival", F.lit(2)).withColumns(last))
 
 
 _IN_BATCH = "date > max(date) OVER (PARTITION BY ticker) - INTERVAL 24 MONTH"
@@ -90,7 +96,8 @@ _IN_BATCH = "date > max(date) OVER (PARTITION BY ticker) - INTERVAL 24 MONTH"
            CASE WHEN b THEN volume * 2 ELSE volume END AS volume
     FROM (SELECT *, {_IN_BATCH} AS b FROM bars) q""", "bars"))
 def _(t: Tables):
-    return store.upsert(store.price_rows(t.bars()), store.price_rows(_batch_bars(t)))
+    batch = store.price_rows(_batch_bars(t), extra=["arrival"])
+    return store.upsert(store.price_rows(t.bars()), batch, order=["arrival"])
 
 
 @query("upsert_indicators", sql(f"""
@@ -100,8 +107,8 @@ def _(t: Tables):
     FROM (SELECT *, {_IN_BATCH} AS b FROM ind WHERE pos >= 49) q""", "ind"))
 def _(t: Tables):
     base = store.indicator_rows(t.indicators())
-    fresh = ingest.trailing_period(t.indicators(), 2).withColumn("rsi", F.lit(float("nan")))
-    return rd(store.upsert(base, store.indicator_rows(fresh)), INDICATOR_COLUMNS)
+    fresh = _twice(ingest.trailing_period(t.indicators(), 2), rsi=F.lit(float("nan")))
+    return rd(store.upsert(base, store.indicator_rows(fresh, extra=["arrival"]), order=["arrival"]), INDICATOR_COLUMNS)
 
 
 @query("upsert_sentiment", sql(f"""
@@ -109,8 +116,8 @@ def _(t: Tables):
            sentiment_momentum, article_count FROM (SELECT *, {_IN_BATCH} AS b FROM sentiment) q""", "sentiment"))
 def _(t: Tables):
     rows = store.sentiment_rows(t.sentiment())
-    fresh = ingest.trailing_period(rows, 2).withColumn("sentiment_1d", F.lit(float("nan")))
-    return store.upsert(rows, store.sentiment_rows(fresh))
+    fresh = _twice(ingest.trailing_period(rows, 2), sentiment_1d=F.lit(float("nan")))
+    return store.upsert(rows, store.sentiment_rows(fresh, extra=["arrival"]), order=["arrival"])
 
 
 @query("fetch_log", sql("""
@@ -257,9 +264,18 @@ def _(t: Tables):
     return feat.drop_incomplete(every, INDICATOR_COLUMNS).select("ticker", "date", "close")
 
 
-@query("min_history_gate", sql("""
+def _history(rows: int) -> str:
+    return sql(f"""
     SELECT ticker, date, close FROM (SELECT *, count(*) OVER (PARTITION BY ticker) AS n FROM dataset) q
-    WHERE n >= 1600""", "dataset"))
+    WHERE n >= {rows}""", "dataset")
+
+
+@query("min_history_gate", _history(100))
+def _(t: Tables):
+    return feat.min_history(t.dataset(), 100).select("ticker", "date", "close")
+
+
+@query("min_history_gate_long", _history(1600))
 def _(t: Tables):
     return feat.min_history(t.dataset(), 1600).select("ticker", "date", "close")
 
@@ -474,8 +490,8 @@ def _(t: Tables):
 
 
 @query("headline_text", sql("""
-    SELECT ticker, date, left(CASE WHEN trim(coalesce(description, '')) NOT IN ('', 'nan')
-        THEN trim(headline) || '. ' || trim(description) ELSE trim(headline) END, 1000) AS text FROM news""", "news"))
+    SELECT ticker, date, CASE WHEN trim(coalesce(description, '')) NOT IN ('', 'nan')
+        THEN trim(headline) || '. ' || trim(description) ELSE trim(headline) END AS text FROM news""", "news"))
 def _(t: Tables):
     return t.news().select("ticker", "date", S.headline_text(F.col("headline"), F.col("description")).alias("text"))
 

@@ -84,29 +84,48 @@ def _(t: Tables):
     return rounded(stats.bb_squeeze_flag(t.features()), 5, "width_bound")
 
 
-_EVENTS = f"""
+_EVENTS_BELOW = f"""
     SELECT ticker, date, {rx('rsi', 1)} AS rsi, close AS entry_price, future AS exit_price,
            {r(div('future - close', 'close') + ' * 100', 2)} AS return_pct, future > close AS recovered
     FROM (SELECT *, lead(close, 10) OVER (PARTITION BY ticker ORDER BY date) AS future FROM feat) q
-    WHERE rsi < 47 AND future IS NOT NULL"""
+    WHERE rsi < %d AND future IS NOT NULL"""
+_EVENTS = _EVENTS_BELOW % 30
 
 
 @query("oversold_event_study", sql(_EVENTS, "feat"))
+def _(t: Tables):
+    return stats.oversold_event_study(t.features(), bound=30)
+
+
+@query("oversold_event_study_wide", sql(_EVENTS_BELOW % 47, "feat"))
 def _(t: Tables):
     return stats.oversold_event_study(t.features(), bound=47)
 
 
-@query("event_study_summary", sql(f"""
+def _event_summary(events: str) -> str:
+    return sql(f"""
     SELECT *, CASE WHEN win_rate > 60 AND mean_return > 0 THEN 'EFFECTIVE' WHEN win_rate > 50 THEN 'MILD' ELSE 'WEAK' END
               AS verdict
     FROM (SELECT ticker, count(*) AS n, round(avg(CASE WHEN recovered THEN 100e0 ELSE 0e0 END), 6) AS win_rate,
                  round(avg(return_pct), 4) AS mean_return, {rx('quantile_cont(return_pct, 0.5)', 4)} AS median_return,
-                 max(return_pct) AS best, min(return_pct) AS worst FROM ({_EVENTS}) e GROUP BY ticker) q""", "feat"))
-def _(t: Tables):
-    out = stats.event_study_summary(stats.oversold_event_study(t.features(), bound=47))
+                 max(return_pct) AS best, min(return_pct) AS worst FROM ({events}) e GROUP BY ticker) q""", "feat")
+
+
+def _summary(t: Tables, bound: int):
+    out = stats.event_study_summary(stats.oversold_event_study(t.features(), bound=bound))
     return rounded(rounded(out, 6, "win_rate"), 4, "mean_return", "median_return")
 
 
+@query("event_study_summary", _event_summary(_EVENTS))
+def _(t: Tables):
+    return _summary(t, 30)
+
+
+@query("event_study_summary_wide", _event_summary(_EVENTS_BELOW % 47))
+def _(t: Tables):
+    return _summary(t, 47)
+
+
 # ---- latest-bar views ----------------------------------------------------------------------------------
 
 _SIGNALS = f"""SELECT ticker, date, close, rsi, macd_hist, sma_50,

@@ -137,25 +137,28 @@ def _(t: Tables):
 def _replies(t: Tables):
     """Replies as a text service returns them: plain, fenced and broken JSON, one per ticker and year."""
     rows = t.predictions().groupBy("ticker", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"))
-    item = F.to_json(F.array(F.struct("ticker", F.concat(F.lit("Seen "), F.col("n").cast("string"), F.lit(" rows.")).alias("explanation"))))
+    item = F.to_json(F.array(F.struct("ticker", F.make_date("year", F.lit(1), F.lit(2)).alias("date"), F.concat(F.lit("Seen "), F.col("n").cast("string"), F.lit(" rows.")).alias("explanation"))))
     reply = F.when(F.col("year") % 3 == 0, item).when(
         F.col("year") % 3 == 1, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).otherwise(F.concat(F.lit("[{"), item))
     return rows.select("year", F.col("ticker").alias("asked"), reply.alias("reply"))
 
 
 @query("parse_explanations", sql("""
-    SELECT CAST(year(date) AS INTEGER) AS year, ticker AS asked, ticker, 'Seen ' || count(*) || ' rows.' AS explanation FROM dataset
+    SELECT CAST(year(date) AS INTEGER) AS year, ticker AS asked, ticker, make_date(year(date), 1, 2) AS date, 'Seen ' || count(*) || ' rows.' AS explanation FROM dataset
     GROUP BY year(date), ticker HAVING year(date) % 3 <> 2""", "dataset"))
 def _(t: Tables):
     return explain.parse_explanations(_replies(t))
 
 
 @query("explanations_merge", sql(f"""
-    SELECT e.ticker, e.date, coalesce(m.company_name || ' in words.', e.explanation) AS explanation
-    FROM ({_EXPLAINED}) e LEFT JOIN metadata m ON e.ticker = m.ticker""", "ranked", "labels_of", "metadata", extra=_PRED))
+    SELECT e.ticker, e.date, CASE WHEN day(e.date) % 2 = 0 THEN e.ticker || ' in words, again.' ELSE e.explanation END AS explanation
+    FROM ({_EXPLAINED}) e""", "ranked", "labels_of", extra=_PRED))
 def _(t: Tables):
-    replies = t.metadata().select("ticker", F.concat("company_name", F.lit(" in words.")).alias("explanation"))
-    return explain.explanations_merge(t.predictions(), replies).select("ticker", "date", "explanation")
+    """Replies to the predictions of even days, each of them twice."""
+    rows = t.predictions().filter(F.dayofmonth("date") % 2 == 0).select("ticker", "date")
+    said = [F.concat("ticker", F.lit(" in words" + end)).alias("explanation") for end in (".", ", again.")]
+    replies = rows.select("*", F.lit(1).alias("batch"), said[0]).unionByName(rows.select("*", F.lit(2).alias("batch"), said[1]))
+    return explain.explanations_merge(t.predictions(), replies, order=["batch"]).select("ticker", "date", "explanation")
 
 
 # ---- knowledge and retrieval ---------------------------------------------------------------------------
@@ -174,9 +177,18 @@ def _(t: Tables):
     return out.withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
 
 
-@query("question_filter", """
+def _asked(high: int) -> str:
+    return f"""
     SELECT conv_id || '-' || turn AS query_id, text FROM conversations
-    WHERE role = 'user' AND length(text) BETWEEN 5 AND 200""")
+    WHERE role = 'user' AND length(text) BETWEEN 5 AND {high}"""
+
+
+@query("question_filter", _asked(500))
+def _(t: Tables):
+    return retrieval.question_filter(t.questions())
+
+
+@query("question_filter_short", _asked(200))
 def _(t: Tables):
     return retrieval.question_filter(t.questions(), high=200)
 
@@ -207,11 +219,11 @@ def _(t: Tables):
 
 
 def _text_hits(t: Tables):
-    hits = retrieval.retrieve_topk(t.vector_queries(), t.vectors(), 3, topic=3)
+    hits = retrieval.retrieve_topk(t.vector_queries(), t.vectors(), 3)
     return retrieval.hits_with_text(hits, t.vector_texts())
 
 
-_TEXT_HITS = f"SELECT h.*, d.source AS title, d.text AS content FROM ({_hits_sql('WHERE c.label = 3')}) h JOIN documents d ON d.doc_id = h.chunk_id"
+_TEXT_HITS = f"SELECT h.*, d.source AS title, d.text AS content FROM ({_hits_sql()}) h JOIN documents d ON d.doc_id = h.chunk_id"
 
 
 @query("build_context", f"""

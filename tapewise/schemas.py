@@ -29,10 +29,6 @@ PRICES = _struct(_KEY, PRICE_COLUMNS).add("volume", T.LongType(), True)
 INDICATORS = _struct(_KEY, INDICATOR_COLUMNS)
 SENTIMENT = _struct(_KEY, SENTIMENT_COLUMNS).add("article_count", T.IntegerType(), True)
 FETCH_LOG = T.StructType().add("ticker", T.StringType(), False).add("last_fetched", T.TimestampType())
-STOCK_METADATA = T.StructType(
-    [T.StructField(n, T.StringType(), n != "ticker")
-     for n in ["ticker", "company_name", "sector", "market_cap", "exchange"]]
-)
 
 # One downloaded file per ticker; the ticker is in the file name, not in the rows.
 RAW_BARS = (
@@ -64,5 +60,5 @@ CONTRIBUTION = (
     .add("direction", T.StringType()).add("magnitude", T.DoubleType())
 )
 EXPLANATIONS = T.ArrayType(
-    T.StructType().add("ticker", T.StringType()).add("explanation", T.StringType())
+    T.StructType().add("ticker", T.StringType()).add("date", T.DateType()).add("explanation", T.StringType())
 )

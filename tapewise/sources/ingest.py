@@ -78,14 +78,13 @@ def ingest_news(payloads: DataFrame) -> DataFrame:
 
 def news_window(news: DataFrame, as_of: Column, days_back: int = 7, max_articles: int = 50,
                 order: list[Column] | None = None) -> DataFrame:
-    """Articles of the last ``days_back`` days, at most min(max_articles, 100) newest per ticker.
+    """Articles of the last ``days_back`` days, the ``max_articles`` newest per ticker.
 
     ``row_number() <= k`` lets every task keep only its own k newest rows before the exchange.
     """
     recent = news.filter((F.col("date") >= F.date_sub(as_of, days_back)) & (F.col("date") <= as_of))
     w = Window.partitionBy("ticker").orderBy(F.col("date").desc(), *(order or []))
-    k = min(max_articles, 100)
-    return recent.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")
+    return recent.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= max_articles).drop("_k")
 
 
 def read_knowledge(spark: SparkSession, path: str) -> DataFrame:

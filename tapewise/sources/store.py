@@ -21,9 +21,9 @@ def _number(c: str, digits: int | None = None) -> Column:
     return (x if digits is None else F.round(x, digits)).alias(c)
 
 
-def price_rows(bars: DataFrame) -> DataFrame:
+def price_rows(bars: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Bars as stored: prices to 2 decimals, whole volumes."""
-    return bars.select(*KEY, *[_number(c, 2) for c in PRICE_COLUMNS], F.col("volume").cast("long").alias("volume"))
+    return bars.select(*KEY, *[_number(c, 2) for c in PRICE_COLUMNS], F.col("volume").cast("long").alias("volume"), *(extra or []))
 
 
 def indicator_rows(indicators: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -31,18 +31,32 @@ def indicator_rows(indicators: DataFrame, extra: list[str] | None = None) -> Dat
     return indicators.select(*KEY, *[_number(c, 6) for c in INDICATOR_COLUMNS], *(extra or []))
 
 
-def sentiment_rows(features: DataFrame) -> DataFrame:
+def sentiment_rows(features: DataFrame, extra: list[str] | None = None) -> DataFrame:
     count = "article_count" if "article_count" in features.columns else F.lit(None).cast("int").alias("article_count")
-    return features.select(*KEY, *[_number(c) for c in SENTIMENT_COLUMNS], count)
+    return features.select(*KEY, *[_number(c) for c in SENTIMENT_COLUMNS], count, *(extra or []))
 
 
-def upsert(base: DataFrame, batch: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Rows of ``base`` not in ``batch`` plus ``batch`` (whose keys are unique).
+def last_of_each(batch: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """One row per key: the last by ``order`` and then by its values, so that the choice is definite.
+
+    A grouped maximum, combined before the shuffle: a key that is repeated very often is no hot task.
+    Columns that are only in ``order`` drop out.
+    """
+    keys = keys or KEY
+    rest = [c for c in batch.columns if c not in keys and c not in (order or [])]
+    by = F.struct(*(order or []), *rest)
+    one = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_r"))
+    return one.select(*keys, "_r.*")
+
+
+def upsert(base: DataFrame, batch: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """Rows of ``base`` not in ``batch`` plus one row of ``batch`` per key, its last (see ``last_of_each``).
 
     An anti join: the usual small batch is broadcast after its size is known and ``base`` stays in place.
     """
     keys = keys or KEY
-    return base.join(batch.select(*keys), keys, "left_anti").unionByName(batch.select(*base.columns))
+    one = last_of_each(batch.select(*base.columns, *(order or [])), keys, order)
+    return base.join(one.select(*keys), keys, "left_anti").unionByName(one.select(*base.columns))
 
 
 def fetch_log(loads: DataFrame) -> DataFrame:
@@ -84,11 +98,12 @@ class PanelStore:
         return rows.select(*self.columns)
 
     def upsert(self, batch: DataFrame) -> None:
-        """Merge a batch with unique keys. Only the months it touches are read and replaced.
+        """Merge a batch, of which the last row per key counts. Only the months it touches are read and replaced.
 
-        The batch must not be derived from this table: replacing the files would change it.
+        The batch must not be derived from this table: replacing the files would change it. Months are
+        replaced one after the other; after a failure in between, the same batch applied again completes it.
         """
-        rows = batch.select(*self.columns).withColumn("month", _month(F.col("date")))
+        rows = last_of_each(batch.select(*self.columns)).withColumn("month", _month(F.col("date")))
         months = [r["month"] for r in rows.select("month").distinct().collect()]  # bounded by the calendar
         if not months:
             return

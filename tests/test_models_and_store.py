@@ -164,10 +164,11 @@ def test_news_payloads(spark, tmp_path):
     assert NEWS_PAYLOAD.names == ["ticker", "status", "articles"]
 
 
-def test_news_window_is_capped(spark):
+def test_news_window_keeps_what_is_asked_for(spark):
     rows = spark.range(1000).select(F.concat(F.lit("T"), F.col("id") % 2).alias("ticker"), F.date_sub(F.lit(dt.date(2024, 1, 31)), (F.col("id") % 40).cast("int")).alias("date"), "id")
     got = ingest.news_window(rows, F.lit(dt.date(2024, 1, 31)), days_back=7, max_articles=500, order=[F.col("id")])
-    assert got.count() == 200 and got.agg(F.min("date")).first()[0] >= dt.date(2024, 1, 24)
+    assert got.count() == 200 and ingest.news_window(rows, F.lit(dt.date(2024, 1, 31)), days_back=7, max_articles=50, order=[F.col("id")]).count() == 100
+    assert got.agg(F.min("date")).first()[0] >= dt.date(2024, 1, 24)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2  # every task keeps its own newest rows before the exchange
 
@@ -219,3 +220,16 @@ def test_shared_folder_follows_the_session(spark):
 def test_embargo_shrinks_the_training_set(labelled):
     plain, gap = (models.walkforward_backtest(labelled, XS, embargo=n).filter("window = 0").first()["train_size"] for n in (0, 10))
     assert plain - gap == 20  # ten days of two tickers
+
+
+def test_upsert_keeps_the_last_row_of_a_repeated_key(spark, tmp_path):
+    kinds = "ticker string, date date, open double, high double, low double, close double, volume long, n int"
+    day = dt.date(2020, 1, 1)
+    base = spark.createDataFrame([("A", day, 1.0, 1.0, 1.0, 1.0, 1, 0), ("B", day, 1.0, 1.0, 1.0, 1.0, 1, 0)], kinds).drop("n")
+    batch = spark.createDataFrame([("A", day, 3.0, 3.0, 3.0, 3.0, 3, 2), ("A", day, 9.0, 9.0, 9.0, None, 9, 1), ("C", day, 2.0, 2.0, 2.0, 2.0, 2, 1)] * 2, kinds)
+    got = {r["ticker"]: r["close"] for r in store.upsert(base, batch, order=["n"]).collect()}
+    assert got == {"A": 3.0, "B": 1.0, "C": 2.0} and store.upsert(base, batch, order=["n"]).count() == 3
+    table = store.PanelStore(spark, str(tmp_path / "t"), PRICES)
+    table.upsert(base)
+    table.upsert(batch.drop("n"))
+    assert table.read().count() == 3

@@ -18,7 +18,8 @@ def test_headline_text(spark):
     rows = [("a", "b"), ("a", ""), ("a", "nan"), ("a", None), (" a ", " b "), ("h" * 900, "d" * 900)]
     df = spark.createDataFrame(rows, "h string, d string")
     got = [r[0] for r in df.select(S.headline_text(F.col("h"), F.col("d"))).collect()]
-    assert got[:5] == ["a. b", "a", "a", "a", "a. b"] and got[5] == ("h" * 900 + ". " + "d" * 900)[:1000]
+    assert got[:5] == ["a. b", "a", "a", "a", "a. b"] and got[5] == "h" * 900 + ". " + "d" * 900
+    assert df.select(S.headline_text(F.col("h"), F.col("d"), 1000)).collect()[5][0] == got[5][:1000]
 
 
 def test_word_count(spark):
@@ -51,7 +52,7 @@ def test_top_features_keep_feature_order_on_ties(spark):
 
 
 def test_parse_explanations(spark):
-    good = json.dumps([{"ticker": "A", "explanation": "x"}, {"ticker": "B", "explanation": "y"}])
+    good = json.dumps([{"ticker": "A", "date": "2024-01-02", "explanation": "x"}, {"ticker": "B", "date": "2024-01-02", "explanation": "y"}])
     replies = [good, f"```json\n{good}\n```", "not json", "[{\"ticker\": \"A\"}]", "[]", "  " + good + " \n"]
     df = spark.createDataFrame(list(enumerate(replies)), "i int, reply string")
     got = explain.parse_explanations(df).groupBy("i").count().collect()
@@ -60,11 +61,13 @@ def test_parse_explanations(spark):
 
 def test_explanations_merge(spark):
     feature = explain.contribution_array(["rsi"], [F.lit(1.0)], [F.lit(0.2)])
-    df = spark.createDataFrame([("A",), ("B",)], "ticker string").select(
-        "ticker", F.lit("N").alias("company_name"), F.lit(0.7).alias("prob_up"), F.lit("low").alias("confidence"), feature.alias("top_features"))
-    replies = spark.createDataFrame([("A", "hello")], "ticker string, explanation string")
-    got = {r["ticker"]: r["explanation"] for r in explain.explanations_merge(df, replies).collect()}
-    assert got["A"] == "hello" and got["B"].startswith("N shows a 70.0%")
+    day, other = dt.date(2024, 1, 2), dt.date(2024, 1, 3)
+    df = spark.createDataFrame([("A", day), ("A", other), ("B", day)], "ticker string, date date").select(
+        "ticker", "date", F.lit("N").alias("company_name"), F.lit(0.7).alias("prob_up"), F.lit("low").alias("confidence"), feature.alias("top_features"))
+    replies = spark.createDataFrame([("A", day, "hello", 2), ("A", day, "zero", 1), ("A", other, "later", 1)], "ticker string, date date, explanation string, n int")
+    rows = explain.explanations_merge(df, replies, order=["n"]).collect()
+    got = {(r["ticker"], r["date"]): r["explanation"] for r in rows}
+    assert len(rows) == 3 and got["A", day] == "hello" and got["A", other] == "later" and got["B", day].startswith("N shows a 70.0%")
 
 
 def test_prompts_hold_every_prediction(spark):
@@ -72,8 +75,9 @@ def test_prompts_hold_every_prediction(spark):
     df = spark.range(230).select(
         F.concat(F.lit("T"), "id").alias("ticker"), F.lit(dt.date(2024, 1, 2)).alias("date"), F.lit("N").alias("company_name"),
         F.lit(0.7).alias("prob_up"), F.lit("low").alias("confidence"), feature.alias("top_features"))
-    batches = explain.portfolio_prompts(df, per_prompt=50).toPandas()
-    assert batches["n"].sum() == 230 and len(batches) == 5
+    hot = df.withColumns({"ticker": F.lit("HOT"), "date": F.date_add(F.lit(dt.date(2020, 1, 1)), F.monotonically_increasing_id().cast("int"))})
+    batches = explain.portfolio_prompts(df.unionByName(spark.createDataFrame(hot.coalesce(1).collect(), df.schema)), per_prompt=50).toPandas()
+    assert batches["n"].sum() == 460 and batches["n"].max() == 50 and sorted(batches[batches["ticker"] == "HOT"]["n"]) == [30, 50, 50, 50, 50]
     prompt = explain.explanation_prompts(df).first()["prompt"]
     assert "RSI momentum indicator: moderately bullish (measures whether the stock is overbought or oversold)" in prompt
     assert "January 02, 2024" in prompt
