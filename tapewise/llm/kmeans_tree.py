@@ -19,10 +19,11 @@ EVERY = 50
 #: Vectors that the tree is fitted on, at most about; all vectors are indexed.
 SAMPLE = 32_768
 BRANCHES = 16
-LEAF = 32
+#: Least vectors of the sample in a leaf; leaves are as large as the square root of all vectors asks.
+LEAF = 16
 #: Queries that are searched exactly to calibrate, at most about, and the share of neighbours the tree must find for them.
 CALIBRATION = 256
-RECALL = 0.97
+RECALL = 0.95
 #: Vectors of a leaf that meet its queries in one task.
 PART = 2048
 ROUNDS = 8
@@ -44,7 +45,7 @@ class Tree:
             tree.centres.append(np.zeros((0, unit.shape[1])))
             tree.children.append([])
             tree.leaf.append(-1)
-            own = cls._split(unit[rows], branches, rng) if len(rows) > leaf_size else None
+            own = cls._split(unit[rows], min(branches, -(-len(rows) // leaf_size)), rng) if len(rows) > leaf_size else None
             if own is None or len(np.unique(own[1])) < 2:
                 tree.leaf[node] = tree.leaves
                 tree.leaves += 1
@@ -195,7 +196,8 @@ def _matrix(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return got.column("vec_id").to_numpy(), flat.flatten().to_numpy().reshape(-1, width)
 
 
-def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, recall: float = RECALL, branches: int = BRANCHES, leaf_size: int = LEAF) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, recall: float = RECALL, branches: int = BRANCHES,
+            leaf_size: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k nearest found by cosine, ties to the smaller vec_id.
 
     Queries are rows whose vec_id is divisible by ``every``; rows with the query's own vec_id are no
@@ -203,7 +205,8 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, recall: float
     take no part. Vectors of another width than the first row's are left out. Fewer candidates give fewer
     rows; no usable rows give none.
 
-    The tree is fitted on at most about SAMPLE vectors; every vector is indexed under its leaf. About
+    The tree is fitted on at most about SAMPLE vectors, with about as many leaves as the square root of all
+    vectors as long as the sample suffices for it; every vector is indexed under its leaf. About
     CALIBRATION queries are searched exactly. Their neighbours' leaves show how many leaves a best-bin-first
     traversal must visit until ``recall`` of the neighbours is found; all queries visit so many. A leaf that
     holds many vectors is cut into parts of about PART, each of which meets the leaf's queries.
@@ -215,7 +218,8 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, recall: float
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = first["width"]
-    tree = Tree.fit(_unit(_matrix(_sample(vectors, n, SAMPLE), width)[1]), branches, leaf_size)
+    sample = _unit(_matrix(_sample(vectors, n, SAMPLE), width)[1])
+    tree = Tree.fit(sample, branches, leaf_size or max(LEAF, round(len(sample) / n ** 0.5)))
     queries = vectors.filter(F.col("vec_id") % every == 0)
     ids, asked = _matrix(_sample(queries.dropDuplicates(["vec_id"]), max(1, queries.count()), CALIBRATION), width)
     leaves = 1
