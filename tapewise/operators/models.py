@@ -8,7 +8,6 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -235,60 +234,3 @@ def coef_ranking(model: Classifier, rows: DataFrame) -> DataFrame:
     pairs = list(zip(model.features, (float(w) for w in model.fitted.coefficients.toArray())))
     return rows.sparkSession.createDataFrame(pairs, "feature string, coefficient double").orderBy(
         F.desc(F.abs("coefficient")), "feature")
-
-
-# ---- one model per ticker ------------------------------------------------------------------------------
-
-
-def _newton(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Ridge logistic weights (intercept last, not penalised) by Newton steps."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    ridge = np.diag(np.r_[np.ones(x.shape[1]), 0.0]) / c
-    w = np.zeros(a.shape[1])
-    for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(a @ w, -500, 500)))
-        gradient = a.T @ (p - y) + ridge @ w
-        hessian = (a * (p * (1 - p))[:, None]).T @ a + ridge + 1e-12 * np.eye(len(w))
-        move = np.linalg.solve(hessian, gradient)
-        w -= move
-        if np.abs(move).max() < 1e-10:
-            break
-    return w
-
-
-_PREDICTION = "ticker string, date date, prob_up double, train_size long"
-
-
-def per_ticker_models(rows: DataFrame, features: list[str], test_size: float = 0.2,
-                      max_rows: int = 200_000) -> DataFrame:
-    """Latest prediction of an independent logistic model per ticker.
-
-    Tickers of up to ``max_rows`` rows are fitted one per task. Larger ones are fitted one after another
-    as distributed jobs on all executors, with the same objective.
-    """
-    sizes = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("_n"))
-    large = [r["ticker"] for r in sizes.filter(F.col("_n") > max_rows).select("ticker").collect()]
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date")
-        n = int(len(group) * (1 - test_size))
-        x, y = group[features].to_numpy(float), group["label"].to_numpy(float)
-        if n < 2 or len(set(y[:n])) < 2:
-            return pd.DataFrame({"ticker": [], "date": [], "prob_up": [], "train_size": []})
-        mean, dev = x[:n].mean(0), x[:n].std(0)
-        dev[dev == 0] = 1.0
-        w = _newton((x[:n] - mean) / dev, y[:n])
-        z = ((x[-1] - mean) / dev) @ w[:-1] + w[-1]
-        return pd.DataFrame({"ticker": [group["ticker"].iloc[0]], "date": [group["date"].iloc[-1]],
-                             "prob_up": [1.0 / (1.0 + np.exp(-z))], "train_size": [n]})
-
-    small = rows.filter(~F.col("ticker").isin(large)) if large else rows
-    out = small.select(*KEY, *features, "label").groupBy("ticker").applyInPandas(one, _PREDICTION)
-    for ticker in large:
-        mine = date_positions(rows.filter(F.col("ticker") == ticker))
-        train = mine.filter(F.col("day") < train_rows(F.col("days"), test_size))
-        model = train_logistic(train, features)
-        last = mine.filter(F.col("day") == F.col("days") - 1)
-        out = out.unionByName(model.score(last).select(
-            *KEY, F.col("prob").alias("prob_up"), F.lit(model.train_size).cast("long").alias("train_size")))
-    return out

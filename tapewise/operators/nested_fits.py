@@ -61,11 +61,12 @@ def _total(rows: DataFrame, models: int, width: int, add: Callable[[pd.DataFrame
     return out
 
 
-def fit_nested(rows: DataFrame, features: list[str], cuts: list[int], c: float = 1.0, steps: int = 25,
+def fit_nested(rows: DataFrame, features: list[str], cuts: list[int], c: float = 1.0, steps: int = 50,
                tolerance: float = 1e-8) -> NestedLogistic:
     """L2 logistic models (1/2|w|^2 + c*sum(loss), population-standardised features) for all ``cuts``.
 
-    ``rows`` has ``day``, ``label`` and the features; it is read once per Newton step, so cache it.
+    ``rows`` has ``day``, ``label`` and the features; it is read once per Newton step, so cache it. A fit that
+    has not converged after ``steps`` raises.
     """
     used = rows.select("day", "label", *features)
     edges, d, k = np.array(cuts), len(features), len(cuts)
@@ -77,16 +78,20 @@ def fit_nested(rows: DataFrame, features: list[str], cuts: list[int], c: float =
         ends = np.searchsorted(first[order], np.arange(k), side="right")
         return batch[features].to_numpy(float)[order], batch["label"].to_numpy(float)[order], ends
 
+    # Moments about the mean of all rows, so that a large mean takes no digits from a small deviation.
+    centre = np.array(used.agg(*[F.avg(f) for f in features]).first(), dtype=float)
+
     def moments(batch: pd.DataFrame, block: np.ndarray) -> None:
         x, _y, ends = ordered(batch)
+        x = x - centre
         sums = np.vstack([np.zeros(2 * d), np.cumsum(np.hstack([x, x * x]), axis=0)])
         block[:, 0] += ends
         block[:, 1:] += sums[ends]
 
     total = _total(used, k, 1 + 2 * d, moments)
     n = np.maximum(total[:, :1], 1.0)
-    mean = total[:, 1:1 + d] / n
-    deviation = np.sqrt(np.maximum(total[:, 1 + d:] / n - mean * mean, 0.0))
+    shift = total[:, 1:1 + d] / n
+    mean, deviation = centre + shift, np.sqrt(np.maximum(total[:, 1 + d:] / n - shift * shift, 0.0))
     deviation[deviation == 0] = 1.0
     weights = np.zeros((k, d + 1))
     ridge = np.r_[np.ones(d), 0.0] / c
@@ -112,4 +117,6 @@ def fit_nested(rows: DataFrame, features: list[str], cuts: list[int], c: float =
             moved = max(moved, float(np.abs(move).max()))
         if moved < tolerance:
             break
+    else:
+        raise RuntimeError(f"not converged after {steps} steps: the last one moved a weight by {moved:.3g}")
     return NestedLogistic(features, list(cuts), mean, deviation, weights, [int(x) for x in n[:, 0]])

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewise.functions.fixed_values import HORIZONS
-from tapewise.operators import attribution, features as feat, models, stats
+from tapewise.operators import attribution, features as feat, models, stats, ticker_fits
 from tapewise.operators.signals import company_name
 from tapewise.plans.registry import query, rounded
 from tapewise.plans.tables import Tables
 from tapewise.schemas import FEATURES, FEATURES_WITH_SENTIMENT
 
-TREES = 20  # trees per registered query; the operator's default is 300
+_fitted: dict[tuple[str, str, str], models.Classifier] = {}
 
 
 def _split(t: Tables):
@@ -23,7 +23,15 @@ def _split(t: Tables):
 
 def _fit(kind: str, train: DataFrame, columns: list[str] = FEATURES) -> models.Classifier:
     with models.cached(train):
-        return models.fit(kind, train, columns, **({"trees": TREES} if kind == "gbt" else {}))
+        return models.fit(kind, train, columns)
+
+
+def _shared(t: Tables, kind: str) -> models.Classifier:
+    """The model of the base features, fitted once per application and data folder."""
+    key = (t.spark.sparkContext.applicationId, t.dir, kind)
+    if key not in _fitted:
+        _fitted[key] = _fit(kind, _split(t)[0])
+    return _fitted[key]
 
 
 def _scorecard(kind: str, scored):
@@ -32,20 +40,18 @@ def _scorecard(kind: str, scored):
 
 @query("train_logistic")
 def _(t: Tables):
-    train, test = _split(t)
-    return _scorecard("logistic", _fit("logistic", train).score(test))
+    return _scorecard("logistic", _shared(t, "logistic").score(_split(t)[1]))
 
 
 @query("train_gbt")
 def _(t: Tables):
-    train, test = _split(t)
-    return _scorecard("gbt", _fit("gbt", train).score(test))
+    return _scorecard("gbt", _shared(t, "gbt").score(_split(t)[1]))
 
 
 @query("cross_validate")
 def _(t: Tables):
     train, _test = _split(t)
-    return models.cross_validate(train, FEATURES, kind="gbt", trees=TREES)
+    return models.cross_validate(train, FEATURES, kind="gbt")
 
 
 @query("walkforward_backtest")
@@ -55,20 +61,19 @@ def _(t: Tables):
 
 @query("per_ticker_models")
 def _(t: Tables):
-    return models.per_ticker_models(t.dataset(), FEATURES)
+    return ticker_fits.per_ticker_models(t.dataset(), FEATURES)
 
 
 @query("score_latest")
 def _(t: Tables):
-    train, _test = _split(t)
     latest = feat.derived_features(stats.latest_row(t.features()))
-    return company_name(attribution.score_latest(_fit("gbt", train), latest), t.metadata())
+    return company_name(attribution.score_latest(_shared(t, "gbt"), latest), t.metadata())
 
 
 @query("platt_scale")
 def _(t: Tables):
     train, test = _split(t)
-    model = _fit("gbt", train)
+    model = _shared(t, "gbt")
     out = models.calibrated(model, models.platt_scale(model, train), test)
     return out.select("ticker", "date", "raw_prob", "prob", "label")
 
@@ -76,16 +81,16 @@ def _(t: Tables):
 @query("coef_ranking")
 def _(t: Tables):
     train, _test = _split(t)
-    return models.coef_ranking(_fit("logistic", train), train)
+    return models.coef_ranking(_shared(t, "logistic"), train)
 
 
 @query("model_comparison")
 def _(t: Tables):
-    train, test = _split(t)
+    test = _split(t)[1]
     up = test.agg(F.avg("label").alias("accuracy")).select(F.lit("always up").alias("model"), "accuracy", F.lit(0.5).alias("roc_auc"))
     out = up
     for kind in ("logistic", "gbt"):
-        row = _scorecard(kind, _fit(kind, train).score(test))
+        row = _scorecard(kind, _shared(t, kind).score(test))
         out = out.unionByName(row.select("model", "accuracy", "roc_auc"))
     return out
 
@@ -119,8 +124,7 @@ def _(t: Tables):
 
 
 def _contributions(t: Tables, kind: str):
-    train, test = _split(t)
-    out = attribution.attribute(_fit(kind, train), test)
+    out = attribution.attribute(_shared(t, kind), _split(t)[1])
     return out.select("ticker", "date", "prob", "margin", "base_value", "contributions")
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tapewise.operators import attribution, explain, metrics, models, nested_fits
+from tapewise.operators import attribution, explain, metrics, models, nested_fits, ticker_fits
 from tapewise.operators import indicators as ind
 from tapewise.schemas import INDICATORS, NEWS_PAYLOAD, PRICES, RAW_BARS
 from tapewise.sources import ingest, staging, store
@@ -29,8 +29,13 @@ def labelled(spark):
 
 
 def ridge_fit(x, y):
-    z = (x - x.mean(0)) / x.std(0)
-    return models._newton(z, y)
+    """Ridge logistic weights on standardised features, intercept last and not penalised, by Newton steps."""
+    a = np.hstack([(x - x.mean(0)) / x.std(0), np.ones((len(x), 1))])
+    ridge, w = np.diag(np.r_[np.ones(x.shape[1]), 0.0]), np.zeros(x.shape[1] + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(a @ w)))
+        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ w)
+    return w
 
 
 def test_logistic_solves_the_stated_objective(labelled):
@@ -101,10 +106,35 @@ def test_cross_validation(labelled):
     assert np.isclose(got["auc_std"].iloc[0], got["roc_auc"].std(ddof=0))
 
 
-def test_per_ticker_models_small_and_large_paths_agree(labelled):
-    one, two = (models.per_ticker_models(labelled, XS, max_rows=m).toPandas().sort_values("ticker") for m in (10_000, 100))
-    assert list(one["train_size"]) == [480, 480] == list(two["train_size"])
-    np.testing.assert_allclose(one["prob_up"], two["prob_up"], atol=2e-4)
+def test_per_ticker_models_of_any_size(spark, labelled, monkeypatch):
+    """Tickers of 600, 12, 1 and 0 training rows, one with equal labels; blocks of 7 rows give what one block gives."""
+    pdf = labelled.toPandas()
+    few = pdf[pdf["ticker"] == "A"].head(15).assign(ticker="FEW", label=[0, 1, 1] * 5)
+    up = pdf[pdf["ticker"] == "A"].head(40).assign(ticker="UP", label=1)
+    one = pdf.head(1).assign(ticker="ONE")
+    two = pdf.head(2).assign(ticker="TWO", label=0)
+    every = pd.concat([pdf, few, up, one, two])
+    rows = spark.createDataFrame(every).repartition(4)
+    whole = ticker_fits.per_ticker_models(rows, XS).toPandas().set_index("ticker").sort_index()
+    monkeypatch.setattr(ticker_fits, "BLOCK_ROWS", 7)
+    cut = ticker_fits.per_ticker_models(rows, XS).toPandas().set_index("ticker").sort_index()
+    np.testing.assert_allclose(whole["prob_up"], cut["prob_up"], atol=1e-10)
+    assert whole["train_size"].to_dict() == {"A": 480, "B": 480, "FEW": 12, "UP": 32, "ONE": 0, "TWO": 1} and whole["converged"].all()
+    assert whole["prob_up"]["UP"] == 1.0 and np.isnan(whole["prob_up"]["ONE"]) and whole["prob_up"]["TWO"] == 0.0
+    for name in ("A", "B", "FEW"):
+        g = every[every["ticker"] == name].sort_values("date")
+        n = whole["train_size"][name]
+        x = g[XS].to_numpy()
+        w = ridge_fit(x[:n], g["label"].to_numpy(float)[:n])
+        z = ((x[-1] - x[:n].mean(0)) / x[:n].std(0)) @ w[:-1] + w[-1]
+        assert abs(whole["prob_up"][name] - 1 / (1 + np.exp(-z))) < 1e-8
+
+
+def test_nested_fits_with_a_large_mean(labelled):
+    rows = models.date_positions(labelled).cache()
+    far = rows.withColumn("x1", F.col("x1") * 1e-3 + 1e6)
+    a, b = (nested_fits.fit_nested(x, XS, [300]) for x in (rows, far))
+    np.testing.assert_allclose(a.weights, b.weights, rtol=1e-5, atol=1e-6)
 
 
 # ---- storage and refresh -------------------------------------------------------------------------------
