@@ -22,6 +22,7 @@ from tapewise.operators.panel import numbered
 
 KEY = ["ticker", "date"]
 ALL = "all"  # single group of a pooled evaluation
+TREE_ROWS = 10_000
 
 
 @contextmanager
@@ -81,7 +82,13 @@ def train_logistic(train: DataFrame, features: list[str], c: float = 1.0, max_it
 
 def train_gbt(train: DataFrame, features: list[str], trees: int = 300, depth: int = 4, rate: float = 0.05,
               rows: float = 0.8, columns: str = "0.8", seed: int = 42) -> Classifier:
-    """Boosted trees; column sampling is per node and the leaf penalties of other libraries do not exist."""
+    """Boosted trees; column sampling is per node and the leaf penalties of other libraries do not exist.
+
+    Rows are gathered into partitions of at least about ``TREE_ROWS``: every level of every tree is a job over
+    all of them, so small partitions cost more than they share out.
+    """
+    n = train.count()
+    gathered = train.coalesce(max(1, min(train.rdd.getNumPartitions(), -(-n // TREE_ROWS))))
     stages = [
         _assembler(features, "_x"),
         GBTClassifier(featuresCol="_x", labelCol="label",
@@ -89,7 +96,7 @@ def train_gbt(train: DataFrame, features: list[str], trees: int = 300, depth: in
                       featureSubsetStrategy=columns, minInstancesPerNode=5, seed=seed, leafCol="_leaves")
         .setRawPredictionCol("_raw").setProbabilityCol("_prob"),
     ]
-    return Classifier("gbt", features, Pipeline(stages=stages).fit(train), train.count())
+    return Classifier("gbt", features, Pipeline(stages=stages).fit(gathered), n)
 
 
 def fit(kind: str, train: DataFrame, features: list[str], **options) -> Classifier:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewise.functions import scalar as S
 from tapewise.functions.fixed_values import COMPANY_NAMES, NEWS_QUERIES
-from tapewise.operators.panel import numbered
 from tapewise.operators.stats import bb_squeeze_flag, latest_row
 
 
@@ -69,8 +68,9 @@ def overview_badges(signals: DataFrame) -> DataFrame:
 
 
 def price_chart(features: DataFrame, days: int = 90) -> DataFrame:
-    """Last ``days`` rows per ticker, ready for a chart."""
-    rows = numbered(features).filter(F.col("pos") >= F.col("n_rows") - days)
+    """Last ``days`` rows per ticker, ready for a chart; every task keeps its own last ones before the exchange."""
+    back = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
+    rows = features.withColumn("_back", back).filter(F.col("_back") <= days)
     return rows.select("ticker", F.col("date").alias("day"), F.date_format("date", "dd MMM").alias("date"),
                        F.round("close", 2).alias("price"), F.round("sma_20", 2).alias("sma20"),
                        F.round("sma_50", 2).alias("sma50"), F.col("volume").cast("long").alias("volume"))

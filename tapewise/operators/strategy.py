@@ -18,9 +18,9 @@ def price_at_prediction(predictions: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def prediction_returns(predictions: DataFrame, prices: DataFrame) -> DataFrame:
-    """Return between successive *prediction* dates (0 on the first) and the previous probability."""
-    h = with_halo(price_at_prediction(predictions, prices).select(*KEY, "prob", "price"), back=1)
-    h = h.add({"_p": F.lag("price").over(h.w), "prev_prob": F.lag("prob").over(h.w)})
+    """Return between successive *prediction* dates (0 on the first) and the two probabilities before."""
+    h = with_halo(price_at_prediction(predictions, prices).select(*KEY, "prob", "price"), back=2)
+    h = h.add({"_p": F.lag("price").over(h.w), "prev_prob": F.lag("prob").over(h.w), "prev2_prob": F.lag("prob", 2).over(h.w)})
     r = F.coalesce(F.try_divide(F.col("price") - F.col("_p"), F.col("_p")), F.lit(0.0))
     return h.add({"market_return": r}).done("_p", "pos", "n_rows")
 
@@ -34,16 +34,20 @@ def full_series_returns(predictions: DataFrame, prices: DataFrame) -> DataFrame:
     return predictions.select(*KEY, "prob").join(returns, KEY).withColumn("prev_prob", F.col("prob"))
 
 
-def strategy_equity(returns: DataFrame, thresholds: list[float] = [0.55], cost: float = 0.001) -> DataFrame:
+def strategy_equity(returns: DataFrame, thresholds: list[float] = [0.55], cost: float = 0.001,
+                    lag_position: bool = False) -> DataFrame:
     """Daily position, cost, cumulative strategy and buy-and-hold value, drawdown, per threshold.
 
-    The position of a day earns the return into that day and the first position is free. Cumulative
+    The position of a day earns the return into that day and the first position is free. That looks ahead,
+    since the day's probability is known at its end only: with ``lag_position`` the day before decides (out
+    of the market on the first day; needs ``prev2_prob``). Cumulative
     values multiply a product inside the quarter with the product of all earlier quarters, so a long
     history is never in one task.
     """
-    rows = written(returns, "returns").withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    on = (F.col("prob") > F.col("threshold")).cast("double")
-    before = F.coalesce((F.col("prev_prob") > F.col("threshold")).cast("double"), on)
+    rows = returns.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    now, earlier = ("prev_prob", "prev2_prob") if lag_position else ("prob", "prev_prob")
+    on = F.coalesce((F.col(now) > F.col("threshold")).cast("double"), F.lit(0.0))
+    before = F.coalesce((F.col(earlier) > F.col("threshold")).cast("double"), on)
     rows = rows.withColumns({"position": on, "change": F.abs(on - before)})
     gain = F.col("position") * F.col("market_return") - F.col("change") * F.lit(cost)
     rows = rows.withColumn("strategy_return", gain)
@@ -58,6 +62,7 @@ def _cumulate(rows: DataFrame) -> DataFrame:
     local = rows.withColumn("_unit", unit_of()).withColumns({
         "_ls": F.product("_s").over(span), "_lb": F.product("_b").over(span)})
     local = local.withColumns({"_hi": F.max("_ls").over(span), "_lo": F.min("_ls").over(span)}).drop("_unit")
+    local = written(local, "running")  # read twice below: for the quarters' table and for the rows
     earlier = Window.partitionBy(*keys).orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
 
     def highest(scale: str, top: str, low: str) -> Column:
@@ -70,7 +75,7 @@ def _cumulate(rows: DataFrame) -> DataFrame:
         [{"_cs": F.coalesce(F.product("_ps").over(earlier), one),
           "_cb": F.coalesce(F.product("_pb").over(earlier), one)},
          {"_peak": F.max(highest("_cs", "_top", "_low")).over(earlier)}],
-        ["_cs", "_cb", "_peak"], keys=keys,
+        ["_cs", "_cb", "_peak"], keys=keys, windowed=False,
     )
     out = out.withColumns({
         "cum_strategy": F.col("_cs") * F.col("_ls"), "cum_buyhold": F.col("_cb") * F.col("_lb"),

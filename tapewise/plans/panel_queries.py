@@ -164,25 +164,33 @@ def _(t: Tables):
 _ASKED = "(SELECT ticker FROM tickers UNION ALL SELECT 'missing ' || ticker FROM metadata)"
 
 
-@query("daily_refresh", sql(f"""
+_DAILY = sql(f"""
     SELECT t.ticker, count(r.ticker) AS price_rows, CAST(greatest(count(r.ticker) - 49, 0) AS BIGINT) AS indicator_rows,
            count(r.ticker) > 0 AS success
     FROM {_ASKED} t LEFT JOIN (SELECT ticker FROM (SELECT *, max(date) OVER (PARTITION BY ticker) AS last FROM bars) q
                                WHERE date > last - INTERVAL 24 MONTH) r ON r.ticker = t.ticker
-    GROUP BY t.ticker""", "bars", "tickers", "metadata"))
+    GROUP BY t.ticker""", "bars", "tickers", "metadata")
+
+
+@query("run_pipeline", _DAILY)
+@query("daily_refresh", _DAILY)
 def _(t: Tables):
     from tapewise.streaming.incremental import daily_refresh
     asked = t.tickers().unionByName(t.metadata().select(F.concat(F.lit("missing "), "ticker").alias("ticker")))
     return daily_refresh(t.spark, t.bars(), asked, years=2)
 
 
-@query("sentiment_refresh", sql(f"""
+_SENTIMENT = sql(f"""
     SELECT t.ticker, n.min_score, n.max_score, s.sentiment_3d, s.sentiment_momentum, s.sentiment_3d IS NOT NULL AS success
     FROM {_ASKED} t
     LEFT JOIN (SELECT ticker, min(sentiment_score) AS min_score, max(sentiment_score) AS max_score FROM news GROUP BY ticker) n
            ON n.ticker = t.ticker
     LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM sentiment) s
-           ON s.ticker = t.ticker AND s.k = 1 AND n.ticker IS NOT NULL""", "news", "sentiment", "tickers", "metadata"))
+           ON s.ticker = t.ticker AND s.k = 1 AND n.ticker IS NOT NULL""", "news", "sentiment", "tickers", "metadata")
+
+
+@query("run_sentiment_pipeline", _SENTIMENT)
+@query("sentiment_refresh", _SENTIMENT)
 def _(t: Tables):
     from tapewise.streaming.incremental import sentiment_refresh
     asked = t.tickers().unionByName(t.metadata().select(F.concat(F.lit("missing "), "ticker").alias("ticker")))
