@@ -140,6 +140,16 @@ def test_weighted_day_without_weight_is_missing(spark):
     assert sentiment.daily_sentiment(news, "weighted").first()["sentiment"] is None
 
 
+def test_lagged_positions_never_see_the_day_they_earn(spark, closes, panel_pd):
+    hot = panel_pd[panel_pd["ticker"] == "HOT"].sort_values("date").iloc[:400]
+    probs = np.random.default_rng(6).random(len(hot))
+    rows = strategy.prediction_returns(spark.createDataFrame(hot[["ticker", "date"]].assign(prob=probs)), closes)
+    got = collected(strategy.strategy_equity(rows, [0.6], lag_position=True))
+    pos = np.r_[0.0, probs[:-1] > 0.6]
+    np.testing.assert_array_equal(got["position"], pos)
+    np.testing.assert_array_equal(got["change"], np.r_[0.0, 0.0, np.abs(np.diff(pos))[1:]])
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.7])
 def test_strategy_matches_numpy(spark, closes, panel_pd, threshold):
     hot = panel_pd[panel_pd["ticker"] == "HOT"].sort_values("date").iloc[100:1500]

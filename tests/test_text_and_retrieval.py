@@ -75,8 +75,8 @@ def test_prompts_hold_every_prediction(spark):
     df = spark.range(230).select(
         F.concat(F.lit("T"), "id").alias("ticker"), F.lit(dt.date(2024, 1, 2)).alias("date"), F.lit("N").alias("company_name"),
         F.lit(0.7).alias("prob_up"), F.lit("low").alias("confidence"), feature.alias("top_features"))
-    hot = df.withColumns({"ticker": F.lit("HOT"), "date": F.date_add(F.lit(dt.date(2020, 1, 1)), F.monotonically_increasing_id().cast("int"))})
-    batches = explain.portfolio_prompts(df.unionByName(spark.createDataFrame(hot.coalesce(1).collect(), df.schema)), per_prompt=50).toPandas()
+    hot = df.withColumns({"ticker": F.lit("HOT"), "date": F.date_add(F.lit(dt.date(2020, 1, 1)), F.expr("cast(substring(ticker, 2) AS int)"))})
+    batches = explain.portfolio_prompts(df.unionByName(hot), per_prompt=50).toPandas()
     assert batches["n"].sum() == 460 and batches["n"].max() == 50 and sorted(batches[batches["ticker"] == "HOT"]["n"]) == [30, 50, 50, 50, 50]
     prompt = explain.explanation_prompts(df).first()["prompt"]
     assert "RSI momentum indicator: moderately bullish (measures whether the stock is overbought or oversold)" in prompt
@@ -113,7 +113,6 @@ def found(df, n):
 def test_exact_retrieval_equals_brute_force(vectors, monkeypatch):
     queries, chunks, d = vectors
     monkeypatch.setattr(retrieval, "_CHUNKS_PER_TASK", 100)  # many parts on both sides
-    monkeypatch.setattr(retrieval, "_QUERIES_PER_TASK", 40)
     got = found(retrieval.retrieve_topk(queries, chunks, 12), len(d))
     for i, row in enumerate(d):
         order = np.lexsort((np.arange(len(row)), row))[:12]
