@@ -25,6 +25,8 @@ HEADLINE = [
     "describe_bars", "class_balance", "walkforward_windows", "roc_auc", "regime_performance", "risk_metrics",
     "threshold_sweep", "top_features", "template_explanation", "chunk_documents", "retrieve_topk", "build_context",
 ]
+#: The dear ones, run once and not part of the headline total.
+HEAVY = ["train_logistic", "walkforward_backtest", "per_ticker_models", "incremental_update", "qa_prompts"]
 
 
 def main() -> None:
@@ -57,8 +59,11 @@ def main() -> None:
     times["stage_tables"] = round(time.perf_counter() - started, 3)
     for name in HEADLINE:
         run(name, lambda: catalog.QUERIES[name](spark, sf_dir))
+    total = round(sum(times.values()), 3)
+    for name in HEAVY:
+        run(name, lambda: catalog.QUERIES[name](spark, sf_dir), repeat=1)
     scale = re.search(r"sf([0-9.]+)", sf_dir)
-    print(json.dumps({"metric": "total_headline_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
+    print(json.dumps({"metric": "total_headline_seconds", "value": total, "unit": "sec",
                       "queries": times, "sf": float(scale.group(1)) if scale else sf_dir}))
     spark.stop()
 
