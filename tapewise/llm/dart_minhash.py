@@ -125,10 +125,10 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 # --- Spark jobs -------------------------------------------------------------------------------------
 
-#: Members and leaders of a bucket that meet in one task.
+#: Members of a bucket that meet its leaders in one task, about.
 PART = 256
-#: Leaders of a bucket in the rounds of comparisons; later rounds take as many as the last.
-LEADERS = (1, 1, 16, 256, 4096)
+#: Most leaders of a bucket in the rounds of comparisons; later rounds take as many as the last. A task holds them all.
+LEADERS = (1, 1, 16, 256, 1024)
 #: The bands of the first round, which already joins most groups.
 FIRST_BANDS = 6
 
@@ -196,10 +196,10 @@ def _compare(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.R
         return x
 
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("bucket", "lead_part", "part", "leads", "comp", "bag", "content", "own_bands")]
-        for bucket, lead_part, part, leads, comp, bag, content, bands in zip(*columns):
-            if (bucket, lead_part, part) != group:
-                group, leaders, joined = (bucket, lead_part, part), [], {}
+        columns = [batch.column(n).to_pylist() for n in ("bucket", "part", "leads", "comp", "bag", "content", "own_bands")]
+        for bucket, part, leads, comp, bag, content, bands in zip(*columns):
+            if (bucket, part) != group:
+                group, leaders, joined = (bucket, part), [], {}
             content, bands = np.frombuffer(content, np.uint32), np.frombuffer(bands, np.int64)
             if leads:
                 leaders.append((comp, bag, content, bands))
@@ -280,7 +280,7 @@ def _classes(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, band
     some members of each bucket lead: they are compared with the bucket's other members, exactly, and step
     out. A bucket is done when the members that have not led are connected with each other, so in the end
     any two members of a bucket were compared or are connected; no class depends on which members led.
-    Members and leaders meet in parts of bounded size, whatever the size of the bucket.
+    Members meet the leaders in parts of bounded size, whatever the size of the bucket.
     """
     plain = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     signed = staging.written(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
@@ -308,21 +308,14 @@ def _classes(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, band
         turn = F.pmod(F.xxhash64("bag", F.lit(step)), F.lit(leaders))
         leads = active.groupBy("bucket", turn.alias("turn")).agg(F.min(F.struct("bag", "comp")).alias("lead"))
         leads = staging.written(leads.select("bucket", F.col("lead.bag").alias("bag"), F.col("lead.comp").alias("comp")), "leads")
-        size = F.greatest(F.ceil(F.col("members") / PART), F.lit(1)).cast("int")
-        sizes = (active.groupBy("bucket").agg(F.count("*").alias("members")).withColumn("parts", size)
-                 .join(leads.groupBy("bucket").agg(F.count("*").alias("lead_members")), "bucket")
-                 .withColumn("lead_parts", F.ceil(F.col("lead_members") / PART).cast("int")).select("bucket", "parts", "lead_parts"))
-
-        def placed(rows_: DataFrame, of: str, other: str, names: tuple[str, str], leading: bool) -> DataFrame:
-            own = F.pmod(F.xxhash64("bag"), F.col(of)).cast("int").alias(names[0])
-            return (rows_.join(sizes, "bucket").select("bucket", "bag", "comp", own, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]))
-                    .withColumn("leads", F.lit(leading)))
-
-        meet = placed(active, "parts", "lead_parts", ("part", "lead_part"), False).unionByName(
-            placed(leads, "lead_parts", "parts", ("lead_part", "part"), True))
-        meet = (meet.join(contents, "bag").repartition("bucket", "lead_part", "part")
-                .sortWithinPartitions("bucket", "lead_part", "part", F.desc("leads")))
-        links = staging.written(meet.select("bucket", "lead_part", "part", "leads", "comp", "bag", "content", "own_bands")
+        sizes = active.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / PART), F.lit(1)).cast("int").alias("parts"))
+        own = F.pmod(F.xxhash64("bag"), F.col("parts")).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        meet = (active.join(sizes, "bucket").select("bucket", "bag", "comp", own.alias("part"), F.lit(False).alias("leads"))
+                .unionByName(leads.join(sizes, "bucket").select("bucket", "bag", "comp", each.alias("part"), F.lit(True).alias("leads"))))
+        meet = (meet.join(contents, "bag").repartition("bucket", "part")
+                .sortWithinPartitions("bucket", "part", F.desc("leads")))
+        links = staging.written(meet.select("bucket", "part", "leads", "comp", "bag", "content", "own_bands")
                                 .mapInArrow(partial(_compare, similar=similar), "a long, b long").distinct(), "links")
         members = members.join(leads.select("bucket", "bag"), ["bucket", "bag"], "left_anti")
         if not links.isEmpty():
