@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python task turns into objects at a time; texts can be long.
 SLICE_ROWS = 256
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Texts can be long, so the session's Arrow batches get at most BATCH_ROWS rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

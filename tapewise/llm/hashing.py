@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters that a task works on at a time (a longer text goes alone).
-CHARACTERS = 1_000_000
+CHARACTERS = 400_000
 
 M1, M2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE, _UNBASE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
@@ -65,13 +66,12 @@ def word_hashes(texts: list[str], gaps: np.ndarray = SPACE, prefix: int | None =
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Rows and their texts (null: empty), about CHARACTERS at a time."""
+    """Rows and their texts (null: empty), about CHARACTERS bytes at a time; only so many are Python strings at once."""
     for batch in batches:
-        texts, start = [t or "" for t in batch.column(column).to_pylist()], 0
+        texts, start = batch.column(column), 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         while start < len(texts):
-            end, size = start + 1, len(texts[start])
-            while end < len(texts) and size + len(texts[end]) <= CHARACTERS:
-                size += len(texts[end])
-                end += 1
-            yield batch.slice(start, end - start), texts[start:end]
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + CHARACTERS, "right")))
+            yield batch.slice(start, end - start), [t or "" for t in texts.slice(start, end - start).to_pylist()]
             start = end
