@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tapewise.functions import scalar as S
 from tapewise.operators import explain, retrieval, text_score
+from tapewise.plans import catalog
 
 
 def one(spark, column):
@@ -138,6 +139,30 @@ def test_approximate_retrieval_recall(vectors):
     assert hit > 0.8
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_calibrated_recall_on_the_given_table(spark, folder):
+    rows = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    hits = catalog.QUERIES["retrieve_ann_scores"](spark, f"/root/testdata/{folder}").collect()
+    got = {i: set() for i in ids}
+    for r in hits:
+        got[r["query_id"]].add(r["chunk_id"])
+    assert all(len(g) == 3 for g in got.values())
+    found = []
+    for i, v in zip(ids, x):
+        d = ((x - v) ** 2).sum(1)
+        near = np.lexsort((ids, d))[:3]
+        found += [ids[n] in got[i] for n in near if d[n] > 0]  # the vector itself is no achievement
+    assert np.mean(found) >= 0.9
+    assert {round(r["recall"], 9) for r in hits} == {round(hits[0]["recall"], 9)} and 0.95 <= hits[0]["recall"] <= 1
+
+
+def test_approximate_retrieval_fills_the_ranks(vectors):
+    queries, chunks, d = vectors
+    got = found(retrieval.retrieve_topk(queries, chunks, 40, probes=1), len(d))
+    assert all(len(g) == 40 for g in got)
+
+
 def test_context_sources_and_prompts(spark):
     queries = spark.createDataFrame([("q1", "why?"), ("q2", "who?")], "query_id string, question string")
     hits = spark.createDataFrame([("q1", 2, "T", "b"), ("q1", 1, "U", "a"), ("q1", 3, "T", "c")], "query_id string, rank int, title string, content string")
