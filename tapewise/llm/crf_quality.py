@@ -197,5 +197,7 @@ def _keep(batches: Iterator[pa.RecordBatch], field: LineField, least: float, col
 
 
 def keep_good(docs: DataFrame, field: LineField, least: float = GOOD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores ``least`` or more."""
+    """The rows of ``docs``, with all their columns, whose text scores ``least`` or more; all of them if the field could not be fitted."""
+    if field.weights is None:
+        return docs
     return docs.mapInArrow(partial(_keep, field=field, least=least, column=docs.columns.index("text")), docs.schema)

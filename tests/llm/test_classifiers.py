@@ -81,3 +81,14 @@ def test_filters_keep_all_columns_and_agree_with_the_scores(spark, odd_docs):
     assert {r["doc_id"] for r in ordinal_toxicity.keep_clean(docs, model).collect()} == clean
     for kept in (crf_quality.keep_good(odd_docs, crf_quality.LineField()), ordinal_toxicity.keep_clean(odd_docs, None)):
         assert kept.schema == odd_docs.schema and kept.count() == odd_docs.count()
+
+
+def test_labels_of_one_class_reject_nothing(spark, odd_docs):
+    few = [(1, 0, "a good line of text\n"), (2, 0, "another"), (4, 1, ""), (9, 0, " \n\n")]
+    docs = spark.createDataFrame([(i, t) for i, _, t in few], "doc_id long, text string")
+    bad = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, quality int")
+    for some, labels in ((docs, bad), (odd_docs, bad), (docs.withColumn("text", docs["text"].substr(1, 0)), spark.createDataFrame([(i, q) for i, q, _ in few], "doc_id long, quality int"))):
+        field = crf_quality.fit(some, labels)
+        assert field.weights is None and field.prior < crf_quality.GOOD
+        kept = crf_quality.keep_good(some, field)
+        assert kept.schema == some.schema and kept.count() == some.count()
