@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from tapewise.llm.common import whole_text
 from tapewise.llm.hashing import text_batches, word_hashes
 from tapewise.llm.labelled import held_out, labelled_sample
+from tapewise.sources import staging
 
 GOOD = 0.7
-#: Labelled documents that the field is fitted on, about, and consecutive lines of each.
-SAMPLE, SAMPLE_LINES = 6000, 64
+#: Labelled documents that the field is fitted on, about, and their lines in all, at most. Each document has all its lines.
+SAMPLE, LINES = 6000, 6000 * 64
 STEPS, RATE, RIDGE = 200, 0.05, 1e-4
 
 _CLASSES = np.zeros((8, 256), np.float32)  # letters, upper case, digits, !, |, other symbols, stops, spaces
@@ -156,19 +157,46 @@ class LineField:
         return 1 / (1 + np.exp(-(self.curve[0] * self._share(with_neighbours(self._scaled(x), per_text), n, per_text) + self.curve[1])))
 
 
-def _sampled(batches: Iterator[pa.RecordBatch], lines: int) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in text_batches(batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([sum(1 for line in t.split("\n") if line) for t in texts], pa.int64())],
+                                         names=["doc_id", "label", "lines"])
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in text_batches(batches):
         x, n, per_text = line_features(texts)
-        starts = np.cumsum(per_text) - per_text
-        kept = [slice(s + max(0, (c - lines) // 2), s + max(0, (c - lines) // 2) + min(c, lines)) for s, c in zip(starts, per_text)]
+        ends = np.cumsum(per_text)
+        kept = [slice(e - c, e) for e, c in zip(ends, per_text)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[k].tobytes() for k in kept], pa.binary()),
                                           pa.array([n[k].tobytes() for k in kept], pa.binary())], names=["doc_id", "label", "x", "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> LineField:
-    """A field from about ``sample`` labelled documents at most and ``lines`` lines from the middle of each."""
-    got = (labelled_sample(docs, labels, "quality", sample)
-           .mapInArrow(partial(_sampled, lines=lines), "doc_id long, label int, x binary, n binary").toArrow().to_pylist())
+def _within(known: list[dict], lines: int) -> list[int]:
+    """Ids of documents in an order by hash, as many as have ``lines`` lines together, and at least the first of each label."""
+    kept, seen, total, full = [], set(), 0, False
+    for r in known:
+        full = full or total + r["lines"] > lines
+        if not full or not seen >= set(r["labels"]):
+            kept.append(r["doc_id"])
+            seen |= set(r["labels"])
+            total += r["lines"]
+    return kept
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> LineField:
+    """A field from about ``sample`` labelled documents at most, all lines of each.
+
+    If these have more than ``lines`` lines together, it is fewer documents, by a hash of their id, never a part of one.
+    """
+    chosen = staging.written(labelled_sample(docs, labels, "quality", sample), "quality-sample")
+    known = (chosen.mapInArrow(_counted, "doc_id long, label int, lines long").groupBy("doc_id")
+             .agg(F.sum("lines").alias("lines"), F.collect_set("label").alias("labels"))
+             .orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").toArrow().to_pylist())  # a row for each of the sample
+    kept = _within(known, lines)
+    if len(kept) < len(known):
+        chosen = chosen.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in kept], "doc_id long")), "doc_id", "left_semi")
+    got = chosen.mapInArrow(_features, "doc_id long, label int, x binary, n binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["label"], r["x"]))
     x = [np.frombuffer(r["x"]).reshape(-1, FEATURES) for r in got]
     return LineField.fit(np.concatenate([np.zeros((0, FEATURES)), *x]), np.concatenate([np.zeros(0), *(np.frombuffer(r["n"]) for r in got)]),

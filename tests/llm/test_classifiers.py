@@ -92,3 +92,18 @@ def test_labels_of_one_class_reject_nothing(spark, odd_docs):
         assert field.weights is None and field.prior < crf_quality.GOOD
         kept = crf_quality.keep_good(some, field)
         assert kept.schema == some.schema and kept.count() == some.count()
+
+
+def test_junk_at_the_ends_of_long_documents_is_learned_as_junk(spark):
+    prose, junk = "a plain line of quiet words\n", "$$$ BUY!!! | 999 | NOW!!!\n"
+    rows = [(i, i % 2, prose * 100 if i % 2 else junk * 40 + prose * 80 + junk * 40) for i in range(80)]
+    docs, labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string"), spark.createDataFrame([(i, q) for i, q, _ in rows], "doc_id long, quality int")
+    for lines in (crf_quality.LINES, 1500, 0):  # all documents, some of them, one of each label
+        scored = crf_quality.score(docs, crf_quality.fit(docs, labels, lines=lines)).collect()
+        assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in scored]) == 1
+
+
+def test_documents_within_the_lines_are_whole():
+    known = [{"doc_id": i, "lines": n, "labels": [y]} for i, n, y in ((1, 5, 0), (2, 4, 0), (3, 9, 0), (4, 1, 0), (5, 7, 1), (6, 1, 1))]
+    assert crf_quality._within(known, 100) == [1, 2, 3, 4, 5, 6]
+    assert crf_quality._within(known, 10) == [1, 2, 5] and crf_quality._within(known, 0) == [1, 5]
