@@ -247,16 +247,17 @@ def _relabel(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that have the smallest doc_id of their class of near-duplicates.
 
-    Rows of one doc_id and text count once.
+    Rows of one doc_id and text count once; a text without words is alone in its class, so all its rows are kept.
     """
     names = docs.columns
     rows = _classes(docs, **options)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    first = rows.groupBy("node").agg(F.min_by(F.struct("doc_id", "text_hash"), order).alias("k"))
-    kept = first.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash")).distinct()
+    first = rows.groupBy("node").agg(F.min_by(F.struct("doc_id", "text_hash", "words"), order).alias("k"))
+    kept = first.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"), "k.words").distinct()
     packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole_text()).alias("hash"), F.struct(*(docs[c] for c in names)).alias("own"))
     same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash"))
-    return packed.join(kept, same, "left_semi").dropDuplicates(["id", "hash"]).select("own.*")
+    each = F.when(F.col("words"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    return packed.join(kept, same).withColumn("each", each).dropDuplicates(["id", "hash", "each"]).select("own.*")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -270,7 +271,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def _classes(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """row, doc_id, text_hash and node, a row per row of ``docs``: classes of texts linked by a similarity of ``similar`` or more.
+    """row, doc_id, text_hash, node and words (has any), a row per row of ``docs``: classes of texts linked by a similarity of ``similar`` or more.
 
     The similarity is the weighted Jaccard similarity of bags of ``words``-word shingles (lower case, split
     at white space; a text of fewer words is one shingle). A text that is null or has no words is alone in its
@@ -328,5 +329,5 @@ def _classes(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, band
     classes = known.select("row", "doc_id", "text_hash", "bag").join(nodes.select("bag", F.col("comp").alias("node")), "bag").drop("bag")
     if labels is not None:
         classes = _relabel(classes, labels, "node")
-    alone = signed.filter("bag IS NULL").select("row", "doc_id", "text_hash", F.col("row").alias("node"))
-    return classes.select("row", "doc_id", "text_hash", "node").unionByName(alone)
+    alone = signed.filter("bag IS NULL").select("row", "doc_id", "text_hash", F.col("row").alias("node"), F.lit(False).alias("words"))
+    return classes.select("row", "doc_id", "text_hash", "node", F.lit(True).alias("words")).unionByName(alone)

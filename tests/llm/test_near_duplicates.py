@@ -103,6 +103,15 @@ def test_keep_one_keeps_columns_and_one_row_of_each_class(spark, odd_docs, no_do
     assert dm.keep_one(no_docs).count() == 0
 
 
+def test_keep_one_keeps_every_text_without_words(spark):
+    rows = [(None, None, "en"), (None, None, "de"), (None, "", "fr"), (None, " ", "it"), (3, "", "en"), (3, "", "de"),
+            (None, "some words", "en"), (None, "some words", "de"), (4, "more", "en"), (4, "more", "de")]
+    kept = dm.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert Counter(map(tuple, kept))[None, None, "de"] == 1
+    assert sorted(r["lang"] for r in kept if not (r["text"] or "").strip()) == ["de", "de", "en", "en", "fr", "it"]
+    assert sorted(r["text"] for r in kept if (r["text"] or "").strip()) == ["more", "some words"]
+
+
 def test_agreement_is_the_weighted_jaccard_similarity():
     rng = np.random.default_rng(0)
     element = rng.integers(1, 2 ** 62, 60).astype(np.uint64)
