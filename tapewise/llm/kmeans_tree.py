@@ -83,13 +83,17 @@ class Tree:
             todo += [(self.children[node][c], rows[nearest == c]) for c in np.unique(nearest)]
         return out
 
-    def visit(self, query: np.ndarray, leaves: int) -> list[int]:
-        """The first ``leaves`` leaves of a best-bin-first traversal: the nearest node seen so far is opened next."""
-        queue, seen, found = [(0.0, 0, 0)], 0, []
-        while queue and len(found) < leaves:
+    def visit(self, query: np.ndarray, leaves: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``leaves`` leaves of a best-bin-first traversal: the nearest node seen so far is opened next.
+
+        With the ``sizes`` of the leaves it goes on until those found hold ``least`` vectors.
+        """
+        queue, seen, found, held = [(0.0, 0, 0)], 0, [], 0
+        while queue and (len(found) < leaves or sizes is not None and held < least):
             _, _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 found.append(self.leaf[node])
+                held += int(sizes[self.leaf[node]]) if sizes is not None else 0
                 continue
             for far, child in zip(((self.centres[node] - query) ** 2).sum(axis=1).tolist(), self.children[node]):
                 seen += 1
@@ -155,10 +159,11 @@ def _assigned(batches: Iterator[pa.RecordBatch], tree: Tree, width: int) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(tree.assign(_unit(x)))], names=["vec_id", "v", "leaf"])
 
 
-def _visits(batches: Iterator[pa.RecordBatch], tree: Tree, width: int, leaves: int) -> Iterator[pa.RecordBatch]:
+def _visits(batches: Iterator[pa.RecordBatch], tree: Tree, width: int, leaves: int, sizes: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The leaves of each query, with at least k vectors besides the rows of its own vec_id, wherever those lie."""
     for batch in batches:
         batch, x = _rows(batch, width)
-        visits = pa.array([tree.visit(q, leaves) for q in _unit(x)], pa.list_(pa.int64()))
+        visits = pa.array([tree.visit(q, leaves, sizes, k + own) for q, own in zip(_unit(x), batch.column("own").to_pylist())], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), visits], names=["vec_id", "v", "visits"])
 
 
@@ -208,7 +213,8 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, recall: float
     The tree is fitted on at most about SAMPLE vectors, with about as many leaves as the square root of all
     vectors as long as the sample suffices for it; every vector is indexed under its leaf. About
     CALIBRATION queries are searched exactly. Their neighbours' leaves show how many leaves a best-bin-first
-    traversal must visit until ``recall`` of the neighbours is found; all queries visit so many. A leaf that
+    traversal must visit until ``recall`` of the neighbours is found; all queries visit so many, and more
+    where these hold fewer than k candidates. A leaf that
     holds many vectors is cut into parts of about PART, each of which meets the leaf's queries.
     """
     spark = embeddings.sparkSession
@@ -228,9 +234,13 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, recall: float
         place = {q: {leaf: at for at, leaf in enumerate(tree.visit(v, tree.leaves))} for q, v in zip(ids.tolist(), _unit(asked))}
         needed = sorted(place[r["query_id"]][r["leaf"]] + 1 for r in exact.select("query_id", "leaf").collect())  # k rows for each of CALIBRATION
         leaves = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
+    single = queries.groupBy("vec_id").agg(F.first("v").alias("v"), F.count("*").alias("own"))
     indexed = staging.written(vectors.mapInArrow(partial(_assigned, tree=tree, width=width), "vec_id long, v array<double>, leaf long"), "leaves")
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in indexed.groupBy("leaf").count().collect():  # a row per leaf, at most one for each vector of the sample
+        sizes[r["leaf"]] = r["count"]
     parts = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    visits = queries.dropDuplicates(["vec_id"]).mapInArrow(partial(_visits, tree=tree, width=width, leaves=leaves), "vec_id long, v array<double>, visits array<long>")
+    visits = single.mapInArrow(partial(_visits, tree=tree, width=width, leaves=leaves, sizes=sizes, k=k), "vec_id long, v array<double>, visits array<long>")
     parts = F.broadcast(parts)  # a row per leaf, at most one for each vector of the sample
     asking = (visits.select("vec_id", "v", F.explode("visits").alias("leaf")).join(parts, "leaf")
               .select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "vec_id", "v"))

@@ -80,6 +80,18 @@ def test_best_bin_first_visits_every_leaf_in_the_end():
     assert sorted(order) == list(range(tree.leaves)) and tree.visit(x[3], 5) == order[:5]
 
 
+def test_visited_leaves_hold_enough_candidates(spark):
+    """Small leaves, and a calibration that asks for one of them: a query still gets k rows where there are k."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(300)] + [(0, [1.0, 2.0, 3.0, 4.0])] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = kmeans_tree.nearest(df, every=10, recall=0.01, leaf_size=2).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(q, n) for q in range(0, 300, 10) for n in range(1, 6)]
+    assert all(r["vec_id"] != r["query_id"] for r in got)
+    few = kmeans_tree.nearest(df.filter("vec_id < 4"), every=10, recall=0.01, leaf_size=1).collect()
+    assert sorted(r["vec_id"] for r in few) == [1, 2, 3]
+
+
 def test_empty_and_unusable_tables(spark):
     kinds = "vec_id long, embedding array<float>, label int"
     for rows in ([], [(50, None, 1), (100, [0.0, 0.0], 1)], [(50, [1.0, 0.0], 1)]):
