@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -207,8 +207,8 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, recall: float
 
     Queries are rows whose vec_id is divisible by ``every``; rows with the query's own vec_id are no
     candidates. Vectors that are null, zero or hold null or non-finite components, and rows without vec_id,
-    take no part. Vectors of another width than the first row's are left out. Fewer candidates give fewer
-    rows; no usable rows give none.
+    take no part. Vectors of each width are searched among their own, by a tree of their own. Fewer candidates
+    give fewer rows; no usable rows give none.
 
     The tree is fitted on at most about SAMPLE vectors, with about as many leaves as the square root of all
     vectors as long as the sample suffices for it; every vector is indexed under its leaf. About
@@ -219,11 +219,19 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, recall: float
     """
     spark = embeddings.sparkSession
     vectors = usable(embeddings)
-    n, first = vectors.agg(F.count("*"), F.min(F.struct("vec_id", F.size("v").alias("width")))).first()
-    kinds = "query_id long, vec_id long, score double"
-    if not n:
+    asks = F.max((F.col("vec_id") % every == 0).cast("int"))
+    widths = vectors.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), asks.alias("asks")).filter("asks = 1").orderBy("width").collect()
+    if not widths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = first["width"]
+    if len(widths) > 1:
+        vectors = staging.written(vectors, "usable")
+    found = [_found(vectors.filter(F.size("v") == r["width"]), r["n"], r["width"], k, every, recall, branches, leaf_size) for r in widths]
+    return top(reduce(DataFrame.unionByName, found), k)
+
+
+def _found(vectors: DataFrame, n: int, width: int, k: int, every: int, recall: float, branches: int, leaf_size: int | None) -> DataFrame:
+    """query_id, vec_id, score: the k nearest found in each part of a visited leaf, of ``n`` vectors of one width."""
+    kinds = "query_id long, vec_id long, score double"
     sample = _unit(_matrix(_sample(vectors, n, SAMPLE), width)[1])
     tree = Tree.fit(sample, branches, leaf_size or max(LEAF, round(len(sample) / n ** 0.5)))
     queries = vectors.filter(F.col("vec_id") % every == 0)
@@ -246,7 +254,7 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, recall: float
               .select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "vec_id", "v"))
     lying = indexed.join(parts, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asks"), "vec_id", "v")
     meet = lying.unionByName(asking).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "asks")
-    return top(meet.mapInArrow(partial(_meet, width=width, k=k), kinds), k)
+    return meet.mapInArrow(partial(_meet, width=width, k=k), kinds)
 
 
 def top_with_leaf(found: DataFrame, k: int) -> DataFrame:

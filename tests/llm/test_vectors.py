@@ -92,6 +92,19 @@ def test_visited_leaves_hold_enough_candidates(spark):
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3]
 
 
+def test_vectors_of_every_width_are_searched(spark):
+    rng = np.random.default_rng(9)
+    rows = [(0, [1.0, 2.0])] + [(i, rng.normal(size=3 + i % 2).tolist()) for i in range(1, 200)]
+    rows += [(i, [1.0]) for i in range(201, 205)]  # a width without a query
+    got = kmeans_tree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, recall=1.0).collect()
+    width = {i: len(v) for i, v in rows}
+    assert all(width[r["query_id"]] == width[r["vec_id"]] for r in got)
+    assert {r["query_id"] for r in got} == set(range(10, 200, 10)) and len(got) == 5 * 19
+    want = {(q, n, c) for w in (3, 4) for q, n, c, _ in plain([(i, np.array(v)) for i, v in rows if len(v) == w],
+            lambda a, b: float(a @ b) / np.sqrt(float(a @ a) * float(b @ b)), every=10)}
+    assert len(want & {(r["query_id"], r["rank"], r["vec_id"]) for r in got}) >= 0.9 * len(want)
+
+
 def test_empty_and_unusable_tables(spark):
     kinds = "vec_id long, embedding array<float>, label int"
     for rows in ([], [(50, None, 1), (100, [0.0, 0.0], 1)], [(50, [1.0, 0.0], 1)]):
