@@ -125,11 +125,13 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 # --- Spark jobs -------------------------------------------------------------------------------------
 
-#: Members of a bucket that meet its leaders in one task, about.
+#: Members of a bucket that are compared with each other in one task, about.
 PART = 256
-#: Most leaders of a bucket in the rounds of comparisons; later rounds take as many as the last. A task holds them all.
-LEADERS = (1, 1, 16, 256, 1024)
-#: The bands of the first round, which already joins most groups.
+#: Shingles that the members of a part have together, about (a longer text goes alone).
+PART_SHINGLES = 4_000_000
+#: Parts of a bucket that meet its later parts in a round.
+LEAD_PARTS = 4
+#: The bands of the first comparisons, which already join most groups.
 FIRST_BANDS = 6
 
 
@@ -155,25 +157,29 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int)
     for batch, texts in text_batches(batches):
         of, element, weight = shingle_bags(texts, words)
         own = band_hashes(signatures(of, element, weight, len(texts), bands * rows), bands, rows)
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(own.ravel().view(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + len(texts))), batch.column(0), batch.column(2),
-                                          pa.array(_digests(of, element, weight, len(texts)), pa.binary()), flat],
-                                         names=["row", "doc_id", "text_hash", "bag", "bands"])
+                                          pa.array(_digests(of, element, weight, len(texts)), pa.binary()),
+                                          pa.array(np.bincount(of, weight, len(texts)).astype(np.int64)), _lists(own)],
+                                         names=["row", "doc_id", "text_hash", "bag", "size", "bands"])
         number += len(texts)
 
 
-def _contents(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
-    for batch, texts in text_batches(batches):
-        of, element, weight = shingle_bags(texts, words)
-        digests = _digests(of, element, weight, len(texts))
-        new = [k for k, d in enumerate(digests) if d is not None and d == batch.column(2)[k].as_py() and d not in seen and not seen.add(d)]
-        own = band_hashes(signatures(of, element, weight, len(texts), bands * rows), bands, rows)
-        start = np.searchsorted(of, np.arange(len(texts) + 1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([digests[k] for k in new], pa.binary()),
-             pa.array([_content(element[start[k]:start[k + 1]], weight[start[k]:start[k + 1]]).tobytes() for k in new], pa.binary()),
-             pa.array([own[k].tobytes() for k in new], pa.binary())], names=["bag", "content", "own_bands"])
+def _lists(bands: np.ndarray) -> pa.ListArray:
+    n, width = bands.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(bands.ravel().view(np.int64)))
+
+
+def _contents(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """The bags of texts as sorted values, once per task and node (rows of one doc_id and text are one node)."""
+    seen: set[int] = set()
+    for batch, texts in text_batches(batches, 0):
+        nodes = batch.column(1).to_pylist()
+        new = [k for k, n in enumerate(nodes) if n not in seen and not seen.add(n)]
+        of, element, weight = shingle_bags([texts[k] for k in new], words)
+        start = np.searchsorted(of, np.arange(len(new) + 1))
+        content = [_content(element[i:j], weight[i:j]).tobytes() for i, j in zip(start[:-1], start[1:])]
+        kept = batch.take(pa.array(new, pa.int64()))
+        yield pa.RecordBatch.from_arrays([kept.column(1), pa.array(content, pa.binary()), kept.column(2)], names=["node", "content", "bands"])
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -182,60 +188,96 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def _compare(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
-    """Links between the leaders and the other members of each group; rows come group by group, leaders first.
+class Forest:
+    """Sets of numbers joined by links; each is named by its smallest member."""
 
-    Two texts are compared in the first band that they share only, and not if they are joined already.
-    """
-    group, leaders, found = None, [], []
-    joined: dict[int, int] = {}
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
-    def root(x: int) -> int:
-        while joined.get(x, x) != x:
-            joined[x] = x = joined.get(joined[x], joined[x])
+    def root(self, x: int) -> int:
+        up = self.up
+        while (above := up.get(x, x)) != x:
+            up[x] = x = up.get(above, above)
         return x
 
+    def join(self, a: int, b: int) -> None:
+        low, high = sorted((self.root(a), self.root(b)))
+        if low != high:
+            self.up[high] = low
+
+    def stars(self) -> Iterator[pa.RecordBatch]:
+        """(a, b): every member but the smallest of each set, and that smallest."""
+        if self.up:
+            yield pa.RecordBatch.from_arrays([pa.array(list(self.up), pa.int64()), pa.array([self.root(x) for x in self.up], pa.int64())], names=["a", "b"])
+
+
+def _near(bucket: int, mine: np.ndarray, my_bands: np.ndarray, theirs: np.ndarray, their_bands: np.ndarray, similar: float) -> bool:
+    """Whether two texts are similar, asked in the first band that they share only."""
+    small, large = sorted((len(theirs), len(mine)))
+    if small < similar * large or their_bands[np.argmax(their_bands == my_bands)] != bucket:
+        return False
+    both = _shared(theirs, mine)
+    return both >= similar * (small + large - both) - 1e-9
+
+
+def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    bands = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, -1)
+    contents = (np.frombuffer(c, np.uint32) for c in batch.column("content").to_pylist())
+    own = [batch.column(n).to_pylist() for n in batch.schema.names if n not in ("content", "bands")]
+    return zip(*own, contents, bands)
+
+
+def _link(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
+    """Links among the members of each part of a bucket; rows (bucket, part, comp, content, bands) come part by part.
+
+    Members joined already, by any part of this task, are not compared.
+    """
+    group, members, forest = None, [], Forest()
+    for batch in batches:
+        for bucket, part, comp, content, bands in _rows_of(batch):
+            if (bucket, part) != group:
+                group, members = (bucket, part), []
+            for other, theirs, their_bands in members:
+                if forest.root(comp) != forest.root(other) and _near(bucket, content, bands, theirs, their_bands, similar):
+                    forest.join(comp, other)
+            members.append((comp, content, bands))
+    yield from forest.stars()
+
+
+def _compare(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
+    """Links between the members of each part and leaders from earlier ones; rows come part by part, leaders first."""
+    group, leaders, forest = None, [], Forest()
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("bucket", "part", "leads", "comp", "bag", "content", "own_bands")]
-        for bucket, part, leads, comp, bag, content, bands in zip(*columns):
+        for bucket, part, leads, comp, content, bands in _rows_of(batch):
             if (bucket, part) != group:
-                group, leaders, joined = (bucket, part), [], {}
-            content, bands = np.frombuffer(content, np.uint32), np.frombuffer(bands, np.int64)
+                group, leaders = (bucket, part), []
             if leads:
-                leaders.append((comp, bag, content, bands))
+                leaders.append((comp, content, bands))
                 continue
-            for other, name, theirs, near in leaders:
-                if root(comp) == root(other) or name == bag:
-                    continue
-                small, large = sorted((len(theirs), len(content)))
-                if small < similar * large or near[np.argmax(near == bands)] != bucket:
-                    continue
-                both = _shared(theirs, content)
-                if both >= similar * (small + large - both) - 1e-9:
-                    found.append((min(comp, other), max(comp, other)))
-                    joined[root(comp)] = root(other)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
-            found = []
+            for other, theirs, their_bands in leaders:
+                if forest.root(comp) != forest.root(other) and _near(bucket, content, bands, theirs, their_bands, similar):
+                    forest.join(comp, other)
+    yield from forest.stars()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) is connected with.
 
     Large-star and small-star steps in turn, until the edges form stars. Each step is a grouped minimum and
-    a join, and is written, so no task or driver holds a component.
+    a join; both are written together, so no task or driver holds a component.
     """
-    now = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("root").alias("b"))
-        now = staging.written(large.distinct(), "stars")
-        least = now.groupBy("a").agg(F.min("b").alias("root"))
-        small = now.join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("root"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
         now = staging.written(small.union(least).filter("a != b").distinct(), "stars")
-        rows, ends = now.agg(F.count("*"), F.count_distinct("a")).first()
-        if rows == ends and now.select("b").distinct().join(now.select("a"), F.col("a") == F.col("b"), "left_semi").isEmpty():
+        ends = now.select(F.col("a").alias("n"), F.lit(1).alias("below")).unionByName(now.select(F.col("b").alias("n"), F.lit(0).alias("below")))
+        uses = ends.groupBy("n").agg(F.sum("below").alias("below"), F.min("below").alias("least"))
+        # In stars a node is once below another one, or never.
+        if uses.filter("below > 1 OR below > 0 AND least = 0").isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -270,6 +312,12 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return rows.join(least, "node").select("doc_id", "class_id")
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """The members of buckets whose members are not all connected."""
+    spread = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
+    return members.join(spread, "bucket", "left_semi")
+
+
 def _classes(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """row, doc_id, text_hash, node and words (has any), a row per row of ``docs``: classes of texts linked by a similarity of ``similar`` or more.
 
@@ -277,57 +325,65 @@ def _classes(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, band
     at white space; a text of fewer words is one shingle). A text that is null or has no words is alone in its
     class. Rows of one class have one ``node``.
 
-    Equal bags are one node. Nodes that agree in a whole band of the signature share a bucket. In each round
-    some members of each bucket lead: they are compared with the bucket's other members, exactly, and step
-    out. A bucket is done when the members that have not led are connected with each other, so in the end
-    any two members of a bucket were compared or are connected; no class depends on which members led.
-    Members meet the leaders in parts of bounded size, whatever the size of the bucket.
+    Equal bags are one node, named by its smallest row. Nodes that agree in a whole band of the signature share
+    a bucket. A bucket is cut into parts of bounded size, fixed once. First the members of each part are compared
+    with each other, exactly, in the first bands, then in the others where a bucket still has members that are not
+    connected; that ends all buckets of one part. Of larger ones that are still open a few parts lead in each round:
+    they meet all later parts and step out, until the members left are connected. In the end any two members of a
+    bucket were compared or are connected; no class depends on the parts.
     """
-    plain = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    signed = staging.written(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        partial(_sign, words=words, bands=bands, rows=rows), "row long, doc_id long, text_hash long, bag binary, bands array<long>"), "signed")
+    plain = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    signed = staging.written(plain.mapInArrow(partial(_sign, words=words, bands=bands, rows=rows),
+                                              "row long, doc_id long, text_hash long, bag binary, size long, bands array<long>"), "signed")
     known = signed.filter("bag IS NOT NULL")
-    nodes = known.groupBy("bag").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"),
-                                     F.min("row").alias("comp"))
-    exploded = nodes.select("bag", "comp", F.posexplode("bands").alias("band", "bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = staging.written(exploded.join(shared, "bucket").select("bucket", "band", "bag", "comp"), "buckets")
-    compared = members.select("bag").distinct()
-    texts = compared.join(nodes.select("bag", "doc_id"), "bag").withColumnRenamed("doc_id", "one")
-    contents = plain.join(texts, plain["doc_id"].eqNullSafe(texts["one"])).select("doc_id", "text", "bag")
-    contents = staging.written(contents.mapInArrow(partial(_contents, words=words, bands=bands, rows=rows),
-                                                   "bag binary, content binary, own_bands binary"), "contents")
-    labels = None
-    for step in range(10 ** 6):
-        leaders = LEADERS[min(step, len(LEADERS) - 1)]
-        active = members.filter(F.col("band") < FIRST_BANDS) if step == 0 else members
-        active = active.select("bucket", "bag", "comp")
-        if active.isEmpty():
-            if step:
-                break
-            continue
-        turn = F.pmod(F.xxhash64("bag", F.lit(step)), F.lit(leaders))
-        leads = active.groupBy("bucket", turn.alias("turn")).agg(F.min(F.struct("bag", "comp")).alias("lead"))
-        leads = staging.written(leads.select("bucket", F.col("lead.bag").alias("bag"), F.col("lead.comp").alias("comp")), "leads")
-        sizes = active.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / PART), F.lit(1)).cast("int").alias("parts"))
-        own = F.pmod(F.xxhash64("bag"), F.col("parts")).cast("int")
-        each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        meet = (active.join(sizes, "bucket").select("bucket", "bag", "comp", own.alias("part"), F.lit(False).alias("leads"))
-                .unionByName(leads.join(sizes, "bucket").select("bucket", "bag", "comp", each.alias("part"), F.lit(True).alias("leads"))))
-        meet = (meet.join(contents, "bag").repartition("bucket", "part")
-                .sortWithinPartitions("bucket", "part", F.desc("leads")))
-        links = staging.written(meet.select("bucket", "part", "leads", "comp", "bag", "content", "own_bands")
-                                .mapInArrow(partial(_compare, similar=similar), "a long, b long").distinct(), "links")
-        members = members.join(leads.select("bucket", "bag"), ["bucket", "bag"], "left_anti")
+    nodes = known.groupBy("bag").agg(F.first("bands").alias("bands"), F.first("size").alias("size"),
+                                     F.min(F.struct("row", "doc_id", "text_hash")).alias("one"))
+    exploded = nodes.select(F.col("one.row").alias("node"), "size", F.posexplode("bands").alias("band", "bucket"))
+    parts = F.ceil(F.greatest(F.count("*") / PART, F.sum("size") / PART_SHINGLES)).cast("int")
+    shared = exploded.groupBy("bucket").agg(F.count("*").alias("members"), parts.alias("parts")).filter("members > 1")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    members = exploded.join(shared, "bucket").select("bucket", "band", "node", part.alias("part"), "parts")
+    members = staging.written(members, "buckets")
+    texts = nodes.select(F.col("one.row").alias("node"), F.col("one.doc_id").alias("id"), F.col("one.text_hash").alias("hash"), "bands")
+    texts = texts.join(members.select("node"), "node", "left_semi")
+    # A row of `plain` meets one text at most: equal ids with equal texts are one node.
+    found = plain.join(texts, plain["doc_id"].eqNullSafe(texts["id"]) & (plain["text_hash"] == texts["hash"])).select("text", "node", "bands")
+    contents = found.mapInArrow(partial(_contents, words=words), "node long, content binary, bands array<long>").dropDuplicates(["node"])
+    contents = staging.written(contents, "contents")
+
+    def meet(rows: DataFrame, *extra: str) -> DataFrame:
+        return rows.join(contents, "node").select("bucket", "part", *extra, "comp", "content", "bands").repartition("bucket", "part")
+
+    def within(rows: DataFrame) -> DataFrame:
+        return staging.written(meet(rows).sortWithinPartitions("bucket", "part", "comp")
+                               .mapInArrow(partial(_link, similar=similar), "a long, b long"), "links")
+
+    own = members.withColumn("comp", F.col("node"))
+    links = within(own.filter(F.col("band") < FIRST_BANDS))
+    near = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    links = links.unionByName(within(_open(_relabel(own, near, "comp")).filter(F.col("band") >= FIRST_BANDS)))
+    labels = None if links.isEmpty() else components(links)
+    large = own.filter("parts > 1")
+    if labels is not None and not large.isEmpty():
+        large = _relabel(large, labels, "comp")
+    for lead in count(0, LEAD_PARTS):
+        # Parts before `lead` are done: they have met all others. A bucket with one part left is done too.
+        large = staging.written(_open(large.filter((F.col("part") >= lead) & (F.col("parts") - lead > 1))), "open")
+        if large.isEmpty():
+            break
+        later = F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1))
+        leaders = large.filter((F.col("part") < lead + LEAD_PARTS) & (F.col("part") < F.col("parts") - 1))
+        rows = (large.select("bucket", "part", "node", "comp", F.lit(False).alias("leads"))
+                .unionByName(leaders.select("bucket", later.alias("part"), "node", "comp", F.lit(True).alias("leads"))))
+        found = meet(rows, "leads").sortWithinPartitions("bucket", "part", F.desc("leads"))
+        links = staging.written(found.mapInArrow(partial(_compare, similar=similar), "a long, b long"), "links")
         if not links.isEmpty():
-            roots = components(links)
-            members = _relabel(members, roots, "comp")
-            # A node is in `labels` from the round on in which it is joined to a smaller one, and in no later links.
-            labels = roots if labels is None else staging.written(_relabel(labels, roots, "root").unionByName(roots), "labels")
-        open_ = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket")
-        members = staging.written(members.join(open_, "bucket", "left_semi"), "open")
-    classes = known.select("row", "doc_id", "text_hash", "bag").join(nodes.select("bag", F.col("comp").alias("node")), "bag").drop("bag")
+            if labels is not None:
+                links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            labels = components(links)
+            large = _relabel(large, labels, "comp")
+    classes = known.select("row", "doc_id", "text_hash", "bag").join(nodes.select("bag", F.col("one.row").alias("node")), "bag").drop("bag")
     if labels is not None:
         classes = _relabel(classes, labels, "node")
     alone = signed.filter("bag IS NULL").select("row", "doc_id", "text_hash", F.col("row").alias("node"), F.lit(False).alias("words"))
-    return classes.select("row", "doc_id", "text_hash", "node", F.lit(True).alias("words")).unionByName(alone)
+    return staging.written(classes.select("row", "doc_id", "text_hash", "node", F.lit(True).alias("words")).unionByName(alone), "classes")

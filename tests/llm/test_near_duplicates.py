@@ -1,9 +1,12 @@
 import random
 from collections import Counter
+from functools import partial
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tapewise.llm import dart_minhash as dm
 from tapewise.llm.common import table
@@ -73,8 +76,47 @@ def test_classes_equal_brute_force(spark, texts):
 
 def test_parts_of_a_bucket_lose_no_link(spark, texts, monkeypatch):
     monkeypatch.setattr(dm, "PART", 8)
-    monkeypatch.setattr(dm, "LEADERS", (1, 1, 3))
+    monkeypatch.setattr(dm, "LEAD_PARTS", 2)
     test_classes_equal_brute_force(spark, texts[:170])
+    monkeypatch.setattr(dm, "PART_SHINGLES", 700)
+    test_classes_equal_brute_force(spark, texts[:170])
+
+
+def test_a_row_meets_one_text_at_most(spark):
+    """Null and repeated ids: as many rows pass the join with the texts as there are rows."""
+    words = ["w%d" % k for k in range(400)]
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(200)]
+    texts += [t + " x" for t in texts]
+    rows = [(None, t) for t in texts for _ in range(4)] + [(7, t) for t in texts[:100] for _ in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes = []
+
+    def spy(batches, words):
+        for batch in batches:
+            yield from [pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])]
+
+    whole = DataFrame.mapInArrow
+
+    def counted(df, f, schema, *rest):
+        if getattr(f, "func", None) is dm._contents:
+            sizes.append(whole(df, partial(spy, words=5), "n long").agg({"n": "sum"}).first()[0])
+        return whole(df, f, schema, *rest)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(docs), "mapInArrow", counted)
+        classes = dm.near_duplicates(docs).collect()
+    assert len(classes) == 2000 and sizes and 400 <= sizes[0] <= 2000
+
+
+def test_few_exchanges(spark, odd_docs, monkeypatch):
+    """Written tables of a run on rows without large buckets: each step is planned once, no loop of small jobs."""
+    names = []
+    plain = dm.staging.written
+    monkeypatch.setattr(dm.staging, "written", lambda df, name: names.append(
+        (name, df._jdf.queryExecution().executedPlan().toString().count("Exchange "))) or plain(df, name))
+    dm.near_duplicates(odd_docs).count()
+    assert len(names) <= 10 and sum(n for _, n in names) <= 60, names
 
 
 def test_classes_on_the_given_table(spark):
