@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewise.llm import bitplanes, bpe, crf_quality, dart_minhash, harmonic, kmeans_tree, norm_buckets, ordinal_toxicity, pii, warc
+from tapewise.llm import (bitplanes, bpe, crf_quality, dart_minhash, harmonic, kmeans_tree, merkle, norm_buckets, ordinal_toxicity, pieces, pii,
+                          turns, warc)
 from tapewise.llm.common import table
 
 
@@ -52,10 +53,23 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_bit_planes, op2_line_crf, op3_warc_normaliser, op4_ordinal_toxicity, op5_kmeans_tree, op6_weak_supervision,
-        op7_backtracking_bpe, op8_norm_buckets, op9_harmonic_packing, op10_dart_minhash)
+        op7_backtracking_bpe, op8_norm_buckets, op9_harmonic_packing, op10_dart_minhash,
+        op11_four_russians, op12_merkle_descent, op13_chunk_table)
 }
 #: Exact integer products of all pairs of a query and another row; the order makes ties definite.
 _PRODUCTS = """
