@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewise.operators.panel import Halo, block_rows, decay_rows, span_alpha, with_halo
+from tapewise.operators.averages import Carry
+from tapewise.operators.panel import Halo, block_rows, span_alpha, with_halo
 
+_SERIES = {"gain": "_gain", "loss": "_loss", "range": "_tr"}
 EPSILON = 1e-10  # keeps the gain/loss ratio finite when there was no loss
 
 
@@ -28,16 +30,14 @@ def sma(df: DataFrame, window: int, column: str = "close", name: str | None = No
 
 
 def ema(df: DataFrame, window: int, column: str = "close", name: str | None = None) -> DataFrame:
-    alpha = span_alpha(window)
-    back = decay_rows(alpha)
-    h = with_halo(df, back=back, block=block_rows([alpha], back))
-    return h.decay({name or f"ema_{window}": (column, alpha)}).done()
+    name, alpha = name or f"ema_{window}", span_alpha(window)
+    return _averaged(df, Carry({name: (column, alpha)})).decay({name: (column, alpha, column)}).done()
 
 
 def moving_averages(df: DataFrame) -> DataFrame:
-    h = _halo([span_alpha(20)], rows=50)(df)
+    h = _averaged(df, Carry({"ema_20": ("close", span_alpha(20))}), back=50)
     h = h.add({"sma_20": h.rolling_mean("close", 20), "sma_50": h.rolling_mean("close", 50)})
-    return h.decay({"ema_20": ("close", span_alpha(20))}).done()
+    return h.decay({"ema_20": ("close", span_alpha(20), "close")}).done()
 
 
 def sma_crossover(df: DataFrame) -> DataFrame:
@@ -48,25 +48,34 @@ def sma_crossover(df: DataFrame) -> DataFrame:
     return h.add({"ma_signal": F.col("ma_position") - F.lag("ma_position").over(h.w)}).done()
 
 
-def _halo(alphas: list[float], rows: int = 1, chain: int = 0):
-    """Factory of a halo long enough for the decays (plus ``chain`` rows for a decay of a decay)."""
-    back = max([rows] + [decay_rows(a) for a in alphas]) + 1 + chain
-    block = block_rows(alphas, back)
-    return lambda df: with_halo(df, back=back, block=block)
+def _averaged(df: DataFrame, carry: Carry, back: int = 1) -> Halo:
+    """Blocks as long as the decays allow, with ``back`` earlier rows for the windows and the averages' states before them."""
+    alphas = [alpha for _, alpha in carry.averages.values()] + ([carry.signal[3]] if carry.signal else [])
+    return with_halo(df, back=back, block=block_rows(alphas, back), carry=carry)
+
+
+def _known(column: str) -> Column:
+    """The value, null where it is unknown: null or NaN."""
+    return F.when(~F.isnan(F.col(column).cast("double")), F.col(column))
+
+
+def _before(h: Halo) -> Column:
+    """The close of the row before; that before the block's first row is carried."""
+    lag = F.lag(_known("close")).over(h.w)
+    return F.when(F.col("pos") == F.col("_first"), F.col("_prev_close")).otherwise(lag) if "_prev_close" in h.df.columns else lag
 
 
 def _gain_loss(h: Halo) -> Halo:
-    change = F.col("close") - F.lag("close").over(h.w)
-    h = h.add({"_change": change})
+    h = h.add({"_change": _known("close") - _before(h)})
     zero, known = F.lit(0.0), F.col("_change").isNotNull()  # an unknown change is neither a gain nor a loss
     return h.add({"_gain": F.when(known, F.greatest(F.col("_change"), zero)), "_loss": F.when(known, F.greatest(-F.col("_change"), zero))})
 
 
 def _rsi(h: Halo, window: int) -> Column:
-    """Null until ``window`` changes are known; every later block has that many before it."""
+    """Null until ``window`` changes are known."""
     strength = F.col("_avg_gain") / (F.col("_avg_loss") + F.lit(EPSILON))
-    changes = F.count("_change").over(h.w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.when((F.col("_block") > 0) | (changes >= window), 100.0 - 100.0 / (1.0 + strength))
+    changes = F.col("_seen_gain") + F.count("_change").over(h.w.rowsBetween(Window.unboundedPreceding, 0))
+    return F.when(changes >= window, 100.0 - 100.0 / (1.0 + strength))
 
 
 def rsi_signal(rsi: Column, overbought: float = 70, oversold: float = 30) -> Column:
@@ -75,27 +84,30 @@ def rsi_signal(rsi: Column, overbought: float = 70, oversold: float = 30) -> Col
 
 def rsi(df: DataFrame, window: int = 14, name: str = "rsi") -> DataFrame:
     alpha = 1.0 / window
-    h = _gain_loss(_halo([alpha], rows=window)(df))
-    h = h.decay({"_avg_gain": ("_gain", alpha), "_avg_loss": ("_loss", alpha)})
+    h = _gain_loss(_averaged(df, Carry({"_avg_gain": ("gain", alpha), "_avg_loss": ("loss", alpha)}), back=0))
+    h = h.decay({"_avg_gain": ("_gain", alpha, "gain"), "_avg_loss": ("_loss", alpha, "loss")})
     return h.add({name: _rsi(h, window)}).done("_change", "_gain", "_loss", "_avg_gain", "_avg_loss")
 
 
-def _macd(h: Halo, alphas: list[float]) -> Halo:
-    h = h.decay({"_fast": ("close", alphas[0]), "_slow": ("close", alphas[1])}).add({"macd": F.col("_fast") - F.col("_slow")})
-    return h.decay({"macd_signal": ("macd", alphas[2])})
+def _macd_carry(fast: int, slow: int, signal: int) -> Carry:
+    return Carry({"_fast": ("close", span_alpha(fast)), "_slow": ("close", span_alpha(slow))}, ("macd_signal", "_fast", "_slow", span_alpha(signal)))
+
+
+def _macd(h: Halo, carry: Carry) -> Halo:
+    h = h.decay({k: (source, alpha, source) for k, (source, alpha) in carry.averages.items()})
+    return h.add({"macd": F.col("_fast") - F.col("_slow")}).decay({"macd_signal": ("macd", carry.signal[3], None)})
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    alphas = [span_alpha(n) for n in (fast, slow, signal)]
-    h = _halo(alphas, chain=decay_rows(alphas[2]))(df)
-    return _macd(h, alphas).add({"macd_hist": F.col("macd") - F.col("macd_signal")}).done("_fast", "_slow")
+    carry = _macd_carry(fast, slow, signal)
+    h = _macd(_averaged(df, carry, back=0), carry)
+    return h.add({"macd_hist": F.col("macd") - F.col("macd_signal")}).done("_fast", "_slow")
 
 
 def macd_crossover(df: DataFrame) -> DataFrame:
     """+1 when MACD crosses above its signal line, -1 below, 0 otherwise, null on the first row."""
-    alphas = [span_alpha(n) for n in (12, 26, 9)]
-    h = _halo(alphas, chain=decay_rows(alphas[2]) + 1)(df)
-    h = _macd(h, alphas)
+    carry = _macd_carry(12, 26, 9)
+    h = _macd(_averaged(df, carry), carry)
     h = h.add({"_above": (F.col("macd") > F.col("macd_signal")).cast("int")})
     return h.add({"macd_cross": F.col("_above") - F.lag("_above").over(h.w)}).done("_above", "_fast", "_slow")
 
@@ -114,9 +126,9 @@ def _bands(h: Halo, num_std: float) -> Halo:
 
 
 def _true_range(h: Halo) -> Column:
-    prev = F.lag("close").over(h.w)
+    prev, high, low = _before(h), _known("high"), _known("low")
     # greatest() skips nulls, so the first row is high - low.
-    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
+    return F.greatest(high - low, F.abs(high - prev), F.abs(low - prev))
 
 
 def true_range(df: DataFrame) -> DataFrame:
@@ -127,9 +139,9 @@ def true_range(df: DataFrame) -> DataFrame:
 def atr(df: DataFrame, window: int = 14) -> DataFrame:
     """Average true range rounded to 2, and as a percentage of close (from the rounded value) to 3."""
     alpha = span_alpha(window)
-    h = _halo([alpha])(df)
+    h = _averaged(df, Carry({"_atr": ("range", alpha)}), back=0)
     h = h.add({"_tr": _true_range(h)})
-    h = h.decay({"_atr": ("_tr", alpha)}).add({"atr": F.round("_atr", 2)})
+    h = h.decay({"_atr": ("_tr", alpha, "range")}).add({"atr": F.round("_atr", 2)})
     return h.add({"atr_pct": F.round(_ratio(F.col("atr"), F.col("close")) * 100, 3)}).done("_tr", "_atr")
 
 
@@ -140,9 +152,11 @@ def volume_ratio(df: DataFrame, window: int = 20) -> DataFrame:
 
 def indicators_all(df: DataFrame, complete_only: bool = True) -> DataFrame:
     """Every indicator in one pass: one exchange and one sort on (ticker, block) feed all windows."""
-    spans = {n: span_alpha(n) for n in (9, 12, 14, 20, 26)}
-    wilder = 1.0 / 14
-    h = _halo([*spans.values(), wilder], rows=50, chain=decay_rows(spans[9]))(df)
+    spans, wilder = {n: span_alpha(n) for n in (12, 14, 20, 26)}, 1.0 / 14
+    carry = Carry({"ema_20": ("close", spans[20]), "_fast": ("close", spans[12]), "_slow": ("close", spans[26]),
+                   "_avg_gain": ("gain", wilder), "_avg_loss": ("loss", wilder), "_atr": ("range", spans[14])},
+                  ("macd_signal", "_fast", "_slow", span_alpha(9)))
+    h = _averaged(df, carry, back=50)
     h = _gain_loss(h.add({
         "_tr": _true_range(h),
         "sma_20": h.rolling_mean("close", 20),
@@ -150,10 +164,9 @@ def indicators_all(df: DataFrame, complete_only: bool = True) -> DataFrame:
         "_std": h.rolling_std("close", 20),
         "volume_ratio": _ratio(F.col("volume"), h.rolling_mean("volume", 20)),
     }))
-    h = h.decay({"ema_20": ("close", spans[20]), "_fast": ("close", spans[12]), "_slow": ("close", spans[26]),
-                 "_avg_gain": ("_gain", wilder), "_avg_loss": ("_loss", wilder), "_atr": ("_tr", spans[14])})
+    h = h.decay({k: (_SERIES.get(source, source), alpha, source) for k, (source, alpha) in carry.averages.items()})
     h = h.add({"macd": F.col("_fast") - F.col("_slow"), "bb_middle": F.col("sma_20")})
-    h = h.decay({"macd_signal": ("macd", spans[9])})
+    h = h.decay({"macd_signal": ("macd", carry.signal[3], None)})
     h = _bands(h, 2.0).add({
         "rsi": _rsi(h, 14),
         "macd_hist": F.col("macd") - F.col("macd_signal"),

@@ -8,6 +8,7 @@ task, and one ticker may hold a large share of all rows. Everything here works o
 * the *unit table* (one row per unit, built by a plain aggregation) is the only thing windowed per
   ticker. It has four rows a year per ticker, so that window is bounded by the calendar;
 * :func:`with_carry` joins running per-ticker values from the unit table back onto the rows;
+* a decaying average has no bounded reach; its state before each unit is carried by the unit table (:mod:`averages`);
 * :func:`with_halo` cuts every ticker into blocks of consecutive rows and copies the few rows before
   (or after) a block into it, so any window of bounded reach runs inside (ticker, block).
 
@@ -18,17 +19,19 @@ planner and adaptive execution broadcast it only below ``spark.sql.autoBroadcast
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tapewise.operators.averages import Carry
+
 UNIT_ROWS = 92  # most days in a quarter: bound of a unit and slack of a block edge
 BLOCK_ROWS = 3200  # with the longest usual halo still below the 4096 rows a window keeps in memory
 LONG_WINDOW = 100  # rolling means of at least this many rows use running sums
 _LOST = 17.0  # decimal digits after which a geometric tail no longer changes a double
 _RANGE = 280.0  # decimal exponent a block may span in each direction
-_ENOUGH = 12 / 17  # share of a halo's rows with known values, from which older ones weigh less than 1e-12
 
 
 def unit_of(date: str = "date") -> Column:
@@ -52,7 +55,7 @@ def in_unit(*order: Column | str, keys: tuple[str, ...] = ("ticker",)) -> Window
 def with_carry(
     df: DataFrame,
     summaries: list[Column],
-    carries: list[dict[str, Column]],
+    carries: list[dict[str, Column] | Callable[[DataFrame], DataFrame]],
     keep: list[str],
     unit: Column | None = None,
     keys: tuple[str, ...] = ("ticker",),
@@ -61,7 +64,7 @@ def with_carry(
     """Add ``_unit`` and the ``keep`` columns of the unit table to every row.
 
     ``summaries`` are aggregates per unit; each dict of ``carries`` is one step of window columns over
-    the unit table (later steps may use earlier ones).
+    the unit table (later steps may use earlier ones), a function one that makes another table of it.
 
     ``windowed`` says that windows per unit follow, and spreads the rows by (keys, unit) for them. Without
     it an input that happens to be spread by ticker alone (after a join on ticker) would satisfy such a
@@ -71,7 +74,7 @@ def with_carry(
     rows = df.withColumn("_unit", unit)
     table = rows.groupBy(*keys, "_unit").agg(*summaries)
     for step in carries:
-        table = table.withColumns(step)
+        table = step(table) if callable(step) else table.withColumns(step)
     out = rows.join(table.select(*keys, "_unit", *keep), [*keys, "_unit"])
     return out.repartition(*keys, "_unit") if windowed else out
 
@@ -113,7 +116,8 @@ class Halo:
 
     def done(self, *drop: str) -> DataFrame:
         """Drop the copied rows and the helper columns."""
-        return self.df.filter("_home").drop("_home", "_block", *drop)
+        carried = [c for c in self.df.columns if c.startswith(("_in_", "_at_", "_seen_", "_prev_"))]
+        return self.df.filter("_home").drop("_home", "_block", "_first", *carried, *drop)
 
     def rolling_mean(self, column: str, n: int) -> Column:
         """Mean of the last ``n`` rows; null until ``n`` values are there.
@@ -133,28 +137,29 @@ class Halo:
         frame = self.last(n)
         return F.when(F.count(column).over(frame) == n, F.stddev_samp(column).over(frame))
 
-    def decay(self, averages: dict[str, tuple[str, float]]) -> Halo:
+    def decay(self, averages: dict[str, tuple[str, float, str | None]]) -> Halo:
         """Add exponential averages, each of a column with an alpha: y = x at the first known value, then w*y + (1-w)*x.
 
         w is (1-alpha)^d / ((1-alpha)^d + alpha), where the known value before is d rows back: 1-alpha without
-        gaps. A row without a value repeats the average, rows before the first known one have none. Inside a
-        block this is P * sum((1-w) * x / P) with P the running product of w, kept as a sum of logarithms
-        from the middle of the block so that it stays far from overflow. Values older than the halo weigh
-        less than 1e-17; a block whose halo has so many gaps that they weigh more than 1e-12 is refused.
+        gaps. A row without a value (null or NaN) repeats the average, rows before the first known one have none.
+        The third part names the source whose last position :func:`with_halo` carries to the block (None: the average
+        has a value in every row from its first on); the value before the block is carried as ``_in_`` and the name.
+        Inside a block this is P * (y before + sum((1-w) * x / P)) with P the running product of w, kept as a
+        sum of logarithms from the middle of the block so that it stays far from overflow.
         """
         so_far, before = (self.w.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
-        sources = {c: f"_at_{k}" for k, c in enumerate(dict.fromkeys(c for c, _ in averages.values()))}
-        known = {at: F.last(F.when(F.col(c).isNotNull(), F.col("pos")), ignorenulls=True).over(before) for c, at in sources.items()}
-        seen = {f"{at}_n": F.count(c).over(so_far) for c, at in sources.items()}
-        h = self.add(known | seen)
-        logs, sums, out, helpers = {}, {}, {}, [*known, *seen]
-        for name, (column, alpha) in averages.items():
-            x, at, q = F.col(column), F.col(sources[column]), 1.0 - alpha
+        sources = {c: f"_last_{k}" for k, c in enumerate(dict.fromkeys(c for c, _, _ in averages.values()))}
+        value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) for c in sources}
+        carried = {c: F.col(f"_at_{source}") if source else F.when(F.col(f"_in_{name}").isNotNull(), F.col("_first") - 1)
+                   for name, (c, _, source) in averages.items()}
+        h = self.add({at: F.coalesce(F.last(F.when(value[c].isNotNull(), F.col("pos")), ignorenulls=True).over(before), carried[c])
+                      for c, at in sources.items()})
+        logs, sums, out, helpers = {}, {}, {}, [*sources.values()]
+        for name, (column, alpha, _) in averages.items():
+            x, at, q, earlier = value[column], F.col(sources[column]), 1.0 - alpha, F.col(f"_in_{name}")
             if alpha >= 1.0:
-                out[name] = F.last(column, ignorenulls=True).over(so_far)
+                out[name] = F.coalesce(F.last(x, ignorenulls=True).over(so_far), earlier)
                 continue
-            if self.back < decay_rows(alpha):
-                raise ValueError(f"halo of {self.back} rows is too short for alpha={alpha}")
             if (self.block + self.back + 2 * UNIT_ROWS) / 2 * -math.log10(q) > _RANGE:
                 raise ValueError(f"block of {self.block} rows is too long for alpha={alpha}")
             gap = F.col("pos") - at
@@ -164,12 +169,10 @@ class Halo:
             middle = (self.block + self.back) / 2 * -math.log(q)
             sums[f"_sum_{name}"] = F.sum(f"_log_{name}").over(so_far) + middle
             total = F.col(f"_sum_{name}")
-            share = F.when(at.isNull() & (F.col("_block") == 0), 1.0).when(at.isNull() | (gap == 1), alpha).otherwise(alpha / (old + alpha))
-            few = (F.col("_block") > 0) & F.col("_home") & (F.col(f"{sources[column]}_n") < decay_rows(alpha) * _ENOUGH)
-            refused = F.raise_error(F.lit(f"too many gaps for an exponential average with alpha={alpha}")).cast("double")
-            first = x.isNotNull() & at.isNull() & (F.col("_block") == 0)
-            out[name] = F.when(first, x).when(few | (total < -_RANGE * math.log(10)), refused).otherwise(
-                F.exp(total) * F.sum(share * x * F.exp(-total)).over(so_far))
+            share = F.when(at.isNull(), 1.0).when(gap == 1, alpha).otherwise(alpha / (old + alpha))
+            own = F.sum(share * x * F.exp(-total)).over(so_far)
+            both = F.when(earlier.isNull(), own).otherwise(earlier * math.exp(-middle) + F.coalesce(own, F.lit(0.0)))
+            out[name] = F.when(x.isNotNull() & at.isNull(), x).otherwise(F.exp(total) * both)
             helpers += [f"_log_{name}", f"_sum_{name}"]
         h = h.add(logs).add(sums).add(out) if logs else h.add(out)
         return Halo(h.df.drop(*helpers), self.back, self.block)
@@ -194,9 +197,11 @@ def block_rows(alphas: list[float], back: int) -> int:
     return block
 
 
-def with_halo(df: DataFrame, back: int = 0, ahead: int = 0, block: int | None = None) -> Halo:
+def with_halo(df: DataFrame, back: int = 0, ahead: int = 0, block: int | None = None, carry: Carry | None = None) -> Halo:
     """Cut every ticker into blocks of about ``block`` rows, each seeing ``back`` earlier and ``ahead``
     later rows. Adds ``pos`` and ``n_rows``. One row is copied at most twice, and only near an edge.
+
+    With ``carry``, a block's rows also have the state of exponential averages before its first one, for ``decay``.
     """
     block = block or max(BLOCK_ROWS, max(back, ahead) + UNIT_ROWS)
     # A unit belongs to the block it starts in and may reach UNIT_ROWS into the next one. With this length
@@ -204,7 +209,11 @@ def with_halo(df: DataFrame, back: int = 0, ahead: int = 0, block: int | None =
     if max(back, ahead) + UNIT_ROWS > block:
         raise ValueError("a block must be longer than its halo by one unit")
     summaries, carries = _starts()
-    rows = with_carry(df, summaries, carries, ["_start", "_cnt", "n_rows"], windowed=False)
+    if carry:
+        summaries = [*summaries, carry.summary()]
+        carries = [*carries, lambda table: carry.states(table, ("ticker",))]
+    carried = carry.columns if carry else []
+    rows = with_carry(df, summaries, carries, ["_start", "_cnt", "n_rows", *carried], windowed=False)
     start, count, total = F.col("_start"), F.col("_cnt"), F.col("n_rows")
     home = F.floor(start / F.lit(block)).cast("long")
     seen_by = [F.struct(home.alias("_block"), F.lit(True).alias("_home"))]
@@ -217,10 +226,12 @@ def with_halo(df: DataFrame, back: int = 0, ahead: int = 0, block: int | None =
         seen_by.append(F.when(early, F.struct((home - 1).alias("_block"), F.lit(False).alias("_home"))))
     copies = rows.withColumn("_to", F.explode(F.array_compact(F.array(*seen_by)))) if len(seen_by) > 1 \
         else rows.withColumn("_to", seen_by[0])
-    copies = copies.select(*df.columns, "n_rows", "_start", "_to._block", "_to._home")
+    copies = copies.select(*df.columns, "n_rows", "_start", *carried, "_to._block", "_to._home")
     copies = copies.repartition("ticker", "_block")  # see with_carry: never by ticker alone
     # The first unit of the block holds its smallest start; same order as all later windows: one sort.
     w = Window.partitionBy("ticker", "_block").orderBy("date")
-    first = F.first("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    pos = first + F.row_number().over(w) - 1
-    return Halo(copies.withColumn("pos", pos).drop("_start"), back, block)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = {c: F.first(c).over(so_far) for c in carried}
+    out = copies.withColumns({"_first": F.first("_start").over(so_far), "_row": F.row_number().over(w), **before})
+    out = out.withColumn("pos", F.col("_first") + F.col("_row") - 1).drop("_start", "_row", *(() if carry else ("_first",)))
+    return Halo(out, back, block)

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewise.operators import indicators as ind
-from tapewise.operators import panel
+from tapewise.operators import averages, panel
+from tests.conftest import walk
 
 
 def by_ticker(pdf, fn):
@@ -115,10 +116,9 @@ def test_numbering_and_blocks(bars, panel_pd):
 
 
 def test_block_too_long_for_a_decay_is_refused(bars):
+    carry = averages.Carry({"e": ("close", 2 / 3)})
     with pytest.raises(ValueError):
-        panel.with_halo(bars, back=50, block=100_000).decay({"e": ("close", 2 / 3)})
-    with pytest.raises(ValueError):
-        panel.with_halo(bars, back=5).decay({"e": ("close", 0.1)})
+        panel.with_halo(bars, back=50, block=100_000, carry=carry).decay({"e": ("close", 2 / 3, "close")})
 
 
 @pytest.fixture(scope="module")
@@ -143,11 +143,24 @@ def test_exponential_averages_with_unknown_values(spark, gaps_pd, small_blocks):
                      "close": [1.0, None, 3.0]})).replace(float("nan"), None), 3, name="e"))["e"].round(2).tolist() == [1.0, 1.0, 2.33]
 
 
-def test_a_halo_without_known_values_is_refused(spark, panel_pd, small_blocks):
-    rows = panel_pd[panel_pd["ticker"] == "HOT"].copy()
-    rows.loc[rows.index[1000:1600], "close"] = np.nan
-    with pytest.raises(Exception, match="too many gaps"):
-        ind.ema(spark.createDataFrame(rows).replace(float("nan"), None), 9).collect()
+@pytest.mark.parametrize("n", [3_000, 30_000])
+def test_averages_across_gaps_of_any_length(spark, n):
+    """Nine of ten prices unknown, and none for long stretches, in tickers of one block and of many."""
+    out = pd.concat([walk("A", n, 11, gap=0), walk("B", n // 2, 12, gap=0)], ignore_index=True)
+    rng, at = np.random.default_rng(4), out.groupby("ticker").cumcount()
+    out.loc[(rng.random(len(out)) < 0.9) & ~at.between(n // 3, n // 3 + 40) | at.between(n // 2, n // 2 + n // 4), "close"] = np.nan
+    out.loc[rng.random(len(out)) < 0.9, ["high", "low"]] = np.nan
+    rows, want = spark.createDataFrame(out).replace(float("nan"), None), by_ticker(out, reference)
+    averages = ["ema_20", "macd", "macd_signal", "macd_hist", "rsi", "atr"]
+    same(collected(ind.indicators_all(rows, complete_only=False)), want, averages, rtol=1e-8)
+    for df, columns in [(ind.ema(rows, 20), averages[:1]), (ind.rsi(rows), ["rsi"]), (ind.macd(rows), averages[1:4]), (ind.atr(rows), ["atr"])]:
+        same(collected(df), want, columns, rtol=1e-8)
+
+
+def test_nan_is_an_unknown_value(spark, panel_pd, small_blocks):
+    out = panel_pd[panel_pd["ticker"] == "MID"].copy()
+    out.loc[out.index[::3], "close"] = np.nan
+    same(collected(ind.ema(spark.createDataFrame(out), 20)), by_ticker(out, reference), ["ema_20"])
 
 
 def test_future_bars_do_not_change_the_past(spark, bars, panel_pd):
