@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewise.operators.explain import contribution_array, top_features
 from tapewise.operators.models import Classifier
+from tapewise.operators.trees import Shapley, of_spark
 from tapewise.functions.scalar import confidence_bucket
 
 
@@ -23,62 +23,35 @@ def linear_attribution(model: Classifier, rows: DataFrame) -> DataFrame:
         "base_value": F.lit(float(fitted.intercept)), "parts": F.array(*parts)})
 
 
-def _leaf_parts(model: Classifier) -> tuple[float, np.ndarray]:
-    """Base value, and per (tree, leaf) what each feature on the path adds to the log-odds.
-
-    A node's value is the mean of its rows; walking down a split credits the change of value to the
-    feature that was split on. Leaves are numbered left to right, as the leaf column of the model does.
-    """
+def _shapley(model: Classifier) -> Shapley:
+    """Of the log-odds: twice the weighted sum of the trees of a Spark model, the plain sum of a booster's."""
+    if model.kind == "booster":
+        return Shapley(model.model.trees, [1.0] * len(model.model.trees), len(model.features))
     fitted = model.fitted
-    weights = list(fitted.treeWeights)
-    base, tables = 0.0, []
-    for weight, tree in zip(weights, fitted._java_obj.trees()):
-        rows: list[np.ndarray] = []
-
-        def walk(node, so_far: np.ndarray) -> None:
-            if node.subtreeDepth() == 0:
-                rows.append(so_far)
-                return
-            feature = node.split().featureIndex()
-            for child in (node.leftChild(), node.rightChild()):
-                nxt = so_far.copy()
-                nxt[feature] += 2.0 * weight * (child.prediction() - node.prediction())
-                walk(child, nxt)
-
-        root = tree.rootNode()
-        base += 2.0 * weight * root.prediction()
-        walk(root, np.zeros(len(model.features)))
-        tables.append(np.array(rows))
-    width = max(len(t) for t in tables)
-    table = np.zeros((len(tables), width, len(model.features)))
-    for i, t in enumerate(tables):
-        table[i, :len(t)] = t
-    return base, table
+    trees = [of_spark(t) for t in fitted._java_obj.trees()]
+    return Shapley(trees, [2.0 * w for w in fitted.treeWeights], len(model.features))
 
 
 def tree_attribution(model: Classifier, rows: DataFrame) -> DataFrame:
-    """Path credit over all trees. The model finds the leaves inside Spark; one Arrow batch then sums the
-    table rows of its leaves. The table has trees x 2^depth x features numbers, whatever the data."""
-    base, table = _leaf_parts(model)
-    trees = np.arange(len(table))
+    """Shapley values of the log-odds, exact for the model's trees and the rows they were grown on.
+
+    The model's paths are a constant of trees x leaves x 2^depth numbers, whatever the data; each Arrow batch looks up
+    which path every row passes and sums. Rows with NaN features go right at each split, as in the model.
+    """
+    shapley = _shapley(model)
 
     @F.pandas_udf("array<double>")
-    def add_up(leaves: pd.Series) -> pd.Series:
-        at = np.stack(leaves.to_numpy()).astype(int) if len(leaves) else np.zeros((0, len(trees)), int)
-        return pd.Series(list(table[trees[None, :], at].sum(1)))
+    def add_up(x: pd.Series) -> pd.Series:
+        return pd.Series(list(shapley.values(np.stack(x.to_numpy()).astype(float)))) if len(x) else pd.Series([], dtype=object)
 
-    out = model.model.transform(rows)
-    keep = rows.columns
-    margin = vector_to_array("_raw")[1] * 2
-    scored = out.select(*keep, vector_to_array("_prob")[1].alias("prob"), margin.alias("margin"),
-                        vector_to_array("_leaves").alias("_l"))
-    return scored.withColumns({"pred": (F.col("prob") > 0.5).cast("int"), "base_value": F.lit(base),
-                               "parts": add_up("_l")}).drop("_l")
+    scored = model.score(rows)
+    x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in model.features])
+    return scored.withColumns({"base_value": F.lit(shapley.base), "parts": add_up(x)})
 
 
 def attribute(model: Classifier, rows: DataFrame) -> DataFrame:
     """prob, margin, base_value and the contribution structs of every row."""
-    out = (tree_attribution if model.kind == "gbt" else linear_attribution)(model, rows)
+    out = (linear_attribution if model.kind == "logistic" else tree_attribution)(model, rows)
     structs = contribution_array(model.features, [F.col(f) for f in model.features],
                                  [F.col("parts")[i] for i in range(len(model.features))])
     return out.withColumn("contributions", structs)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 #: How names of columns with whole numbers begin.
 WHOLE = ("_at_", "_seen_")
+BEFORE = "_before"
 
 
 @dataclass(frozen=True)
@@ -60,8 +61,11 @@ class Carry:
         return F.sort_array(F.collect_list(F.struct("date", *known))).alias("_values")
 
     def states(self, units: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-        """``units`` (keys, ``_unit``, ``_start``, ``_values``), together by ticker, with the state before each unit for ``_values``."""
-        kept = [c for c in units.columns if c != "_values"]
+        """``units`` (keys, ``_unit``, ``_start``, ``_values``), together by ticker, with the state before each unit for ``_values``.
+
+        Columns named BEFORE and a state's column give the state before a ticker's first unit; else it starts anew.
+        """
+        kept = [c for c in units.columns if c != "_values" and not c.startswith(BEFORE)]
         fields = [units.schema[c].simpleString().replace(":", " ", 1) for c in kept]
         fields += [f"{c} {'bigint' if c.startswith(WHOLE) else 'double'}" for c in self.columns]
         rows = units.sortWithinPartitions(*keys, "_unit")
@@ -142,10 +146,13 @@ def _scan(batches: Iterator[pa.RecordBatch], carry: Carry, kept: list[str], keys
         sizes, data = _matrices(batch.column("_values"), carry.inputs)
         names = list(zip(*(batch.column(k).to_pylist() for k in keys)))
         same = np.array([n == p for n, p in zip(names, [ticker, *names[:-1]])], bool)
+        fresh = {c: 0 if c.startswith("_seen_") else None for c in carry.columns}
+        given = {c: batch.column(BEFORE + c).to_pylist() for c in fresh if BEFORE + c in batch.schema.names}
         before = None
         if "close" in data and len(names):
             ends = data["close"][np.arange(len(sizes)), sizes - 1]
-            before = np.where(same, np.concatenate([[last_close], ends[:-1]]), np.nan)
+            start = np.array(given.get("_prev_close", [None] * len(names)), float)
+            before = np.where(same, np.concatenate([[last_close], ends[:-1]]), start)
             last_close = ends[-1]
         maps, counts, sums = _maps(carry, sizes, data, before)
         ticker = names[-1] if names else ticker
@@ -158,7 +165,7 @@ def _scan(batches: Iterator[pa.RecordBatch], carry: Carry, kept: list[str], keys
         sums, sizes = sums.T.tolist(), sizes.tolist()
         for i, start in enumerate(starts):
             if not same[i]:
-                state = {c: 0 if c.startswith("_seen_") else None for c in carry.columns}
+                state = fresh | {c: v[i] for c, v in given.items() if v[i] is not None}
             if before is not None and "_prev_close" in state:
                 state["_prev_close"] = None if np.isnan(before[i]) else float(before[i])
             for c, column in out.items():

@@ -48,10 +48,10 @@ def sma_crossover(df: DataFrame) -> DataFrame:
     return h.add({"ma_signal": F.col("ma_position") - F.lag("ma_position").over(h.w)}).done()
 
 
-def _averaged(df: DataFrame, carry: Carry, back: int = 1) -> Halo:
+def _averaged(df: DataFrame, carry: Carry, back: int = 1, units: DataFrame | None = None) -> Halo:
     """Blocks as long as the decays allow, with ``back`` earlier rows for the windows and the averages' states before them."""
     alphas = [alpha for _, alpha in carry.averages.values()] + ([carry.signal[3]] if carry.signal else [])
-    return with_halo(df, back=back, block=block_rows(alphas, back), carry=carry)
+    return with_halo(df, back=back, block=block_rows(alphas, back), carry=carry, units=units)
 
 
 def _known(column: str) -> Column:
@@ -150,13 +150,25 @@ def volume_ratio(df: DataFrame, window: int = 20) -> DataFrame:
     return h.add({"volume_ratio": _ratio(F.col("volume"), h.rolling_mean("volume", window))}).done()
 
 
-def indicators_all(df: DataFrame, complete_only: bool = True) -> DataFrame:
-    """Every indicator in one pass: one exchange and one sort on (ticker, block) feed all windows."""
+#: Rows before a bar that the rolling windows of all indicators look at; older ones count by the averages' states only.
+ROLLING_ROWS = 50
+
+
+def indicator_carry() -> Carry:
+    """The averages of all indicators."""
     spans, wilder = {n: span_alpha(n) for n in (12, 14, 20, 26)}, 1.0 / 14
-    carry = Carry({"ema_20": ("close", spans[20]), "_fast": ("close", spans[12]), "_slow": ("close", spans[26]),
-                   "_avg_gain": ("gain", wilder), "_avg_loss": ("loss", wilder), "_atr": ("range", spans[14])},
-                  ("macd_signal", "_fast", "_slow", span_alpha(9)))
-    h = _averaged(df, carry, back=50)
+    return Carry({"ema_20": ("close", spans[20]), "_fast": ("close", spans[12]), "_slow": ("close", spans[26]),
+                  "_avg_gain": ("gain", wilder), "_avg_loss": ("loss", wilder), "_atr": ("range", spans[14])},
+                 ("macd_signal", "_fast", "_slow", span_alpha(9)))
+
+
+def indicators_all(df: DataFrame, complete_only: bool = True, units: DataFrame | None = None) -> DataFrame:
+    """Every indicator in one pass: one exchange and one sort on (ticker, block) feed all windows.
+
+    ``units``: the unit table of ``df`` for ``indicator_carry``, where it is there already (see ``panel.unit_states``).
+    """
+    carry = indicator_carry()
+    h = _averaged(df, carry, back=ROLLING_ROWS, units=units)
     h = _gain_loss(h.add({
         "_tr": _true_range(h),
         "sma_20": h.rolling_mean("close", 20),

@@ -19,13 +19,12 @@ planner and adaptive execution broadcast it only below ``spark.sql.autoBroadcast
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tapewise.operators.averages import Carry
+from tapewise.operators.averages import BEFORE, Carry
 
 UNIT_ROWS = 92  # most days in a quarter: bound of a unit and slack of a block edge
 BLOCK_ROWS = 3200  # with the longest usual halo still below the 4096 rows a window keeps in memory
@@ -55,7 +54,7 @@ def in_unit(*order: Column | str, keys: tuple[str, ...] = ("ticker",)) -> Window
 def with_carry(
     df: DataFrame,
     summaries: list[Column],
-    carries: list[dict[str, Column] | Callable[[DataFrame], DataFrame]],
+    carries: list[dict[str, Column]],
     keep: list[str],
     unit: Column | None = None,
     keys: tuple[str, ...] = ("ticker",),
@@ -64,7 +63,7 @@ def with_carry(
     """Add ``_unit`` and the ``keep`` columns of the unit table to every row.
 
     ``summaries`` are aggregates per unit; each dict of ``carries`` is one step of window columns over
-    the unit table (later steps may use earlier ones), a function one that makes another table of it.
+    the unit table (later steps may use earlier ones).
 
     ``windowed`` says that windows per unit follow, and spreads the rows by (keys, unit) for them. Without
     it an input that happens to be spread by ticker alone (after a join on ticker) would satisfy such a
@@ -74,7 +73,7 @@ def with_carry(
     rows = df.withColumn("_unit", unit)
     table = rows.groupBy(*keys, "_unit").agg(*summaries)
     for step in carries:
-        table = step(table) if callable(step) else table.withColumns(step)
+        table = table.withColumns(step)
     out = rows.join(table.select(*keys, "_unit", *keep), [*keys, "_unit"])
     return out.repartition(*keys, "_unit") if windowed else out
 
@@ -197,23 +196,41 @@ def block_rows(alphas: list[float], back: int) -> int:
     return block
 
 
-def with_halo(df: DataFrame, back: int = 0, ahead: int = 0, block: int | None = None, carry: Carry | None = None) -> Halo:
+def unit_states(df: DataFrame, carry: Carry, before: DataFrame | None = None) -> DataFrame:
+    """The unit table of ``df`` (ticker, _unit, _cnt, _start, n_rows) with the state of its averages before each unit.
+
+    ``before`` has a ticker's ``_start`` and state before its first unit here, of tickers that begin earlier.
+    """
+    units = df.withColumn("_unit", unit_of()).groupBy("ticker", "_unit").agg(F.count(F.lit(1)).alias("_cnt"), carry.summary())
+    earlier = F.lit(0)
+    if before is not None:
+        units = units.join(before.select("ticker", *(F.col(c).alias(BEFORE + c) for c in ("_start", *carry.columns))), "ticker", "left")
+        earlier = F.coalesce(BEFORE + "_start", F.lit(0))
+    units = units.withColumns({"_start": earlier + F.coalesce(F.sum("_cnt").over(units_before()), F.lit(0)),
+                               "n_rows": earlier + F.sum("_cnt").over(units_all())})
+    return carry.states(units, ("ticker",))
+
+
+def with_halo(df: DataFrame, back: int = 0, ahead: int = 0, block: int | None = None, carry: Carry | None = None,
+              units: DataFrame | None = None) -> Halo:
     """Cut every ticker into blocks of about ``block`` rows, each seeing ``back`` earlier and ``ahead``
     later rows. Adds ``pos`` and ``n_rows``. One row is copied at most twice, and only near an edge.
 
-    With ``carry``, a block's rows also have the state of exponential averages before its first one, for ``decay``.
+    With ``carry``, a block's rows also have the state of exponential averages before its first one, for ``decay``;
+    ``units`` is its unit table where that is there already.
     """
     block = block or max(BLOCK_ROWS, max(back, ahead) + UNIT_ROWS)
     # A unit belongs to the block it starts in and may reach UNIT_ROWS into the next one. With this length
     # no row is needed more than one block away from its own.
     if max(back, ahead) + UNIT_ROWS > block:
         raise ValueError("a block must be longer than its halo by one unit")
-    summaries, carries = _starts()
-    if carry:
-        summaries = [*summaries, carry.summary()]
-        carries = [*carries, lambda table: carry.states(table, ("ticker",))]
     carried = carry.columns if carry else []
-    rows = with_carry(df, summaries, carries, ["_start", "_cnt", "n_rows", *carried], windowed=False)
+    if carry:
+        units = unit_states(df, carry) if units is None else units
+        rows = df.withColumn("_unit", unit_of()).join(units.select("ticker", "_unit", "_start", "_cnt", "n_rows", *carried), ["ticker", "_unit"])
+    else:
+        summaries, carries = _starts()
+        rows = with_carry(df, summaries, carries, ["_start", "_cnt", "n_rows"], windowed=False)
     start, count, total = F.col("_start"), F.col("_cnt"), F.col("n_rows")
     home = F.floor(start / F.lit(block)).cast("long")
     seen_by = [F.struct(home.alias("_block"), F.lit(True).alias("_home"))]

@@ -28,6 +28,8 @@ FEATURES_WITH_SENTIMENT = FEATURES + SENTIMENT_COLUMNS
 PRICES = _struct(_KEY, PRICE_COLUMNS).add("volume", T.LongType(), True)
 INDICATORS = _struct(_KEY, INDICATOR_COLUMNS)
 SENTIMENT = _struct(_KEY, SENTIMENT_COLUMNS).add("article_count", T.IntegerType(), True)
+LOADS = (T.StructType().add("ticker", T.StringType()).add("rows", T.LongType()).add("first_date", T.DateType()).add("last_date", T.DateType())
+         .add("loaded_at", T.TimestampType()).add("batch", T.StringType()))
 FETCH_LOG = T.StructType().add("ticker", T.StringType(), False).add("last_fetched", T.TimestampType())
 
 # One downloaded file per ticker; the ticker is in the file name, not in the rows.

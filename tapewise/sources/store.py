@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewise.schemas import INDICATOR_COLUMNS, PRICE_COLUMNS, SENTIMENT_COLUMNS
+from tapewise.schemas import INDICATOR_COLUMNS, LOADS, PRICE_COLUMNS, SENTIMENT_COLUMNS
 
 KEY = ["ticker", "date"]
 
@@ -60,7 +60,7 @@ def upsert(base: DataFrame, batch: DataFrame, keys: list[str] | None = None, ord
 
 
 def fetch_log(loads: DataFrame) -> DataFrame:
-    """Last refresh time per ticker."""
+    """Last refresh time per ticker, of the rows of a ``Ledger``."""
     return loads.groupBy("ticker").agg(F.max("loaded_at").alias("last_fetched"))
 
 
@@ -69,11 +69,13 @@ def _month(day: Column) -> Column:
 
 
 class PanelStore:
-    """One keyed table on disk."""
+    """One keyed table on disk, in folders by month or by another whole number of its rows."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.columns = spark, path, schema.names
-        self.schema = T.StructType([*schema.fields, T.StructField("month", T.IntegerType())])
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str] | None = None,
+                 folder: tuple[str, Column] | None = None):
+        self.spark, self.path, self.columns, self.keys = spark, path, schema.names, keys or KEY
+        self.folder, self.number = folder or ("month", _month(F.col("date")))
+        self.schema = T.StructType([*schema.fields, T.StructField(self.folder, T.IntegerType())])
 
     def exists(self) -> bool:
         context = self.spark.sparkContext
@@ -81,7 +83,7 @@ class PanelStore:
         return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)
 
     def scan(self) -> DataFrame:
-        """All columns with the partition column ``month`` (yyyymm)."""
+        """All columns with that of the folders (``month``: yyyymm)."""
         if not self.exists():
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.path)
@@ -98,16 +100,41 @@ class PanelStore:
         return rows.select(*self.columns)
 
     def upsert(self, batch: DataFrame) -> None:
-        """Merge a batch, of which the last row per key counts. Only the months it touches are read and replaced.
+        """Merge a batch, of which the last row per key counts. Only the folders it touches are read and replaced.
 
-        The batch must not be derived from this table: replacing the files would change it. Months are
+        The batch must not be derived from this table: replacing the files would change it. Folders are
         replaced one after the other; after a failure in between, the same batch applied again completes it.
         """
-        rows = last_of_each(batch.select(*self.columns)).withColumn("month", _month(F.col("date")))
-        months = [r["month"] for r in rows.select("month").distinct().collect()]  # bounded by the calendar
-        if not months:
+        rows = last_of_each(batch.select(*self.columns), self.keys).withColumn(self.folder, self.number.cast("int"))
+        touched = [r[0] for r in rows.select(self.folder).distinct().collect()]  # bounded by the calendar, or by the number of folders
+        if not touched:
             return
-        merged = upsert(self.scan().filter(F.col("month").isin(months)), rows) if self.exists() else rows
-        clustered = merged.repartitionByRange("month", *KEY).sortWithinPartitions("month", *KEY)
-        clustered.write.partitionBy("month").option("partitionOverwriteMode", "dynamic") \
+        merged = upsert(self.scan().filter(F.col(self.folder).isin(touched)), rows, self.keys) if self.exists() else rows
+        clustered = merged.repartitionByRange(self.folder, *self.keys).sortWithinPartitions(self.folder, *self.keys)
+        clustered.write.partitionBy(self.folder).option("partitionOverwriteMode", "dynamic") \
             .mode("overwrite").parquet(self.path)
+
+
+class Ledger:
+    """What was loaded when: a row per batch and ticker, written with the load.
+
+    A batch has a folder of its own that a repeated load replaces, so a batch applied twice leaves its rows once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def record(self, batch_id: str, rows: DataFrame, loaded_at: Column | None = None) -> None:
+        """Log the rows of a batch; ``loaded_at`` is an aggregate of a ticker's rows, the present time by default."""
+        at = F.current_timestamp() if loaded_at is None else loaded_at
+        entries = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+                                             at.alias("loaded_at"))
+        entries.withColumn("batch", F.lit(batch_id)).write.partitionBy("batch").option("partitionOverwriteMode", "dynamic") \
+            .mode("overwrite").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        """ticker, rows, first_date, last_date, loaded_at and batch."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], LOADS)
+        return self.spark.read.schema(LOADS).parquet(self.path)

@@ -9,7 +9,7 @@ from tapewise.operators import attribution, explain, metrics, models, nested_fit
 from tapewise.operators import indicators as ind
 from tapewise.schemas import INDICATORS, NEWS_PAYLOAD, PRICES, RAW_BARS
 from tapewise.sources import ingest, staging, store
-from tapewise.streaming.incremental import HISTORY, Refresher, daily_refresh, recent_history, sentiment_refresh
+from tapewise.streaming.incremental import Refresher, daily_refresh, sentiment_refresh
 from tests.conftest import walk
 from tests.test_panel import collected
 
@@ -203,13 +203,56 @@ def test_news_window_keeps_what_is_asked_for(spark):
     assert plan.count("WindowGroupLimit") == 2  # every task keeps its own newest rows before the exchange
 
 
-def test_recent_history_keeps_enough_rows(spark):
-    bars = bars_of(spark, walk("A", 3000, 1), walk("B", 200, 2))
-    since = dt.date(1999, 6, 1)
-    changed = spark.createDataFrame([("A", since)], "ticker string, since date")
-    got = collected(recent_history(bars, changed))
-    older = (got["date"] < since).sum()
-    assert set(got["ticker"]) == {"A"} and HISTORY <= older < HISTORY + 200
+def test_a_batch_reads_from_the_last_state_on(spark, tmp_path):
+    """Months before the state and tickers that the batch does not have are not read, and the result is that of all bars."""
+    work = Refresher(spark, str(tmp_path / "store"))
+    whole = bars_of(spark, walk("A", 3000, 1), walk("B", 2900, 2), walk("LATE", 40, 3))
+    last = walk("A", 3000, 1)["date"].iloc[-30]
+    work.apply(whole.filter(F.col("date") < last), "old")
+    states = collected(work.states.read().withColumnRenamed("_unit", "date"))
+    assert len(states) == whole.filter(F.col("date") < last).select("ticker", F.year("date"), F.quarter("date")).distinct().count()
+    begin = work.beginnings(spark.createDataFrame([("A", last), ("NEW", last)], "ticker string, since date"))
+    by = {r["ticker"]: r for r in begin.collect()}
+    assert by["NEW"]["_start"] is None and by["A"]["_start"] > 2500 and by["A"]["_seen_gain"] == by["A"]["_start"] - 1
+    rows = work.history(begin)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "month#" in plan.split("PartitionFilters")[1].split("]")[0] and "In(ticker, [A,NEW])" in plan
+    got = collected(rows)
+    assert set(got["ticker"]) == {"A"} and 50 <= len(got) < 50 + 2 * 92
+    work.apply(whole.filter(F.col("date") >= last), "new")
+    want, have = collected(store.indicator_rows(ind.indicators_all(whole))), collected(work.indicators.read())
+    assert len(have) == len(want)
+    for c in INDICATORS.names[2:]:
+        np.testing.assert_allclose(have[c], want[c], rtol=1e-9, atol=2e-6)
+
+
+def test_states_across_gaps_and_corrections(spark, tmp_path):
+    """Unknown prices around the state, late corrections and a ticker that begins later: as if all bars came at once."""
+    frame = pd.concat([walk("A", 1500, 1), walk("B", 900, 2)])
+    at = frame.groupby("ticker").cumcount()
+    frame.loc[at.between(600, 1100) & (at % 9 != 0), ["close", "high"]] = np.nan
+    whole = bars_of(spark, frame).replace(float("nan"), None)
+    work, days = Refresher(spark, str(tmp_path / "store")), sorted(frame["date"])
+    cuts = [days[0], days[800], days[1500], days[2000], dt.date(2100, 1, 1)]
+    for low, high in zip(cuts, cuts[1:]):
+        work.apply(whole.filter((F.col("date") >= low) & (F.col("date") < high)).withColumn("close", F.col("close") * (2 if low == cuts[1] else 1)))
+    work.apply(whole.filter((F.col("date") >= cuts[1]) & (F.col("date") < cuts[2])))
+    want, have = collected(store.indicator_rows(ind.indicators_all(whole))), collected(work.indicators.read())
+    assert len(have) == len(want) > 0
+    for c in INDICATORS.names[2:]:
+        np.testing.assert_allclose(have[c], want[c], rtol=1e-8, atol=2e-6)
+
+
+def test_a_repeated_batch_is_logged_once(spark, tmp_path):
+    log = store.Ledger(spark, str(tmp_path / "loads"))
+    assert log.read().count() == 0
+    first, second = bars_of(spark, walk("A", 20, 1)), bars_of(spark, walk("A", 30, 1), walk("B", 10, 2))
+    for name, rows in (("1", first), ("2", second), ("1", first)):
+        log.record(name, rows)
+    got = {(r["batch"], r["ticker"]): r["rows"] for r in log.read().collect()}
+    assert got == {("1", "A"): 20, ("2", "A"): 30, ("2", "B"): 10}
+    last = {r["ticker"]: r["last_fetched"] for r in store.fetch_log(log.read()).collect()}
+    assert last["A"] >= last["B"]
 
 
 def test_incremental_equals_batch(spark, tmp_path):
@@ -227,6 +270,7 @@ def test_incremental_equals_batch(spark, tmp_path):
     assert len(got) == len(want)
     for c in INDICATORS.names[2:]:
         np.testing.assert_allclose(got[c], want[c], rtol=1e-9, atol=2e-6)
+    assert work.loads.read().select("batch").distinct().count() == 2
     work.refresh_tickers(spark.createDataFrame([("A",)], "ticker string"))
     pd.testing.assert_frame_equal(collected(work.indicators.read()), got, rtol=1e-9, atol=2e-6)
 
