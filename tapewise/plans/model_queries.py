@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewise.functions.fixed_values import HORIZONS
-from tapewise.operators import attribution, features as feat, models, stats, ticker_fits
+from tapewise.operators import attribution, explain, features as feat, models, stats, ticker_fits
 from tapewise.operators.signals import company_name
 from tapewise.plans.oracle import sql
 from tapewise.plans.registry import query, rounded
@@ -241,6 +241,11 @@ def _tree_attribution(t: Tables):
     return _contributions(t, "gbt")
 
 
+@query("feature_importance_trees")
+def _(t: Tables):
+    return explain.feature_importance(_contributions(t, "gbt"))
+
+
 @query("tree_attribution", _sql("SELECT ticker, date, 0e0 AS gap FROM tested", "tested"))
 def _(t: Tables):
     return _gap(t, "gbt")

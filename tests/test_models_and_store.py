@@ -1,11 +1,13 @@
 import datetime as dt
+from itertools import combinations
+from math import factorial
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tapewise.operators import attribution, explain, metrics, models, nested_fits, ticker_fits
+from tapewise.operators import attribution, explain, metrics, models, nested_fits, ticker_fits, trees
 from tapewise.operators import indicators as ind
 from tapewise.schemas import INDICATORS, NEWS_PAYLOAD, PRICES, RAW_BARS
 from tapewise.sources import ingest, staging, store
@@ -90,6 +92,73 @@ def test_attributions_sum_to_the_margin(labelled, kind, options):
     assert explain.feature_importance(attribution.attribute(models.fit(kind, train, XS, **options), test)).count() == 3
 
 
+def enumerated(tree, x):
+    """Shapley values by all subsets of all features, each valued by walking the tree."""
+    d = len(x)
+
+    def value(known, node=0):
+        f = tree.feature[node]
+        if f < 0:
+            return tree.value[node]
+        left, right = tree.left[node], tree.right[node]
+        if f in known:
+            return value(known, left if x[f] <= tree.threshold[node] else right)
+        return (tree.cover[left] * value(known, left) + tree.cover[right] * value(known, right)) / tree.cover[node]
+
+    out = np.zeros(d)
+    for f in range(d):
+        rest = [g for g in range(d) if g != f]
+        for size in range(d):
+            for some in combinations(rest, size):
+                weight = factorial(size) * factorial(d - size - 1) / factorial(d)
+                out[f] += weight * (value({*some, f}) - value(set(some)))
+    return out
+
+
+def random_tree(rng, depth, features):
+    rows = []
+
+    def grow(level, cover):
+        at = len(rows)
+        rows.append([-1, 0.0, -1, -1, rng.normal(), cover])
+        if level and cover > 3 and rng.random() < 0.9:
+            part = int(rng.integers(1, cover))
+            rows[at][:2] = int(rng.integers(features)), float(np.round(rng.normal(), 1))
+            rows[at][2], rows[at][3] = grow(level - 1, part), grow(level - 1, cover - part)
+        return at
+
+    grow(depth, 100)
+    return trees.Tree(*(np.array(c) for c in zip(*rows)))
+
+
+def test_shapley_values_equal_all_subsets():
+    rng = np.random.default_rng(6)
+    for _ in range(25):
+        grown = [random_tree(rng, 4, 4) for _ in range(3)]
+        x = np.round(rng.normal(size=(7, 4)), 1)
+        x[0, 1] = np.nan
+        shapley = trees.Shapley(grown, [1.0, 0.5, 2.0], 4)
+        got = shapley.values(x)
+        want = np.array([sum(s * enumerated(t, row) for t, s in zip(grown, (1.0, 0.5, 2.0))) for row in x])
+        np.testing.assert_allclose(got, want, atol=1e-12)
+        total = sum(s * t.predict(x) for t, s in zip(grown, (1.0, 0.5, 2.0)))
+        np.testing.assert_allclose(shapley.base + got.sum(axis=1), total, atol=1e-12)
+
+
+def test_shapley_values_of_a_fitted_model(labelled):
+    """The model's own trees: their covers add up, and the values are those of all subsets."""
+    train, test = models.split(labelled)
+    model = models.fit("gbt", train, XS, trees=4, depth=3)
+    grown = [trees.of_spark(t) for t in model.fitted._java_obj.trees()]
+    for t in grown:
+        inner = np.flatnonzero(t.feature >= 0)
+        np.testing.assert_allclose(t.cover[inner], t.cover[t.left[inner]] + t.cover[t.right[inner]])
+    out = attribution.tree_attribution(model, test.limit(20)).toPandas()
+    scales = [2.0 * w for w in model.fitted.treeWeights]
+    for parts, row in zip(out["parts"], out[XS].to_numpy()):
+        np.testing.assert_allclose(parts, sum(s * enumerated(t, row) for t, s in zip(grown, scales)), atol=1e-10)
+
+
 def test_platt_and_latest(labelled):
     train, test = models.split(labelled)
     model = models.train_gbt(train, XS, trees=5, depth=2)
