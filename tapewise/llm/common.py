@@ -38,13 +38,15 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_whole(uri: str, attempt: str, write) -> int:
-    """``write(stream)`` into a file that appears whole or not at all, so that a task can run again."""
+    """``write(stream)`` into a file that appears whole or not at all; a task that runs again replaces its file."""
     fs, path = filesystem(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     hidden = f"{os.path.dirname(path)}/.{os.path.basename(path)}.{attempt}"
     with fs.open_output_stream(hidden, compression=None) as stream:
         write(stream)
         size = stream.tell()
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:  # not every file system moves onto a file
+        fs.delete_file(path)
     fs.move(hidden, path)
     return size
 

@@ -119,8 +119,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled ** 2).sum(axis=1, keepdims=True))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
 def cosines(x: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Cosine of each row with the query in double precision, by the same sums wherever a row lies."""
+    """Cosine of each row with the query in double precision, by the same sums wherever a row lies.
+
+    Vectors are scaled by powers of two first, which changes no digit but keeps very large and small squares in range.
+    """
+    x, query = _scaled(x), _scaled(query[None, :])[0]
     return (x * query).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
@@ -205,6 +213,8 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, recall: float
             leaf_size: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k nearest found by cosine, ties to the smaller vec_id.
 
+    Also recall: the share of the calibration queries' neighbours that lie in the leaves visited, of vectors of this width.
+
     Queries are rows whose vec_id is divisible by ``every``; rows with the query's own vec_id are no
     candidates. Vectors that are null, zero or hold null or non-finite components, and rows without vec_id,
     take no part. Vectors of each width are searched among their own, by a tree of their own. Fewer candidates
@@ -222,11 +232,11 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, recall: float
     asks = F.max((F.col("vec_id") % every == 0).cast("int"))
     widths = vectors.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), asks.alias("asks")).filter("asks = 1").orderBy("width").collect()
     if not widths:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, recall double")
     if len(widths) > 1:
         vectors = staging.written(vectors, "usable")
     found = [_found(vectors.filter(F.size("v") == r["width"]), r["n"], r["width"], k, every, recall, branches, leaf_size) for r in widths]
-    return top(reduce(DataFrame.unionByName, found), k)
+    return top(reduce(DataFrame.unionByName, found), k, "recall")
 
 
 def _found(vectors: DataFrame, n: int, width: int, k: int, every: int, recall: float, branches: int, leaf_size: int | None) -> DataFrame:
@@ -235,14 +245,16 @@ def _found(vectors: DataFrame, n: int, width: int, k: int, every: int, recall: f
     sample = _unit(_matrix(_sample(vectors, n, SAMPLE), width)[1])
     tree = Tree.fit(sample, branches, leaf_size or max(LEAF, round(len(sample) / n ** 0.5)))
     queries = vectors.filter(F.col("vec_id") % every == 0)
-    ids, asked = _matrix(_sample(queries.dropDuplicates(["vec_id"]), max(1, queries.count()), CALIBRATION), width)
-    leaves = 1
+    # Of several rows of one id the least vector asks.
+    single = queries.groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
+    ids, asked = _matrix(_sample(single, max(1, queries.count()), CALIBRATION), width)
+    leaves, reached = 1, 1.0
     if len(ids):
         exact = top_with_leaf(vectors.mapInArrow(partial(_exactly, tree=tree, ids=ids, queries=asked, k=k), kinds + ", leaf long"), k)
         place = {q: {leaf: at for at, leaf in enumerate(tree.visit(v, tree.leaves))} for q, v in zip(ids.tolist(), _unit(asked))}
         needed = sorted(place[r["query_id"]][r["leaf"]] + 1 for r in exact.select("query_id", "leaf").collect())  # k rows for each of CALIBRATION
         leaves = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
-    single = queries.groupBy("vec_id").agg(F.first("v").alias("v"), F.count("*").alias("own"))
+        reached = float(np.mean(np.array(needed) <= leaves)) if needed else 1.0
     indexed = staging.written(vectors.mapInArrow(partial(_assigned, tree=tree, width=width), "vec_id long, v array<double>, leaf long"), "leaves")
     sizes = np.zeros(tree.leaves, np.int64)
     for r in indexed.groupBy("leaf").count().collect():  # a row per leaf, at most one for each vector of the sample
@@ -254,7 +266,7 @@ def _found(vectors: DataFrame, n: int, width: int, k: int, every: int, recall: f
               .select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "vec_id", "v"))
     lying = indexed.join(parts, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asks"), "vec_id", "v")
     meet = lying.unionByName(asking).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "asks")
-    return meet.mapInArrow(partial(_meet, width=width, k=k), kinds)
+    return meet.mapInArrow(partial(_meet, width=width, k=k), kinds).withColumn("recall", F.lit(reached))
 
 
 def top_with_leaf(found: DataFrame, k: int) -> DataFrame:

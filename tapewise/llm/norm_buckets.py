@@ -33,8 +33,15 @@ def finite(vector: str) -> Column:
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and v: floor(scale * x) of each component, for rows with a vec_id and a finite vector; and its length."""
-    v = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
+    """vec_id and v: floor(scale * x) of each component, for rows with a vec_id and a finite vector; and its length.
+
+    A component beyond 64 bits raises.
+    """
+    def whole(x: Column) -> Column:
+        scaled = F.lit(scale) * x.cast("double")
+        return F.when(F.abs(scaled) < 2.0 ** 63, F.floor(scaled).cast("long")).otherwise(F.raise_error(F.lit("a component beyond 64 bits")).cast("long"))
+
+    v = F.transform("embedding", whole)
     rows = embeddings.filter(F.col("vec_id").isNotNull() & finite("embedding")).select(F.col("vec_id").cast("long"), v.alias("v"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
 
@@ -49,16 +56,47 @@ def _of_width(batch: pa.RecordBatch) -> dict[int, pa.RecordBatch]:
     return {int(w): batch.filter(pa.array(sizes == w)) for w in np.unique(sizes)}
 
 
-def query_blocks(folder: str) -> Iterator[pa.RecordBatch]:
-    """The queries in blocks, streamed from the files that Spark wrote to the shared folder."""
+def products(vectors: np.ndarray, query: np.ndarray, most: float) -> np.ndarray:
+    """Exact inner products of whole numbers kept as doubles; ``most`` bounds their sizes, those of all partial sums too.
+
+    Doubles hold them below 2^53, 64-bit integers below 2^63; beyond, Python's integers are asked, and a product
+    that does not fit into 64 bits raises.
+    """
+    if most < 2.0 ** 52:
+        return vectors @ query
+    if most < 2.0 ** 62:
+        return vectors.astype(np.int64) @ query.astype(np.int64)
+    own = [int(x) for x in query]
+    return np.array([sum(int(a) * b for a, b in zip(row, own)) for row in vectors.tolist()], dtype=np.int64)
+
+
+def _not_above(score: float) -> float:
+    """A double that is no larger than the whole number that was rounded to ``score``."""
+    return float(score) if abs(score) < 2.0 ** 53 else float(np.nextafter(float(score), -np.inf))
+
+
+def query_blocks(folder: str, longest: float = np.inf) -> Iterator[pa.RecordBatch]:
+    """The queries in blocks, streamed from the files that Spark wrote to the shared folder.
+
+    Row groups whose queries all need vectors longer than ``longest`` are left out, by the statistics of ``ratio``.
+    """
     fs, path = filesystem(folder)
     from pyarrow.fs import FileSelector
 
     for info in sorted(fs.get_file_info(FileSelector(path)), key=lambda i: i.path):
         if info.path.endswith(".parquet"):
             with fs.open_input_file(info.path) as source:
-                for batch in pq.ParquetFile(source).iter_batches(batch_size=2048):
-                    yield batch
+                parquet = pq.ParquetFile(source)
+                groups = [g for g in range(parquet.num_row_groups) if _least_ratio(parquet.metadata.row_group(g)) <= longest * (1 + 1e-9)]
+                yield from parquet.iter_batches(batch_size=2048, row_groups=groups) if groups else ()
+
+
+def _least_ratio(group: pq.RowGroupMetaData) -> float:
+    for c in range(group.num_columns):
+        column = group.column(c)
+        if column.path_in_schema == "ratio" and column.statistics is not None and column.statistics.has_min_max:
+            return column.statistics.min
+    return -np.inf
 
 
 def _in_bucket(vectors: np.ndarray, norms: np.ndarray, order: tuple[np.ndarray, np.ndarray], query: np.ndarray, length: float, least: float) -> np.ndarray:
@@ -93,7 +131,7 @@ def _search(batches: Iterator[pa.RecordBatch], folder: str, k: int) -> Iterator[
                     unit = np.nan_to_num(vectors[part] / all_norms[part, None])
                 order = np.argsort(unit, axis=0).T
                 buckets.append((vectors[part], all_norms[part], ids[part], (order, np.take_along_axis(unit.T, order, axis=1))))
-            for queries in query_blocks(folder):
+            for queries in query_blocks(folder, float(all_norms[0])):
                 for q_width, own in _of_width(queries).items():
                     if q_width == width:
                         yield from _search_block(buckets, own, width, k)
@@ -105,23 +143,27 @@ def _search_block(buckets: list, queries: pa.RecordBatch, width: int, k: int) ->
     least = np.where(np.isnan(least), -np.inf, least)
     got_q, got_v, got_s = [], [], []
     for n in range(len(q)):
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-        bound = least[n]
+        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        bound = _not_above(least[n])
         for vectors, norms, ids, order in buckets:
             rows = _in_bucket(vectors, norms, order, q[n], lengths[n], bound)
             if not len(rows):
                 continue
-            scores = vectors[rows] @ q[n] if len(rows) < len(vectors) else vectors @ q[n]  # integers below 2^53: exact
+            if len(rows) == len(vectors):
+                rows, own = np.arange(len(rows)), vectors  # all of them, in their own order
+            else:
+                own = vectors[rows]
+            scores = products(own, q[n], lengths[n] * norms[0])
             keep = (scores >= bound) & (ids[rows] != q_ids[n])
-            best_ids, best = np.concatenate([best_ids, ids[rows][keep]]), np.concatenate([best, scores[keep]])
+            best_ids, best = np.concatenate([best_ids, ids[rows][keep]]), np.concatenate([best, scores[keep].astype(np.int64)])
             if len(best) > k:
                 top = np.lexsort((best_ids, -best))[:k]
                 best_ids, best = best_ids[top], best[top]
-                bound = max(bound, best[-1])
+                bound = max(bound, _not_above(best[-1]))
         got_q.append(np.full(len(best), q_ids[n]))
         got_v.append(best_ids)
         got_s.append(best)
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got_q)), pa.array(np.concatenate(got_v)), pa.array(np.concatenate(got_s).astype(np.int64))],
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got_q)), pa.array(np.concatenate(got_v)), pa.array(np.concatenate(got_s))],
                                      names=["query_id", "vec_id", "score"])
 
 
@@ -137,10 +179,10 @@ def _held(batches: Iterator[pa.RecordBatch], rows: int = HELD) -> Iterator[pa.Re
         yield whole.to_batches()[0]
 
 
-def top(found: DataFrame, k: int) -> DataFrame:
-    """The k highest scores of each query, ties to the smaller vec_id, numbered from 1."""
+def top(found: DataFrame, k: int, *more: str) -> DataFrame:
+    """The k highest scores of each query, ties to the smaller vec_id, numbered from 1; with ``more`` columns."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", *more)
 
 
 def _about(vectors: DataFrame, rows: int) -> DataFrame:
@@ -164,7 +206,7 @@ def top_products(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: i
     once and streamed by every task in blocks; the longest vectors first give each query a lower bound of
     its k-th score. Inside a bucket the bound becomes a cosine: a large one leaves a range of values of the
     query's largest coordinate, a small one leaves the vectors that are long enough. What is left is verified
-    by exact products.
+    by exact products, in integers where doubles would round; a product beyond 64 bits raises.
     """
     spark: SparkSession = embeddings.sparkSession
     vectors = integer_vectors(embeddings, scale)
@@ -176,6 +218,9 @@ def top_products(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: i
     bound = top(longest.mapInArrow(partial(_search, folder=f"{folder}/first", k=k), kinds), k)
     bound = bound.filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("known"))
     bounded = queries.join(bound, queries["vec_id"] == bound["query_id"], "left").select("vec_id", "v", "norm", F.col("known").alias("least"))
-    bounded.write.parquet(f"{folder}/bounded")
+    # Where even the bound needs a longer vector than a task has, its queries are skipped by the row group.
+    ratio = F.coalesce(F.when(F.col("norm") > 0, F.col("least") / F.col("norm")), F.lit(float("-inf")))
+    ordered = bounded.withColumn("ratio", ratio).repartitionByRange("ratio").sortWithinPartitions("ratio")
+    ordered.write.option("parquet.block.size", 1 << 20).parquet(f"{folder}/bounded")
     spread = vectors.repartitionByRange(tasks(spark), F.desc("norm"), "vec_id")
     return top(spread.mapInArrow(partial(_search, folder=f"{folder}/bounded", k=k), kinds), k)

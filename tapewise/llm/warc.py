@@ -69,15 +69,20 @@ def parse_headers(head: bytes) -> dict[str, str]:
 
 
 def inflate(source) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or several members, inflated once from front to back."""
-    plain = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or several members, inflated once from front to back, READ at a time at most.
+
+    Raises if the file ends inside a member, its trailer (length and check sum) included.
+    """
+    plain, inside = zlib.decompressobj(31), False
     while data := source.read(READ):
         while data:
-            yield plain.decompress(data)
-            data = b""
+            yield plain.decompress(data, READ)
+            data, inside = plain.unconsumed_tail, True
             if plain.eof:
-                data, plain = plain.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
-    if not plain.eof and plain.unconsumed_tail:
+                data, plain, inside = plain.unused_data.lstrip(b"\0"), zlib.decompressobj(31), False
+    while inside and (rest := plain.decompress(b"", READ)):
+        yield rest
+    if inside and not plain.eof:
         raise EOFError("the gzip stream is cut off")
 
 
@@ -178,7 +183,7 @@ def normalise(files: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
 
     Each file of ``files`` (path) is inflated once, by one task. Beside the new archive lies its index as JSON
     lines, and all of it as a table in ``folder``/index. Archives with several members are read as well; one that
-    ends inside a record raises. Files without records give an empty archive.
+    ends inside a record or a member raises. Files without records give an empty archive.
     """
     (files.select("path").repartition(tasks(files.sparkSession), "path")
      .mapInArrow(partial(_normalise, folder=folder, level=level), INDEX).write.parquet(f"{folder}/index"))
@@ -219,7 +224,11 @@ def read_records(index: DataFrame) -> DataFrame:
 
 
 def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Pages to whole-file archives, to normalised ones, and back through their index; without the payloads."""
+    """Pages to whole-file archives, to normalised ones, and back through their index; without the payloads.
+
+    A row per row of ``pages``: null html is an empty payload, rows of a null or repeated page_id are records like others (see
+    ``with_roles``), columns beyond page_id, url and html are left out, no pages give no rows.
+    """
     folder = staging.new_path(spark, "warc")
     files = write_whole_files(with_roles(pages), f"{folder}/whole")
     return read_records(normalise(files, f"{folder}/records")).drop("payload")

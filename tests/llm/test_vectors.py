@@ -57,7 +57,7 @@ def test_tree_search_reaches_recall_and_exact_scores(spark, mixed):
     got = kmeans_tree.nearest(df).filter("query_id < 2000").collect()
     known = {(q, c): s for q, _, c, s in want}
     hit = [r for r in got if (r["query_id"], r["vec_id"]) in known]
-    assert len(hit) >= 0.9 * len(want)
+    assert len(hit) >= 0.9 * len(want) and {r["recall"] >= kmeans_tree.RECALL for r in got} == {True}
     for r in hit:
         assert abs(r["score"] - known[r["query_id"], r["vec_id"]]) < 1e-9
     assert all(r["vec_id"] < 900 for r in got if r["query_id"] in range(700, 900))
@@ -72,6 +72,52 @@ def test_tree_recall_on_the_given_table(spark):
     assert len(want & got) >= 0.9 * len(want)
 
 
+def test_tree_recall_on_two_thousand_vectors(spark):
+    rows = {r["vec_id"]: np.asarray(r["embedding"], float) for r in table(spark, "/root/testdata/sf0.1", "embeddings").collect()}
+    ids, unit = np.array(list(rows)), np.stack([v / np.sqrt(v @ v) for v in rows.values()])
+    got, want = kmeans_tree.nearest(table(spark, "/root/testdata/sf0.1", "embeddings")).collect(), set()
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = np.where(ids == ids[q], -2, unit @ unit[q])
+        want |= {(int(ids[q]), int(c)) for c in ids[np.lexsort((ids, -score))[:5]]}
+    assert len(rows) == 2000 and len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.9 * len(want)
+
+
+def test_cosines_of_extreme_vectors():
+    x, q = np.array([[3.0, 4.0], [1.0, 0.0]]), np.array([4.0, 3.0])
+    plain_ = (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
+    for a, b in ((1.0, 1.0), (1e200, 1e-200), (1e-200, 1e200), (1e300, 1e300)):
+        np.testing.assert_allclose(kmeans_tree.cosines(x * a, q * b), plain_, rtol=1e-15)
+    assert (kmeans_tree.cosines(x, q) == plain_).all()
+
+
+def test_the_least_of_several_query_vectors_asks(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.1, 0.9])]
+    for order in (rows, rows[::-1]):
+        got = kmeans_tree.nearest(spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(2)).collect()
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [2, 1]
+
+
+def test_products_of_large_vectors_are_exact(spark):
+    rng = np.random.default_rng(3)
+    for low, high in ((1e5, 3e5), (6e5, 9e5)):
+        rows = [(i, np.round(rng.uniform(low, high, 64), 3).tolist()) for i in range(0, 60)]
+        whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+        want = plain(whole, lambda a, b: sum(x * y for x, y in zip(a, b)), every=10)
+        got = norm_buckets.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).collect()
+        assert {tuple(r) for r in got} == want
+    assert norm_buckets.products(np.array([[2.0 ** 31, -1.0]]), np.array([2.0 ** 32, 1.0]), 2.0 ** 63.1).tolist() == [2 ** 63 - 1]
+    with pytest.raises(Exception, match="64 bits"):
+        norm_buckets.top_products(spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_row_groups_of_queries_out_of_reach_are_skipped(tmp_path):
+    pa, pq = pytest.importorskip("pyarrow"), pytest.importorskip("pyarrow.parquet")
+    one = pa.table({"vec_id": list(range(6)), "ratio": [-np.inf, -np.inf, 1.0, 2.0, 5.0, 9.0]})
+    pq.write_table(one, tmp_path / "q.parquet", row_group_size=2)
+    seen = lambda longest: [i for b in norm_buckets.query_blocks(str(tmp_path), longest) for i in b.column("vec_id").to_pylist()]
+    assert seen(0.5) == [0, 1] and seen(1.5) == [0, 1, 2, 3] and seen(np.inf) == list(range(6))
+
+
 def test_best_bin_first_visits_every_leaf_in_the_end():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 6))

@@ -2,10 +2,11 @@ import base64
 import gzip
 import hashlib
 import json
+import zlib
 
 import pytest
 
-from tapewise.llm import warc
+from tapewise.llm import common, warc
 from tapewise.llm.common import table
 from tests.conftest import SMALL
 
@@ -70,7 +71,33 @@ def test_streams_cut_off_raise_and_members_join():
             return out
     two = gzip.compress(one) + gzip.compress(one)
     assert len(list(warc.records(warc.inflate(Source(two))))) == 2
+    member = gzip.compress(one)
+    for cut in (len(two) - 1, len(two) - 8, len(two) - 30, len(member) + 1, len(member) - 4):  # trailer, data, header, and the first member's trailer
+        with pytest.raises(EOFError):
+            list(warc.records(warc.inflate(Source(two[:cut]))))
+    whole = gzip.compress(one * 3)
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    flushed = packer.compress(one * 2) + packer.flush(zlib.Z_FULL_FLUSH)  # as if cut at the edge of a record
+    assert len(list(warc.records(warc.inflate(Source(whole))))) == 3
+    with pytest.raises(EOFError):
+        list(warc.records(warc.inflate(Source(flushed))))
     with pytest.raises(EOFError):
         list(warc.records(iter([one[:-20]])))
     with pytest.raises(ValueError):
         list(warc.records(iter([b"nonsense\r\n\r\n"])))
+
+
+def test_a_bomb_is_inflated_in_pieces():
+    class Source:
+        def __init__(self, data): self.data = data
+        def read(self, n):
+            out, self.data = self.data[:n], self.data[n:]
+            return out
+    sizes = [len(b) for b in warc.inflate(Source(gzip.compress(bytes(40 << 20)) + gzip.compress(b"end")))]
+    assert sum(sizes) == (40 << 20) + 3 and max(sizes) <= warc.READ
+
+
+def test_a_task_that_runs_again_replaces_its_file(tmp_path):
+    for text in (b"first", b"again"):
+        assert common.write_whole(f"file://{tmp_path}/part.bin", text.decode(), lambda stream: stream.write(text)) == 5
+    assert [p.name for p in tmp_path.iterdir()] == ["part.bin"] and (tmp_path / "part.bin").read_bytes() == b"again"
