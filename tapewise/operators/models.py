@@ -8,14 +8,16 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewise.operators import metrics
+from tapewise.operators.booster import Boosted, Settings, fit_boosted
 from tapewise.operators.features import fold_of, train_rows
 from tapewise.operators.nested_fits import fit_nested
 from tapewise.operators.panel import numbered
@@ -59,6 +61,36 @@ class Classifier:
         return scored.withColumn("pred", (F.col("prob") > 0.5).cast("int"))
 
 
+@dataclass
+class BoostedClassifier(Classifier):
+    """Trees of :mod:`booster`; ``model`` holds them. The margin is their sum."""
+
+    model: Boosted
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        return _with_margins(rows, self.features, [self.model])
+
+
+def _with_margins(rows: DataFrame, features: list[str], boosted: list[Boosted], which: Column | None = None) -> DataFrame:
+    """Rows with margin, prob and pred of the model of the number ``which`` (the first)."""
+    @F.pandas_udf("double")
+    def margin(number: pd.Series, x: pd.Series) -> pd.Series:
+        out, values = np.zeros(len(x)), np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, len(features)))
+        for m in number.unique():
+            at = (number == m).to_numpy()
+            out[at] = boosted[int(m)].margins(values[at])
+        return pd.Series(out)
+
+    x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features])
+    scored = rows.withColumn("margin", margin((F.lit(0) if which is None else which).cast("int"), x))
+    return scored.withColumn("prob", 1 / (1 + F.exp(-F.col("margin")))).withColumn("pred", (F.col("prob") > 0.5).cast("int"))
+
+
+def train_boosted(train: DataFrame, features: list[str], **settings) -> BoostedClassifier:
+    """Second-order boosted trees on histograms, with leaf penalties and columns sampled per tree (see :mod:`booster`)."""
+    return BoostedClassifier("booster", features, fit_boosted(train, features, settings=Settings(**settings))[0], train.count())
+
+
 def _assembler(features: list[str], out: str) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol=out)
 
@@ -100,7 +132,7 @@ def train_gbt(train: DataFrame, features: list[str], trees: int = 300, depth: in
 
 
 def fit(kind: str, train: DataFrame, features: list[str], **options) -> Classifier:
-    return {"logistic": train_logistic, "gbt": train_gbt}[kind](train, features, **options)
+    return {"logistic": train_logistic, "gbt": train_gbt, "booster": train_boosted}[kind](train, features, **options)
 
 
 def date_positions(rows: DataFrame) -> DataFrame:
@@ -123,13 +155,23 @@ def evaluate(scored: DataFrame) -> DataFrame:
 
 
 def cross_validate(train: DataFrame, features: list[str], kind: str = "gbt", k: int = 3, **options) -> DataFrame:
-    """Accuracy and AUC per expanding fold; the mean and population deviation ride along."""
+    """Accuracy and AUC per expanding fold; the mean and population deviation ride along.
+
+    Boosted trees of all folds share their passes; other kinds are fitted fold by fold.
+    """
     placed = date_positions(train.drop("day", "days")).withColumn("fold", fold_of(F.col("day"), F.col("days"), k))
     out = None
     with cached(placed):
+        if kind == "booster":
+            begins = placed.filter("fold > 0").groupBy("fold").agg(F.min("day").alias("day")).orderBy("fold").collect()  # k rows
+            nested = fit_boosted(placed, features, [r["day"] for r in begins], settings=Settings(**options))
         for fold in range(1, k + 1):
-            past = placed.filter(F.coalesce(F.col("fold"), F.lit(0)) < fold)
-            scored = fit(kind, past, features, **options).score(placed.filter(F.col("fold") == fold))
+            held = placed.filter(F.col("fold") == fold)
+            if kind == "booster":
+                scored = _with_margins(held, features, [nested[fold - 1]])
+            else:
+                past = placed.filter(F.coalesce(F.col("fold"), F.lit(0)) < fold)
+                scored = fit(kind, past, features, **options).score(held)
             row = evaluate(scored).withColumn("fold", F.lit(fold))
             out = row if out is None else out.unionByName(row)
         folds = out.select("fold", "n", "accuracy", "roc_auc").collect()  # k rows
@@ -146,7 +188,8 @@ def walkforward_backtest(rows: DataFrame, features: list[str], kind: str = "logi
     """Out-of-sample predictions: for every block of ``step`` days a model fitted on all earlier days.
 
     ``embargo`` leaves that many days before the block out of training (the labels look ahead). All
-    logistic fits share their passes over the cached panel. Returns the predictions table.
+    logistic fits share their passes over the cached panel, and so do all boosters (kind ``booster``).
+    Returns the predictions table.
     """
     panel = date_positions(rows)
     with cached(panel):
@@ -160,6 +203,11 @@ def walkforward_backtest(rows: DataFrame, features: list[str], kind: str = "logi
             models = fit_nested(panel, features, [at - embargo for at in starts], **options)
             scored = blocks.join(models.table(panel).withColumnRenamed("model", "window"), "window")
             scored = scored.withColumn("prob", 1 / (1 + F.exp(-models.margin())))
+        elif kind == "booster":
+            ends = [at - embargo for at in starts]
+            nested = fit_boosted(panel, features, ends, settings=Settings(**options))
+            sizes = panel.agg(*[F.coalesce(F.sum((F.col("day") < at).cast("long")), F.lit(0)) for at in ends]).first()
+            scored = _with_margins(blocks, features, nested, F.col("window")).withColumn("train_size", F.array(*[F.lit(n) for n in sizes])[F.col("window")].cast("long"))
         else:
             def one(at: int) -> DataFrame:
                 model = fit(kind, panel.filter(F.col("day") < at - embargo), features, **options)

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tapewise.operators import attribution, explain, metrics, models, nested_fits, ticker_fits, trees
+from tapewise.operators import attribution, booster, explain, metrics, models, nested_fits, ticker_fits, trees
 from tapewise.operators import indicators as ind
 from tapewise.schemas import INDICATORS, NEWS_PAYLOAD, PRICES, RAW_BARS
 from tapewise.sources import ingest, staging, store
@@ -92,6 +92,89 @@ def test_attributions_sum_to_the_margin(labelled, kind, options):
     assert explain.feature_importance(attribution.attribute(models.fit(kind, train, XS, **options), test)).count() == 3
 
 
+def plain_booster(x, y, key, cuts, s):
+    """The margins of training rows and the trees (as nested tuples), grown node by node on sums of floats."""
+    bins = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], axis=1)
+    soft = lambda g: np.sign(g) * max(abs(g) - s.alpha, 0)
+    score = lambda g, h: soft(g) ** 2 / (h + s.lam)
+    margin, grown = np.zeros(len(x)), []
+    for number in range(s.trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+        columns = booster.sampled_columns(s, number, x.shape[1])
+        sample = booster.mixed(key, s.seed + 1000 * number) < s.rows
+
+        def grow(rows, level):
+            a, b = g[rows].sum(), h[rows].sum()
+            best = None
+            for f in columns if level else ():
+                for cut in range(len(cuts[f])):
+                    side = bins[rows, f] <= cut
+                    left, right = rows[side], rows[~side]
+                    if h[left].sum() >= s.weight and h[right].sum() >= s.weight:
+                        gain = score(g[left].sum(), h[left].sum()) + score(g[right].sum(), h[right].sum()) - score(a, b)
+                        if gain > (best[0] if best else 0) + 1e-9:
+                            best = gain, f, cut, left, right
+            if best:
+                gain, f, cut, left, right = best
+                left, right = grow(left, level - 1), grow(right, level - 1)
+                if gain >= s.gamma or len(left) > 1 or len(right) > 1:
+                    return f, cut, left, right
+            return (-s.rate * soft(a) / (b + s.lam),)
+
+        tree = grow(np.flatnonzero(sample), s.depth)
+
+        def value(row, node):
+            return node[0] if len(node) == 1 else value(row, node[2] if bins[row, node[0]] <= node[1] else node[3])
+
+        margin = margin + np.array([value(r, tree) for r in range(len(x))])
+        grown.append(tree)
+    return margin, grown
+
+
+def test_booster_equals_a_plain_one(spark, labelled):
+    rows = models.date_positions(labelled).withColumn("_key", F.xxhash64("ticker", "date")).withColumn("x2", F.when(F.col("day") % 7 != 0, F.col("x2")))
+    pdf = rows.toPandas()
+    s = booster.Settings(trees=7, depth=3, rate=0.3, columns=0.7, bins=16)
+    edges = [200.0, 450.0]
+    got = booster.fit_boosted(rows.repartition(5), XS, edges, settings=s)
+    cuts = booster.cut_points(rows.filter("day < 200"), XS, s.bins)
+    for model, edge in zip(got, edges):
+        part = pdf[pdf["day"] < edge]
+        x = part[XS].to_numpy(float)
+        want, _ = plain_booster(x, part["label"].to_numpy(float), part["_key"].to_numpy(np.int64).view(np.uint64), cuts, s)
+        np.testing.assert_allclose(model.margins(x), want, atol=1e-6)
+    # neither partitions nor the other window change a model
+    single = booster.fit_boosted(rows.filter("day < 200").coalesce(1), XS, [200.0], settings=s)[0]
+    for a, b in zip(single.trees, got[0].trees):
+        assert (a.feature == b.feature).all() and (a.value == b.value).all() and (a.threshold == b.threshold).all()
+
+
+def test_booster_predicts_and_explains(labelled, monkeypatch):
+    monkeypatch.setattr(booster, "KEPT_TREES", 4)  # margins are written anew in between
+    train, test = models.split(labelled)
+    model = models.fit("booster", train, XS, trees=12, rate=0.2)
+    assert models.evaluate(model.score(test)).first()["roc_auc"] > 0.75 and model.train_size == 960
+    out = attribution.attribute(model, test).toPandas()
+    np.testing.assert_allclose(out["base_value"] + out["parts"].map(sum), out["margin"], atol=1e-9)
+    latest = attribution.score_latest(model, test.filter("day = days - 1")).toPandas()
+    assert len(latest) == 2 and all(len(f) == 3 for f in latest["top_features"])
+    calibrated = models.calibrated(model, models.platt_scale(model, train), test)
+    assert calibrated.filter("prob > 0 AND prob < 1").count() == 240
+
+
+def test_walkforward_and_folds_with_boosters_equal_single_fits(labelled):
+    options = {"trees": 4, "depth": 2, "rate": 0.5}
+    got = models.walkforward_backtest(labelled, XS, kind="booster", step=150, **options).toPandas().sort_values(["ticker", "date"])
+    assert len(got) == 600 and got["window"].nunique() == 2 and set(got["train_size"]) == {600, 900}
+    panel = models.date_positions(labelled)
+    one = booster.fit_boosted(panel, XS, [300.0], settings=booster.Settings(**options))[0]
+    first = panel.filter("day >= 300 AND day < 450").toPandas().sort_values(["ticker", "date"])
+    np.testing.assert_allclose(got[got["window"] == 0]["prob"], 1 / (1 + np.exp(-one.margins(first[XS].to_numpy(float)))))
+    folds = models.cross_validate(labelled, XS, kind="booster", **options).toPandas()
+    assert list(folds.sort_values("fold")["n"]) == [300, 300, 300] and (folds["roc_auc"] > 0.5).all()
+
+
 def enumerated(tree, x):
     """Shapley values by all subsets of all features, each valued by walking the tree."""
     d = len(x)
