@@ -25,7 +25,7 @@ def linear_attribution(model: Classifier, rows: DataFrame) -> DataFrame:
 
 def _shapley(model: Classifier) -> Shapley:
     """Of the log-odds: twice the weighted sum of the trees of a Spark model, the plain sum of a booster's."""
-    if model.kind == "booster":
+    if model.kind == "gbt":
         return Shapley(model.model.trees, [1.0] * len(model.model.trees), len(model.features))
     fitted = model.fitted
     trees = [of_spark(t) for t in fitted._java_obj.trees()]

@@ -13,6 +13,7 @@ adds to the histograms of every model that trains on it, so a tree level of all
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -108,6 +109,7 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def sampled_columns(settings: Settings, tree: int, features: int) -> np.ndarray:
+    """Places of the columns that a tree may split, among as many as its model has."""
     return np.sort(np.random.default_rng([settings.seed, tree]).choice(features, max(1, round(settings.columns * features)), replace=False))
 
 
@@ -119,15 +121,20 @@ def cut_points(rows: DataFrame, features: list[str], bins: int) -> list[np.ndarr
 
 
 def _packed(frames: Iterator[pd.DataFrame], features: list[str], cuts: list[np.ndarray], edges: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Blocks of rows: bins (a byte each), labels, hashes, the first model that trains on each row, and margins of all models."""
+    """Blocks of rows: bins (a byte each), labels, hashes, the first model that trains on each row (ascending), and margins of all models."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 33
     for frame in frames:
         for start in range(0, len(frame), BLOCK_ROWS):
             part = frame.iloc[start:start + BLOCK_ROWS]
-            x = np.stack([np.searchsorted(c, part[f].to_numpy(float)) for f, c in zip(features, cuts)], axis=1).astype(np.uint8)
             first = np.searchsorted(edges, part["day"].to_numpy(float), side="right").astype(np.int32)
-            yield pd.DataFrame({"n": [len(part)], "x": [x.tobytes()], "y": [part["label"].to_numpy(np.float64).tobytes()],
+            part, first = part.iloc[np.argsort(first, kind="stable")], np.sort(first)
+            x = np.stack([np.searchsorted(c, part[f].to_numpy(float)) for f, c in zip(features, cuts)], axis=1).astype(np.uint8)
+            yield pd.DataFrame({"id": [number], "x": [x.tobytes()], "y": [part["label"].to_numpy(np.float64).tobytes()],
                                 "hash": [part["_hash"].to_numpy(np.int64).tobytes()], "first": [first.tobytes()],
                                 "margin": [np.zeros((len(edges), len(part))).tobytes()]})
+            number += 1
 
 
 def _leaf(x: np.ndarray, tree: Grower) -> np.ndarray:
@@ -142,53 +149,76 @@ def _leaf(x: np.ndarray, tree: Grower) -> np.ndarray:
         at[inner] = np.where(x[inner, feature[node]] <= cut[node], left[node], right[node])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], features: int, models: int):
-    """x, y, hash, first and the margins (a row per model) of each block."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield row, np.frombuffer(row["x"], np.uint8).reshape(-1, features), np.frombuffer(row["y"]), np.frombuffer(row["hash"], np.int64).view(np.uint64), \
-                np.frombuffer(row["first"], np.int32), np.frombuffer(row["margin"]).reshape(models, -1).copy()
+@dataclass
+class Passed:
+    """What a pass knows of the trees so far: how many are in the written margins, and the newer ones of each model with their leaf values."""
 
+    fit: str
+    written: int
+    newer: list[list[tuple[Grower, np.ndarray]]]
 
-def _advance(margins: np.ndarray, x: np.ndarray, newer: list[list[tuple[Grower, np.ndarray]]]) -> None:
-    for m, trees in enumerate(newer):
-        for tree, values in trees:
-            margins[m] += values[_leaf(x, tree)]
 
+#: Margins of blocks that a worker has seen, by fit and block, with the number of trees in them; at most KEPT_BYTES.
+_seen: dict[tuple[str, int], tuple[int, np.ndarray]] = {}
+KEPT_BYTES = 256 << 20
 
-def _histograms(batches: Iterator[pa.RecordBatch], features: int, settings: Settings, number: int, newer: list, growing: list[Grower]) -> Iterator[pa.RecordBatch]:
+
+def _blocks(batches: Iterator[pa.RecordBatch], features: int, so_far: Passed):
+    """The row, x, y, hashes, margins (a row per model), and how many rows each model trains on, of each block.
+
+    A worker that saw the block before applies only the trees that came since; any other starts from the written margins.
+    """
+    models = len(so_far.newer)
+    for batch in batches:
+        for row in batch.to_pylist():
+            x, first = np.frombuffer(row["x"], np.uint8).reshape(-1, features), np.frombuffer(row["first"], np.int32)
+            ends = np.searchsorted(first, np.arange(models), side="right")
+            applied, margins = _seen.get((so_far.fit, row["id"]), (-1, None))
+            if applied < so_far.written:
+                applied, margins = so_far.written, np.frombuffer(row["margin"]).reshape(models, -1).copy()
+            for m, trees in enumerate(so_far.newer):
+                for tree, values in trees[applied - so_far.written:]:
+                    margins[m, :ends[m]] += values[_leaf(x[:ends[m]], tree)]
+            if sum(kept.nbytes for _, kept in _seen.values()) + margins.nbytes > KEPT_BYTES:
+                _seen.clear()
+            _seen[so_far.fit, row["id"]] = so_far.written + len(so_far.newer[0]), margins
+            yield row, x, np.frombuffer(row["y"]), np.frombuffer(row["hash"], np.int64).view(np.uint64), margins, ends
+
+
+def _histograms(batches: Iterator[pa.RecordBatch], features: int, settings: Settings, number: int, columns: list[np.ndarray], so_far: Passed,
+                growing: list[Grower]) -> Iterator[pa.RecordBatch]:
     """The sums of a task: cell (model, open node, feature, bin in one number), g, h; cells without rows are left out."""
     slots, bins = max(len(t.open) for t in growing), settings.bins
-    total = np.zeros((2, len(growing) * slots * features * bins), np.int64)
-    columns = sampled_columns(settings, number, features)
-    for _, x, y, key, first, margins in _blocks(batches, features, len(growing)):
-        _advance(margins, x, newer)
-        sample = mixed(key, settings.seed + 1000 * number) < settings.rows
-        for m, tree in enumerate(growing):
-            if not tree.open:
+    size = slots * features * bins
+    total = np.zeros((2, len(growing), size), np.int64)
+    for _, x, y, key, margins, ends in _blocks(batches, features, so_far):
+        sample = np.flatnonzero(mixed(key, settings.seed + 1000 * number) < settings.rows)
+        for m, (tree, end) in enumerate(zip(growing, ends)):
+            rows = sample[:np.searchsorted(sample, end)]
+            if not tree.open or not len(rows):
                 continue
             slot = np.full(len(tree.feature), -1)
             slot[tree.open] = np.arange(len(tree.open))
-            rows = np.flatnonzero(sample & (first <= m))
             here = slot[_leaf(x[rows], tree)]
             rows, here = rows[here >= 0], here[here >= 0]
             p = 1.0 / (1.0 + np.exp(-margins[m, rows]))
-            cell = ((((m * slots + here) * features)[:, None] + columns) * bins + x[rows][:, columns]).ravel()
-            for k, part in enumerate((p - y[rows], p * (1.0 - p))):
-                whole = np.repeat(np.rint(part / UNIT), len(columns))
-                total[k] += np.bincount(cell, whole, total.shape[1]).astype(np.int64)
+            sums = [np.rint(part / UNIT) for part in (p - y[rows], p * (1.0 - p))]
+            for c in columns[m]:
+                cell = (here * features + c) * bins + x[rows, c]
+                for k in range(2):
+                    total[k, m] += np.bincount(cell, sums[k], size).astype(np.int64)
+    total = total.reshape(2, -1)
     found = np.flatnonzero(total.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[0, found]), pa.array(total[1, found])], names=["cell", "g", "h"])
 
 
-def _rewritten(batches: Iterator[pa.RecordBatch], features: int, newer: list) -> Iterator[pa.RecordBatch]:
-    for row, x, *_, margins in _blocks(batches, features, len(newer)):
-        _advance(margins, x, newer)
+def _rewritten(batches: Iterator[pa.RecordBatch], features: int, so_far: Passed) -> Iterator[pa.RecordBatch]:
+    for row, *_, margins, _ in _blocks(batches, features, so_far):
         yield pa.RecordBatch.from_pylist([row | {"margin": margins.tobytes()}], pa.schema(_KINDS))
 
 
-_BLOCK = "n int, x binary, y binary, hash binary, first binary, margin binary"
-_KINDS = [("n", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("hash", pa.binary()), ("first", pa.binary()), ("margin", pa.binary())]
+_BLOCK = "id long, x binary, y binary, hash binary, first binary, margin binary"
+_KINDS = [("id", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("hash", pa.binary()), ("first", pa.binary()), ("margin", pa.binary())]
 
 
 def best_split(g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray], settings: Settings) -> tuple[float, int, int, tuple] | None:
@@ -212,18 +242,18 @@ def best_split(g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray], settings: S
     return float(gain[f, at]), int(f), int(at), (float(gl[f, at]), float(hl[f, at]), float(gr[f, at]), float(hr[f, at]))
 
 
-def grow_level(growing: list[Grower], sums: np.ndarray, columns: np.ndarray, cuts: list[np.ndarray], settings: Settings, last: bool) -> None:
-    """Splits the open nodes of each tree by ``sums`` (2, model, open node, feature, bin); on the ``last`` level nothing stays open."""
+def grow_level(growing: list[Grower], sums: np.ndarray, columns: list[np.ndarray], cuts: list[np.ndarray], settings: Settings, last: bool) -> None:
+    """Splits the open nodes of each tree by ``sums`` (2, model, open node, feature, bin) of the ``columns`` sampled for its model; on the ``last`` level nothing stays open."""
     for m, tree in enumerate(growing):
         after = []
         for slot, node in enumerate(tree.open):
-            g, h = sums[0, m, slot][columns] * UNIT, sums[1, m, slot][columns] * UNIT
+            g, h = sums[0, m, slot][columns[m]] * UNIT, sums[1, m, slot][columns[m]] * UNIT
             if node == 0:
                 tree.g[0], tree.h[0] = float(g[0].sum()), float(h[0].sum())
-            found = best_split(g, h, [cuts[c] for c in columns], settings)
+            found = best_split(g, h, [cuts[c] for c in columns[m]], settings)
             if found is not None:
                 gain, f, at, sides = found
-                tree.split(node, int(columns[f]), at, gain, sides)
+                tree.split(node, int(columns[m][f]), at, gain, sides)
                 after += [tree.left[node], tree.right[node]]
         tree.open = [] if last else after
 
@@ -242,42 +272,70 @@ class Boosted:
         return total
 
 
+class _Passes:
+    """The many small jobs over the written blocks, in a session of their own without adaptive re-planning.
+
+    Each task hands on at most one row per cell; so many tasks sum them that none gets more than about CELLS.
+    """
+
+    CELLS = 1_000_000
+
+    def __init__(self, blocks: DataFrame):
+        self.home, self.spark = blocks.sparkSession, blocks.sparkSession.newSession()
+        self.most = int(self.home.conf.get("spark.sql.shuffle.partitions"))
+        self.spark.conf.set("spark.sql.adaptive.enabled", "false")
+        self.write(blocks)
+
+    def write(self, blocks: DataFrame) -> None:
+        path = staging.new_path(self.home, "boost-blocks")
+        blocks.write.parquet(path)
+        self.blocks = self.spark.read.schema(_BLOCK).parquet(path)
+        self.tasks = self.blocks.rdd.getNumPartitions()
+
+    def sums(self, task, cells: int) -> np.ndarray:
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(min(self.most, max(1, self.tasks * cells // self.CELLS))))
+        found = self.blocks.mapInArrow(task, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+        out = np.zeros((2, cells))
+        out[:, found.column("cell").to_numpy()] = found.column("g").to_numpy(), found.column("h").to_numpy()
+        return out
+
+
 def fit_boosted(rows: DataFrame, features: list[str], edges: list[float] | None = None, key: tuple[str, ...] = ("ticker", "date"),
-                settings: Settings = Settings()) -> list[Boosted]:
+                settings: Settings = Settings(), subsets: list[list[str]] | None = None) -> list[Boosted]:
     """One model per edge, trained on the rows whose ``day`` is below it; without edges one model of all rows.
 
+    With ``subsets`` one model per subset of the features, all on all rows, in the same passes.
+
     ``rows`` has the features, ``label`` and for edges ``day``. Null and NaN features are larger than every cut. Bins
     are quantiles of the rows of the smallest edge, which all models train on, so none knows of later rows. Without
     rows of a model its trees are single leaves of value 0.
     """
-    edge = np.array(edges if edges is not None else [math.inf], float)
+    edge = np.array(edges if edges is not None else [math.inf] * len(subsets or [features]), float)
+    own = [[features.index(f) for f in subset] for subset in subsets] if subsets else [list(range(len(features)))] * len(edge)
     day = F.col("day").cast("double") if edges is not None else F.lit(0.0)
     used = rows.select(*[F.coalesce(F.col(f).cast("double"), F.lit(math.nan)).alias(f) for f in features], F.col("label").cast("double").alias("label"),
                        day.alias("day"), F.xxhash64(*key).alias("_hash")).filter(F.col("day") < float(edge.max()))
     cuts = cut_points(used.filter(F.col("day") < float(edge.min())), features, settings.bins)
-    blocks = staging.written(used.mapInPandas(partial(_packed, features=features, cuts=cuts, edges=edge), _BLOCK), "boost-blocks")
+    passes = _Passes(used.mapInPandas(partial(_packed, features=features, cuts=cuts, edges=edge), _BLOCK))
     d, models = len(features), len(edge)
     fitted: list[list[Tree]] = [[] for _ in range(models)]
-    newer: list[list[tuple[Grower, np.ndarray]]] = [[] for _ in range(models)]
+    so_far = Passed(uuid.uuid4().hex, 0, [[] for _ in range(models)])
     for number in range(settings.trees):
-        growing, columns = [Grower() for _ in range(models)], sampled_columns(settings, number, d)
+        growing, columns = [Grower() for _ in range(models)], [np.array(mine)[sampled_columns(settings, number, len(mine))] for mine in own]
         for level in range(settings.depth):
             slots = max(len(t.open) for t in growing)
             if not slots:
                 break
-            task = partial(_histograms, features=d, settings=settings, number=number, newer=newer, growing=growing)
-            cells = blocks.mapInArrow(task, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-            sums = np.zeros((2, models * slots * d * settings.bins))
-            sums[:, cells.column("cell").to_numpy()] = cells.column("g").to_numpy(), cells.column("h").to_numpy()
-            grow_level(growing, sums.reshape(2, models, slots, d, settings.bins), columns, cuts, settings, level == settings.depth - 1)
+            task = partial(_histograms, features=d, settings=settings, number=number, columns=columns, so_far=so_far, growing=growing)
+            sums = passes.sums(task, models * slots * d * settings.bins).reshape(2, models, slots, d, settings.bins)
+            grow_level(growing, sums, columns, cuts, settings, level == settings.depth - 1)
         for m, tree in enumerate(growing):
             tree.pruned(settings.gamma)
-            made = tree.done(cuts, settings)
-            fitted[m].append(made)
-            newer[m].append((tree, _values(tree, settings)))
+            fitted[m].append(tree.done(cuts, settings))
+            so_far.newer[m].append((tree, _values(tree, settings)))
         if (number + 1) % KEPT_TREES == 0 and number + 1 < settings.trees:
-            blocks = staging.written(blocks.mapInArrow(partial(_rewritten, features=d, newer=newer), _BLOCK), "boost-blocks")
-            newer = [[] for _ in range(models)]
+            passes.write(passes.blocks.mapInArrow(partial(_rewritten, features=d, so_far=so_far), _BLOCK))
+            so_far = Passed(so_far.fit, number + 1, [[] for _ in range(models)])
     return [Boosted(features, trees) for trees in fitted]
 
 

@@ -55,7 +55,7 @@ class Classifier:
         out = self.model.transform(rows)
         raw = vector_to_array("_raw")
         # The trees' probability is 1/(1+exp(-2F)), so the log-odds are 2F.
-        margin = raw[1] * 2 if self.kind == "gbt" else raw[1]
+        margin = raw[1] * 2 if self.kind == "spark_gbt" else raw[1]
         keep = [c for c in rows.columns]
         scored = out.select(*keep, vector_to_array("_prob")[1].alias("prob"), margin.alias("margin"))
         return scored.withColumn("pred", (F.col("prob") > 0.5).cast("int"))
@@ -86,9 +86,16 @@ def _with_margins(rows: DataFrame, features: list[str], boosted: list[Boosted],
     return scored.withColumn("prob", 1 / (1 + F.exp(-F.col("margin")))).withColumn("pred", (F.col("prob") > 0.5).cast("int"))
 
 
-def train_boosted(train: DataFrame, features: list[str], **settings) -> BoostedClassifier:
+def train_gbt(train: DataFrame, features: list[str], **settings) -> BoostedClassifier:
     """Second-order boosted trees on histograms, with leaf penalties and columns sampled per tree (see :mod:`booster`)."""
-    return BoostedClassifier("booster", features, fit_boosted(train, features, settings=Settings(**settings))[0], train.count())
+    return BoostedClassifier("gbt", features, fit_boosted(train, features, settings=Settings(**settings))[0], train.count())
+
+
+def train_ablation(train: DataFrame, subsets: list[list[str]], **settings) -> list[BoostedClassifier]:
+    """One boosted model per feature set, all grown in the same passes."""
+    features = list(dict.fromkeys(f for subset in subsets for f in subset))
+    n = train.count()
+    return [BoostedClassifier("gbt", features, m, n) for m in fit_boosted(train, features, settings=Settings(**settings), subsets=subsets)]
 
 
 def _assembler(features: list[str], out: str) -> VectorAssembler:
@@ -112,9 +119,10 @@ def train_logistic(train: DataFrame, features: list[str], c: float = 1.0, max_it
     return Classifier("logistic", features, Pipeline(stages=stages).fit(train), n)
 
 
-def train_gbt(train: DataFrame, features: list[str], trees: int = 300, depth: int = 4, rate: float = 0.05,
-              rows: float = 0.8, columns: str = "0.8", seed: int = 42) -> Classifier:
-    """Boosted trees; column sampling is per node and the leaf penalties of other libraries do not exist.
+def train_spark_gbt(train: DataFrame, features: list[str], trees: int = 300, depth: int = 4, rate: float = 0.05,
+                    rows: float = 0.8, columns: str = "0.8", seed: int = 42) -> Classifier:
+    """Spark's own boosted trees: columns are sampled per node, there are no leaf penalties, and the rows that a tree
+    samples depend on their partitions.
 
     Rows are gathered into partitions of at least about ``TREE_ROWS``: every level of every tree is a job over
     all of them, so small partitions cost more than they share out.
@@ -128,11 +136,11 @@ def train_gbt(train: DataFrame, features: list[str], trees: int = 300, depth: in
                       featureSubsetStrategy=columns, minInstancesPerNode=5, seed=seed, leafCol="_leaves")
         .setRawPredictionCol("_raw").setProbabilityCol("_prob"),
     ]
-    return Classifier("gbt", features, Pipeline(stages=stages).fit(gathered), n)
+    return Classifier("spark_gbt", features, Pipeline(stages=stages).fit(gathered), n)
 
 
 def fit(kind: str, train: DataFrame, features: list[str], **options) -> Classifier:
-    return {"logistic": train_logistic, "gbt": train_gbt, "booster": train_boosted}[kind](train, features, **options)
+    return {"logistic": train_logistic, "gbt": train_gbt, "spark_gbt": train_spark_gbt}[kind](train, features, **options)
 
 
 def date_positions(rows: DataFrame) -> DataFrame:
@@ -162,12 +170,12 @@ def cross_validate(train: DataFrame, features: list[str], kind: str = "gbt", k:
     placed = date_positions(train.drop("day", "days")).withColumn("fold", fold_of(F.col("day"), F.col("days"), k))
     out = None
     with cached(placed):
-        if kind == "booster":
+        if kind == "gbt":
             begins = placed.filter("fold > 0").groupBy("fold").agg(F.min("day").alias("day")).orderBy("fold").collect()  # k rows
             nested = fit_boosted(placed, features, [r["day"] for r in begins], settings=Settings(**options))
         for fold in range(1, k + 1):
             held = placed.filter(F.col("fold") == fold)
-            if kind == "booster":
+            if kind == "gbt":
                 scored = _with_margins(held, features, [nested[fold - 1]])
             else:
                 past = placed.filter(F.coalesce(F.col("fold"), F.lit(0)) < fold)
@@ -188,7 +196,7 @@ def walkforward_backtest(rows: DataFrame, features: list[str], kind: str = "logi
     """Out-of-sample predictions: for every block of ``step`` days a model fitted on all earlier days.
 
     ``embargo`` leaves that many days before the block out of training (the labels look ahead). All
-    logistic fits share their passes over the cached panel, and so do all boosters (kind ``booster``).
+    logistic fits share their passes over the cached panel, and so do all boosters (kind ``gbt``).
     Returns the predictions table.
     """
     panel = date_positions(rows)
@@ -203,7 +211,7 @@ def walkforward_backtest(rows: DataFrame, features: list[str], kind: str = "logi
             models = fit_nested(panel, features, [at - embargo for at in starts], **options)
             scored = blocks.join(models.table(panel).withColumnRenamed("model", "window"), "window")
             scored = scored.withColumn("prob", 1 / (1 + F.exp(-models.margin())))
-        elif kind == "booster":
+        elif kind == "gbt":
             ends = [at - embargo for at in starts]
             nested = fit_boosted(panel, features, ends, settings=Settings(**options))
             sizes = panel.agg(*[F.coalesce(F.sum((F.col("day") < at).cast("long")), F.lit(0)) for at in ends]).first()

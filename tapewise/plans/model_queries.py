@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewise.functions.fixed_values import HORIZONS
-from tapewise.operators import attribution, explain, features as feat, models, stats, ticker_fits
+from tapewise.operators import attribution, explain, features as feat, metrics, models, stats, ticker_fits
 from tapewise.operators.signals import company_name
 from tapewise.plans.oracle import sql
 from tapewise.plans.registry import query, rounded
 from tapewise.plans.tables import Tables
 from tapewise.schemas import FEATURES, FEATURES_WITH_SENTIMENT
+from tapewise.sources import staging
 
 _fitted: dict[tuple[str, str, str], models.Classifier] = {}
 
@@ -111,13 +112,31 @@ def _walkforward_backtest(t: Tables):
     return models.walkforward_backtest(t.dataset(), FEATURES)
 
 
-@query("walkforward_backtest", _sql("""
-    SELECT ticker, date, win AS "window", train_size, label AS actual, true AS probable FROM blocks JOIN sizes USING (win)""", "blocks", "sizes"))
+_WALKED = _sql("""
+    SELECT ticker, date, win AS "window", train_size, label AS actual, true AS probable FROM blocks JOIN sizes USING (win)""", "blocks", "sizes")
+
+
+@query("walkforward_backtest", _WALKED)
 def _(t: Tables):
     return _walkforward_backtest(t).select("ticker", "date", "window", "train_size", "actual", _probable())
 
 
 
+def _walkforward_trees(t: Tables):
+    """All windows' boosters share their passes; the predictions are written once per application."""
+    return staging.staged(t.spark, t.dir, "walkforward_trees", lambda: models.walkforward_backtest(t.dataset(), FEATURES, kind="gbt"))
+
+
+@query("walkforward_trees", _WALKED)
+def _(t: Tables):
+    return _walkforward_trees(t).select("ticker", "date", "window", "train_size", "actual", _probable())
+
+
+@query("walkforward_trees_windows")
+def _(t: Tables):
+    return metrics.window_results(_walkforward_trees(t))
+
+
 @query("per_ticker_models_scores")
 def _per_ticker_models(t: Tables):
     return ticker_fits.per_ticker_models(t.dataset(), FEATURES)
@@ -204,11 +223,12 @@ def _(t: Tables):
     placed = t.placed("dataset_sentiment")
     train, test = placed.filter("day < cut"), placed.filter("day >= cut")
 
-    def score(columns: list[str]) -> tuple[float, float]:
-        row = models.evaluate(_fit("gbt", train, columns).score(test)).first()
+    def score(model: models.Classifier) -> tuple[float, float]:
+        row = models.evaluate(model.score(test)).first()
         return row["accuracy"], row["roc_auc"]
 
-    rows = [(*score(FEATURES), *score(FEATURES_WITH_SENTIMENT))]
+    base, full = models.train_ablation(train, [FEATURES, FEATURES_WITH_SENTIMENT])
+    rows = [(*score(base), *score(full))]
     both = t.spark.createDataFrame(rows, "accuracy_base double, auc_base double, accuracy_full double, auc_full double")
     return models.sentiment_verdict(both)
 

@@ -77,12 +77,12 @@ def test_walkforward_trains_on_the_past_only(labelled):
     assert set(summary["windows"]) == {15}
 
 
-def test_walkforward_with_trees(labelled):
-    got = models.walkforward_backtest(labelled, XS, kind="gbt", step=150, trees=3, depth=2).toPandas()
+def test_walkforward_with_spark_trees(labelled):
+    got = models.walkforward_backtest(labelled, XS, kind="spark_gbt", step=150, trees=3, depth=2).toPandas()
     assert len(got) == 600 and got["prob"].between(0, 1).all() and got["window"].nunique() == 2
 
 
-@pytest.mark.parametrize("kind,options", [("logistic", {}), ("gbt", {"trees": 8, "depth": 3})])
+@pytest.mark.parametrize("kind,options", [("logistic", {}), ("gbt", {"trees": 8, "depth": 3}), ("spark_gbt", {"trees": 8, "depth": 3})])
 def test_attributions_sum_to_the_margin(labelled, kind, options):
     train, test = models.split(labelled)
     out = attribution.attribute(models.fit(kind, train, XS, **options), test).toPandas()
@@ -150,10 +150,19 @@ def test_booster_equals_a_plain_one(spark, labelled):
         assert (a.feature == b.feature).all() and (a.value == b.value).all() and (a.threshold == b.threshold).all()
 
 
+def test_feature_sets_share_passes(labelled):
+    train, _ = models.split(labelled)
+    both = models.train_ablation(train, [XS[:2], XS], trees=3, depth=2)
+    alone = models.train_gbt(train, XS[:2], trees=3, depth=2)
+    for a, b in zip(both[0].model.trees, alone.model.trees):
+        assert (a.feature == b.feature).all() and (a.value == b.value).all() and set(a.feature) <= {-1, 0, 1}
+    assert any(2 in t.feature for t in both[1].model.trees)
+
+
 def test_booster_predicts_and_explains(labelled, monkeypatch):
     monkeypatch.setattr(booster, "KEPT_TREES", 4)  # margins are written anew in between
     train, test = models.split(labelled)
-    model = models.fit("booster", train, XS, trees=12, rate=0.2)
+    model = models.fit("gbt", train, XS, trees=12, rate=0.2)
     assert models.evaluate(model.score(test)).first()["roc_auc"] > 0.75 and model.train_size == 960
     out = attribution.attribute(model, test).toPandas()
     np.testing.assert_allclose(out["base_value"] + out["parts"].map(sum), out["margin"], atol=1e-9)
@@ -165,13 +174,13 @@ def test_booster_predicts_and_explains(labelled, monkeypatch):
 
 def test_walkforward_and_folds_with_boosters_equal_single_fits(labelled):
     options = {"trees": 4, "depth": 2, "rate": 0.5}
-    got = models.walkforward_backtest(labelled, XS, kind="booster", step=150, **options).toPandas().sort_values(["ticker", "date"])
+    got = models.walkforward_backtest(labelled, XS, kind="gbt", step=150, **options).toPandas().sort_values(["ticker", "date"])
     assert len(got) == 600 and got["window"].nunique() == 2 and set(got["train_size"]) == {600, 900}
     panel = models.date_positions(labelled)
     one = booster.fit_boosted(panel, XS, [300.0], settings=booster.Settings(**options))[0]
     first = panel.filter("day >= 300 AND day < 450").toPandas().sort_values(["ticker", "date"])
     np.testing.assert_allclose(got[got["window"] == 0]["prob"], 1 / (1 + np.exp(-one.margins(first[XS].to_numpy(float)))))
-    folds = models.cross_validate(labelled, XS, kind="booster", **options).toPandas()
+    folds = models.cross_validate(labelled, XS, kind="gbt", **options).toPandas()
     assert list(folds.sort_values("fold")["n"]) == [300, 300, 300] and (folds["roc_auc"] > 0.5).all()
 
 
@@ -231,7 +240,7 @@ def test_shapley_values_equal_all_subsets():
 def test_shapley_values_of_a_fitted_model(labelled):
     """The model's own trees: their covers add up, and the values are those of all subsets."""
     train, test = models.split(labelled)
-    model = models.fit("gbt", train, XS, trees=4, depth=3)
+    model = models.fit("spark_gbt", train, XS, trees=4, depth=3)
     grown = [trees.of_spark(t) for t in model.fitted._java_obj.trees()]
     for t in grown:
         inner = np.flatnonzero(t.feature >= 0)

@@ -20,10 +20,10 @@ def con():
 @pytest.fixture(scope="module", autouse=True)
 def few_trees():
     """The reference SQL of tree queries holds for any number of trees; a few take less time than 300."""
-    whole = models.train_gbt
-    models.train_gbt = partial(whole, trees=5)
+    whole = models.Settings
+    models.Settings = partial(whole, trees=5)
     yield
-    models.train_gbt = whole
+    models.Settings = whole
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
