@@ -39,17 +39,17 @@ def _(t: Tables):
     return ingest.ingest_bars(t.raw_bars())
 
 
+def _saved_csv(t: Tables) -> str:
+    return staging.staged_path(t.spark, t.dir, "bars_csv", lambda path: ingest.write_bars(t.bars(), path))
+
+
 @query("ingest_many", sql("""
     SELECT t.ticker, count(b.ticker) > 0 AS loaded FROM (
         SELECT ticker FROM tickers UNION ALL SELECT 'missing ' || ticker FROM metadata) t
     LEFT JOIN bars b ON t.ticker = b.ticker GROUP BY t.ticker""", "bars", "tickers", "metadata"))
 def _(t: Tables):
     asked = t.tickers().unionByName(t.metadata().select(F.concat(F.lit("missing "), "ticker").alias("ticker")))
-    return ingest.coverage(asked, t.bars())
-
-
-def _saved_csv(t: Tables) -> str:
-    return staging.staged_path(t.spark, t.dir, "bars_csv", lambda path: ingest.write_bars(t.bars(), path))
+    return ingest.load_many(t.spark, asked, _saved_csv(t))[1].select("ticker", "loaded")
 
 
 @query("reload_csv", sql("""

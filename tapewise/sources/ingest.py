@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,44 @@ def reload_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("file_ticker", F.regexp_extract("file", r"^(.*)_[^_]+$", 1)).drop("file")
 
 
+def _key_of(uri: str) -> str:
+    """The key of a file: its folder's (``file=KEY/...``, escaped by Spark) or its own name (``KEY.csv``)."""
+    folder, name = unquote(uri).rsplit("/", 2)[-2:]
+    return unquote(folder.removeprefix("file=")) if folder.startswith("file=") else name.removesuffix(".csv")
+
+
+def load_many(spark: SparkSession, requested: DataFrame, folder: str, period: str = "2y") -> tuple[DataFrame, DataFrame]:
+    """Raw bars of all requested tickers whose files can be read, and a report of every requested ticker.
+
+    Files lie in ``folder`` as ``write_bars`` leaves them or as ``KEY.csv``, with a header line each. The report has
+    ticker, loaded, rows, broken (lines that do not parse) and reason: null, or why the file is not or not wholly loaded - missing, empty,
+    wrong header, no rows, broken lines (the others of its lines are loaded). One bad file never stops the load.
+    All files are read once, as lines; a large one is split like any text. Their names, which Spark's own file
+    index holds on the driver as well, tell empty files, which no scan shows, from missing ones.
+    """
+    keyed = requested.select("ticker").distinct().withColumn("key", file_key(F.col("ticker"), period))
+    lines = spark.read.text(folder)
+    listed = spark.createDataFrame([(k, True) for k in sorted({_key_of(uri) for uri in lines.inputFiles()})], "key string, listed boolean")
+    own = F.col("file") if "file" in lines.columns else F.regexp_extract(F.try_url_decode(F.col("_metadata.file_path")), r"([^/]+)\.csv$", 1)
+    lines = lines.select(own.alias("key"), "value")
+    header = F.lower(F.regexp_replace("value", r"[\s\ufeff]", "")) == ",".join(RAW_BARS.names).lower()
+    kinds = T.StructType([*RAW_BARS.fields, T.StructField("_broken", T.StringType())]).simpleString().removeprefix("struct<").removesuffix(">")
+    parsed = lines.withColumn("header", header).withColumn(
+        "bar", F.from_csv("value", kinds.replace(":", " "), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    sound = F.col("bar._broken").isNull() & F.col("bar.Date").isNotNull()
+    told = parsed.groupBy("key").agg(
+        F.max("header").alias("headed"), F.count_if(~F.col("header") & sound).alias("rows"), F.count_if(~F.col("header") & ~sound).alias("broken"))
+    report = keyed.join(listed, "key", "left").join(told, "key", "left")
+    headed = F.coalesce("headed", F.lit(False))
+    reason = (F.when(F.col("listed").isNull(), "missing").when(F.col("headed").isNull(), "empty").when(~headed, "wrong header")
+              .when(F.col("rows") == 0, "no rows").when(F.col("broken") > 0, "broken lines"))
+    report = report.select("ticker", (headed & (F.col("rows") > 0)).alias("loaded"), F.when(headed, F.col("rows")).otherwise(0).alias("rows"),
+                           F.coalesce("broken", F.lit(0)).alias("broken"), reason.alias("reason"))
+    good = keyed.join(told.filter("headed").select("key"), "key")
+    bars = parsed.filter(~F.col("header") & sound).join(good, "key").select("ticker", *(F.col(f"bar.{c}").alias(c) for c in RAW_BARS.names))
+    return bars, report
+
+
 def ingest_bars(raw: DataFrame) -> DataFrame:
     """Five bar columns with a plain date; rows without a close are dropped."""
     return raw.select(

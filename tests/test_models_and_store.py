@@ -341,6 +341,32 @@ def test_csv_round_trip(spark, tmp_path):
         ingest.require_rows(base.filter("close < 0"))
 
 
+def test_one_bad_file_does_not_stop_the_load(spark, tmp_path):
+    header, line = "Date,Open,High,Low,Close,Volume", "2020-01-0%d 00:00:00,1.0,2.0,0.5,1.5,10"
+    folder = tmp_path / "bars"
+    folder.mkdir()
+    sound = "\n".join([header] + [line % d for d in (1, 2, 3)]) + "\n"
+    texts = {"GOOD_2y": sound, "X_NS_2y": sound, "EMPTY_2y": "", "HEAD_2y": header + "\n", "CUT_2y": sound[:-20], "OTHER_2y": "a,b\n1,2\n", "NOBODY_2y": sound,
+             "WORDS_2y": header + "\nyesterday,one,two,three,four,five\n"}
+    for name, text in texts.items():
+        (folder / f"{name}.csv").write_text(text)
+    asked = spark.createDataFrame([(t,) for t in ("GOOD", "X.NS", "EMPTY", "HEAD", "CUT", "OTHER", "WORDS", "GONE", "GOOD")], "ticker string")
+    raw, report = ingest.load_many(spark, asked, str(folder))
+    got = {r["ticker"]: tuple(r)[1:] for r in report.collect()}
+    assert got == {"GOOD": (True, 3, 0, None), "X.NS": (True, 3, 0, None), "EMPTY": (False, 0, 0, "empty"), "HEAD": (False, 0, 0, "no rows"),
+                   "CUT": (True, 2, 1, "broken lines"), "OTHER": (False, 0, 2, "wrong header"), "WORDS": (False, 0, 1, "no rows"), "GONE": (False, 0, 0, "missing")}
+    bars = ingest.ingest_bars(raw).groupBy("ticker").count().collect()
+    assert {r["ticker"]: r["count"] for r in bars} == {"GOOD": 3, "X.NS": 3, "CUT": 2}
+
+
+def test_files_as_written_are_loaded(spark, tmp_path):
+    base = bars_of(spark, walk("X.NS", 50, 1), walk("Y#1", 20, 2))
+    ingest.write_bars(base, str(tmp_path / "csv"))
+    raw, report = ingest.load_many(spark, spark.createDataFrame([("X.NS",), ("Y#1",), ("Z",)], "ticker string"), str(tmp_path / "csv"))
+    assert {r["ticker"]: (r["loaded"], r["rows"], r["reason"]) for r in report.collect()} == {"X.NS": (True, 50, None), "Y#1": (True, 20, None), "Z": (False, 0, "missing")}
+    pd.testing.assert_frame_equal(collected(ingest.ingest_bars(raw)), collected(base))
+
+
 def test_raw_bars_lose_rows_without_close(spark):
     raw = spark.createDataFrame([(dt.datetime(2020, 1, 1), 1.0, 1.0, 1.0, None, 5.0), (dt.datetime(2020, 1, 2), 1.0, 1.0, 1.0, 2.0, 5.0)], RAW_BARS)
     assert ingest.ingest_bars(raw.withColumn("ticker", F.lit("A"))).count() == 1
