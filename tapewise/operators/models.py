@@ -13,13 +13,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewise.operators import metrics
 from tapewise.operators.booster import Boosted, Settings, fit_boosted
 from tapewise.operators.features import fold_of, train_rows
-from tapewise.operators.nested_fits import fit_nested
+from tapewise.operators.nested_fits import fit_labels, fit_nested
 from tapewise.operators.panel import numbered
 
 KEY = ["ticker", "date"]
@@ -260,23 +260,28 @@ def calibrated(model: Classifier, platt: Classifier, rows: DataFrame) -> DataFra
 
 def horizon_sweep(labelled: DataFrame, horizons: list[int], features: list[str],
                   test_size: float = 0.2) -> DataFrame:
-    """Accuracy and AUC of the logistic model per horizon, from rows with one ``label_h`` per horizon."""
-    out = None
-    for h in horizons:
-        rows = labelled.withColumn("label", F.col(f"label_{h}")).filter("label is not null")
-        panel = date_positions(rows.select(*KEY, *features, "label"))
-        with cached(panel):
-            days = panel.agg(F.max("days")).first()[0]
-            cut = int(days * (1 - test_size))
-            model = fit_nested(panel, features, [cut])
-        # One model, so its weights are a constant column: no join.
-        test = panel.filter(F.col("day") >= cut).withColumn(
-            "w", F.array(*[F.lit(x) for x in model.raw_weights()[0].tolist()]))
-        scored = test.withColumn("prob", 1 / (1 + F.exp(-model.margin()))).withColumn(
-            "pred", (F.col("prob") > 0.5).cast("int"))
-        row = evaluate(scored.select("label", "prob", "pred")).withColumn("horizon", F.lit(h))
-        out = row if out is None else out.unionByName(row)
-    return out.select("horizon", "accuracy", "roc_auc", "up_rate", F.col("n").alias("test_samples"))
+    """Accuracy and AUC of the logistic model per horizon, from rows with one ``label_h`` per horizon.
+
+    Each horizon has its own days, those with a label, of which the last ``test_size`` test. The models of all horizons
+    are fitted in the same passes.
+    """
+    names = {h: f"label_{h}" for h in horizons}
+    has = labelled.groupBy("date").agg(*[F.max(F.col(n).isNotNull().cast("int")).alias(n) for n in names.values()])
+    w = Window.partitionBy(F.lit(ALL)).orderBy("date")  # a row per date: bounded by the calendar
+    whole = Window.partitionBy(F.lit(ALL))
+    train = {n: F.sum(n).over(w) - F.col(n) < F.floor(F.sum(n).over(whole) * (1 - test_size)) for n in names.values()}
+    days = has.select("date", *[t.alias(f"_train_{n}") for n, t in train.items()])
+    panel = labelled.select(*KEY, *features, *names.values()).join(days, "date")
+    with cached(panel):
+        own = panel.select(*features, *[F.when(F.col(f"_train_{n}"), F.col(n)).alias(n) for n in names.values()])
+        model = fit_labels(own, features, list(names.values()))
+        # A row per horizon that tests on it; the weights are constants.
+        tests = F.explode(F.array_compact(F.array(*[
+            F.when(~F.col(f"_train_{n}") & F.col(n).isNotNull(), F.struct(F.lit(h).alias("horizon"), F.col(n).alias("actual"), F.array(*map(F.lit, v)).alias("w")))
+            for (h, n), v in zip(names.items(), model.raw_weights().tolist())])))
+        scored = panel.withColumn("_t", tests).select(*features, "_t.*").withColumn("prob", 1 / (1 + F.exp(-model.margin())))
+        scored = scored.select("horizon", "actual", "prob", (F.col("prob") > 0.5).cast("int").alias("pred"))
+    return metrics.scorecard(scored, ["horizon"]).select("horizon", "accuracy", "roc_auc", "up_rate", F.col("n").alias("test_samples"))
 
 
 def sentiment_verdict(both: DataFrame) -> DataFrame:

@@ -61,55 +61,41 @@ def _total(rows: DataFrame, models: int, width: int, add: Callable[[pd.DataFrame
     return out
 
 
-def fit_nested(rows: DataFrame, features: list[str], cuts: list[int], c: float = 1.0, steps: int = 50,
-               tolerance: float = 1e-8) -> NestedLogistic:
-    """L2 logistic models (1/2|w|^2 + c*sum(loss), population-standardised features) for all ``cuts``.
-
-    ``rows`` has ``day``, ``label`` and the features; it is read once per Newton step, so cache it. A fit that
-    has not converged after ``steps`` raises.
-    """
-    used = rows.select("day", "label", *features)
-    edges, d, k = np.array(cuts), len(features), len(cuts)
-
-    def ordered(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows sorted by the first model that trains on them; ends[m] rows belong to model m."""
-        first = np.searchsorted(edges, batch["day"].to_numpy(), side="right")
-        order = np.argsort(first, kind="stable")
-        ends = np.searchsorted(first[order], np.arange(k), side="right")
-        return batch[features].to_numpy(float)[order], batch["label"].to_numpy(float)[order], ends
-
+def _newton(used: DataFrame, features: list[str], models: int, parts, c: float, steps: int, tolerance: float) -> tuple[np.ndarray, ...]:
+    """Mean, deviation, weights and number of rows of each model; ``parts(batch)`` gives x, and (rows, labels) of each model."""
+    d = len(features)
     # Moments about the mean of all rows, so that a large mean takes no digits from a small deviation.
-    centre = np.array(used.agg(*[F.avg(f) for f in features]).first(), dtype=float)
+    centre = np.array([v if v is not None else 0.0 for v in used.agg(*[F.avg(f) for f in features]).first()], dtype=float)
 
     def moments(batch: pd.DataFrame, block: np.ndarray) -> None:
-        x, _y, ends = ordered(batch)
+        x, own = parts(batch)
         x = x - centre
-        sums = np.vstack([np.zeros(2 * d), np.cumsum(np.hstack([x, x * x]), axis=0)])
-        block[:, 0] += ends
-        block[:, 1:] += sums[ends]
+        for m, (rows, _) in enumerate(own):
+            block[m, 0] += len(x[rows])
+            block[m, 1:] += np.hstack([x[rows].sum(0), (x[rows] ** 2).sum(0)])
 
-    total = _total(used, k, 1 + 2 * d, moments)
+    total = _total(used, models, 1 + 2 * d, moments)
     n = np.maximum(total[:, :1], 1.0)
     shift = total[:, 1:1 + d] / n
     mean, deviation = centre + shift, np.sqrt(np.maximum(total[:, 1 + d:] / n - shift * shift, 0.0))
     deviation[deviation == 0] = 1.0
-    weights = np.zeros((k, d + 1))
+    weights = np.zeros((models, d + 1))
     ridge = np.r_[np.ones(d), 0.0] / c
 
     for _ in range(steps):
         current = weights.copy()
 
         def newton(batch: pd.DataFrame, block: np.ndarray, current: np.ndarray = current) -> None:
-            x, y, ends = ordered(batch)
-            for m, end in enumerate(ends):
-                a = np.hstack([(x[:end] - mean[m]) / deviation[m], np.ones((end, 1))])
+            x, own = parts(batch)
+            for m, (rows, y) in enumerate(own):
+                a = np.hstack([(x[rows] - mean[m]) / deviation[m], np.ones((len(y), 1))])
                 p = 1.0 / (1.0 + np.exp(-np.clip(a @ current[m], -500, 500)))
-                block[m, :d + 1] += a.T @ (p - y[:end])
+                block[m, :d + 1] += a.T @ (p - y)
                 block[m, d + 1:] += ((a * (p * (1 - p))[:, None]).T @ a).ravel()
 
-        total = _total(used, k, (d + 1) + (d + 1) ** 2, newton)
+        total = _total(used, models, (d + 1) + (d + 1) ** 2, newton)
         moved = 0.0
-        for m in range(k):
+        for m in range(models):
             gradient = total[m, :d + 1] + ridge * current[m]
             hessian = total[m, d + 1:].reshape(d + 1, d + 1) + np.diag(ridge) + 1e-12 * np.eye(d + 1)
             move = np.linalg.solve(hessian, gradient)
@@ -119,4 +105,35 @@ def fit_nested(rows: DataFrame, features: list[str], cuts: list[int], c: float =
             break
     else:
         raise RuntimeError(f"not converged after {steps} steps: the last one moved a weight by {moved:.3g}")
-    return NestedLogistic(features, list(cuts), mean, deviation, weights, [int(x) for x in n[:, 0]])
+    return mean, deviation, weights, n[:, 0]
+
+
+def fit_nested(rows: DataFrame, features: list[str], cuts: list[int], c: float = 1.0, steps: int = 50,
+               tolerance: float = 1e-8) -> NestedLogistic:
+    """L2 logistic models (1/2|w|^2 + c*sum(loss), population-standardised features) for all ``cuts``.
+
+    ``rows`` has ``day``, ``label`` and the features; it is read once per Newton step, so cache it. A fit that
+    has not converged after ``steps`` raises.
+    """
+    edges, k = np.array(cuts), len(cuts)
+
+    def parts(batch: pd.DataFrame):
+        """Rows sorted by the first model that trains on them: each model has the first ones."""
+        first = np.searchsorted(edges, batch["day"].to_numpy(), side="right")
+        order = np.argsort(first, kind="stable")
+        ends = np.searchsorted(first[order], np.arange(k), side="right")
+        y = batch["label"].to_numpy(float)[order]
+        return batch[features].to_numpy(float)[order], [(slice(0, end), y[:end]) for end in ends]
+
+    mean, deviation, weights, n = _newton(rows.select("day", "label", *features), features, k, parts, c, steps, tolerance)
+    return NestedLogistic(features, list(cuts), mean, deviation, weights, [int(x) for x in n])
+
+
+def fit_labels(rows: DataFrame, features: list[str], labels: list[str], c: float = 1.0, steps: int = 50, tolerance: float = 1e-8) -> NestedLogistic:
+    """One such model per label column, trained on the rows where it is not null; all share their passes over ``rows``."""
+    def parts(batch: pd.DataFrame):
+        known = [np.flatnonzero(batch[label].notna().to_numpy()) for label in labels]
+        return batch[features].to_numpy(float), [(at, batch[label].to_numpy(float)[at]) for label, at in zip(labels, known)]
+
+    mean, deviation, weights, n = _newton(rows.select(*labels, *features), features, len(labels), parts, c, steps, tolerance)
+    return NestedLogistic(features, [], mean, deviation, weights, [int(x) for x in n])

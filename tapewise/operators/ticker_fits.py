@@ -20,17 +20,19 @@ from tapewise.sources import staging
 
 KEY = ["ticker", "date"]
 BLOCK_ROWS = 2048
+#: Blocks of a ticker that meet its weights in one task, at most.
+SLOT_BLOCKS = 16
 
 
 def _blocks(train: DataFrame, features: list[str]) -> DataFrame:
-    """(ticker, part, x, y): the raw features and labels of consecutive rows, as bytes of doubles."""
+    """(ticker, slot, x, y): the raw features and labels of consecutive rows, as bytes of doubles; few blocks share a slot."""
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
-        return pd.DataFrame({"ticker": [group["ticker"].iloc[0]], "x": [group[features].to_numpy(float).tobytes()],
+        return pd.DataFrame({"ticker": [group["ticker"].iloc[0]], "slot": [group["part"].iloc[0] // SLOT_BLOCKS], "x": [group[features].to_numpy(float).tobytes()],
                              "y": [group["label"].to_numpy(float).tobytes()]})
 
     cut = train.select("ticker", "pos", *features, "label", F.floor(F.col("pos") / BLOCK_ROWS).alias("part"))
-    return cut.groupBy("ticker", "part").applyInPandas(one, "ticker string, x binary, y binary")
+    return cut.groupBy("ticker", "part").applyInPandas(one, "ticker string, slot long, x binary, y binary")
 
 
 def _sums(joined: DataFrame, width: int) -> DataFrame:
@@ -88,11 +90,14 @@ def per_ticker_models(rows: DataFrame, features: list[str], test_size: float = 0
         F.count(F.lit(1)).alias("train_size"), F.avg("label").alias("share"), mean.alias("mean"),
         F.transform(dev, lambda x: F.when(x == 0, 1.0).otherwise(x)).alias("dev")), "ticker-moments")
     blocks = staging.written(_blocks(train, features), "ticker-blocks")
+    # The weights of a ticker go to each of its slots, so that its blocks, however many, meet them in many tasks.
+    slots = staging.written(blocks.select("ticker", "slot").distinct(), "ticker-slots")
     state = stats.filter("share > 0 AND share < 1").select("ticker", "train_size", "mean", "dev", F.array_repeat(F.lit(0.0), width + 1).alias("w"),
                                                          F.lit(1.0).alias("moved"))
     done = None
     for _ in range(steps):
-        sums = _sums(blocks.join(state.select("ticker", "mean", "dev", "w"), "ticker").select("ticker", "x", "y", "mean", "dev", "w"), width)
+        spread = state.select("ticker", "mean", "dev", "w").join(slots, "ticker")
+        sums = _sums(blocks.join(spread, ["ticker", "slot"]).select("ticker", "x", "y", "mean", "dev", "w"), width)
         state = staging.written(_solved(state, sums, width, c), "ticker-weights")
         finished = state.filter(F.col("moved") < tolerance)
         done = finished if done is None else done.unionByName(finished)

@@ -208,11 +208,28 @@ def _sweep(t: Tables):
     return models.horizon_sweep(t.labelled(), HORIZONS, FEATURES)
 
 
-@query("horizon_sweep")
+@query("horizon_sweep_scores")
 def _(t: Tables):
     return rounded(_sweep(t), 4, "accuracy", "roc_auc", "up_rate")
 
 
+def _horizon(h: int) -> str:
+    """Test rows of one horizon: the last fifth of the days that have its label."""
+    known = " AND ".join(f"{c} IS NOT NULL" for c in FEATURES)
+    return f"""
+        SELECT {h} AS horizon, CASE WHEN (future - close) / close > 0 THEN 1 ELSE 0 END AS up, dense_rank() OVER (ORDER BY date) - 1 AS day
+        FROM (SELECT *, CAST(lead(close, {h}) OVER (PARTITION BY ticker ORDER BY date) AS DOUBLE) AS future FROM derived) f{h}
+        WHERE future IS NOT NULL AND {known}"""
+
+
+@query("horizon_sweep", sql(f"""
+    SELECT horizon, count(*) AS test_samples, round(avg(up), 6) AS up_rate
+    FROM (SELECT *, max(day) OVER (PARTITION BY horizon) + 1 AS days FROM ({" UNION ALL ".join(f"({_horizon(h)})" for h in HORIZONS)}) a) b
+    WHERE day >= floor(days * 0.8e0) GROUP BY horizon""", "derived"))
+def _(t: Tables):
+    return _sweep(t).select("horizon", "test_samples", F.round("up_rate", 6).alias("up_rate"))
+
+
 @query("best_horizon")
 def _(t: Tables):
     return models.best_horizon(rounded(_sweep(t), 4, "roc_auc"))

@@ -291,6 +291,38 @@ def test_per_ticker_models_of_any_size(spark, labelled, monkeypatch):
         assert abs(whole["prob_up"][name] - 1 / (1 + np.exp(-z))) < 1e-8
 
 
+def test_blocks_of_one_ticker_meet_its_weights_in_many_slots(spark, labelled, monkeypatch):
+    """A join on ticker alone would bring all blocks of a hot ticker into one task."""
+    monkeypatch.setattr(ticker_fits, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(ticker_fits, "SLOT_BLOCKS", 4)
+    joins, whole = [], ticker_fits._sums
+    monkeypatch.setattr(ticker_fits, "_sums", lambda joined, width: joins.append(joined) or whole(joined, width))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ticker_fits.per_ticker_models(labelled, XS, steps=3).count()
+        plan = joins[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [ticker#" in plan and "slot#" in plan.split("SortMergeJoin [")[1].split("]")[0]
+    assert joins[0].groupBy("ticker").count().filter("count >= 60").count() == 2  # 480 rows in 60 blocks, 15 slots
+
+
+def test_all_horizons_in_one_fit_equal_single_fits(labelled):
+    """Labels that end earlier for longer horizons; each model is that of its own rows and days."""
+    rows = labelled.withColumns({"label_1": F.when(F.col("date") < dt.date(2021, 8, 20), F.col("label")),
+                                 "label_5": F.when(F.col("date") < dt.date(2021, 6, 1), 1 - F.col("label"))})
+    got = {r["horizon"]: r for r in models.horizon_sweep(rows, [1, 5], XS).collect()}
+    for h, name in ((1, "label_1"), (5, "label_5")):
+        known = models.date_positions(rows.filter(F.col(name).isNotNull()).withColumn("label", F.col(name))).toPandas()
+        cut = int(known["days"].iloc[0] * 0.8)
+        train, test = known[known["day"] < cut], known[known["day"] >= cut]
+        x = train[XS].to_numpy()
+        w = ridge_fit(x, train["label"].to_numpy(float))
+        z = ((test[XS].to_numpy() - x.mean(0)) / x.std(0)) @ w[:-1] + w[-1]
+        assert got[h]["test_samples"] == len(test) and abs(got[h]["up_rate"] - test["label"].mean()) < 1e-12
+        assert abs(got[h]["accuracy"] - ((z > 0) == test["label"]).mean()) < 1e-12
+
+
 def test_nested_fits_with_a_large_mean(labelled):
     rows = models.date_positions(labelled).cache()
     far = rows.withColumn("x1", F.col("x1") * 1e-3 + 1e6)
