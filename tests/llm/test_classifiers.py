@@ -107,3 +107,32 @@ def test_documents_within_the_lines_are_whole():
     known = [{"doc_id": i, "lines": n, "labels": [y]} for i, n, y in ((1, 5, 0), (2, 4, 0), (3, 9, 0), (4, 1, 0), (5, 7, 1), (6, 1, 1))]
     assert crf_quality._within(known, 100) == [1, 2, 3, 4, 5, 6]
     assert crf_quality._within(known, 10) == [1, 2, 5] and crf_quality._within(known, 0) == [1, 5]
+
+
+def test_ordinal_fit_is_the_maximum_of_the_penalised_likelihood():
+    """Against an ascent by differences of the stated objective, on a small table whose grades follow the model."""
+    rng = np.random.default_rng(12)
+    n, x = 400, rng.integers(0, 4, (400, 2)).astype(float)
+    s = x @ [0.9, 0.4]
+    grade = (s[:, None] + rng.logistic(size=(n, 1)) > np.array([1.0, 2.0, 3.5])).sum(axis=1)
+
+    def objective(theta):
+        weights, cuts = theta[:2], theta[2:]
+        above = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(cuts[None, :] - (x @ weights)[:, None])), np.zeros((n, 1))], axis=1)
+        likely = above[np.arange(n), grade] - above[np.arange(n), grade + 1]
+        return np.log(np.maximum(likely, 1e-12)).mean() - ordinal_toxicity.RIDGE / 2 * (weights ** 2).sum()
+
+    def slope(theta):
+        return np.array([(objective(theta + e) - objective(theta - e)) / 2e-5 for e in np.eye(5) * 1e-5])
+
+    of, feature = np.repeat(np.arange(n), 2), np.tile([0, 1], n)
+    model = ordinal_toxicity.OrdinalModel.fit(np.array([5, 9]), of, feature, x.ravel(), grade)
+    got = np.concatenate([model.weights, model.cuts])
+    best = np.array([0.0, 0.0, -1.0, 0.0, 1.0])
+    for _ in range(6000):
+        best = best + 0.5 * slope(best)
+        best[:2] = np.maximum(best[:2], 0)
+    assert np.abs(slope(best)).max() < 1e-5
+    assert objective(got) > objective(best) - 1e-4 and np.abs(slope(got)).max() < 5e-3
+    np.testing.assert_allclose(got, best, atol=0.05)
+    assert (np.diff(model.cuts) > 0).all() and (model.weights >= 0).all()
