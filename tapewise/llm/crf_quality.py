@@ -212,7 +212,8 @@ def score(docs: DataFrame, field: LineField, least: float = GOOD) -> DataFrame:
     """doc_id, held_out, score (P of label 1) and predicted (1 from ``least`` on) of every whole text, null counting as empty.
 
     A text without lines that are not empty gets the score of the log-odds 0, or the share of good labels
-    where the field could not be fitted.
+    where the field could not be fitted. Rows of a null or repeated id are rows like others (a null id is never held
+    out), further columns are left out, no rows give no rows.
     """
     rows = (docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
             .mapInArrow(partial(_score, field=field), "doc_id long, score double"))

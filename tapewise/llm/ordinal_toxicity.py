@@ -173,7 +173,8 @@ def _grade(batches: Iterator[pa.RecordBatch], model: OrdinalModel | None) -> Ite
 def grade(docs: DataFrame, model: OrdinalModel | None, least: float = TOXIC) -> DataFrame:
     """doc_id, held_out, score (P of any toxicity), expected_severity (0 to 3), severity (the likeliest grade) and predicted (0 or 1).
 
-    Every whole text counts, a null one as empty. Without a model all scores are 0.
+    Every whole text counts, a null one as empty; rows of a null or repeated id are rows like others, further columns
+    are left out, no rows give no rows. Without a model all scores are 0.
     """
     rows = (docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
             .mapInArrow(partial(_grade, model=model), "doc_id long, score double, expected_severity double, severity int"))
@@ -186,5 +187,8 @@ def _keep(batches: Iterator[pa.RecordBatch], model: OrdinalModel | None, least:
 
 
 def keep_clean(docs: DataFrame, model: OrdinalModel | None, least: float = TOXIC) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is not predicted to be toxic."""
+    """The rows of ``docs``, with all their columns, whose text is not predicted to be toxic.
+
+    A null text is empty and stays; ids, and columns of any name, do not matter. Without a model all rows stay.
+    """
     return docs.mapInArrow(partial(_keep, model=model, least=least, column=docs.columns.index("text")), docs.schema)

@@ -273,7 +273,10 @@ def _redact(batches: Iterator[pa.RecordBatch], weights: np.ndarray | None, colum
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with the personal data in its texts replaced; n_chars, if there, follows where a text changed."""
+    """``docs`` with the personal data in its texts replaced; n_chars, if there, follows where a text changed.
+
+    Every row stays, with all its columns: null texts stay null, rows of null or repeated ids are rows like others.
+    """
     weights = fit(staging.written(examine(docs), "examined"))
     names = docs.columns
     return docs.mapInArrow(partial(_redact, weights=weights, column=names.index("text"), size=names.index("n_chars") if "n_chars" in names else -1), docs.schema)
