@@ -35,6 +35,7 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g")
+             .config("spark.sql.codegen.cache.maxEntries", "2000")  # plans of many windows have more classes than the default
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}

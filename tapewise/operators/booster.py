@@ -187,7 +187,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], features: int, so_far: Passed):
 
 def _histograms(batches: Iterator[pa.RecordBatch], features: int, settings: Settings, number: int, columns: list[np.ndarray], so_far: Passed,
                 growing: list[Grower]) -> Iterator[pa.RecordBatch]:
-    """The sums of a task: cell (model, open node, feature, bin in one number), g, h; cells without rows are left out."""
+    """The sums of a task, a row per model and open node with rows: their number, and g and h of all features' bins as bytes."""
     slots, bins = max(len(t.open) for t in growing), settings.bins
     size = slots * features * bins
     total = np.zeros((2, len(growing), size), np.int64)
@@ -207,9 +207,19 @@ def _histograms(batches: Iterator[pa.RecordBatch], features: int, settings: Sett
                 cell = (here * features + c) * bins + x[rows, c]
                 for k in range(2):
                     total[k, m] += np.bincount(cell, sums[k], size).astype(np.int64)
-    total = total.reshape(2, -1)
-    found = np.flatnonzero(total.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[0, found]), pa.array(total[1, found])], names=["cell", "g", "h"])
+    nodes = total.reshape(2, len(growing) * slots, features * bins).transpose(1, 0, 2)
+    found = np.flatnonzero(nodes.any(axis=(1, 2)))
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([nodes[k].tobytes() for k in found], pa.binary())], names=["node", "sums"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per node: the sums of all tasks."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for node, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            part = np.frombuffer(sums, np.int64)
+            total[node] = total[node] + part if node in total else part
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["node", "sums"])
 
 
 def _rewritten(batches: Iterator[pa.RecordBatch], features: int, so_far: Passed) -> Iterator[pa.RecordBatch]:
@@ -275,10 +285,10 @@ class Boosted:
 class _Passes:
     """The many small jobs over the written blocks, in a session of their own without adaptive re-planning.
 
-    Each task hands on at most one row per cell; so many tasks sum them that none gets more than about CELLS.
+    Each task hands on at most one row per node; so many tasks add them up that none gets more than about BYTES.
     """
 
-    CELLS = 1_000_000
+    BYTES = 64 << 20
 
     def __init__(self, blocks: DataFrame):
         self.home, self.spark = blocks.sparkSession, blocks.sparkSession.newSession()
@@ -292,12 +302,14 @@ class _Passes:
         self.blocks = self.spark.read.schema(_BLOCK).parquet(path)
         self.tasks = self.blocks.rdd.getNumPartitions()
 
-    def sums(self, task, cells: int) -> np.ndarray:
-        self.spark.conf.set("spark.sql.shuffle.partitions", str(min(self.most, max(1, self.tasks * cells // self.CELLS))))
-        found = self.blocks.mapInArrow(task, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-        out = np.zeros((2, cells))
-        out[:, found.column("cell").to_numpy()] = found.column("g").to_numpy(), found.column("h").to_numpy()
-        return out
+    def sums(self, task, nodes: int, cells: int) -> np.ndarray:
+        parts = min(self.most, max(1, self.tasks * nodes * cells * 16 // self.BYTES))
+        kinds = "node long, sums binary"
+        found = self.blocks.mapInArrow(task, kinds).repartition(parts, "node").mapInArrow(_added, kinds).toArrow()
+        out = np.zeros((nodes, 2, cells))
+        for node, sums in zip(found.column("node").to_pylist(), found.column("sums").to_pylist()):
+            out[node] = np.frombuffer(sums, np.int64).reshape(2, cells)
+        return out.transpose(1, 0, 2)
 
 
 def fit_boosted(rows: DataFrame, features: list[str], edges: list[float] | None = None, key: tuple[str, ...] = ("ticker", "date"),
@@ -327,7 +339,7 @@ def fit_boosted(rows: DataFrame, features: list[str], edges: list[float] | None
             if not slots:
                 break
             task = partial(_histograms, features=d, settings=settings, number=number, columns=columns, so_far=so_far, growing=growing)
-            sums = passes.sums(task, models * slots * d * settings.bins).reshape(2, models, slots, d, settings.bins)
+            sums = passes.sums(task, models * slots, d * settings.bins).reshape(2, models, slots, d, settings.bins)
             grow_level(growing, sums, columns, cuts, settings, level == settings.depth - 1)
         for m, tree in enumerate(growing):
             tree.pruned(settings.gamma)

@@ -244,7 +244,8 @@ def with_halo(df: DataFrame, back: int = 0, ahead: int = 0, block: int | None =
     copies = rows.withColumn("_to", F.explode(F.array_compact(F.array(*seen_by)))) if len(seen_by) > 1 \
         else rows.withColumn("_to", seen_by[0])
     copies = copies.select(*df.columns, "n_rows", "_start", *carried, "_to._block", "_to._home")
-    copies = copies.repartition("ticker", "_block")  # see with_carry: never by ticker alone
+    # See with_carry: never by ticker alone. The windows are work, not bytes, so a small exchange is not merged into few tasks.
+    copies = copies.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticker", "_block")
     # The first unit of the block holds its smallest start; same order as all later windows: one sort.
     w = Window.partitionBy("ticker", "_block").orderBy("date")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)

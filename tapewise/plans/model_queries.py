@@ -112,11 +112,18 @@ def _walkforward_backtest(t: Tables):
     return models.walkforward_backtest(t.dataset(), FEATURES)
 
 
-_WALKED = _sql("""
-    SELECT ticker, date, win AS "window", train_size, label AS actual, true AS probable FROM blocks JOIN sizes USING (win)""", "blocks", "sizes")
+#: Days between refits of the trees in the registered walk-forward; a refit every 21 days is four times the work.
+TREE_STEP = 126
 
 
-@query("walkforward_backtest", _WALKED)
+def _walked(step: int) -> str:
+    """The keys, training sizes and labels of a walk-forward with refits every ``step`` days."""
+    by_step = {name: (needs, body.replace("21", str(step))) for name, (needs, body) in _POOLED.items()}
+    return sql("""
+        SELECT ticker, date, win AS "window", train_size, label AS actual, true AS probable FROM blocks JOIN sizes USING (win)""", "blocks", "sizes", extra=by_step)
+
+
+@query("walkforward_backtest", _walked(21))
 def _(t: Tables):
     return _walkforward_backtest(t).select("ticker", "date", "window", "train_size", "actual", _probable())
 
@@ -124,10 +131,10 @@ def _(t: Tables):
 
 def _walkforward_trees(t: Tables):
     """All windows' boosters share their passes; the predictions are written once per application."""
-    return staging.staged(t.spark, t.dir, "walkforward_trees", lambda: models.walkforward_backtest(t.dataset(), FEATURES, kind="gbt"))
+    return staging.staged(t.spark, t.dir, "walkforward_trees", lambda: models.walkforward_backtest(t.dataset(), FEATURES, kind="gbt", step=TREE_STEP))
 
 
-@query("walkforward_trees", _WALKED)
+@query("walkforward_trees", _walked(TREE_STEP))
 def _(t: Tables):
     return _walkforward_trees(t).select("ticker", "date", "window", "train_size", "actual", _probable())
 
