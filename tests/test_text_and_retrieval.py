@@ -3,6 +3,7 @@ import hashlib
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,47 @@ def test_exact_retrieval_equals_brute_force(vectors, monkeypatch):
         np.testing.assert_allclose([g[1] for g in got[i]], row[order], rtol=1e-9, atol=1e-9)
 
 
+@pytest.mark.parametrize("folder,share", [("sf0.01", 0.85), ("sf0.1", 0.8)])
+def test_exact_search_of_the_given_vectors_multiplies_less(spark, folder, share):
+    """Against all components of all pairs; the vectors have no leading directions, so most of each is looked at."""
+    chunks = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").selectExpr("vec_id AS chunk_id", "embedding AS vector")
+    held = chunks.toPandas()
+    part = retrieval._Part(held, retrieval._Turned(chunks, len(held["vector"][0])))
+    work: list[int] = []
+    got = part.nearest(held.rename(columns={"chunk_id": "key"}).assign(limit=np.inf), 3, work)
+    assert sum(work) < share * part.at.shape[1] * len(held) ** 2
+    x = np.stack(held["vector"]).astype(float)
+    ids = held["chunk_id"].to_numpy()
+    want = {i: ids[np.lexsort((ids, ((x - v) ** 2).sum(1)))[:3]].tolist() for i, v in zip(ids, x)}
+    assert got.groupby("key")["chunk_id"].agg(list).to_dict() == want
+
+
+def test_leading_directions_save_most_products(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 96)) * np.exp(-np.arange(96) / 6.0) + 3.0
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, vector array<double>")
+    turned = retrieval._Turned(chunks, 96)
+    assert turned.leading < 20
+    y, s = turned(x), turned.shadow(x)
+    some = rng.integers(0, len(x), (500, 2))
+    d = ((x[some[:, 0]] - x[some[:, 1]]) ** 2).sum(1)
+    np.testing.assert_allclose(((y[some[:, 0]] - y[some[:, 1]]) ** 2).sum(1), d, rtol=1e-9, atol=1e-9)
+    assert (((s[some[:, 0]] - s[some[:, 1]]) ** 2).sum(1) <= d * (1 + 1e-9) + 1e-9).all()
+    work: list[int] = []
+    held = pd.DataFrame({"chunk_id": np.arange(len(x)), "vector": list(x)})
+    retrieval._Part(held, turned).nearest(pd.DataFrame({"key": np.arange(300), "vector": list(x[:300]), "limit": np.inf}), 5, work)
+    assert sum(work) < 0.35 * 96 * len(x) * 300
+
+
+def test_retrieval_leaves_out_missing_vectors_and_keeps_repeated_queries(spark):
+    chunks = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [0.0, 3.0])], "chunk_id long, vector array<double>")
+    queries = spark.createDataFrame([("a", [0.0, 0.0]), ("b", None), ("a", [0.0, 0.0]), (None, [0.0, 4.0])], "query_id string, vector array<double>")
+    got = retrieval.retrieve_topk(queries, chunks, 2).collect()
+    assert sorted((r["query_id"] or "", r["rank"], r["chunk_id"], r["distance"]) for r in got) == [
+        ("", 1, 3, 1.0), ("", 2, 1, 9.0), ("a", 1, 1, 1.0), ("a", 2, 1, 1.0)]
+    assert retrieval.retrieve_topk(queries.limit(0), chunks, 2).count() == 0
+
+
 def test_topic_filter_and_small_collections(vectors):
     queries, chunks, d = vectors
     got = found(retrieval.retrieve_topk(queries, chunks, 3, topic=2), len(d))
