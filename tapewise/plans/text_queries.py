@@ -274,6 +274,29 @@ def _(t: Tables):
     return text_score.embed(model, chunks).select("chunk_id", "topic", "vector")
 
 
+@query("embed_chunks_norms", f"SELECT chunk_id, topic, 384 AS dims, 1.0 AS norm FROM ({_CHUNKS}) c")
+def _(t: Tables):
+    """Width and length of every chunk's vector."""
+    chunks, model = _embedder(t)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return text_score.embed(model, chunks).select("chunk_id", "topic", F.size("vector").alias("dims"), F.round(norm, 5).alias("norm"))
+
+
+@query("qa_prompts_vectors", f"""
+    SELECT q.vec_id AS query_id, 'Answer a question of a new investor from the context only; say so when it is not enough. '
+           || 'Use plain English and fewer than 120 words. Give no advice to buy or sell.'
+           || chr(10) || chr(10) || 'Context:' || chr(10) || c.context || chr(10) || chr(10) || 'Question: ' || d.text AS prompt
+    FROM embeddings q JOIN documents d ON d.doc_id = q.vec_id AND length(d.text) BETWEEN 5 AND 500
+    JOIN (SELECT query_id, string_agg('[Source: ' || h.title || ']' || chr(10) || h.content, chr(10) || chr(10) ORDER BY h.rank) AS context
+          FROM ({_TEXT_HITS}) h GROUP BY query_id) c ON c.query_id = q.vec_id""")
+def _(t: Tables):
+    """Prompts of the documents that are short enough to be questions, by their given vectors."""
+    questions = t.vector_queries().join(retrieval.question_filter(t.vector_texts()), F.col("chunk_id") == F.col("query_id"))
+    questions = questions.select("query_id", "vector", F.col("text").alias("question"))
+    hits = retrieval.hits_with_text(retrieval.retrieve_topk(questions, t.vectors(), 3), t.vector_texts())
+    return retrieval.qa_prompts(questions, retrieval.build_context(questions, hits))
+
+
 @query("qa_prompts")
 def _(t: Tables):
     chunks, model = _embedder(t)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewise.functions import scalar as S
-from tapewise.operators import explain, retrieval, text_score
+from tapewise.operators import explain, linear, retrieval, text_score
 from tapewise.plans import catalog
 
 
@@ -224,3 +224,51 @@ def test_scorers(spark):
     assert got["good great"] > 0.3 > -0.3 > got["bad awful"] and abs(got["plain words"]) < 0.3
     custom = text_score.score_with(texts.select("text"), lambda s: s.str.len() / 100.0)
     assert custom.filter("text = 'bad awful'").first()["sentiment_score"] == 0.09
+
+
+def test_leading_directions_equal_a_whole_decomposition(spark):
+    rng = np.random.default_rng(1)
+    a, rows = np.zeros((700, 400)), [([], [])]
+    for i in range(700):
+        at = np.sort(rng.choice(400, rng.integers(0, 30), replace=False))
+        a[i, at] = rng.random(len(at)) / (1 + at) ** 0.7
+        rows.append((at.tolist(), a[i, at].tolist()))
+    table = spark.createDataFrame(rows, "indices array<int>, values array<double>").repartition(5)
+    values, right = linear.leading_directions(table, 400, 12)
+    want = np.linalg.svd(a)[1][:12]
+    np.testing.assert_allclose(values, want, rtol=0.01)
+    np.testing.assert_allclose(right.T @ right, np.eye(12), atol=1e-9)
+    np.testing.assert_allclose(np.linalg.norm(a @ right, axis=0), want, rtol=0.01)
+    values, right = linear.leading_directions(table, 400, 500)  # more than there are
+    np.testing.assert_allclose(values, np.linalg.svd(a)[1], atol=1e-4)
+    assert right.shape == (400, 400) and not linear.leading_directions(table.limit(0), 400, 5)[0].any()
+
+
+def test_moments_and_basis(spark):
+    x = np.random.default_rng(2).normal(2, 1, (300, 5)) * [5, 1, 3, 0, 2]
+    mean, second = linear.moments(spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(3), "v", 5)
+    np.testing.assert_allclose(mean, x.mean(0))
+    np.testing.assert_allclose(second, np.cov(x.T, bias=True), atol=1e-9)
+    basis, share = linear.orthogonal_basis(second)
+    np.testing.assert_allclose(basis @ basis.T, np.eye(5), atol=1e-9)
+    assert (np.diff(share) <= 1e-12).all() and share.sum() == pytest.approx(1)
+
+
+def test_dense_vectors_find_copies_as_hashed_ones_do(spark):
+    """Texts with a fifth of their words replaced find their originals."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(2000)])
+    texts = [words[rng.choice(2000, 30)] for _ in range(300)]
+    asked = [np.where(rng.random(30) < 0.2, words[rng.choice(2000, 30)], t) for t in texts]
+    chunks = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "chunk_id long, text string").cache()
+    queries = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(asked)], "query_id long, text string")
+    share = {}
+    for dims in (None, 64):
+        model = text_score.embedder(chunks, size=1 << 12, dims=dims)
+        hits = retrieval.retrieve_topk(text_score.embed(model, queries), text_score.embed(model, chunks), 1)
+        share[dims] = hits.filter("query_id = chunk_id").count() / 300
+    assert share[None] > 0.95 and share[64] > 0.9
+    odd = spark.createDataFrame([(None,), ("",), ("unheard of",), (" ".join(texts[0]) * 500,)], "text string")
+    got = [np.array(r["vector"]) for r in text_score.embed(model, odd).collect()]
+    assert all(len(v) == 64 and np.isfinite(v).all() for v in got) and not got[0].any() and not got[1].any()
+    assert np.linalg.norm(got[3]) == pytest.approx(1, abs=1e-5)
