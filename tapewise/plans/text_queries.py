@@ -265,7 +265,9 @@ def _(t: Tables):
 
 def _embedder(t: Tables):
     chunks = retrieval.chunk_documents(t.knowledge(), separator="\n")
-    return chunks, text_score.embedder(chunks)
+    # Read again for the fit and for the vectors, by as many tasks as a shuffle has.
+    chunks = staging.written(chunks.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions"))), "chunks")
+    return chunks, text_score.embedder(chunks, dims=128)
 
 
 @query("embed_chunks")
@@ -274,7 +276,7 @@ def _(t: Tables):
     return text_score.embed(model, chunks).select("chunk_id", "topic", "vector")
 
 
-@query("embed_chunks_norms", f"SELECT chunk_id, topic, 384 AS dims, 1.0 AS norm FROM ({_CHUNKS}) c")
+@query("embed_chunks_norms", f"SELECT chunk_id, topic, 128 AS dims, 1.0 AS norm FROM ({_CHUNKS}) c")
 def _(t: Tables):
     """Width and length of every chunk's vector."""
     chunks, model = _embedder(t)
