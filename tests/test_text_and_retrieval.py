@@ -137,6 +137,28 @@ def test_exact_search_of_the_given_vectors_multiplies_less(spark, folder, share)
     assert got.groupby("key")["chunk_id"].agg(list).to_dict() == want
 
 
+def test_neither_side_of_the_search_is_copied_per_cell(vectors, monkeypatch):
+    queries, chunks, d = vectors
+    monkeypatch.setattr(retrieval, "_ASKED", 16)  # many blocks of queries
+    monkeypatch.setattr(retrieval, "_HELD_BYTES", 1 << 14)  # and several groups of chunks a task
+    hits = retrieval.retrieve_topk(queries, chunks.withColumn("chunk_id", F.lpad(F.col("chunk_id").cast("string"), 5, "0")), 4)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(cell" not in plan and "Generate" not in plan
+    got = found(hits, len(d))
+    for i, row in enumerate(d):
+        assert [int(g[0]) for g in got[i]] == list(np.lexsort((np.arange(len(row)), row))[:4])
+
+
+def test_search_far_from_the_origin_is_exact(spark):
+    """Where single precision alone would not tell the chunks apart."""
+    x = np.random.default_rng(9).normal(size=(600, 24))
+    x[:300] = x[:300] * 1e-4 + 1e4
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, vector array<double>")
+    got = found(retrieval.retrieve_topk(chunks.withColumnRenamed("chunk_id", "query_id"), chunks, 3), len(x))
+    for i, v in enumerate(x):
+        assert [g[0] for g in got[i]] == list(np.lexsort((np.arange(len(x)), ((x - v) ** 2).sum(1)))[:3])
+
+
 def test_leading_directions_save_most_products(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(4000, 96)) * np.exp(-np.arange(96) / 6.0) + 3.0
