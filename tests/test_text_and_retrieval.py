@@ -266,6 +266,25 @@ def test_leading_directions_equal_a_whole_decomposition(spark):
     assert right.shape == (400, 400) and not linear.leading_directions(table.limit(0), 400, 5)[0].any()
 
 
+def test_weighted_sums_equal_plain_ones():
+    rng = np.random.default_rng(4)
+    lengths = np.array([1, 16, 17, 5000, 2, 300])
+    index, value, table = rng.integers(0, 50, lengths.sum()), rng.normal(size=lengths.sum()), rng.normal(size=(50, 7))
+    want = np.zeros((len(lengths), 7))
+    np.add.at(want, np.repeat(np.arange(len(lengths)), lengths), value[:, None] * table[index])
+    np.testing.assert_allclose(linear._weighted_sums(table, index, value, np.cumsum(lengths) - lengths), want, rtol=1e-9, atol=1e-9)
+
+
+def test_counted_words_give_the_vectors_of_their_texts(spark):
+    rng = np.random.default_rng(6)
+    texts = spark.createDataFrame([(i, " ".join(f"w{n}" for n in rng.integers(0, 60, 12))) for i in range(80)] + [(80, None), (81, "")], "id int, text string")
+    counted = text_score.count_words(texts, 256)
+    plain, again = ({r["id"]: r["vector"] for r in text_score.embed(text_score.embedder(df, size=256, dims=8), df).collect()} for df in (texts, counted))
+    assert plain.keys() == again.keys() and not any(plain[80]) and not any(again[80])
+    for i in plain:
+        np.testing.assert_allclose(plain[i], again[i], atol=1e-4)
+
+
 def test_moments_and_basis(spark):
     x = np.random.default_rng(2).normal(2, 1, (300, 5)) * [5, 1, 3, 0, 2]
     mean, second = linear.moments(spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(3), "v", 5)
