@@ -1,8 +1,8 @@
 """Second-order boosted trees on quantised features, for one training set or many growing ones at once.
 
 Features become bins once, at quantiles of all training rows. Every level of a tree is one pass: each task adds its
-rows' gradients and Hessians of the log loss to histograms (model, node, feature, bin), Spark sums them, and the
-driver, which never sees a row, picks each node's split from them. Sums are of whole numbers (gradients times
+rows' gradients and Hessians of the log loss to histograms (model, node, feature, bin), Spark sums them (small ones the
+driver), and the driver, which never sees a row, picks each node's split from them. Sums are of whole numbers (gradients times
 2^32), so neither the order of the rows nor their partitions change a model; which rows a tree samples is
 decided by a hash of their key.
 
@@ -285,10 +285,12 @@ class Boosted:
 class _Passes:
     """The many small jobs over the written blocks, in a session of their own without adaptive re-planning.
 
-    Each task hands on at most one row per node; so many tasks add them up that none gets more than about BYTES.
+    Each task hands on at most one row per node; so many tasks add them up that none gets more than about BYTES. Sums that are
+    less than DIRECT together are added up by the driver instead, which saves each job its exchange and second stage.
     """
 
     BYTES = 64 << 20
+    DIRECT = 8 << 20
 
     def __init__(self, blocks: DataFrame):
         self.home, self.spark = blocks.sparkSession, blocks.sparkSession.newSession()
@@ -303,13 +305,17 @@ class _Passes:
         self.tasks = self.blocks.rdd.getNumPartitions()
 
     def sums(self, task, nodes: int, cells: int) -> np.ndarray:
-        parts = min(self.most, max(1, self.tasks * nodes * cells * 16 // self.BYTES))
+        size = self.tasks * nodes * cells * 16  # at most, of all tasks' sums
         kinds = "node long, sums binary"
-        found = self.blocks.mapInArrow(task, kinds).repartition(parts, "node").mapInArrow(_added, kinds).toArrow()
-        out = np.zeros((nodes, 2, cells))
+        found = self.blocks.mapInArrow(task, kinds)
+        if size > self.DIRECT:
+            parts = min(self.most, max(1, size // self.BYTES))
+            found = found.repartition(parts, "node").mapInArrow(_added, kinds)
+        found = found.toArrow()
+        out = np.zeros((nodes, 2, cells), np.int64)
         for node, sums in zip(found.column("node").to_pylist(), found.column("sums").to_pylist()):
-            out[node] = np.frombuffer(sums, np.int64).reshape(2, cells)
-        return out.transpose(1, 0, 2)
+            out[node] += np.frombuffer(sums, np.int64).reshape(2, cells)
+        return out.transpose(1, 0, 2).astype(float)
 
 
 def fit_boosted(rows: DataFrame, features: list[str], edges: list[float] | None = None, key: tuple[str, ...] = ("ticker", "date"),

@@ -159,6 +159,18 @@ def test_feature_sets_share_passes(labelled):
     assert any(2 in t.feature for t in both[1].model.trees)
 
 
+def test_small_sums_need_no_exchange_and_equal_exchanged_ones(labelled, monkeypatch):
+    exchanged, plain, fits = [], type(labelled).repartition, []
+    monkeypatch.setattr(type(labelled), "repartition", lambda self, *by: exchanged.append(by) or plain(self, *by))
+    for limit in (booster._Passes.DIRECT, -1):
+        monkeypatch.setattr(booster._Passes, "DIRECT", limit)
+        fits.append((booster.fit_boosted(labelled, XS, settings=booster.Settings(trees=3, depth=3))[0], len(exchanged)))
+    assert fits[0][1] == 0 < fits[1][1]
+    for one, other in zip(fits[0][0].trees, fits[1][0].trees):
+        for x, y in zip(vars(one).values(), vars(other).values()):
+            np.testing.assert_array_equal(x, y)
+
+
 def test_booster_predicts_and_explains(labelled, monkeypatch):
     monkeypatch.setattr(booster, "KEPT_TREES", 4)  # margins are written anew in between
     train, test = models.split(labelled)
