@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapewise.functions import scalar as S
 from tapewise.operators import explain, linear, retrieval, text_score
 from tapewise.plans import catalog
+from tapewise.sources import staging
 
 
 def one(spark, column):
@@ -313,3 +314,47 @@ def test_dense_vectors_find_copies_as_hashed_ones_do(spark):
     got = [np.array(r["vector"]) for r in text_score.embed(model, odd).collect()]
     assert all(len(v) == 64 and np.isfinite(v).all() for v in got) and not got[0].any() and not got[1].any()
     assert np.linalg.norm(got[3]) == pytest.approx(1, abs=1e-5)
+
+
+def test_prompts_write_neither_texts_nor_vectors_of_chunks(spark, monkeypatch):
+    """What is written or shuffled on the way grows with the counted words of the chunks, not with their texts and vectors."""
+    tables = {}
+
+    def noted(df, name, plain=staging.written):
+        tables[name] = set(df.columns)
+        return plain(df, name)
+
+    monkeypatch.setattr(retrieval, "written", noted)
+    monkeypatch.setattr(staging, "written", noted)
+    assert catalog.QUERIES["qa_prompts"](spark, "/root/testdata/sf0.001").count() > 0
+    assert tables.keys() == {"chunks", "placed", "asked", "bounded"}
+    assert not {"text", "vector"} & (tables["chunks"] | tables["placed"])
+
+
+@pytest.mark.parametrize("topic", [None, 1])
+def test_vectors_made_on_the_way_are_found_as_written_ones(spark, topic):
+    rng = np.random.default_rng(8)
+    chunks = spark.createDataFrame([(i, i % 3, rng.integers(-4, 5, 6).tolist()) for i in range(700)], "chunk_id long, topic int, words array<int>").repartition(5).cache()
+
+    def embed(rows):
+        return rows.withColumn("vector", F.transform("words", lambda w: w.cast("double") / 3)).drop("words")
+
+    queries = spark.createDataFrame([(i, rng.normal(0, 1, 6).tolist()) for i in range(60)] + [(60, None)], "query_id long, vector array<double>")
+    want, got = (sorted(map(tuple, hits.collect())) for hits in (
+        retrieval.retrieve_topk(queries, embed(chunks), 4, topic=topic), retrieval.retrieve_topk(queries, chunks, 4, topic=topic, embed=embed)))
+    assert want == got and len(got) == 240
+
+
+def test_shuffles_of_a_written_table_are_dropped(spark):
+    """Nothing that a write or a collected sum shuffled stays on disk, and the session's setting is as before."""
+    def shuffled():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        files = manager.getAllFiles().mkString("\n").split("\n")
+        return {f for f in files if "shuffle_" in f}
+
+    before, setting = shuffled(), spark.conf.get(staging._CLEANUP)
+    table = staging.written(spark.range(5000).repartition(4), "shuffled")
+    mean, _ = linear.moments(table.select(F.array(F.col("id").cast("double")).alias("v")), "v", 1)
+    assert not shuffled() - before
+    assert table.count() == 5000 and mean[0] == pytest.approx(2499.5)
+    assert spark.conf.get(staging._CLEANUP) == setting
