@@ -345,6 +345,53 @@ def test_vectors_made_on_the_way_are_found_as_written_ones(spark, topic):
     assert want == got and len(got) == 240
 
 
+def test_vectors_are_made_four_times_and_for_samples(spark):
+    """For the moments, the cells, the first bounds and the search; what is known of cells and ranges costs no pass of its own."""
+    made = spark.sparkContext.accumulator(0)
+    rng = np.random.default_rng(9)
+    n = 20_000
+    chunks = spark.createDataFrame([(i, v) for i, v in enumerate(rng.integers(-4, 5, (n, 6)).tolist())], "chunk_id long, words array<int>").repartition(5).cache()
+
+    @F.pandas_udf("array<double>")
+    def vector(words: pd.Series) -> pd.Series:
+        made.add(len(words))
+        return words.map(lambda w: [x / 3 for x in w])
+
+    queries = spark.createDataFrame([(i, rng.normal(0, 1, 6).tolist()) for i in range(60)], "query_id long, vector array<double>")
+    hits = retrieval.retrieve_topk(queries, chunks, 4, embed=lambda rows: rows.withColumn("vector", vector("words")).drop("words"))
+    assert hits.count() == 240
+    assert 4 * n <= made.value < 4.2 * n
+
+
+def test_regions_are_searched_by_directions_of_their_own():
+    """Groups of 400 vectors, each group in 8 directions of its own: few coordinates tell which vectors are too far, and none is lost."""
+    rng = np.random.default_rng(10)
+    spans = [np.linalg.qr(rng.normal(size=(64, 8)))[0] for _ in range(10)]
+    x = np.concatenate([rng.normal(size=(400, 8)) @ span.T for span in spans]) + rng.normal(0, 0.01, (4000, 64))
+    turned = retrieval._Turned(x, 64)
+    work: dict[bool, list[int]] = {False: [], True: []}
+    for g in range(10):
+        own = x[g * 400:g * 400 + 400]
+        asked = own[:100] + rng.normal(0, 0.01, (100, 64))
+        exact = ((asked[:, None, :] - own[None]) ** 2).sum(2)
+        limit = np.sort(exact, axis=1)[:, 2]
+        for local in (False, True):
+            part = retrieval._Part({"chunk_id": np.arange(400), "vector": own}, turned, local)
+            q = part.turned(asked)
+            if local:
+                part.suit(q, limit)
+            i, j = part.near(q, 3, limit, work[local])
+            assert set(zip(*np.nonzero(exact <= limit[:, None]))) <= set(zip(i.tolist(), j.tolist()))
+    assert sum(work[True]) < 0.5 * sum(work[False])
+
+
+def test_few_true_places():
+    rng = np.random.default_rng(11)
+    for n in (0, 5, 8, 4099):
+        flags = rng.random(n) < 0.02
+        assert retrieval._places(flags).tolist() == np.flatnonzero(flags).tolist()
+
+
 def test_shuffles_of_a_written_table_are_dropped(spark):
     """Nothing that a write or a collected sum shuffled stays on disk, and the session's setting is as before."""
     def shuffled():
